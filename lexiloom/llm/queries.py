@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import exact_dedup
+from lexiloom.llm import exact_dedup, secret_scan
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_secret_scan": secret_scan.ORACLE_SQL,
 }
