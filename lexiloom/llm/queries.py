@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import exact_dedup, secret_scan
+from lexiloom.llm import exact_dedup, secret_scan, source_mix
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_source_mix": source_mix.op6_source_mix,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_secret_scan": secret_scan.ORACLE_SQL,
+    "op6_source_mix": source_mix.ORACLE_SQL,
 }
