@@ -176,3 +176,33 @@ def components(edges: DataFrame) -> DataFrame:
             break
     roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+
+
+# -- per-text work in Arrow batches -----------------------------------------------------------
+
+
+def map_texts(df: DataFrame, fn, new: str, text_col: str = "text", limit: int = 1 << 22) -> DataFrame:
+    """``df`` without ``text_col`` and with the columns of the schema string ``new``, made by ``fn``.
+
+    ``fn`` takes a list of UTF-8 byte strings (null is empty) of about ``limit`` bytes in all, or one longer text, and
+    returns a dict of sequences of the same length. The other columns pass through as they are, nulls included.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    added = T._parse_datatype_string(new)
+    kept = [f for f in df.schema.fields if f.name != text_col and f.name not in added.names]
+    schema = T.StructType([*kept, *added.fields])
+
+    def run(batches):
+        kinds = [to_arrow_type(f.dataType) for f in added.fields]
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            for first, last in chunks_of(texts, limit):
+                got = fn(texts[first:last])
+                arrays = [batch.column(f.name).slice(first, last - first) for f in kept]
+                arrays += [pa.array(got[f.name], type=k) for f, k in zip(added.fields, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import exact_dedup, secret_scan, source_mix
+from lexiloom.llm import exact_dedup, secret_scan, sentence_pieces, source_mix
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_sentence_pieces": sentence_pieces.op3_sentence_pieces,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_source_mix": source_mix.op6_source_mix,
 }
