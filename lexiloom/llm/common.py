@@ -206,3 +206,44 @@ def map_texts(df: DataFrame, fn, new: str, text_col: str = "text", limit: int =
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+# -- labelled samples and calibration ---------------------------------------------------------
+
+
+def remainder(id_col: str, modulus: int):
+    """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def labelled_sample(rows: DataFrame, label: str, id_col: str, per_label: int) -> DataFrame:
+    """About ``per_label`` rows of each label (never over twice that many), drawn by a hash of the id.
+
+    Rows with a null label are left out. Only the number of rows of each label reaches the driver.
+    """
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 40))
+    rate = F.lit(0)
+    for value, n in counts:
+        rate = F.when(F.col(label) == F.lit(value), F.lit(int((1 << 40) * min(1.0, per_label / n)))).otherwise(rate)
+    return rows.where(F.col(label).isNotNull() & (draw < rate)).limit(2 * per_label * max(1, len(counts)))
+
+
+def calibrate(margins: np.ndarray, positive: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of a logistic curve over margins (Newton's method, smoothed targets)."""
+    good, bad = int(positive.sum()), int((~positive).sum())
+    if not good or not bad:
+        return 0.0, 4.0 if good else -4.0
+    target = np.where(positive, (good + 1) / (good + 2), 1 / (bad + 2))
+    scale = max(float(np.abs(margins).max()), 1e-9)
+    x = np.stack([margins / scale, np.ones(len(margins))])
+    w = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+        hessian = (x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2)
+        w = w - np.linalg.solve(hessian, x @ (p - target) + 1e-3 * w * [1, 0])
+    return float(w[0] / scale), float(w[1])
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
