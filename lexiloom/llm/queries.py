@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import exact_dedup, language_id, secret_scan, sentence_pieces, source_mix
+from lexiloom.llm import exact_dedup, language_id, quality, secret_scan, sentence_pieces, source_mix
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_sentence_pieces": sentence_pieces.op3_sentence_pieces,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_source_mix": source_mix.op6_source_mix,
+    "op7_quality": quality.op7_quality,
     "op9_language_id": language_id.op9_language_id,
 }
 
