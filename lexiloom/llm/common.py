@@ -216,17 +216,19 @@ def remainder(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled_sample(rows: DataFrame, label: str, id_col: str, per_label: int) -> DataFrame:
+def labelled_sample(rows: DataFrame, label: str, id_col: str, per_label: int | dict) -> DataFrame:
     """About ``per_label`` rows of each label (never over twice that many), drawn by a hash of the id.
 
-    Rows with a null label are left out. Only the number of rows of each label reaches the driver.
+    ``per_label`` is a number, or one for each label. Rows with a null label are left out. Only the number of rows of
+    each label reaches the driver.
     """
     counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 40))
-    rate = F.lit(0)
+    rate, most = F.lit(0), 1
     for value, n in counts:
-        rate = F.when(F.col(label) == F.lit(value), F.lit(int((1 << 40) * min(1.0, per_label / n)))).otherwise(rate)
-    return rows.where(F.col(label).isNotNull() & (draw < rate)).limit(2 * per_label * max(1, len(counts)))
+        wanted = per_label.get(value, 0) if isinstance(per_label, dict) else per_label
+        rate, most = F.when(F.col(label) == F.lit(value), F.lit(int((1 << 40) * min(1.0, wanted / n)))).otherwise(rate), most + 2 * wanted
+    return rows.where(F.col(label).isNotNull() & (draw < rate)).limit(most)
 
 
 def calibrate(margins: np.ndarray, positive: np.ndarray, rounds: int = 50) -> tuple[float, float]:

@@ -45,8 +45,8 @@ def _counts(texts: list[bytes]) -> dict:
     keys, n = np.unique(doc.astype(np.int64) * BUCKETS + bucket, return_counts=True)
     cut = np.searchsorted(keys, np.arange(len(texts) + 1) * BUCKETS)
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        out["buckets"].append((keys[a:b] % BUCKETS).astype(np.int32))
-        out["counts"].append(n[a:b].astype(np.float32))
+        out["buckets"].append((keys[a:b] % BUCKETS).astype(np.int32).tobytes())
+        out["counts"].append(n[a:b].astype(np.float32).tobytes())
     return out
 
 
@@ -68,14 +68,14 @@ class LanguageModel:
 
 def fit(sample: DataFrame, label: str = "lang", text_col: str = "text", dim: int = 16, epochs: int = 6, rate: float = 2.0, reject: float = 0.001, seed: int = 7) -> LanguageModel | None:
     """Fit on ``sample`` (label, text); None if it has no rows. The n-gram counts are made by tasks."""
-    rows = map_texts(sample.select(label, text_col), _counts, "buckets array<int>, counts array<float>", text_col).collect()
-    rows = sorted((r for r in rows if len(r["buckets"])), key=lambda r: (r[label], len(r["buckets"]), r["buckets"][:64]))
+    rows = map_texts(sample.select(label, text_col), _counts, "buckets binary, counts binary", text_col).collect()
+    rows = sorted((r for r in rows if len(r["buckets"])), key=lambda r: (r[label], len(r["buckets"]), bytes(r["buckets"])))
     labels = sorted({r[label] for r in rows})
     if not labels:
         return None
     rng = np.random.RandomState(seed)
     order = rng.permutation(len(rows))
-    xs = [(np.array(rows[i]["buckets"]), np.array(rows[i]["counts"], float)) for i in order]
+    xs = [(np.frombuffer(rows[i]["buckets"], np.int32), np.frombuffer(rows[i]["counts"], np.float32).astype(float)) for i in order]
     ys = [labels.index(rows[i][label]) for i in order]
     embed = rng.uniform(-0.1, 0.1, (BUCKETS, dim))
     layer, offset = rng.uniform(-0.1, 0.1, (dim, len(labels))), np.zeros(len(labels))

@@ -57,7 +57,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _lists(texts: list[bytes]) -> dict:
     keys, _ = features(texts)
     cut = np.searchsorted(keys, np.arange(len(texts) + 1) * SPACE)
-    return {"features": [(keys[a:b] % SPACE).astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]}
+    return {"features": [(keys[a:b] % SPACE).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}
 
 
 def log_count_ratios(rows: list[np.ndarray], positive: np.ndarray, alpha: float = 1.0) -> np.ndarray:
@@ -116,10 +116,10 @@ def fit(sample: DataFrame, label: str, text_col: str = "text", cost: float = 0.1
 
     Documents are scaled to the length 1 of their indicator vector, so long ones do not dominate.
     """
-    rows = map_texts(sample.select(label, text_col), _lists, "features array<int>", text_col).collect()
-    rows = sorted(((int(r[label]), r["features"]) for r in rows), key=lambda r: (r[0], len(r[1]), r[1][:64]))
+    rows = map_texts(sample.select(label, text_col), _lists, "features binary", text_col).collect()
+    rows = sorted(((int(r[label]), r["features"]) for r in rows), key=lambda r: (r[0], len(r[1]), bytes(r[1])))
     order = np.random.RandomState(5).permutation(len(rows))
-    xs = [np.array(rows[i][1], np.int64) for i in order]
+    xs = [np.frombuffer(rows[i][1], np.int32).astype(np.int64) for i in order]
     y = np.array([rows[i][0] == 1 for i in order], bool)
     if not len(y) or y.all() or not y.any():
         slope, offset = calibrate(np.zeros(len(y)), y)

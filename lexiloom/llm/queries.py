@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import exact_dedup, language_id, quality, secret_scan, sentence_pieces, source_mix
+from lexiloom.llm import exact_dedup, language_id, quality, secret_scan, sentence_pieces, source_mix, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_quality": quality.op7_quality,
     "op9_language_id": language_id.op9_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
