@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import labelled_sample, logistic, map_texts, prefix_hash, range_hash, remainder, table
 
-BITS = 20
+BITS = 22
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[ord("A") : ord("Z") + 1] = IS_LETTER[ord("a") : ord("z") + 1] = IS_LETTER[128:] = True
 IS_LETTER[ord("0") : ord("9") + 1] = True
@@ -123,11 +123,11 @@ def without_copies(units: list[np.ndarray], places: int = 8, alike: int = 3) ->
     return kept
 
 
-def marks_of(units: list[np.ndarray], toxic: np.ndarray, share: float = 0.008, odds: float = 20.0, least: int = 4) -> np.ndarray:
+def marks_of(units: list[np.ndarray], toxic: np.ndarray, share: float = 0.02, odds: float = 40.0, least: int = 4) -> np.ndarray:
     """Whether each hashed feature is a mark; ``units`` holds the distinct features of each document."""
     size = 1 << BITS
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    bad, good = np.zeros(size), np.zeros(size)
+    bad, good = np.zeros(size, np.int32), np.zeros(size, np.int32)
     for u, t in zip(units, toxic, strict=True):
         (bad if t else good)[u] += 1
     return (bad >= max(least, share * n_bad)) & (bad / n_bad >= odds * (good + 0.5) / n_good)
@@ -147,7 +147,7 @@ def fit(sample: DataFrame, label: str, text_col: str = "text", epochs: int = 6,
     order = np.random.RandomState(seed).permutation(len(rows))
     features = [np.frombuffer(rows[i]["features"], np.int32).reshape(ROWS, -1) for i in order]
     toxic = np.array([rows[i][label] == 1 for i in order], bool)
-    model = SpanModel(np.zeros(1 << BITS), -6.0, np.zeros((2, 2)))
+    model = SpanModel(np.zeros(1 << BITS, np.float32), -6.0, np.zeros((2, 2)))
     if not toxic.any() or toxic.all():
         model.curve = np.array([0.0, 0.0, 4.0 if toxic.any() else -4.0])
         return model
@@ -156,9 +156,11 @@ def fit(sample: DataFrame, label: str, text_col: str = "text", epochs: int = 6,
     mark = marks_of([units[i] for i in single], toxic[single])
     gold = [mark[f].any(0) & t for f, t in zip(features, toxic, strict=True)]
     fold = [i for i in single if i % 4]
+    fold.sort(key=lambda i: features[i].shape[1])  # documents of a batch are about as long, so few batches take many steps
+    batches = [fold[a : a + batch] for a in range(0, len(fold), batch)]
+    rng = np.random.RandomState(seed)
     for epoch in range(epochs):
-        for a in range(0, len(fold), batch):
-            own = fold[a : a + batch]
+        for own in (batches[k] for k in rng.permutation(len(batches))):
             length = np.array([features[i].shape[1] for i in own])
             first = np.concatenate([[0], np.cumsum(length)[:-1]])
             x, y = np.concatenate([features[i] for i in own], 1), np.concatenate([gold[i] for i in own]).astype(float)
@@ -176,16 +178,14 @@ def fit(sample: DataFrame, label: str, text_col: str = "text", epochs: int = 6,
             step = rate * (1 - epoch / epochs)
             model.transitions = t + 0.1 * step * (np.bincount(pair, minlength=4) - joint.sum(1)).reshape(2, 2) / len(own)
             model.bias += 0.1 * step * error.sum() / len(own)
-            for row in x:
-                model.weights += np.bincount(row, error * step, minlength=1 << BITS)
-            np.clip(model.weights, -20, 20, out=model.weights)
-    evidence = []
-    for f in features:
-        alone = Tokens([])
-        alone.features, alone.first, alone.length, alone.doc = f, np.array([0]), np.array([f.shape[1]]), np.zeros(f.shape[1], int)
-        evidence.append(model.evidence(alone, model.marginals(alone))[0])
-    kept = np.arange(len(evidence)) % 4 == 0  # not in the fit
-    x, y = np.array(evidence)[kept], toxic[kept].astype(float)
+            np.add.at(model.weights, x, np.broadcast_to((error * step).astype(np.float32), x.shape))
+    kept = [i for i in single if i % 4 == 0]  # not in the fit
+    tokens = Tokens([])
+    tokens.features = np.concatenate([features[i] for i in kept], 1)
+    tokens.length = np.array([features[i].shape[1] for i in kept])
+    tokens.first = np.concatenate([[0], np.cumsum(tokens.length)[:-1]])
+    tokens.doc = np.repeat(np.arange(len(kept)), tokens.length)
+    x, y = model.evidence(tokens, model.marginals(tokens)), toxic[kept].astype(float)
     curve = np.zeros(3)
     for _ in range(50):  # Newton's method with a small ridge
         p = logistic(x @ curve)
