@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import exact_dedup, language_id, quality, secret_scan, sentence_pieces, source_mix, toxicity
+from lexiloom.llm import exact_dedup, jaccard_join, language_id, quality, secret_scan, sentence_pieces, source_mix, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_quality": quality.op7_quality,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_language_id": language_id.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
 }
@@ -18,4 +19,5 @@ ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_secret_scan": secret_scan.ORACLE_SQL,
     "op6_source_mix": source_mix.ORACLE_SQL,
+    "op8_jaccard_join": jaccard_join.ORACLE_SQL,
 }
