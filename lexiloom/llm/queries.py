@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import exact_dedup, jaccard_join, language_id, quality, secret_scan, sentence_pieces, source_mix, toxicity
+from lexiloom.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, quality, secret_scan, sentence_pieces, source_mix, toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_sentence_pieces": sentence_pieces.op3_sentence_pieces,
     "op5_secret_scan": secret_scan.op5_secret_scan,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_secret_scan": secret_scan.ORACLE_SQL,
     "op6_source_mix": source_mix.ORACLE_SQL,
