@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, quality, secret_scan, sentence_pieces, source_mix, toxicity
+from lexiloom.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, quality, secret_scan, sentence_pieces, source_mix, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_sentence_pieces": sentence_pieces.op3_sentence_pieces,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_quality": quality.op7_quality,
