@@ -4,5 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from lexiloom.plans import consistency_queries
+
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+for _module in (consistency_queries,):
+    for _name, (_query, _sql) in _module.ALL.items():
+        if _name in QUERIES:
+            raise ValueError(f"two queries are named {_name}")
+        QUERIES[_name] = _query
+        if _sql:
+            ORACLE_SQL[_name] = _sql
