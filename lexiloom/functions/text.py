@@ -18,13 +18,16 @@ INVISIBLE = r"[\x{00AD}\x{200B}-\x{200F}\x{2028}-\x{202F}\x{2060}\x{FEFF}]"
 LETTERS = r"\p{L}+"
 
 
-@F.pandas_udf("string")
-def nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode normal form C; Spark has no built-in for it."""
+def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in parts:
         yield texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def nfc(text: Column) -> Column:
+    """Unicode normal form C, in Arrow batches; Spark has no built-in for it."""
+    return F.pandas_udf(_nfc, "string")(text)
+
+
 def normalise_text(text: Column) -> Column:
     """NFC and no invisible characters. The Python step runs only on texts with combining or compatibility marks."""
     composed = F.when(text.rlike(r"[\p{M}\x{1100}-\x{11FF}]"), nfc(text)).otherwise(text)

@@ -93,7 +93,7 @@ DUCK = {
 NEEDS = {"corrections": ("tokens",)}
 
 
-def duck(names: str, body: str, **more: str) -> str:
+def duck(names: str, body: str, /, **more: str) -> str:
     """A DuckDB query with the named derived tables, then ``more``, as common table expressions before ``body``."""
     wanted: list[str] = []
     for name in names.split():
