@@ -36,7 +36,7 @@ def normalise_text(text: Column) -> Column:
 
 def base_form(word: Column, endings: tuple[str, ...] = LATIN_ENDINGS, least: int = 2) -> Column:
     """``word`` without one trailing ending, if at least ``least`` characters are left."""
-    return F.regexp_replace(word, f"^(.{{{least},}}?)({'|'.join(endings)})$", "$1")
+    return F.regexp_replace(word, f"^(.{{{least},}}?)({'|'.join(endings)})\\z", "$1")
 
 
 def has_final_consonant(char: Column) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,7 +48,7 @@ def corrections(docs: DataFrame) -> DataFrame:
     k = (F.col("doc_id") + F.col("idx") / 20).cast("long") % 9
     s, cut = F.col("surface"), F.expr("concat(substring(surface, 1, 2), ' ', substring(surface, 3))")
     corrected = (
-        F.when(k == 0, s).when(k == 1, F.concat(s, F.lit("s"))).when(k == 2, cut).when(k == 3, F.upper(s)).when(k == 4, F.expr("substring(surface, 1, length(surface) - 1)"))
+        F.when(k == 0, s).when(k == 1, F.concat(s, F.lit("s"))).when(k == 2, cut).when(k == 3, F.translate(s, LOWER, LOWER.upper())).when(k == 4, F.expr("substring(surface, 1, length(surface) - 1)"))
         .when(k == 5, F.concat(s, F.lit("\n"))).when(k == 6, F.reverse(s)).when(k == 7, F.lit("")).otherwise(F.concat(s, F.lit(", "), s))
     )
     m = F.col("idx") / 20 % 4
@@ -78,7 +81,7 @@ DUCK = {
   CASE WHEN length(word) % 5 = 0 THEN 'dialect' ELSE '' END AS register, CASE WHEN length(word) % 2 = 0 THEN 'stdict' ELSE 'opendict' END AS source
   FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(t), '\p{L}+')) AS word FROM (SELECT text AS t FROM benchmark UNION ALL SELECT p_name FROM part))""",
     "corrections": r"""SELECT doc_id, idx AS seq, surface AS original,
-  CASE k WHEN 0 THEN surface WHEN 1 THEN surface || 's' WHEN 2 THEN surface[1:2] || ' ' || surface[3:] WHEN 3 THEN upper(surface) WHEN 4 THEN surface[1:length(surface) - 1]
+  CASE k WHEN 0 THEN surface WHEN 1 THEN surface || 's' WHEN 2 THEN surface[1:2] || ' ' || surface[3:] WHEN 3 THEN translate(surface, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 4 THEN surface[1:length(surface) - 1]
          WHEN 5 THEN surface || chr(10) WHEN 6 THEN reverse(surface) WHEN 7 THEN '' ELSE surface || ', ' || surface END AS corrected,
   CASE k WHEN 3 THEN 'likely a convention' WHEN 6 THEN 'depends on context' ELSE 'spelling' END AS reason,
   ['ai_typo', 'ai_polish', 'dict', 'rule'][(idx // 20) % 4 + 1] AS source,
