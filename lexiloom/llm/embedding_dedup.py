@@ -5,7 +5,7 @@
    one shard in numpy and writes it as one row of bounded size. Points enter a layer in batches: each is searched in
    the graph so far and compared with its batch, and keeps neighbours that are nearer to it than to one another.
 3. Every pair of shards of a label is one task: the vectors of each shard are queries against the graph of the other.
-   Beams start at ``beam`` and are doubled until an audit, a brute-force search for some queries, finds no link
+   Beams start at ``beam`` and are widened until an audit, a brute-force search for some queries, finds no link
    missing, and for each query until its beam holds something below the threshold.
 4. Cosines are computed again in double precision. A task returns its weighted link counts and a spanning forest of
    its links, not the pairs; components are then computed over all tasks' forests.
@@ -53,10 +53,14 @@ class Layer:
         self.links = np.full((len(unit), 2 * most), -1, np.int32)
         self.used = np.zeros(len(unit), np.int32)
 
-    def search(self, queries: np.ndarray, entry: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """The ``beam`` nearest points found for each query, best first; all queries advance in step."""
+    def search(self, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``beam`` nearest points found for each query, best first.
+
+        All queries advance in step; a step expands the best open points of each beam, more of them in a wide one.
+        """
         rows, n = len(queries), len(self.unit)
         beam = min(beam, n)
+        wide = max(4, beam // 12)
         seen = np.zeros((rows, n + 1), bool)
         ids = np.full((rows, beam), n, np.int32)
         sims = np.full((rows, beam), -2.0, np.float32)
@@ -160,14 +164,8 @@ class Hierarchy:
             entry = layer.search(queries, entry, 2)[0][:, 0]
         return entry
 
-    def links(self, queries: np.ndarray, least: float, beam: int, audit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) with a cosine of at least ``least`` in double precision; ``queries`` are as given."""
-        raw = queries.astype(np.float64)
-        norm = np.linalg.norm(raw, axis=1)
-        unit = (raw / norm[:, None]).astype(np.float32)
-        own = self.vectors.astype(np.float64)
-        own_norm = np.linalg.norm(own, axis=1)
-        slack = np.float32(least - 1e-4)
+    def near(self, unit: np.ndarray, slack: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) with a similarity of at least ``slack``; a full beam is widened until something is below."""
         bottom, n = self.layers[-1], len(self.ids)
 
         def found(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,29 +179,44 @@ class Hierarchy:
                 a.append(some[r])
                 b.append(ids[r, c])
                 if full.any():
-                    x, y = found(some[full], 2 * width)
+                    x, y = found(some[full], 8 * width)
                     a.append(x)
                     b.append(y)
             return np.concatenate(a or [np.zeros(0, int)]), np.concatenate(b or [np.zeros(0, int)])
 
-        def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            good = np.zeros(len(a), bool)
-            for k in range(0, len(a), 1 << 16):
-                x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                good[k : k + (1 << 16)] = np.einsum("kd,kd->k", raw[x], own[y]) / (norm[x] * own_norm[y]) >= least
-            return good
-
-        step = max(1, len(queries) // audit)
-        probe = np.arange(0, len(queries), step)
-        x, y = np.nonzero(unit[probe] @ self.unit.T >= slack)
-        truth = np.sort(probe[x] * n + y)
-        while True:
-            a, b = found(np.arange(len(queries)), beam)
-            if beam >= n or np.isin(truth, a * n + b).all():
-                break
-            beam *= 2
-        good = exact(a, b)
-        return a[good], b[good]
+        return found(np.arange(len(unit)), beam)
+
+
+def linked_pairs(g: Hierarchy, h: Hierarchy, least: float, beam: int, audit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(point of g, point of h) with a cosine of at least ``least`` in double precision.
+
+    Each side's points are queries against the other's graph, and a pair counts if either search finds it. The audit
+    compares ``audit`` points of h with all of g; while a pair of theirs is missing, beams are doubled.
+    """
+    slack = np.float32(least - 1e-4)
+    probe = np.arange(0, len(h.ids), max(1, len(h.ids) // audit))
+    y, x = np.nonzero(h.unit[probe] @ g.unit.T >= slack)
+    truth = x * len(h.ids) + probe[y]
+    while True:
+        y, x = g.near(h.unit, slack, beam)
+        keys = x.astype(np.int64) * len(h.ids) + y
+        if g is h:
+            keys = np.concatenate([keys, y.astype(np.int64) * len(h.ids) + x])
+        else:
+            x, y = h.near(g.unit, slack, beam)
+            keys = np.concatenate([keys, x.astype(np.int64) * len(h.ids) + y])
+        keys = np.unique(keys)
+        if beam >= max(len(g.ids), len(h.ids)) or np.isin(truth, keys).all():
+            break
+        beam *= 2
+    a, b = keys // len(h.ids), keys % len(h.ids)
+    left, right = g.vectors.astype(np.float64), h.vectors.astype(np.float64)
+    left_norm, right_norm = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
+    good = np.zeros(len(a), bool)
+    for k in range(0, len(a), 1 << 16):
+        p, q = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+        good[k : k + (1 << 16)] = np.einsum("kd,kd->k", left[p], right[q]) / (left_norm[p] * right_norm[q]) >= least
+    return a[good], b[good]
 
 
 def _pair_task(least: float, beam: int, audit: int):
@@ -214,13 +227,10 @@ def _pair_task(least: float, beam: int, audit: int):
             for lo, hi, left, right in zip(frame["lo"], frame["hi"], frame["left"], frame["right"], strict=True):
                 g, h = pickle.loads(left), pickle.loads(right) if lo != hi else None
                 n = len(g.ids)
-                if h is None:
-                    a, b = g.links(g.vectors, least, beam, audit)
-                    ids, weight = g.ids, g.weight
-                else:
-                    q, p = g.links(h.vectors, least, beam, audit)
-                    x, y = h.links(g.vectors, least, beam, audit)
-                    a, b = np.concatenate([p, x]), np.concatenate([q + n, y + n])
+                a, b = linked_pairs(g, h or g, least, beam, audit)
+                ids, weight = g.ids, g.weight
+                if h is not None:
+                    b = b + n
                     ids, weight = np.concatenate([g.ids, h.ids]), np.concatenate([g.weight, h.weight])
                 a, b = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
                 key = np.unique((a * len(ids) + b)[a != b])
