@@ -105,12 +105,12 @@ class SpanModel:
         return logistic(self.evidence(tokens, marginal) @ self.curve)
 
 
-def without_copies(units: list[np.ndarray], places: int = 8, alike: int = 3) -> list[int]:
+def without_copies(words: list[np.ndarray], places: int = 8, alike: int = 5) -> list[int]:
     """Indexes of documents of which no earlier kept one shares ``alike`` of ``places`` minimum hashes."""
     seen: dict[tuple[int, int], list[int]] = {}
     kept = []
-    for i, u in enumerate(units):
-        x = u.astype(np.uint64)
+    for i, w in enumerate(words):
+        x = w.astype(np.uint64)
         marks = [(k, int(((x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF) >> np.uint64(20)).min())) for k in range(places)]
         votes: dict[int, int] = {}
         for m in marks:
@@ -152,7 +152,7 @@ def fit(sample: DataFrame, label: str, text_col: str = "text", epochs: int = 6,
         model.curve = np.array([0.0, 0.0, 4.0 if toxic.any() else -4.0])
         return model
     units = [np.unique(f) for f in features]
-    single = without_copies(units)
+    single = without_copies([np.unique(f[0]) for f in features])
     mark = marks_of([units[i] for i in single], toxic[single])
     gold = [mark[f].any(0) & t for f, t in zip(features, toxic, strict=True)]
     fold = [i for i in single if i % 4]
