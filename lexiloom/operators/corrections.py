@@ -111,7 +111,7 @@ def occurrence_index(corrections: DataFrame, docs: DataFrame) -> DataFrame:
     return each.withColumn("pos", pos.cast("long")).select("doc_id", "seq", "original", "status", "occ", "pos", (F.col("pos") + F.length("original")).alias("end"), "total")
 
 
-def overlap_resolve(occurrences: DataFrame, block: int = 64) -> DataFrame:
+def interval_containment(occurrences: DataFrame, block: int = 64) -> DataFrame:
     """Occurrences that lie inside a longer one of their document, with the outermost (longest, then first).
 
     Both sides are put into position blocks, so only spans near one another are compared.

@@ -92,8 +92,8 @@ ALL = {
         duck(C, "SELECT doc_id, id, to_json(struct_pack(id := id, original := original, corrected := corrected, confidence := confidence, status := 'pending'))::VARCHAR AS record FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS id FROM corrections)"),
     ),
     "occurrence_index": (_occ, duck(C, OCC)),
-    "overlap_resolve": (
-        lambda s, d: op.overlap_resolve(_occ(s, d)),
+    "interval_containment": (
+        lambda s, d: op.interval_containment(_occ(s, d)),
         duck(C, """SELECT i.doc_id, i.pos, i."end", arg_max(o.pos, (o."end" - o.pos) * 10000000 - o.pos) AS o_pos, arg_max(o."end", (o."end" - o.pos) * 10000000 - o.pos) AS o_end FROM k i JOIN k o
             ON i.doc_id = o.doc_id AND o.pos <= i.pos AND i."end" <= o."end" AND o."end" - o.pos > i."end" - i.pos GROUP BY ALL""", k=f'SELECT DISTINCT doc_id, pos, "end" FROM ({OCC}) WHERE pos IS NOT NULL'),
     ),
