@@ -14,9 +14,10 @@ Frequency classes come from exact document counts of all tokens (by the high hal
 token to another class, the same for all documents). Sets that are equal are one node: of the largest such groups
 (a bounded list, which is broadcast) only one member is indexed.
 
-Each index list is a star around its smallest id: members are verified against the centre, not with one another.
-Components of the verified links are computed; only a member that neither is linked with its centre nor came into its
-component by other ways is verified against the other members. Every linked pair is thus in one component.
+Of the smallest ids of its lists, each document is first compared with the one it meets in most lists: one pair a
+document. Components of the links found leave few lists whose members are in different components; only there, pairs of
+different components are compared, after class counts, an upper bound of the overlap, have ruled out nearly all. A long
+list is compared in blocks. Every linked pair is thus in one component, and copies are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ WORDS = 5
 LEAST = 80
 #: Bounds of what is broadcast: frequent tokens, groups of equal sets, ids of candidates.
 MOST_TOKENS, MOST_GROUPS, MOST_IDS = 1_000_000, 100_000, 1_000_000
+#: Members of a list that are compared with one another in one task.
+BLOCK = 1024
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -48,10 +51,10 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
         if b - a >= WORDS:
             out.append(np.unique(h[a : b - WORDS + 1]))
         elif b > a:
-            x = word[a]
+            x = word[a : a + 1].copy()
             for k in range(a + 1, b):
                 x = x * BASE + word[k]
-            out.append(mix(np.array([x + np.uint64(b - a)])))
+            out.append(mix(x + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -78,7 +81,7 @@ def _packed(df: DataFrame, emit, schema: str) -> DataFrame:
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for first, last in chunks_of(texts, 1 << 22):
+            for first, last in chunks_of(texts, 1 << 20):
                 rows = list(emit(ids[first:last].astype(np.int64), shingle_sets(texts[first:last])))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -128,7 +131,7 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def candidate_lists(docs: DataFrame, buckets: int, frequent: np.ndarray, skip: dict[tuple[int, int, int], int]) -> DataFrame:
-    """(centre, other, n_centre, n_other) stars and, with ``members``, whole lists of three or more."""
+    """For each document of a bucket its best star (centre, other, votes) and, with ``members``, the different lists."""
 
     def emit(ids, sets):
         keys, docs_, sizes = [], [], []
@@ -161,25 +164,75 @@ def candidate_lists(docs: DataFrame, buckets: int, frequent: np.ndarray, skip: d
         head = np.concatenate([[True], k[1:] != k[:-1]])
         start = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
         other = np.flatnonzero(d != d[start])
-        stars = pd.DataFrame({"centre": d[start[other]], "other": d[other], "n_centre": n[start[other]], "n_other": n[other], "members": None})
-        stars = stars.drop_duplicates(["centre", "other"])
+        stars = pd.DataFrame({"centre": d[start[other]], "other": d[other], "n_centre": n[start[other]], "n_other": n[other]})
+        near = 100 * np.minimum(stars["n_centre"], stars["n_other"]) >= LEAST * np.maximum(stars["n_centre"], stars["n_other"])
+        stars = stars[near].groupby(["centre", "other"], as_index=False).size().rename(columns={"size": "votes"})
+        stars = stars.sort_values(["other", "votes", "centre"], ascending=[True, False, True]).drop_duplicates("other")
+        stars["members"] = None
         edge = np.append(np.flatnonzero(head), len(k))
         seen, rows = set(), []
-        for i in np.flatnonzero(np.diff(edge) > 2):
+        for i in np.flatnonzero(np.diff(edge) > 1):
             members = np.unique(d[edge[i] : edge[i + 1]])
-            if len(members) > 2 and (name := members.tobytes()) not in seen:
+            if len(members) > 1 and (name := members.tobytes()) not in seen:
                 seen.add(name)
-                rows.append({"centre": members[0], "other": None, "n_centre": 0, "n_other": 0, "members": members[1:]})
+                rows.append({"centre": None, "other": None, "votes": 0, "members": members})
         return pd.concat([stars, pd.DataFrame(rows)]) if rows else stars
 
     packed = _packed(docs, emit, "bucket int, tokens binary, docs binary, sizes binary")
-    return packed.groupBy("bucket").applyInPandas(lists, "centre long, other long, n_centre int, n_other int, members array<long>")
+    return packed.groupBy("bucket").applyInPandas(lists, "centre long, other long, votes long, members array<long>")
 
 
 def _prints(sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
     return [(len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int((np.bitwise_xor.reduce(mix(s * BASE)) if len(s) else np.uint64(0)).view(np.int64))) for s in sets]
 
 
+def _sign(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each of 128 classes of their hash."""
+    return np.bincount((tokens & np.uint64(127)).astype(np.int64), minlength=128).astype(np.uint32).tobytes()
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose class counts allow the least overlap.
+
+    Two sets share at most the lesser count of each class, so no linked pair is lost; nearly all others go here, at 512
+    bytes a document instead of its set.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, 128).astype(np.int64) for c in ("sign_a", "sign_b"))
+            most = np.minimum(x, y).sum(1)
+            good = 100 * most >= LEAST * (x.sum(1) + y.sum(1) - most)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("sign").alias("sign_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("sign").alias("sign_a")), "a")
+    return both.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
+
+
+def _across(pdf):
+    """Pairs of members of one block of a list that are in different components and near enough in size, each once."""
+    import pandas as pd
+
+    pdf = pdf.sort_values(["list", "size", "i", "j", "doc_id"]).drop_duplicates(["list", "size", "i", "j", "doc_id"])
+    names = pdf[["list", "size", "i", "j"]].to_numpy(np.int64)
+    ids, comp, n = (pdf[c].to_numpy(np.int64) for c in ("doc_id", "component", "n_shingles"))
+    edge = np.append(np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(1)])), len(ids))
+    out, held = [np.zeros((0, 2), np.int64)], 0
+    for first, last in zip(edge[:-1], edge[1:], strict=True):
+        for k in range(first, last - 1):
+            rest = np.arange(k + 1, last)
+            good = (comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= LEAST * np.maximum(n[rest], n[k]))
+            if good.any():
+                rest = rest[good]
+                out.append(np.stack([np.full(len(rest), ids[k]), ids[rest]], 1))
+                held += len(rest)
+                if held > 1 << 20:
+                    out, held = [np.unique(np.concatenate(out), axis=0)], 0
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``linked``, by the whole sets of both."""
     import pyarrow as pa
@@ -187,8 +240,8 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):  # no copy of the sets
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(q, p), max(0, len(q) - 1))
                 common = int((q[at] == p).sum()) if len(q) else 0
                 linked.append(100 * common >= LEAST * (len(p) + len(q) - common))
@@ -198,7 +251,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 32) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id.
 
     Null or empty texts have an empty set and are their own component. Rows that repeat an id are one document, linked
@@ -207,7 +260,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = written(map_texts(docs, _fingerprints, "n_shingles long, print_a long, print_b long"), "shingle-prints")
+    marks = written(map_texts(docs, _fingerprints, "n_shingles long, print_a long, print_b long", limit=1 << 20), "shingle-prints")
     known = docs.where("doc_id is not null")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() // 5000)
 
@@ -218,29 +271,37 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = marks.join(groups.drop("rows"), prints).where("doc_id <> first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
 
     found = written(candidate_lists(known, buckets, frequent_tokens(known, buckets, rare), skip), "index-lists")
-    stars = found.where("other is not null").groupBy(F.col("centre").alias("a"), F.col("other").alias("b")).agg(F.bool_or(F.expr(f"100 * least(n_centre, n_other) >= {LEAST} * greatest(n_centre, n_other)")).alias("near"))
-    stars = written(stars, "stars")
+    votes = found.where("other is not null").groupBy(F.col("centre").alias("a"), F.col("other").alias("b")).agg(F.sum("votes").alias("votes"))
+    best = written(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")), "stars")
+    lists = found.where("other is null").select(F.xxhash64("members").alias("list"), F.size("members").alias("size"), "members").dropDuplicates(["list", "size"])
 
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = found.select(F.explode(F.coalesce("members", F.array("centre", "other"))).alias("doc_id")).distinct()
     wanted = written(wanted, "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
-    pack = lambda texts: {"tokens": [s.tobytes() for s in shingle_sets(texts)]}
-    sets = map_texts(known.join(wanted, "doc_id", "left_semi"), pack, "tokens binary").where("length(tokens) > 0")
+    def pack(texts: list[bytes]) -> dict:
+        found_ = shingle_sets(texts)
+        return {"tokens": [x.tobytes() for x in found_], "sign": [_sign(x) for x in found_]}
+
+    sets = map_texts(known.join(wanted, "doc_id", "left_semi"), pack, "tokens binary, sign binary", limit=1 << 20).where("length(tokens) > 0")
     sets = written(sets, "shingle-sets")
 
-    checked = written(_verify(stars.where("near").select("a", "b"), sets), "checked")
-    links = checked.where("linked").select("a", "b").unionByName(copies)
-    first = written(components(links), "first-components")
-
-    comp = lambda name: first.select(F.col("id").alias(name), F.col("component").alias(f"of_{name}"))
-    apart = lambda df: df.join(comp("a"), "a", "left").join(comp("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-    open_ = apart(stars.join(checked.where("linked"), ["a", "b"], "left_anti").select("a", "b"))
-    lists = found.where("other is null").select(F.col("centre").alias("a"), "members")
-    more = lists.join(open_, "a").where("array_contains(members, b)").select("b", F.explode("members").alias("x")).where("b <> x").select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
-    more = apart(more.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    late = written(_verify(more, sets).where("linked").select("a", "b"), "late-links")
-    final = components(first.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late))
-    forget(found, stars, sets, checked)
+    first = written(_verify(_plausible(best.select("a", "b"), sets), sets), "first-checks")
+    comps = written(components(first.where("linked").select("a", "b").unionByName(copies)), "components")
+
+    entries = lists.select("list", "size", F.explode("members").alias("doc_id"))
+    entries = entries.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    entries = written(entries, "entries")
+    mixed = entries.groupBy("list", "size").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list", "size")
+    sizes = marks.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    rows = entries.join(mixed, ["list", "size"]).join(sizes, "doc_id")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("list", "size", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "doc_id", "component", "n_shingles")
+    slots = rows.withColumn("slot", F.pmod(F.xxhash64("list", "size", "i", "j"), F.lit(4 * buckets)))
+    late = slots.groupBy("slot").applyInPandas(_across, "a long, b long").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = written(_verify(_plausible(late, sets), sets).where("linked").select("a", "b"), "second-checks")
+    final = components(comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second))
+    forget(found, best, sets, first, entries, second)
 
     return marks.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
