@@ -92,9 +92,14 @@ class PieceModel:
         self.map = CharacterMap(spec.get(2, b""))
         self.dummy, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
         self.is_byte = np.array([kind == BYTE_PIECE for _, kind in pieces])
-        self.piece_bytes = np.array([1 if kind == BYTE_PIECE else len(p.encode()) for p, kind in pieces])
+        self.surface = [self._bytes(p, kind == BYTE_PIECE) for p, kind in pieces]
+        self.piece_bytes = np.array(list(map(len, self.surface)))
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
 
+    @staticmethod
+    def _bytes(piece: str, is_byte: bool) -> bytes:
+        return bytes([int(piece[3:5], 16)]) if is_byte else piece.encode()
+
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them (and the end) its place in ``text``."""
         space, mark = b" ", MARK.encode()
@@ -150,15 +155,18 @@ class PieceModel:
         """The ids of each text, as the library merges them."""
         return self.library.encode(texts, num_threads=1)
 
-    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """First and last (exclusive) byte of the text that each id stands for."""
+    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray, bool]:
+        """First and last (exclusive) byte of the text that each id stands for, and whether the pieces spell the normalised text."""
         normal, origin = self.normalise(text.encode())
+        spelt = b"".join([self.surface[i] for i in ids])
         sizes = self.piece_bytes[ids] if ids else np.zeros(0, int)
-        if sizes.sum() != len(normal):  # unknown pieces take what the library says they cover
-            proto = self.library.encode(text, out_type="immutable_proto")
-            sizes = np.array([1 if self.is_byte[p.id] else len(p.piece.encode()) for p in proto.pieces], int)
+        if spelt != normal:  # unknown pieces take what the library says they cover
+            proto = self.library.encode(text, return_type="proto")
+            surface = [self._bytes(p.piece, bool(self.is_byte[p.id])) for p in proto.pieces]
+            spelt, sizes = b"".join(surface), np.array(list(map(len, surface)), int)
         ends = np.cumsum(sizes)
-        return origin[ends - sizes], origin[ends]
+        begins, ends = (np.minimum(x, len(normal)) for x in (ends - sizes, ends))
+        return origin[begins], origin[ends], spelt == normal
 
 
 _models: dict[bytes, PieceModel] = {}
@@ -178,23 +186,24 @@ def read_model(path: str) -> bytes:
 
 
 def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text and with ids, begins and ends, array<int> each (byte offsets, end exclusive).
+    """``docs`` without its text and with ids, begins and ends, array<int> each (byte offsets, end exclusive), and aligned.
 
+    ``aligned``: the library's pieces, put together, are the normalised text that the offsets are taken from.
     Null and empty texts give empty arrays. Rows are independent: repeated rows stay, nulls in other columns pass.
     Columns named like the new ones are replaced.
     """
 
     def run(texts: list[bytes]) -> dict:
         m = _model(model)
-        out: dict[str, list] = {"ids": [], "begins": [], "ends": []}
+        out: dict[str, list] = {"ids": [], "begins": [], "ends": [], "aligned": []}
         strings = [t.decode() for t in texts]
         for text, ids in zip(strings, m.encode(strings), strict=True):
-            begins, ends = m.spans(text, ids)
-            for name, value in (("ids", ids), ("begins", begins), ("ends", ends)):
+            begins, ends, aligned = m.spans(text, ids)
+            for name, value in (("ids", ids), ("begins", begins), ("ends", ends), ("aligned", aligned)):
                 out[name].append(value)
         return out
 
-    return map_texts(docs, run, "ids array<int>, begins array<int>, ends array<int>", text_col)
+    return map_texts(docs, run, "ids array<int>, begins array<int>, ends array<int>, aligned boolean", text_col, 1 << 20)
 
 
 def decode_documents(encoded: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
@@ -204,7 +213,7 @@ def decode_documents(encoded: DataFrame, model: bytes, ids_col: str = "ids") ->
         import pyarrow as pa
 
         m = _model(model)
-        for batch in batches:
+        for batch in (b.slice(first, 256) for b in batches for first in range(0, b.num_rows, 256)):
             texts = m.library.decode([x or [] for x in batch.column(ids_col).to_pylist()], num_threads=1)
             columns = {f: batch.column(f) for f in batch.schema.names if f != "text"} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -214,16 +223,16 @@ def decode_documents(encoded: DataFrame, model: bytes, ids_col: str = "ids") ->
 
 
 def digest_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text and with n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass."""
+    """``docs`` without its text and with n_tokens, aligned and the digests of ids, spans and decoded text.
 
-    def run(texts: list[bytes]) -> dict:
-        m = _model(model)
-        encoded = m.encode([t.decode() for t in texts])
-        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
-        decoded = m.library.decode(encoded, num_threads=1)
-        return {"n_tokens": list(map(len, encoded)), "ids_sha256": [sha(",".join(map(str, ids))) for ids in encoded], "decoded_sha256": [sha(t) for t in decoded]}
-
-    return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", text_col, 1 << 20)
+    ids_sha256 is of the ids joined by commas, spans_sha256 of ``begins;ends`` joined likewise, decoded_sha256 of the
+    text that the ids give back. All are made from what ``encode_documents`` and ``decode_documents`` return.
+    """
+    joined = lambda name: F.array_join(F.col(name).cast("array<string>"), ",")
+    spans = F.sha2(F.concat(joined("begins"), F.lit(";"), joined("ends")), 256)
+    added = {"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(joined("ids"), 256), "spans_sha256": spans}
+    encoded = encode_documents(docs, model, text_col).withColumns(added).drop("begins", "ends")
+    return decode_documents(encoded, model).withColumn("decoded_sha256", F.sha2("text", 256)).drop("ids", "text")
 
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

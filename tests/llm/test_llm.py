@@ -217,6 +217,22 @@ def test_pieces_match_the_library(docs, none):
     assert sentence_pieces.digest_documents(none, model).count() == 0
 
 
+def test_digests_come_from_ids_spans_and_decoding(spark, sf):
+    """op3 on a whole table: offsets are in the result and are those of the library, every row aligned."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = {}
+    for doc_id, text in common.table(spark, sf, "documents").select("doc_id", "text").collect():
+        text, proto = text or "", sp.encode(text or "", return_type="proto")
+        spans = []
+        for p in proto.pieces:  # the library gives a letter's bytes to the last of its byte pieces; here each has its own
+            spans.append((spans[-1][1], spans[-1][1] + 1) if spans and sp.is_byte(p.id) else (p.begin, 1 if sp.is_byte(p.id) else p.end))
+        joined = ";".join(",".join(map(str, side)) for side in (zip(*spans, strict=True) if spans else ("", "")))
+        want[doc_id] = (len(proto.pieces), sha(",".join(str(p.id) for p in proto.pieces)), sha(joined), sha(text), True)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.spans_sha256, r.decoded_sha256, r.aligned) for r in sentence_pieces.op3_sentence_pieces(spark, sf).collect()}
+    assert got == want
+
+
 def test_character_map_takes_the_longest_prefix():
     """A double array of the keys a -> X, ab -> YY, built by hand."""
     units = [0] * 1024
