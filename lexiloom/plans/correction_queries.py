@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom.operators import corrections as op
-from lexiloom.plans.consistency_queries import _docs
-from lexiloom.sources.tables import corrections, duck, lexicon
+from lexiloom.operators.consistency import compound_majority, spacing_variants
+from lexiloom.plans.consistency_queries import _docs, _tokens
+from lexiloom.sources.tables import corrections, duck, lexicon, variant_corrections
 
 
 def _c(s, d):
     return corrections(_docs(s, d))
 
 
+def _whole(s, d):
+    pairs = spacing_variants(_tokens(s, d), parts=2)  # forms of more parts have no say in the majority
+    return variant_corrections(_docs(s, d), compound_majority(pairs, lexicon(s, d)))
+
+
 def _occ(s, d):
     return op.occurrence_index(_c(s, d), _docs(s, d))
 
@@ -136,4 +142,6 @@ ALL = {
         duck(C, """SELECT doc_id, count(*) FILTER (outcome = 'applied') AS applied, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'todo') AS todo, count(*) FILTER (outcome = 'rejected') AS rejected,
             count(*) FILTER (outcome = 'review') AS review, coalesce(array_to_string(list_sort(list(original) FILTER (outcome = 'failed'))[1:5], ','), '') AS failures FROM e GROUP BY doc_id""", e=ERRATA),
     ),
+    "guard_chain_whole": (lambda s, d: op.guard_chain(_whole(s, d)), None),
+    "guard_counts_whole": (lambda s, d: op.guard_counts(_whole(s, d)), None),
 }

@@ -65,6 +65,44 @@ def corrections(docs: DataFrame) -> DataFrame:
     )
 
 
+#: original, corrected, source: a correction for each guard, and others that none drops.
+GUARD_CASES = [
+    ("reading room", "reading", "ai_typo"), ("left (open", "left (open)", "ai_typo"), ("한글", "한글(hangul)", "ai_typo"), ("a sentence that goes", "none", "ai_typo"), ("page 12", "page 13", "ai_polish"),
+    ("seoul", "서울", "ai_polish"), ("well-known", "well known", "ai_polish"), ("2001–2002", "2001·2002", "ai_polish"), ("ratio 3:4", "ratio 3·4", "ai_polish"), ("notebook", "note book", "ai_typo"),
+    ("note book", "notebook", "ai_polish"), ("red, green", "red green", "ai_polish"), ("nato", "NATO", "ai_polish"), ("form", "from", "ai_typo"), ("recieve", "receive it", "ai_typo"), ("colour", "color", "ai_polish"),
+]
+
+
+def variant_corrections(docs: DataFrame, proposals: DataFrame) -> DataFrame:
+    """A correction for every place of every document that has a minority form of ``proposals``, and ``GUARD_CASES`` for each document.
+
+    Columns as of ``corrections``; the corrected form keeps the letters as written. ``seq`` is 2 * idx, one more for
+    two runs, and below 0 for the cases.
+    """
+    spark = docs.sparkSession
+    runs, gaps = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), F.split("text", r"\p{L}+", -1)
+    many = F.greatest(F.size(runs), F.lit(1))
+    each = F.arrays_zip(runs.alias("surface"), F.slice(runs, 2, many).alias("next"), F.slice(gaps, 2, many).alias("between"))
+    pair = docs.select("doc_id", F.posexplode(each).alias("idx", "t")).select("doc_id", "idx", "t.*").where("surface is not null")
+    one, two = F.struct(F.lit(0).alias("k"), F.col("surface").alias("o")), F.struct(F.lit(1).alias("k"), F.when(F.col("between") == " ", F.concat_ws(" ", "surface", "next")).alias("o"))
+    forms = pair.select("doc_id", "idx", F.explode(F.array(one, two)).alias("f")).where("f.o is not null").select("doc_id", (2 * F.col("idx") + F.col("f.k")).cast("long").alias("seq"), F.col("f.o").alias("original"))
+    met = forms.withColumn("minority", F.lower("original")).join(proposals.select("minority", "majority"), "minority")
+    at = F.instr("majority", " ")
+    spaced = F.concat(F.substring("original", F.lit(1), at - 1), F.lit(" "), F.substring("original", at, F.length("original")))
+    as_written = F.when(F.length("minority") != F.length("original"), F.col("majority")).when(at > 0, spaced).otherwise(F.replace("original", F.lit(" "), F.lit("")))
+    k = F.floor(F.col("seq") / 2)
+    source = F.when(k % 4 == 0, "ai_typo").when(k % 4 == 1, "ai_polish").when(k % 4 == 2, "dict").otherwise("rule")
+    variants = met.select("doc_id", "seq", "original", as_written.alias("corrected"), source.alias("source"), F.lit("spacing").alias("category"))
+    cases = spark.createDataFrame([(-1 - n, *case) for n, case in enumerate(GUARD_CASES)], "seq long, original string, corrected string, source string")
+    fixed = docs.select("doc_id").crossJoin(F.broadcast(cases)).withColumn("category", F.lit("spelling"))
+    seven = F.pmod("seq", F.lit(7))
+    return variants.unionByName(fixed).select(
+        "doc_id", "seq", "original", "corrected", F.lit("spelling").alias("reason"), "source", "category",
+        F.when(F.pmod(F.col("doc_id") + F.col("seq"), F.lit(3)) == 0, "low").otherwise("high").alias("confidence"),
+        F.when(seven == 0, "rejected").when(seven < 4, "accepted").otherwise("pending").alias("status"),
+    )
+
+
 def votes(events: DataFrame) -> DataFrame:
     """Reviewer decisions on terms: event_id, user_id, original, corrected, action, ts."""
     k = F.get_json_object("props", "$.k").cast("int")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import consistency, corrections, events, lexicon, rules
 from lexiloom.plans import registry
-from lexiloom.sources.tables import tokens
+from lexiloom.sources.tables import GUARD_CASES, tokens, variant_corrections
 
 
 def rows(df):
@@ -61,6 +61,20 @@ def test_guard_chain_both_ways(spark):
     assert got == {1: "latin_case", 2: "compound_join", 3: "syllable_reorder", 4: None, 5: "number_change"}
 
 
+def test_whole_corrections_take_every_place_and_fire_every_guard(spark, docs):
+    proposals = consistency.compound_majority(consistency.spacing_variants(tokens(docs)), spark.createDataFrame([], "word string"))
+    c = variant_corrections(docs, proposals)
+    assert rows(c.where("seq >= 0").select("doc_id", "seq", "original", "corrected")) == [(1, 12, "database", "data base"), (2, 1, "note book", "notebook")]
+    assert c.where("seq < 0").groupBy("doc_id").count().where(f"count = {len(GUARD_CASES)}").count() == 4
+    assert {r.guard for r in corrections.guard_counts(c).collect()} == {*corrections.guards(), "kept"}
+
+
+def test_whole_corrections_keep_letters_as_written(spark):
+    d = spark.createDataFrame([(5, "Data base x DATABASE"), (6, "data base. data  base"), (6, "Database")], "doc_id long, text string")
+    c = variant_corrections(d, spark.createDataFrame([("database", "data base")], "minority string, majority string"))
+    assert rows(c.where("seq >= 0").select("doc_id", "seq", "original", "corrected")) == [(5, 6, "DATABASE", "DATA BASE"), (6, 0, "Database", "Data base")]
+
+
 def test_occurrences(spark):
     d = spark.createDataFrame([(1, "aXa (b) aXaXa")], "doc_id long, text string")
     c = spark.createDataFrame([(1, "aXa", "q", 1, "accepted"), (1, "(b)", "r", 2, "accepted"), (1, "zz", "y", 3, "accepted")], "doc_id long, original string, corrected string, seq long, status string")
