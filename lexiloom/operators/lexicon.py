@@ -95,11 +95,16 @@ def house_vs_standard(house: DataFrame, standard: DataFrame) -> DataFrame:
     return both.withColumn("conflict", F.coalesce(F.col("norm") != F.col("standard_norm"), F.lit(False))).withColumn("used", F.coalesce("standard_norm", "norm"))
 
 
-def component_of_pair(words: DataFrame, pairs: DataFrame, low: int = 2, high: int = 14) -> DataFrame:
-    """Words that contain a pair key: all substrings meet the keys in an equi-join."""
+def component_of_pair(words: DataFrame, pairs: DataFrame, low: int = 2, high: int | None = None) -> DataFrame:
+    """Words that contain a pair key: all substrings meet the keys in an equi-join.
+
+    ``high`` is the length of the longest key unless given; one aggregate finds it.
+    """
+    if high is None:
+        high = pairs.agg(F.max(F.length("nonstd"))).first()[0] or 0
     w = words.select("word").distinct()
     starts = w.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
-    ends = starts.where(F.length("word") - F.col("i") + 1 >= low).select("word", "i", F.explode(F.sequence(F.lit(low), F.least(F.length("word") - F.col("i") + 1, F.lit(high)))).alias("n"))
+    ends = starts.where(F.least(F.length("word") - F.col("i") + 1, F.lit(high)) >= low).select("word", "i", F.explode(F.sequence(F.lit(low), F.least(F.length("word") - F.col("i") + 1, F.lit(high)))).alias("n"))
     parts = ends.select("word", F.expr("substring(word, i, n)").alias("nonstd"))
     return parts.join(pairs.select("nonstd").distinct(), "nonstd", "left_semi").select("word").distinct()
 

@@ -26,6 +26,10 @@ def _terms(s, d):
     return lexicon(s, d).select("word").where("word rlike '^[a-z]+$'")  # the twin's distance counts bytes
 
 
+def _all_terms(s, d):
+    return lexicon(s, d).select("word")
+
+
 def _stages(s, d):
     a = op.punct_spacing(_ko(s, d)).select("doc_id", "rule", "original", "corrected", F.lit(1).alias("stage"))
     b = op.unit_spacing(_ko(s, d)).select("doc_id", "rule", "original", "corrected", F.lit(2).alias("stage"))
@@ -132,6 +136,7 @@ ALL = {
         duck("corpus_ko", """SELECT doc_id, kind, o AS opened, c AS closed, abs(o - c) AS imbalance FROM (SELECT doc_id, k.kind, length(text) - length(replace(text, k.a, '')) AS o, length(text) - length(replace(text, k.b, '')) AS c
             FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM corpus_ko), (VALUES ('round', '(', ')'), ('square', '[', ']'), ('curly', '{', '}')) k(kind, a, b)) WHERE o + c > 0"""),
     ),
+    "term_similarity_all": (lambda s, d: op.term_similarity(_all_terms(s, d)), None),
     "term_similarity": (
         lambda s, d: op.term_similarity(_terms(s, d)),
         duck("lexicon", """SELECT DISTINCT a.word, b.word AS other, levenshtein(a.word, b.word) AS distance FROM k a JOIN k b ON a.key = b.key AND a.word < b.word WHERE levenshtein(a.word, b.word) <= 2""",

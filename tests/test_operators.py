@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import consistency, corrections, events, lexicon, rules
 from lexiloom.plans import registry
+from lexiloom.sources import tables
 from lexiloom.sources.tables import GUARD_CASES, tokens, variant_corrections
 
 
@@ -104,6 +105,33 @@ def test_lexicon_fallback(spark):
     assert {r.word: r.match_kind for r in lexicon.lexicon_fallback(words, lex).collect()} == {"run": "exact", "bank": "homograph", "walking": "base", "zzz": "none", "a": "short"}
 
 
+def test_component_of_pair_takes_long_keys(spark):
+    words = spark.createDataFrame([("internationalisations",), ("internat",), ("a",), ("xabx",)], "word string")
+    pairs = spark.createDataFrame([("internationalisation",), ("ab",), ("a",)], "nonstd string")
+    assert rows(lexicon.component_of_pair(words, pairs)) == [("internationalisations",), ("xabx",)]
+    assert rows(lexicon.component_of_pair(words, pairs.where("nonstd = 'a'"))) == [] == rows(lexicon.component_of_pair(words, pairs.limit(0)))
+
+
+def test_all_terms_are_compared_by_letters(spark, sf):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    words = [r.word for r in tables.lexicon(spark, sf).where("length(word) >= 5").select("word").collect()]
+    by_key = {}
+    for word in words:
+        for i in range(len(word)):
+            by_key.setdefault(word[:i] + word[i + 1 :], set()).add(word)
+    pairs = {(a, b) for group in by_key.values() for a in group for b in group if a < b}
+    want = sorted((a, b, distance(a, b)) for a, b in pairs if distance(a, b) <= 2)
+    got = rows(registry.QUERIES["term_similarity_all"](spark, sf))
+    assert got == want and any(not (a + b).isascii() for a, b, _ in got)
+
+
 def test_normalise_text(spark):
     from lexiloom.functions.text import normalise_text
 
