@@ -118,6 +118,36 @@ def topk_per_word(candidates: DataFrame, k: int = 2, cap: int = 60) -> DataFrame
     return candidates.withColumn("rank", rank).where(F.col("rank") <= k).orderBy(F.desc("n_common"), "rare", "common").limit(cap)
 
 
+def realword_scored(tokens: DataFrame, least_gap: float = 12.0, alpha: float = 0.01, common: int = 5, least: int = 4) -> DataFrame:
+    """Candidates whose common word fits the rare word's place better by ``least_gap``: rare, common, n_common, gap.
+
+    The fit of a word between two neighbours is a smoothed bigram log-likelihood over the corpus, the rare word's own
+    place left out: its counts are then 0. A neighbour that is missing counts as fitting both alike. Neighbour counts
+    are an aggregation; candidates meet them in equi-joins.
+    """
+    w = Window.partitionBy("doc_id").orderBy("idx")
+    t = tokens.select("doc_id", "idx", F.lower("surface").alias("word"))
+    near = t.withColumn("left", F.lag("word").over(w)).withColumn("right", F.lead("word").over(w))
+    pairs = near.where("left is not null").groupBy("left", "word").agg(F.count(F.lit(1)).alias("n"))
+    found = realword_candidates(tokens, common, least)
+    places = near.join(found.select(F.col("rare").alias("word")).distinct(), "word", "left_semi").select(F.col("word").alias("rare"), "left", "right")
+    before = pairs.select("left", F.col("word").alias("common"), F.col("n").alias("n_left"))
+    after = pairs.select(F.col("left").alias("common"), F.col("word").alias("right"), F.col("n").alias("n_right"))
+    both = found.join(places, "rare").join(before, ["left", "common"], "left").join(after, ["common", "right"], "left")
+    both = both.crossJoin(F.broadcast(t.agg(F.countDistinct("word").alias("n_words"))))
+    seen = lambda name: F.coalesce(name, F.lit(0)) + F.lit(alpha)
+    rest = alpha * F.col("n_words")
+    left = F.when(F.col("left").isNotNull(), F.log(seen("n_left") / alpha)).otherwise(0.0)
+    right = F.when(F.col("right").isNotNull(), F.log(seen("n_right") / (F.col("n_common") + rest)) - F.log(F.lit(alpha) / rest)).otherwise(0.0)
+    return both.select("rare", "common", "n_common", F.round(left + right, 4).alias("gap")).where(F.col("gap") >= least_gap)
+
+
+def topk_by_gap(scored: DataFrame, k: int = 2, cap: int = 60) -> DataFrame:
+    """The ``k`` candidates of each word with the largest gap, and of those the ``cap`` best: a top-k report."""
+    rank = F.row_number().over(Window.partitionBy("rare").orderBy(F.desc("gap"), "common"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).orderBy(F.desc("gap"), "rare", "common").limit(cap)
+
+
 def first_context(docs: DataFrame, low: int = 6, high: int = 200) -> DataFrame:
     """The first sentence (``low`` to ``high`` characters) that holds each word of a document."""
     sentences = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+"), F.lit(0))).alias("at", "sentence")).where(F.length("sentence").between(low, high))

@@ -144,7 +144,7 @@ def split_decisions(occurrences: DataFrame) -> DataFrame:
 
 
 def apply_to_corpus(docs: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Texts with all accepted corrections applied, whole words, the longest original first.
+    """Texts with all accepted corrections applied, substrings too, the longest original first.
 
     A document's few corrections are gathered in one row and folded over its text.
     """

@@ -53,6 +53,8 @@ MASKED = """SELECT word, n, unnest(list_transform(range(1, length(word) + 1), la
   FROM (SELECT lower(surface) AS word, count(*) AS n FROM tokens GROUP BY 1) WHERE length(word) >= 4 AND (n = 1 OR n >= 5)"""
 
 ALL = {
+    "realword_scored": (lambda s, d: op.realword_scored(_tokens(s, d)), None),
+    "topk_by_gap": (lambda s, d: op.topk_by_gap(op.realword_scored(_tokens(s, d))), None),
     "tokenise_runs": (
         lambda s, d: op.tokenise_runs(_tokens(s, d)),
         duck("tokens", r"""SELECT surface, count(*) AS n FROM (SELECT *, coalesce(lead(gap) OVER (PARTITION BY doc_id ORDER BY idx), '') AS after FROM tokens)

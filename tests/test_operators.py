@@ -46,6 +46,22 @@ def test_realword_pairs_differ_in_one_letter(spark):
     assert rows(consistency.realword_candidates(tokens(d))) == [("theip", "their", 5)]
 
 
+def test_realword_scored_keeps_and_ranks_by_gap(spark):
+    import math
+
+    d = spark.createDataFrame([(1, "in their house " * 5), (2, "in theip house"), (3, "go theer now"), (4, "theep " * 50)], "doc_id long, text string")
+    assert {(r.rare, r.common) for r in consistency.realword_candidates(tokens(d)).collect()} == {("theip", "their"), ("theip", "theep"), ("theer", "their"), ("theer", "theep")}
+    scored = consistency.realword_scored(tokens(d), least_gap=5.0)
+    n_words, a = 8, 0.01
+    gap = math.log((5 + a) / a) + math.log((5 + a) / (5 + a * n_words)) - math.log(1 / n_words)
+    assert rows(scored) == [("theip", "their", 5, round(gap, 4))]
+    assert rows(consistency.realword_scored(tokens(d), least_gap=12.0)) == []
+    every = consistency.realword_scored(tokens(d), least_gap=-1e9)
+    assert every.count() == 4 and [r.common for r in consistency.topk_by_gap(every, cap=1).collect()] == ["their"]
+    assert [r.common for r in consistency.topk_per_word(consistency.realword_candidates(tokens(d)), cap=1).collect()] == ["theep"]
+    assert consistency.realword_scored(tokens(d.limit(0))).count() == 0
+
+
 def test_chunks_join_to_the_text(spark):
     text = "One two. Three four five! Six?\nSeven eight nine ten eleven."
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
