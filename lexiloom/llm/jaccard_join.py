@@ -1,40 +1,50 @@
 """Self-join of documents by the Jaccard similarity of their word 5-gram sets, by token-combination prefixes.
 
-A set's tokens (hashed shingles) are put in one global order: rare tokens first, frequent ones last, by hash within.
-Two sets of similarity t share a token among their first n - ceil(t n) + 1 tokens (the prefixes).
-
-* Rare tokens of the prefix are index keys by themselves.
-* A document whose prefix reaches its frequent tokens has all its rare tokens in the prefix. If two such documents
-  share a rare token, that key finds them. Else all common tokens are frequent, and they are over a third of both
-  documents' frequent tokens together; so somewhere two common tokens follow each other in both ordered lists of
-  frequent tokens. The prefix is therefore extended to all frequent tokens and the index keys are the combinations
-  of two neighbouring frequent tokens: as many keys as tokens, and no pair is lost.
-
-Frequency classes come from exact document counts of all tokens (by the high half of their hash; a clash only moves a
-token to another class, the same for all documents). Sets that are equal are one node: of the largest such groups
-(a bounded list, which is broadcast) only one member is indexed.
-
-Of the smallest ids of its lists, each document is first compared with the one it meets in most lists: one pair a
-document. Components of the links found leave few lists whose members are in different components; only there, pairs of
-different components are compared, after class counts, an upper bound of the overlap, have ruled out nearly all. A long
-list is compared in blocks. Every linked pair is thus in one component, and copies are never expanded into pairs.
+Tokens are hashed shingles, in order of their hash. Let c be the tokens that two linked sets of n and m tokens have in
+common, so that c >= 0.8 max(n, m), and e = n + m - 2c the others.
+
+* **Extended prefixes.** The first n - ceil(0.8 n) + 1 + x tokens of both sets share x + 1 tokens, x being the lesser
+  of both extensions (a tenth of a set's size). They are indexed as single tokens. A token of at most ``rare`` prefixes
+  is rare, and all its pairs are candidates. So a linked pair that no rare token gives shares x + 1 frequent tokens,
+  and only *hot* sets, with that many frequent tokens in the prefix, can be in such a pair.
+* **Combinations.** The prefix of a hot set is extended to the whole set, and combinations of k = 3 tokens that follow
+  each other are indexed. The e other tokens cut the common ones into at most e + 1 runs, so linked sets have at
+  least c - (k - 1)(e + 1) >= 0.4 n - 2 combinations in common, and the 0.6 n with the smallest hashes suffice. The
+  bound is 1 or more but for sets of 5 and 4 tokens; sets of at most 5 have their combinations of 2 tokens as well.
+
+Frequency classes are decided where a token's prefixes meet, so no table of frequent tokens exists. A task that sees
+more than ``rare`` prefixes with a token sends one mark for it, so a hot token is a few numbers a task.
+
+Candidates are verified by whole sets, in rounds, so that no group is expanded into pairs of its members:
+
+1. Each set is compared with its best partner: of rare tokens the one with most of them, of combinations the one of
+   its lists' centres that is in most of them (a list's centre is the set with the largest share of frequent tokens).
+   Candidates of rare tokens that cannot reach the overlap by their counts go before.
+2. Components of these links leave few lists with several components. Sets linked with a centre are a star; there
+   only centres of stars are compared, and other candidates of rare tokens if their components differ.
+3. Jaccard distance is a metric. Two stars whose centres are further apart than 0.2 and both radii have no link. For
+   the others the members in reach are compared with the other centre, and what both distances leave with each other.
+
+Sets that are equal are one node, by an aggregation of two 64-bit sums and the size.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import BASE, chunks_of, components, forget, map_texts, mix, table, words_of, written
 
 WORDS = 5
-#: Similarity of a link, in hundredths.
-LEAST = 80
-#: Bounds of what is broadcast: frequent tokens, groups of equal sets, ids of candidates.
-MOST_TOKENS, MOST_GROUPS, MOST_IDS = 1_000_000, 100_000, 1_000_000
-#: Members of a list that are compared with one another in one task.
-BLOCK = 1024
+#: Similarity of a link, and by how much a prefix is extended, in hundredths.
+LEAST, EXTRA = 80, 10
+#: Neighbouring tokens of a combination.
+K = 3
+#: Nodes whose texts are looked up by a broadcast; more are looked up by a shuffle.
+MOST_IDS = 250_000
+#: Tokens that a task sorts at once.
+TOKENS = 1 << 22
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -60,8 +70,24 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _fingerprints(texts: list[bytes]) -> dict:
-    sets = shingle_sets(texts)
+def prefix_size(n: int) -> int:
+    return min(n, n - -(-LEAST * n // 100) + 1 + EXTRA * n // 100)
+
+
+def combinations(tokens: np.ndarray) -> np.ndarray:
+    """Index keys of a hot set (sorted by hash)."""
+    n, out = len(tokens), []
+    for k in (K, 2) if n <= 5 else (K,):
+        if n >= k:
+            h = tokens[: n - k + 1].copy()
+            for i in range(1, k):
+                h = h * BASE + tokens[i : n - k + 1 + i]
+            h = np.sort(mix(h + np.uint64(k)))
+            out.append(h[: len(h) - max(1, -(-4 * n // 10) - 2) + 1] if n > 5 else h)
+    return np.concatenate(out) if out else tokens
+
+
+def _prints(sets: list[np.ndarray]) -> dict:
     return {
         "n_shingles": [len(s) for s in sets],
         "print_a": np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
@@ -69,241 +95,255 @@ def _fingerprints(texts: list[bytes]) -> dict:
     }
 
 
-def _packed(df: DataFrame, emit, schema: str) -> DataFrame:
-    """Rows of binary columns by bucket: ``emit`` takes (ids, sets) of a few documents and yields dicts of ``schema``."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _marks(texts: list[bytes]) -> dict:
+    sets = shingle_sets(texts)
+    return _prints(sets) | {"prefix": [s[: prefix_size(len(s))].tobytes() for s in sets]}
+
+
+def _whole(texts: list[bytes]) -> dict:
+    sets = shingle_sets(texts)
+    return _prints(sets) | {"tokens": [s.tobytes() for s in sets]}
+
+
+def _same_list(head: np.ndarray) -> np.ndarray:
+    """Length of its list for every entry; ``head`` marks the first of each list."""
+    start = np.flatnonzero(head)
+    length = np.diff(np.append(start, len(head)))
+    return np.repeat(length, length)
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+
+
+def single_tokens(nodes: DataFrame, buckets: int, rare: int) -> DataFrame:
+    """(a, b, votes, n_a, n_b): pairs of nodes with a rare token in both prefixes, and with null b frequent tokens of a."""
+
+    def emit(batches):
+        import pyarrow as pa
+
+        def rows(node, size, prefix):
+            token = np.concatenate([np.frombuffer(p, np.uint64) for p in prefix])
+            at = np.repeat(np.arange(len(node)), [len(p) // 8 for p in prefix])
+            order = np.argsort(token, kind="stable")
+            token, at = token[order], at[order]
+            head = _heads(token)
+            often = _same_list(head) > rare
+            count = np.bincount(at[often], minlength=len(node))
+            own = np.flatnonzero(count)
+            if len(own):
+                yield {"bucket": buckets + int(node[own[0]] % buckets), "tokens": count[own].astype(np.uint64).tobytes(), "nodes": node[own].tobytes(), "sizes": size[own].tobytes()}
+            send = ~often | head
+            who = np.where(often, -1, node[at])[send]
+            token, sizes = token[send], size[at][send]
+            cut = np.searchsorted(token >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
+            for k in np.flatnonzero(np.diff(cut)):
+                x = slice(cut[k], cut[k + 1])
+                yield {"bucket": int(k), "tokens": token[x].tobytes(), "nodes": who[x].tobytes(), "sizes": sizes[x].tobytes()}
+
+        schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+        node, size, prefix, held = [], [], [], 0
+        for batch in batches:
+            for i, n, p in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("prefix").to_pylist(), strict=True):
+                node.append(i)
+                size.append(n)
+                prefix.append(p)
+                held += len(p) // 8
+                if held >= TOKENS:
+                    yield pa.RecordBatch.from_pylist(list(rows(np.array(node, np.int64), np.array(size, np.int32), prefix)), schema=schema)
+                    node, size, prefix, held = [], [], [], 0
+        if node:
+            yield pa.RecordBatch.from_pylist(list(rows(np.array(node, np.int64), np.array(size, np.int32), prefix)), schema=schema)
+
+    def meet(pdf):
+        import pandas as pd
 
-    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+        token, node, size = (np.concatenate([np.frombuffer(x, kind) for x in pdf[c]]) for c, kind in (("tokens", np.uint64), ("nodes", np.int64), ("sizes", np.int32)))
+        if pdf["bucket"].iloc[0] >= buckets:
+            return pd.DataFrame({"a": node, "b": pd.array([None] * len(node), "Int64"), "votes": token.astype(np.int64), "n_a": size, "n_b": 0})
+        order = np.lexsort((node, token))
+        token, node, size = token[order], node[order], size[order]
+        head = _heads(token)
+        length = _same_list(head)
+        often = np.repeat(node[head] == -1, length[head]) | (length > rare)
+        who, first, count = np.unique(node[often], return_index=True, return_counts=True)
+        counts = pd.DataFrame({"a": who, "b": pd.array([None] * len(who), "Int64"), "votes": count, "n_a": size[often][first], "n_b": 0})[who != -1]
+        token, node, size = token[~often], node[~often], size[~often]
+        pairs = [np.zeros((0, 4), np.int64)]
+        for step in range(1, rare):
+            i = np.flatnonzero(token[step:] == token[:-step])
+            j = i + step
+            near = 100 * np.minimum(size[i], size[j]).astype(np.int64) >= LEAST * np.maximum(size[i], size[j]).astype(np.int64)
+            pairs.append(np.stack([node[i], node[j], size[i], size[j]], 1)[near])
+        pairs = pd.DataFrame(np.concatenate(pairs), columns=["a", "b", "n_a", "n_b"]).groupby(["a", "b", "n_a", "n_b"], as_index=False).size().rename(columns={"size": "votes"})
+        return pd.concat([counts, pairs.astype({"b": "Int64"})[["a", "b", "votes", "n_a", "n_b"]]])
+
+    packed = nodes.select("node", F.col("n_shingles").alias("n"), "prefix").mapInArrow(emit, "bucket int, tokens binary, nodes binary, sizes binary")
+    return packed.groupBy("bucket").applyInPandas(meet, "a long, b long, votes long, n_a long, n_b long")
+
+
+def combination_index(sets: DataFrame) -> DataFrame:
+    """(key, node, n, share) for every indexed combination of the hot ``sets``."""
+
+    def emit(batches):
+        import pyarrow as pa
+
+        for batch in (b.slice(first, 256) for b in batches for first in range(0, b.num_rows, 256)):
+            keys = [combinations(np.frombuffer(t, np.uint64)) for t in batch.column("tokens").to_pylist()]
+            counts = [len(k) for k in keys]
+            each = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("node", "n", "share")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, each)], names=["key", "node", "n", "share"])
+
+    return sets.select("node", "n", "share", "tokens").mapInArrow(emit, "key long, node long, n long, share long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with their distance and whether they are linked, by the whole sets of both."""
+    import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for first, last in chunks_of(texts, 1 << 20):
-                rows = list(emit(ids[first:last].astype(np.int64), shingle_sets(texts[first:last])))
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            linked, distance = [], []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):  # no copy of the sets
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                linked.append(100 * common >= LEAST * (len(p) + len(q) - common))
+                distance.append(1 - common / (len(p) + len(q) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
 
-    return df.mapInArrow(run, schema)
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("set_a")), "a")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, distance double, linked boolean")
 
 
-def frequent_tokens(docs: DataFrame, buckets: int, least: int) -> np.ndarray:
-    """Sorted high halves of the hashes of tokens in over ``least`` documents, or in more if there are too many."""
+def _near(a: str, b: str) -> Column:
+    return 100 * F.least(a, b) >= LEAST * F.greatest(a, b)
 
-    def emit(_, sets):
-        tokens = np.concatenate([s >> np.uint64(32) for s in sets] or [np.zeros(0, np.uint64)]).astype(np.uint32)
-        tokens.sort()
-        cut = np.searchsorted(tokens, (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
-        for k in np.flatnonzero(np.diff(cut)):
-            yield {"bucket": int(k), "tokens": tokens[cut[k] : cut[k + 1]].tobytes()}
 
-    def count(pdf):
-        import pandas as pd
+def _prefix(n: str) -> Column:
+    return F.expr(f"least({n}, {n} - ceil({LEAST} * {n} / 100) + 1 + {EXTRA} * {n} div 100)")
 
-        names, n = np.unique(np.concatenate([np.frombuffer(t, np.uint32) for t in pdf["tokens"]]), return_counts=True)
-        names, n = names[n > least], n[n > least]
-        return pd.DataFrame({"token": names.astype(np.int64), "n": n})
-
-    counted = written(_packed(docs, emit, "bucket int, tokens binary").groupBy("bucket").applyInPandas(count, "token long, n long"), "frequent")
-    if counted.count() > MOST_TOKENS:
-        least = counted.selectExpr(f"approx_percentile(n, {1 - 0.9 * MOST_TOKENS / counted.count()})").first()[0]
-    found = np.array([r[0] for r in counted.where(F.col("n") > least).select("token").limit(MOST_TOKENS).collect()], np.uint64)
-    forget(counted)
-    return np.sort(found)
-
-
-def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Index keys of one set (sorted by hash)."""
-    n = len(tokens)
-    prefix = n - -(-LEAST * n // 100) + 1
-    high = tokens >> np.uint64(32)
-    at = np.searchsorted(frequent, high)
-    often = np.zeros(n, bool)
-    inside = at < len(frequent)
-    often[inside] = frequent[at[inside]] == high[inside]
-    rare, hot = tokens[~often], tokens[often]
-    if len(rare) >= prefix or not len(hot):
-        return rare[:prefix]
-    combos = mix(hot[:-1] * BASE + hot[1:]) if len(hot) > 1 else hot
-    return np.concatenate([rare, combos])
-
-
-def candidate_lists(docs: DataFrame, buckets: int, frequent: np.ndarray, skip: dict[tuple[int, int, int], int]) -> DataFrame:
-    """For each document of a bucket its best star (centre, other, votes) and, with ``members``, the different lists."""
-
-    def emit(ids, sets):
-        keys, docs_, sizes = [], [], []
-        prints = _prints(sets)
-        for i, (s, p) in enumerate(zip(sets, prints, strict=True)):
-            if not len(s) or skip.get(p, ids[i]) != ids[i]:
-                continue
-            k = index_keys(s, frequent)
-            keys.append(k)
-            docs_.append(np.full(len(k), ids[i]))
-            sizes.append(np.full(len(k), len(s), np.int32))
-        if not keys:
-            return
-        k, d, n = np.concatenate(keys), np.concatenate(docs_), np.concatenate(sizes)
-        bucket = (k >> np.uint64(40)).astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cut)):
-            own = order[cut[b] : cut[b + 1]]
-            yield {"bucket": int(b), "tokens": k[own].tobytes(), "docs": d[own].tobytes(), "sizes": n[own].tobytes()}
-
-    def lists(pdf):
-        import pandas as pd
 
-        k = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["tokens"]])
-        d = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["docs"]])
-        n = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]])
-        order = np.lexsort((d, k))
-        k, d, n = k[order], d[order], n[order]
-        head = np.concatenate([[True], k[1:] != k[:-1]])
-        start = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
-        other = np.flatnonzero(d != d[start])
-        stars = pd.DataFrame({"centre": d[start[other]], "other": d[other], "n_centre": n[start[other]], "n_other": n[other]})
-        near = 100 * np.minimum(stars["n_centre"], stars["n_other"]) >= LEAST * np.maximum(stars["n_centre"], stars["n_other"])
-        stars = stars[near].groupby(["centre", "other"], as_index=False).size().rename(columns={"size": "votes"})
-        stars = stars.sort_values(["other", "votes", "centre"], ascending=[True, False, True]).drop_duplicates("other")
-        stars["members"] = None
-        edge = np.append(np.flatnonzero(head), len(k))
-        seen, rows = set(), []
-        for i in np.flatnonzero(np.diff(edge) > 1):
-            members = np.unique(d[edge[i] : edge[i + 1]])
-            if len(members) > 1 and (name := members.tobytes()) not in seen:
-                seen.add(name)
-                rows.append({"centre": None, "other": None, "votes": 0, "members": members})
-        return pd.concat([stars, pd.DataFrame(rows)]) if rows else stars
-
-    packed = _packed(docs, emit, "bucket int, tokens binary, docs binary, sizes binary")
-    return packed.groupBy("bucket").applyInPandas(lists, "centre long, other long, votes long, members array<long>")
-
-
-def _prints(sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    return [(len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int((np.bitwise_xor.reduce(mix(s * BASE)) if len(s) else np.uint64(0)).view(np.int64))) for s in sets]
-
-
-def _sign(tokens: np.ndarray) -> bytes:
-    """How many tokens fall into each of 128 classes of their hash."""
-    return np.bincount((tokens & np.uint64(127)).astype(np.int64), minlength=128).astype(np.uint32).tobytes()
-
-
-def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose class counts allow the least overlap.
-
-    Two sets share at most the lesser count of each class, so no linked pair is lost; nearly all others go here, at 512
-    bytes a document instead of its set.
-    """
-    import pyarrow as pa
+def _named(comps: DataFrame, node: str, name: str) -> DataFrame:
+    return comps.select(F.col("id").alias(node), F.col("component").alias(name))
 
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, 128).astype(np.int64) for c in ("sign_a", "sign_b"))
-            most = np.minimum(x, y).sum(1)
-            good = 100 * most >= LEAST * (x.sum(1) + y.sum(1) - most)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("sign").alias("sign_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("sign").alias("sign_a")), "a")
-    return both.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
-
-
-def _across(pdf):
-    """Pairs of members of one block of a list that are in different components and near enough in size, each once."""
-    import pandas as pd
-
-    pdf = pdf.sort_values(["list", "size", "i", "j", "doc_id"]).drop_duplicates(["list", "size", "i", "j", "doc_id"])
-    names = pdf[["list", "size", "i", "j"]].to_numpy(np.int64)
-    ids, comp, n = (pdf[c].to_numpy(np.int64) for c in ("doc_id", "component", "n_shingles"))
-    edge = np.append(np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(1)])), len(ids))
-    out, held = [np.zeros((0, 2), np.int64)], 0
-    for first, last in zip(edge[:-1], edge[1:], strict=True):
-        for k in range(first, last - 1):
-            rest = np.arange(k + 1, last)
-            good = (comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= LEAST * np.maximum(n[rest], n[k]))
-            if good.any():
-                rest = rest[good]
-                out.append(np.stack([np.full(len(rest), ids[k]), ids[rest]], 1))
-                held += len(rest)
-                if held > 1 << 20:
-                    out, held = [np.unique(np.concatenate(out), axis=0)], 0
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``, by the whole sets of both."""
-    import pyarrow as pa
 
-    def run(batches):
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):  # no copy of the sets
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(q, p), max(0, len(q) - 1))
-                common = int((q[at] == p).sum()) if len(q) else 0
-                linked.append(100 * common >= LEAST * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+def node_links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (a, b) that give the components of ``sets`` (node, n, tokens, hot, share); ``pairs`` are those of rare tokens."""
+    spark = sets.sparkSession
+    ends = F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")
+
+    index = written(combination_index(sets.where("hot")), "combinations")
+    lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("share", "node", "n")).alias("top")).where("m > 1")
+    lists = written(lists.select("key", F.col("top.node").alias("centre"), F.col("top.n").alias("n_centre")), "lists")
+    met = index.join(lists, "key").where((F.col("node") != F.col("centre")) & _near("n", "n_centre"))
+    votes = met.groupBy("node", "centre").count()
+    stars = written(votes.groupBy("node").agg(F.max(F.struct("count", "centre")).alias("top")).select("node", F.col("top.centre").alias("centre")), "stars")
+
+    best = pairs.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
+    first = written(verify(best.unionByName(stars.select(*ends)).distinct(), sets), "first-checks")
+    comps = written(components(first.where("linked").select("a", "b")), "components")
 
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("set_a")), "a")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, linked boolean")
+    # stars: the centre (or the node itself), the distance to it, and the component
+    in_star = stars.select("node", "centre", *ends).join(first.where("linked"), ["a", "b"]).select("node", "centre", "distance")
+    member = index.select("node", "n").distinct().join(in_star, "node", "left").join(_named(comps, "node", "component"), "node", "left")
+    member = member.select("node", "n", F.coalesce("centre", "node").alias("centre"), F.coalesce("distance", F.lit(0.0)).alias("distance"), F.coalesce("component", "centre", "node").alias("component"))
+    member = written(member, "members")
+    radius = member.groupBy("centre").agg(F.max("distance").alias("radius"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("component").alias("component"))
+    radius = written(radius, "radii")
+
+    heads = index.join(lists.select("key"), "key", "left_semi").select("key", "node").join(member.select("node", "centre", "component"), "node").groupBy("key", "centre", "component").agg(F.lit(1).alias("one"))
+    heads = written(heads.select("key", "centre", "component"), "heads")
+    mixed = heads.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("centre").cast("decimal(20)")).alias("name"), F.count(F.lit(1)).alias("m"))
+    mixed = written(mixed.where("low <> high").groupBy("name", "m").agg(F.min("key").alias("key")).select("key"), "mixed")
+    few = heads.join(mixed, "key", "left_semi")
+    x, y = few.select("key", F.col("centre").alias("a"), F.col("component").alias("p")), few.select("key", F.col("centre").alias("b"), F.col("component").alias("q"))
+    across = x.join(y, "key").where("a < b and p <> q").select("a", "b").distinct()
+    rest = pairs.select("a", "b").join(_named(comps, "a", "p"), "a", "left").join(_named(comps, "b", "q"), "b", "left").where("coalesce(p, a) <> coalesce(q, b)").select("a", "b")
+
+    ends_of = radius.select(F.col("centre").alias("a"), F.col("radius").alias("r_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a")), radius.select(F.col("centre").alias("b"), F.col("radius").alias("r_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    across = across.join(ends_of[0], "a").join(ends_of[1], "b").where(f"100 * high_a >= {LEAST} * low_b and 100 * high_b >= {LEAST} * low_a").select("a", "b")
+    todo = written(rest.unionByName(across).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "second-pairs")
+    second = written(verify(todo, sets), "second-checks")
+    links = comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.where("linked").select("a", "b"))
+
+    reach = f"distance - {1 - LEAST / 100}"
+    known = first.select("a", "b", "distance", "linked").unionByName(second).join(across.select("a", "b"), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+    open_ = written(known.where("not linked").join(ends_of[0], "a").join(ends_of[1], "b").where(f"r_a + r_b + 1e-9 >= {reach}").select("a", "b", "r_a", "r_b", "distance"), "open-pairs")
+    if not open_.isEmpty():
+        links = written(links.unionByName(_members_in_reach(open_, member, sets, reach)), "links")
+    spent = [index, lists, stars, first, member, radius, heads, mixed, todo, open_]
+    links = written(links.distinct(), "all-links")
+    forget(*spent, second, comps)
+    return links
+
+
+def _members_in_reach(open_: DataFrame, member: DataFrame, sets: DataFrame, reach: str) -> DataFrame:
+    """Links between members of stars whose centres are not far enough apart.
+
+    Members that the triangle inequality leaves are compared with the other centre; what the distances to both centres
+    leave is compared with each other.
+    """
+    own = member.select("node", "centre", F.col("distance").alias("d"), "n", "component")
+    left = open_.join(own.withColumnRenamed("centre", "a"), "a").where(f"d + r_b + 1e-9 >= {reach}").select("a", "b", F.lit(True).alias("of_a"), "node", "d", "n", "component", "distance")
+    right = open_.join(own.withColumnRenamed("centre", "b"), "b").where(f"d + r_a + 1e-9 >= {reach}").select("a", "b", F.lit(False).alias("of_a"), "node", "d", "n", "component", "distance")
+    near = written(left.unionByName(right), "in-reach")
+    asked = near.select(F.col("node").alias("x"), F.when(F.col("of_a"), F.col("b")).otherwise(F.col("a")).alias("y"))
+    checked = written(verify(asked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), sets), "reach-checks")
+    sides = []
+    for of_a, other in ((True, "b"), (False, "a")):
+        own = near.where(F.col("of_a") if of_a else ~F.col("of_a")).withColumns({"x": F.least("node", other), "y": F.greatest("node", other)})
+        sides.append(own.join(checked.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("distance").alias("o")), ["x", "y"]).select("a", "b", "node", "d", "o", "n", "component"))
+    p, q = (s.select("a", "b", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "d", "o", "n", "component")]) for s, k in zip(sides, ("p", "q"), strict=True))
+    far = 1 - LEAST / 100 + 1e-9
+    both = p.join(q, ["a", "b"]).where(_near("n_p", "n_q") & (F.abs(F.col("d_p") - F.col("o_q")) <= far) & (F.abs(F.col("o_p") - F.col("d_q")) <= far) & (F.col("component_p") != F.col("component_q")))
+    pairs = written(both.select(F.least("node_p", "node_q").alias("a"), F.greatest("node_p", "node_q").alias("b")).distinct(), "last-pairs")
+    return checked.where("linked").select("a", "b").unionByName(verify(pairs, sets).where("linked").select("a", "b"))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id.
 
     Null or empty texts have an empty set and are their own component. Rows that repeat an id are one document, linked
-    by any of their texts. A row with a null id is linked with nothing and has a null component. An empty table gives
-    an empty result; other columns of ``docs`` are ignored. ``rare`` is the largest document count of a rare token.
+    by any of their texts that has words. A row with a null id is linked with nothing and has a null component. An empty table gives
+    an empty result; other columns of ``docs`` are ignored. ``rare`` is the most prefixes of a rare token.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = written(map_texts(docs, _fingerprints, "n_shingles long, print_a long, print_b long", limit=1 << 20), "shingle-prints")
-    known = docs.where("doc_id is not null")
+    prints = ["n_shingles", "print_a", "print_b"]
+    keyed = docs.withColumn("row", F.monotonically_increasing_id())
+    marks = written(map_texts(keyed, _marks, "n_shingles long, print_a long, print_b long, prefix binary", limit=1 << 20), "shingle-prefixes")
+    full = marks.where("n_shingles > 0 and doc_id is not null")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() // 5000)
 
-    prints = ["n_shingles", "print_a", "print_b"]
-    groups = marks.where("n_shingles > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    groups = written(groups, "equal-sets")
-    skip = {(r[0], r[1], r[2]): r[3] for r in groups.orderBy(F.desc("rows"), *prints).limit(MOST_GROUPS).select(*prints, "first_id").collect()}
-    copies = marks.join(groups.drop("rows"), prints).where("doc_id <> first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
-
-    found = written(candidate_lists(known, buckets, frequent_tokens(known, buckets, rare), skip), "index-lists")
-    votes = found.where("other is not null").groupBy(F.col("centre").alias("a"), F.col("other").alias("b")).agg(F.sum("votes").alias("votes"))
-    best = written(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")), "stars")
-    lists = found.where("other is null").select(F.xxhash64("members").alias("list"), F.size("members").alias("size"), "members").dropDuplicates(["list", "size"])
-
-    wanted = found.select(F.explode(F.coalesce("members", F.array("centre", "other"))).alias("doc_id")).distinct()
-    wanted = written(wanted, "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
-    def pack(texts: list[bytes]) -> dict:
-        found_ = shingle_sets(texts)
-        return {"tokens": [x.tobytes() for x in found_], "sign": [_sign(x) for x in found_]}
-
-    sets = map_texts(known.join(wanted, "doc_id", "left_semi"), pack, "tokens binary, sign binary", limit=1 << 20).where("length(tokens) > 0")
-    sets = written(sets, "shingle-sets")
-
-    first = written(_verify(_plausible(best.select("a", "b"), sets), sets), "first-checks")
-    comps = written(components(first.where("linked").select("a", "b").unionByName(copies)), "components")
-
-    entries = lists.select("list", "size", F.explode("members").alias("doc_id"))
-    entries = entries.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    entries = written(entries, "entries")
-    mixed = entries.groupBy("list", "size").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list", "size")
-    sizes = marks.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    rows = entries.join(mixed, ["list", "size"]).join(sizes, "doc_id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("list", "size", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "doc_id", "component", "n_shingles")
-    slots = rows.withColumn("slot", F.pmod(F.xxhash64("list", "size", "i", "j"), F.lit(4 * buckets)))
-    late = slots.groupBy("slot").applyInPandas(_across, "a long, b long").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = written(_verify(_plausible(late, sets), sets).where("linked").select("a", "b"), "second-checks")
-    final = components(comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second))
-    forget(found, best, sets, first, entries, second)
-
-    return marks.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    nodes = full.groupBy(*prints).agg(F.min("row").alias("node"), F.any_value("prefix").alias("prefix"))
+    found = written(single_tokens(nodes, buckets, rare), "single-tokens")
+    often = written(found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("votes").alias("often"), F.max("n_a").alias("n")), "frequent-counts")
+    hot = often.where(f"often >= {EXTRA} * cast(ceil({LEAST} * n / 100) as long) div 100 + 1").select("node", F.expr("1000 * often div n").alias("share"))
+
+    pairs = found.where("b is not null").groupBy("a", "b", "n_a", "n_b").agg(F.sum("votes").alias("votes"))
+    more = [often.select(F.col("node").alias(c), F.col("often").alias(f"often_{c}")) for c in ("a", "b")]
+    most = F.col("votes") + F.least(F.coalesce("often_a", F.lit(0)), F.coalesce("often_b", F.lit(0))) + F.greatest(F.col("n_a") - _prefix("n_a"), F.col("n_b") - _prefix("n_b"))
+    pairs = pairs.join(more[0], "a", "left").join(more[1], "b", "left").where(100 * most >= LEAST * (F.col("n_a") + F.col("n_b") - most))
+    pairs = written(pairs.select("a", "b", "votes"), "rare-pairs")
+
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(hot, "node", "full")
+    asked = marks.select(F.col("row").alias("node"), "doc_id", *[F.col(c).alias(f"is_{c}") for c in prints]).join(named, "node")
+    asked = written(asked.select("*", F.col("share").isNotNull().alias("hot")), "asked")
+    texts = docs.join(F.broadcast(asked) if asked.count() <= MOST_IDS else asked, "doc_id")
+    sets = map_texts(texts, _whole, "n_shingles long, print_a long, print_b long, tokens binary", limit=1 << 20)
+    sets = written(sets.where(" and ".join(f"{c} = is_{c}" for c in prints)).select("node", F.col("n_shingles").alias("n"), "tokens", "hot", "share"), "shingle-sets")
+
+    links = node_links(sets, pairs)
+    same = written(full.groupBy(*prints).agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "equal-sets")
+    of_node = written(marks.select("doc_id", *prints).join(same, prints, "left").select("doc_id", "n_shingles", "node", "first_id"), "nodes")
+    several = of_node.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("doc_id", "low")
+    repeats = of_node.join(several, "doc_id").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    comps = written(components(links.unionByName(repeats)), "components")
+    names = of_node.where("doc_id is not null").select("node", "doc_id").join(_named(comps, "node", "component"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = comps.join(names, "component").select(F.col("id").alias("node"), "component_id")
+    forget(marks, found, often, pairs, asked, sets, links, same)
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id"))
+    return of_node.join(named, "node", "left").select(F.col("doc_id").alias(id_col), "n_shingles", own.alias("component_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
