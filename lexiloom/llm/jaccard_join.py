@@ -7,10 +7,13 @@ common, so that c >= 0.8 max(n, m), and e = n + m - 2c the others.
   of both extensions (a tenth of a set's size). They are indexed as single tokens. A token of at most ``rare`` prefixes
   is rare, and all its pairs are candidates. So a linked pair that no rare token gives shares x + 1 frequent tokens,
   and only *hot* sets, with that many frequent tokens in the prefix, can be in such a pair.
-* **Combinations.** The prefix of a hot set is extended to the whole set, and combinations of k = 3 tokens that follow
-  each other are indexed. The e other tokens cut the common ones into at most e + 1 runs, so linked sets have at
-  least c - (k - 1)(e + 1) >= 0.4 n - 2 combinations in common, and the 0.6 n with the smallest hashes suffice. The
-  bound is 1 or more but for sets of 5 and 4 tokens; sets of at most 5 have their combinations of 2 tokens as well.
+* **Frequent tokens.** The prefix of a hot set is extended to the whole set, and the tokens of hot sets are indexed
+  again. Two hot sets without a common rare token have at most the lesser count of frequent tokens in common: where
+  this is less than 0.8 of the set, it has no such link.
+* **Combinations.** Of the others, combinations of k = 3 tokens that follow each other are indexed. The e other tokens
+  cut the common ones into at most e + 1 runs, so linked sets have at least c - (k - 1)(e + 1) >= 0.4 n - 2
+  combinations in common, and the 0.6 n with the smallest hashes suffice. The bound is 1 or more but for sets of 5 and
+  4 tokens; sets of at most 5 have their combinations of 2 tokens as well.
 
 Frequency classes are decided where a token's prefixes meet, so no table of frequent tokens exists. A task that sees
 more than ``rare`` prefixes with a token sends one mark for it, so a hot token is a few numbers a task.
@@ -21,7 +24,8 @@ Candidates are verified by whole sets, in rounds, so that no group is expanded i
    its lists' centres that is in most of them (a list's centre is the set with the largest share of frequent tokens).
    Candidates of rare tokens that cannot reach the overlap by their counts go before.
 2. Components of these links leave few lists with several components. Sets linked with a centre are a star; there
-   only centres of stars are compared, and other candidates of rare tokens if their components differ.
+   only centres of stars are compared, if their frequent tokens can be enough, and other candidates of rare tokens if
+   their components differ.
 3. Jaccard distance is a metric. Two stars whose centres are further apart than 0.2 and both radii have no link. For
    the others the members in reach are compared with the other centre, and what both distances leave with each other.
 
@@ -183,7 +187,7 @@ def single_tokens(nodes: DataFrame, buckets: int, rare: int) -> DataFrame:
 
 
 def combination_index(sets: DataFrame) -> DataFrame:
-    """(key, node, n, share) for every indexed combination of the hot ``sets``."""
+    """(key, node, n, often) for every indexed combination of ``sets`` (node, n, often, tokens)."""
 
     def emit(batches):
         import pyarrow as pa
@@ -191,10 +195,10 @@ def combination_index(sets: DataFrame) -> DataFrame:
         for batch in (b.slice(first, 256) for b in batches for first in range(0, b.num_rows, 256)):
             keys = [combinations(np.frombuffer(t, np.uint64)) for t in batch.column("tokens").to_pylist()]
             counts = [len(k) for k in keys]
-            each = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("node", "n", "share")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, each)], names=["key", "node", "n", "share"])
+            each = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("node", "n", "often")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, each)], names=["key", "node", "n", "often"])
 
-    return sets.select("node", "n", "share", "tokens").mapInArrow(emit, "key long, node long, n long, share long")
+    return sets.select("node", "n", "often", "tokens").mapInArrow(emit, "key long, node long, n long, often long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,13 +231,36 @@ def _named(comps: DataFrame, node: str, name: str) -> DataFrame:
     return comps.select(F.col("id").alias(node), F.col("component").alias(name))
 
 
-def node_links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links (a, b) that give the components of ``sets`` (node, n, tokens, hot, share); ``pairs`` are those of rare tokens."""
-    spark = sets.sparkSession
+def _within(a: str, b: str) -> Column:
+    """Two sets without a common rare token: what both have of frequent tokens is enough for their sizes, by ``reach``."""
+    return (F.col(f"{a}low") <= F.col(f"{b}reach")) & (F.col(f"{b}low") <= F.col(f"{a}reach"))
+
+
+def rare_pairs(found: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """Frequent tokens of each node, and the pairs (a, b, votes) whose common tokens can be enough.
+
+    ``found`` is of ``single_tokens``, made from whole sets or from prefixes; of prefixes all later tokens may be common.
+    """
+    often = written(found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("votes").alias("often"), F.max("n_a").alias("n")), "frequent-counts")
+    pairs = found.where("b is not null").groupBy("a", "b", "n_a", "n_b").agg(F.sum("votes").alias("votes"))
+    ends = [often.select(F.col("node").alias(c), F.col("often").alias(f"often_{c}")) for c in ("a", "b")]
+    most = F.col("votes") + F.least(F.coalesce("often_a", F.lit(0)), F.coalesce("often_b", F.lit(0)))
+    if not whole:
+        most += F.greatest(F.col("n_a") - _prefix("n_a"), F.col("n_b") - _prefix("n_b"))
+    pairs = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(100 * most >= LEAST * (F.col("n_a") + F.col("n_b") - most))
+    return often, written(pairs.select("a", "b", "votes"), "rare-pairs")
+
+
+def node_links(sets: DataFrame, pairs: DataFrame, often: DataFrame) -> DataFrame:
+    """Links (a, b) that give the components of ``sets`` (node, n, tokens).
+
+    ``pairs`` are the candidates of rare tokens, ``often`` (node, n, often) the sets whose frequent tokens alone can be
+    enough for a link.
+    """
     ends = F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")
 
-    index = written(combination_index(sets.where("hot")), "combinations")
-    lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("share", "node", "n")).alias("top")).where("m > 1")
+    index = written(combination_index(sets.drop("n").join(often, "node")), "combinations")
+    lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct(F.expr("1000 * often div n"), "node", "n")).alias("top")).where("m > 1")
     lists = written(lists.select("key", F.col("top.node").alias("centre"), F.col("top.n").alias("n_centre")), "lists")
     met = index.join(lists, "key").where((F.col("node") != F.col("centre")) & _near("n", "n_centre"))
     votes = met.groupBy("node", "centre").count()
@@ -244,58 +271,59 @@ def node_links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     comps = written(components(first.where("linked").select("a", "b")), "components")
 
     # stars: the centre (or the node itself), the distance to it, and the component
-    in_star = stars.select("node", "centre", *ends).join(first.where("linked"), ["a", "b"]).select("node", "centre", "distance")
-    member = index.select("node", "n").distinct().join(in_star, "node", "left").join(_named(comps, "node", "component"), "node", "left")
-    member = member.select("node", "n", F.coalesce("centre", "node").alias("centre"), F.coalesce("distance", F.lit(0.0)).alias("distance"), F.coalesce("component", "centre", "node").alias("component"))
+    in_star = stars.select("node", "centre", *ends).join(first.where("linked"), ["a", "b"]).select("node", "centre", "distance").dropDuplicates(["node"])
+    member = often.join(in_star, "node", "left").join(_named(comps, "node", "component"), "node", "left")
+    reach = F.expr(f"floor({100 + LEAST} * often / {LEAST}) - n").alias("reach")
+    member = member.select("node", F.col("n").alias("low"), reach, F.coalesce("centre", "node").alias("centre"), F.coalesce("distance", F.lit(0.0)).alias("distance"), F.coalesce("component", "centre", "node").alias("component"))
     member = written(member, "members")
-    radius = member.groupBy("centre").agg(F.max("distance").alias("radius"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("component").alias("component"))
-    radius = written(radius, "radii")
+    extent = F.max("distance").alias("radius"), F.min("low").alias("low"), F.max("reach").alias("reach"), F.first("component").alias("component")
+    star = written(member.groupBy("centre").agg(*extent), "star-extents")
 
     heads = index.join(lists.select("key"), "key", "left_semi").select("key", "node").join(member.select("node", "centre", "component"), "node").groupBy("key", "centre", "component").agg(F.lit(1).alias("one"))
     heads = written(heads.select("key", "centre", "component"), "heads")
     mixed = heads.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("centre").cast("decimal(20)")).alias("name"), F.count(F.lit(1)).alias("m"))
     mixed = written(mixed.where("low <> high").groupBy("name", "m").agg(F.min("key").alias("key")).select("key"), "mixed")
-    few = heads.join(mixed, "key", "left_semi")
-    x, y = few.select("key", F.col("centre").alias("a"), F.col("component").alias("p")), few.select("key", F.col("centre").alias("b"), F.col("component").alias("q"))
-    across = x.join(y, "key").where("a < b and p <> q").select("a", "b").distinct()
+    few = heads.join(mixed, "key", "left_semi").select("key", "centre").join(star, "centre")
+    x, y = (few.select("key", *[F.col(c).alias(f"{k}_{c}") for c in ("centre", "component", "low", "reach")]) for k in ("a", "b"))
+    apart = (F.col("a_centre") < F.col("b_centre")) & (F.col("a_component") != F.col("b_component"))
+    across = x.join(y, "key").where(apart & _within("a_", "b_")).select(F.col("a_centre").alias("a"), F.col("b_centre").alias("b")).distinct()
+    across = written(across, "centre-pairs")
     rest = pairs.select("a", "b").join(_named(comps, "a", "p"), "a", "left").join(_named(comps, "b", "q"), "b", "left").where("coalesce(p, a) <> coalesce(q, b)").select("a", "b")
-
-    ends_of = radius.select(F.col("centre").alias("a"), F.col("radius").alias("r_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a")), radius.select(F.col("centre").alias("b"), F.col("radius").alias("r_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    across = across.join(ends_of[0], "a").join(ends_of[1], "b").where(f"100 * high_a >= {LEAST} * low_b and 100 * high_b >= {LEAST} * low_a").select("a", "b")
     todo = written(rest.unionByName(across).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "second-pairs")
     second = written(verify(todo, sets), "second-checks")
     links = comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.where("linked").select("a", "b"))
 
-    reach = f"distance - {1 - LEAST / 100}"
-    known = first.select("a", "b", "distance", "linked").unionByName(second).join(across.select("a", "b"), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
-    open_ = written(known.where("not linked").join(ends_of[0], "a").join(ends_of[1], "b").where(f"r_a + r_b + 1e-9 >= {reach}").select("a", "b", "r_a", "r_b", "distance"), "open-pairs")
+    apart_by = f"distance - {1 - LEAST / 100}"
+    radii = [star.select(F.col("centre").alias(c), F.col("radius").alias(f"r_{c}"), F.col("low").alias(f"low_{c}"), F.col("reach").alias(f"reach_{c}")) for c in ("a", "b")]
+    known = first.select("a", "b", "distance", "linked").unionByName(second).join(across, ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+    open_ = written(known.where("not linked").join(radii[0], "a").join(radii[1], "b").where(f"r_a + r_b > 0 and r_a + r_b + 1e-9 >= {apart_by}").drop("linked"), "open-pairs")
     if not open_.isEmpty():
-        links = written(links.unionByName(_members_in_reach(open_, member, sets, reach)), "links")
-    spent = [index, lists, stars, first, member, radius, heads, mixed, todo, open_]
+        links = links.unionByName(_members_in_reach(open_, member, sets, apart_by))
     links = written(links.distinct(), "all-links")
-    forget(*spent, second, comps)
+    forget(index, lists, stars, first, member, star, heads, mixed, across, todo, open_, second, comps)
     return links
 
 
-def _members_in_reach(open_: DataFrame, member: DataFrame, sets: DataFrame, reach: str) -> DataFrame:
+def _members_in_reach(open_: DataFrame, member: DataFrame, sets: DataFrame, apart_by: str) -> DataFrame:
     """Links between members of stars whose centres are not far enough apart.
 
     Members that the triangle inequality leaves are compared with the other centre; what the distances to both centres
     leave is compared with each other.
     """
-    own = member.select("node", "centre", F.col("distance").alias("d"), "n", "component")
-    left = open_.join(own.withColumnRenamed("centre", "a"), "a").where(f"d + r_b + 1e-9 >= {reach}").select("a", "b", F.lit(True).alias("of_a"), "node", "d", "n", "component", "distance")
-    right = open_.join(own.withColumnRenamed("centre", "b"), "b").where(f"d + r_a + 1e-9 >= {reach}").select("a", "b", F.lit(False).alias("of_a"), "node", "d", "n", "component", "distance")
+    own = member.select("node", "centre", F.col("distance").alias("d"), "low", "reach", "component")
+    kept = "a", "b", "node", "d", "low", "reach", "component", "distance"
+    left = open_.join(own.withColumnRenamed("centre", "a"), "a").where(f"d + r_b + 1e-9 >= {apart_by} and low <= reach_b and low_b <= reach").select(*kept, F.lit(True).alias("of_a"))
+    right = open_.join(own.withColumnRenamed("centre", "b"), "b").where(f"d + r_a + 1e-9 >= {apart_by} and low <= reach_a and low_a <= reach").select(*kept, F.lit(False).alias("of_a"))
     near = written(left.unionByName(right), "in-reach")
     asked = near.select(F.col("node").alias("x"), F.when(F.col("of_a"), F.col("b")).otherwise(F.col("a")).alias("y"))
     checked = written(verify(asked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), sets), "reach-checks")
     sides = []
     for of_a, other in ((True, "b"), (False, "a")):
         own = near.where(F.col("of_a") if of_a else ~F.col("of_a")).withColumns({"x": F.least("node", other), "y": F.greatest("node", other)})
-        sides.append(own.join(checked.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("distance").alias("o")), ["x", "y"]).select("a", "b", "node", "d", "o", "n", "component"))
-    p, q = (s.select("a", "b", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "d", "o", "n", "component")]) for s, k in zip(sides, ("p", "q"), strict=True))
+        sides.append(own.join(checked.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("distance").alias("o")), ["x", "y"]).select("a", "b", "node", "d", "o", "low", "reach", "component"))
+    p, q = (s.select("a", "b", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "d", "o", "component")], F.col("low").alias(f"{k}_low"), F.col("reach").alias(f"{k}_reach")) for s, k in zip(sides, ("p", "q"), strict=True))
     far = 1 - LEAST / 100 + 1e-9
-    both = p.join(q, ["a", "b"]).where(_near("n_p", "n_q") & (F.abs(F.col("d_p") - F.col("o_q")) <= far) & (F.abs(F.col("o_p") - F.col("d_q")) <= far) & (F.col("component_p") != F.col("component_q")))
+    both = p.join(q, ["a", "b"]).where(_within("p_", "q_") & (F.abs(F.col("d_p") - F.col("o_q")) <= far) & (F.abs(F.col("o_p") - F.col("d_q")) <= far) & (F.col("component_p") != F.col("component_q")))
     pairs = written(both.select(F.least("node_p", "node_q").alias("a"), F.greatest("node_p", "node_q").alias("b")).distinct(), "last-pairs")
     return checked.where("linked").select("a", "b").unionByName(verify(pairs, sets).where("linked").select("a", "b"))
 
@@ -317,23 +345,20 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     nodes = full.groupBy(*prints).agg(F.min("row").alias("node"), F.any_value("prefix").alias("prefix"))
     found = written(single_tokens(nodes, buckets, rare), "single-tokens")
-    often = written(found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("votes").alias("often"), F.max("n_a").alias("n")), "frequent-counts")
-    hot = often.where(f"often >= {EXTRA} * cast(ceil({LEAST} * n / 100) as long) div 100 + 1").select("node", F.expr("1000 * often div n").alias("share"))
-
-    pairs = found.where("b is not null").groupBy("a", "b", "n_a", "n_b").agg(F.sum("votes").alias("votes"))
-    more = [often.select(F.col("node").alias(c), F.col("often").alias(f"often_{c}")) for c in ("a", "b")]
-    most = F.col("votes") + F.least(F.coalesce("often_a", F.lit(0)), F.coalesce("often_b", F.lit(0))) + F.greatest(F.col("n_a") - _prefix("n_a"), F.col("n_b") - _prefix("n_b"))
-    pairs = pairs.join(more[0], "a", "left").join(more[1], "b", "left").where(100 * most >= LEAST * (F.col("n_a") + F.col("n_b") - most))
-    pairs = written(pairs.select("a", "b", "votes"), "rare-pairs")
+    often, pairs = rare_pairs(found, False)
+    hot = often.where(f"often >= {EXTRA} * cast(ceil({LEAST} * n / 100) as long) div 100 + 1").select("node", "often")
 
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(hot, "node", "full")
     asked = marks.select(F.col("row").alias("node"), "doc_id", *[F.col(c).alias(f"is_{c}") for c in prints]).join(named, "node")
-    asked = written(asked.select("*", F.col("share").isNotNull().alias("hot")), "asked")
+    asked = written(asked, "asked")
     texts = docs.join(F.broadcast(asked) if asked.count() <= MOST_IDS else asked, "doc_id")
     sets = map_texts(texts, _whole, "n_shingles long, print_a long, print_b long, tokens binary", limit=1 << 20)
-    sets = written(sets.where(" and ".join(f"{c} = is_{c}" for c in prints)).select("node", F.col("n_shingles").alias("n"), "tokens", "hot", "share"), "shingle-sets")
+    sets = written(sets.where(" and ".join(f"{c} = is_{c}" for c in prints)).select("node", F.col("n_shingles").alias("n"), "tokens", F.col("often").isNotNull().alias("hot")), "shingle-sets")
 
-    links = node_links(sets, pairs)
+    again = written(single_tokens(sets.where("hot").select("node", F.col("n").alias("n_shingles"), F.col("tokens").alias("prefix")), buckets, rare), "single-tokens")
+    whole, more = rare_pairs(again, True)
+    both = written(pairs.unionByName(more).groupBy("a", "b").agg(F.max("votes").alias("votes")), "all-pairs")
+    links = node_links(sets, both, whole.where(f"100 * often >= {LEAST} * n"))
     same = written(full.groupBy(*prints).agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "equal-sets")
     of_node = written(marks.select("doc_id", *prints).join(same, prints, "left").select("doc_id", "n_shingles", "node", "first_id"), "nodes")
     several = of_node.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("doc_id", "low")
@@ -341,7 +366,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comps = written(components(links.unionByName(repeats)), "components")
     names = of_node.where("doc_id is not null").select("node", "doc_id").join(_named(comps, "node", "component"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = comps.join(names, "component").select(F.col("id").alias("node"), "component_id")
-    forget(marks, found, often, pairs, asked, sets, links, same)
+    forget(marks, found, often, pairs, asked, sets, again, whole, more, both, links, same)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id"))
     return of_node.join(named, "node", "left").select(F.col("doc_id").alias(id_col), "n_shingles", own.alias("component_id"))
 

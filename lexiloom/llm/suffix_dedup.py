@@ -6,16 +6,16 @@ A suffix array of the whole corpus fits no task, so the text is first cut into s
    leftmost of equals). Equal strings have equal anchors at equal places. Consecutive strings with the same anchor
    are one run, about one for 75 bytes; its context is the bytes its strings cover. A run is kept as anchor hash,
    context hash and place, in packed arrays dealt by anchor.
-2. **Grouping.** Runs whose anchor occurs once cannot repeat. Runs with equal contexts repeat as a whole. Of anchors
-   with different contexts, one of each kind is compared.
+2. **Grouping.** Runs whose anchor occurs once cannot repeat. Runs with equal anchors and contexts (two 64-bit hashes)
+   repeat as a whole. Of anchors with different contexts, one of each kind is compared. A task sends one run of each
+   kind it has, so a passage in very many documents is a few runs a task.
 3. **Suffix arrays.** The contexts to compare are cut from the texts and dealt by anchor. A task builds the suffix
    array of a batch of groups by prefix doubling, the common prefixes of neighbours, and from them, with the previous
    and next smaller position in suffix order, the longest previous factor of each place (and, mirrored, the longest
-   following one). A place whose factor has ``size`` bytes starts a repeated string. Groups of more than
-   ``most_contexts`` are counted instead by the hashes of all their strings, one row a string, dealt by that hash.
+   following one). A place whose factor has ``size`` bytes starts a repeated string.
+   Of anchors with very many different contexts, all strings are counted instead by their hash and their anchor's,
+   dealt by the former; a task sends each string once. Both ways find the same places.
 4. **Cutting.** The repeated places of a document are gathered, the bytes they cover removed.
-
-Large groups of equal texts (a bounded list, which is broadcast) send one member through these steps.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import chunks_of, forget, prefix_hash, range_hash, table, written
 
 ANCHOR = 48
-#: Bounds of what is broadcast: large groups of equal texts, keys of documents.
-MOST_GROUPS, MOST_KEYS = 100_000, 1_000_000
+#: Most keys of documents that are broadcast.
+MOST_KEYS = 1_000_000
+#: Bytes of contexts in one suffix array, about.
+BATCH = 1 << 17
 
 
 # -- anchors ----------------------------------------------------------------------------------
@@ -72,32 +74,33 @@ def runs_of(texts: list[bytes], size: int) -> dict[str, np.ndarray]:
 # -- suffix arrays ----------------------------------------------------------------------------
 
 
-def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(symbols: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array, and the common prefix of each suffix with the one before it in suffix order.
 
     Prefix doubling; the ranks of every round are kept, and common prefixes are added up from the longest round down.
+    With ``depth``, doubling ends when so many symbols are compared; longer common prefixes are given as ``depth`` or more.
     """
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
+    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int32)
     rounds, step = [], 1
     while True:
         rounds.append((step, rank))
-        key = rank * (n + 1)
+        key = rank.astype(np.int64) * (n + 1)
         key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable").astype(np.int32)
         sorted_ = key[order]
-        new = np.empty(n, np.int64)
+        new = np.empty(n, np.int32)
         new[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
         rank, step = new, 2 * step
-        if rank.max() == n - 1 or step >= n:
+        if rank.max() == n - 1 or step >= n or (depth and step > depth):
             break
-    common = np.zeros(n, np.int64)
+    common = np.zeros(n, np.int32)
     a, b = order[:-1].copy(), order[1:].copy()
     for step, ranks in reversed(rounds):
         inside = (a + step <= n) & (b + step <= n)
         same = np.zeros(n - 1, bool)
         same[inside] = ranks[a[inside]] == ranks[b[inside]]
-        common[1:] += step * same
+        common[1:] += np.int32(step) * same
         a, b = np.where(same, a + step, a), np.where(same, b + step, b)
         a, b = np.minimum(a, n), np.minimum(b, n)
     return order, common
@@ -111,7 +114,7 @@ def previous_factors(order: np.ndarray, common: np.ndarray, before: np.ndarray)
     """
     n = len(order)
     value = before[order]
-    best = np.zeros(n, np.int64)
+    best = np.zeros(n, np.int32)
     for way in (1, -1):
         x = value if way == 1 else value[::-1]
         low = common.copy() if way == 1 else np.concatenate([[0], common[:0:-1]])
@@ -123,7 +126,7 @@ def previous_factors(order: np.ndarray, common: np.ndarray, before: np.ndarray)
             low[todo], pointer[todo] = np.minimum(low[todo], low[over]), pointer[over]
         found = np.where(pointer >= 0, low, 0)
         best = np.maximum(best, found if way == 1 else found[::-1])
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     out[order] = best
     return out
 
@@ -134,13 +137,13 @@ def repeated_places(contexts: list[bytes], size: int, keep_first: bool) -> np.nd
     With ``keep_first`` only at an earlier one. Matches never cross contexts: each ends with a symbol of its own.
     """
     length = np.array([len(c) for c in contexts])
-    symbols = np.zeros(length.sum() + len(contexts), np.int64)
+    symbols = np.zeros(length.sum() + len(contexts), np.int32)
     ends = np.cumsum(length + 1) - 1
     inside = np.ones(len(symbols), bool)
     inside[ends] = False
     symbols[inside] = np.frombuffer(b"".join(contexts), np.uint8)
     symbols[ends] = 256 + np.arange(len(contexts))
-    order, common = suffix_order(symbols)
+    order, common = suffix_order(symbols, size)
     factor = previous_factors(order, common, np.arange(len(symbols)))
     if not keep_first:
         factor = np.maximum(factor, previous_factors(order, common, -np.arange(len(symbols))))
@@ -185,62 +188,111 @@ def _arrow(df: DataFrame, fn, schema: str, limit: int = 1 << 22) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, keep_first: bool = False, most_contexts: int = 2000, with_text: bool = True) -> DataFrame:
+def _stretches(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings (key, start, count) with those that follow one another put together."""
+    order = np.lexsort((start, key))
+    key, start, count = key[order], start[order].astype(np.int64), count[order].astype(np.int64)
+    head = np.concatenate([[True], (key[1:] != key[:-1]) | (start[1:] > (start + count)[:-1])]) if len(key) else np.zeros(0, bool)
+    at = np.flatnonzero(head)
+    last = np.maximum.reduceat(start + count, at) if len(at) else start
+    return key[at], start[at], last - start[at]
+
+
+def _repeats(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of arrays sorted by ``keys`` (the last decides first): the first entry of each kind, and each kind's size."""
+    head = np.zeros(len(keys[0]), bool)
+    head[:1] = True
+    for k in keys:
+        head[1:] |= k[1:] != k[:-1]
+    at = np.flatnonzero(head)
+    return head, np.diff(np.append(at, len(head)))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, keep_first: bool = False, most_contexts: int = 2000, most_alike: int = 32, with_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary).
 
     Bytes covered by a string of ``size`` bytes that also starts elsewhere are removed, in all places or, with
     ``keep_first``, in all but the first in order of an internal key. Null text counts as empty; texts shorter than
-    ``size`` keep all bytes. Repeated rows are copies of one another. A null id is kept as it is; an empty table gives
+    ``size`` keep all bytes. Rows that repeat an id and a text are copies of one another, or one with ``keep_first``. A null id is kept as it is; an empty table gives
     an empty result. Other columns of ``docs`` are ignored. What is kept need not be valid UTF-8.
+
+    Anchors with over ``most_contexts`` different contexts, or over ``most_alike`` in a task, go by string hashes.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("text")).withColumns({"same": F.xxhash64("text"), "key": F.xxhash64("_id", "text")})
-    groups = rows.select("same", "key", F.octet_length("text").alias("n")).where(F.col("n") >= size).groupBy("same", "n").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")).where("copies > 4")
-    large = {r["same"]: r["key"] for r in groups.orderBy(F.desc("copies"), "same").limit(MOST_GROUPS).collect()}
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("text")).withColumn("key", F.xxhash64("_id", "text"))
+    own = rows.select("key", "text").dropDuplicates(["key"]) if keep_first else rows.select("key", "text")
     total = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 << 20))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 << 20))
+
+    def passed(key, kind, start, count, anchor):
+        """A row whose runs need no other task."""
+        kind = np.full(len(key), kind, np.int32)
+        return {"bucket": buckets + int(key[0] % buckets), "anchors": anchor.tobytes(), "contexts": kind.tobytes(), "keys": key.tobytes(), "starts": start.astype(np.int32).tobytes(), "counts": count.astype(np.int32).tobytes()}
 
     def anchors(batch, texts):
-        same, key = batch.column("same").to_pylist(), batch.column("key").to_numpy()
-        use = [large.get(s, k) == k for s, k in zip(same, key.tolist(), strict=True)]
-        r = runs_of([t if u else b"" for t, u in zip(texts, use, strict=True)], size)
-        columns = {"anchors": r["anchor"], "contexts": r["context"], "keys": key[r["doc"]], "starts": r["start"].astype(np.int32), "counts": r["count"].astype(np.int16)}
-        yield from _by_bucket((r["anchor"] >> np.uint64(16)).astype(np.int64) % buckets, buckets, columns)
+        r = runs_of(texts, size)
+        order = np.lexsort((r["start"], batch.column("key").to_numpy()[r["doc"]], r["context"], r["anchor"]))
+        a, c, start, count, key = r["anchor"][order], r["context"][order], r["start"][order].astype(np.int32), r["count"][order].astype(np.int32), batch.column("key").to_numpy()[r["doc"]][order]
+        if not len(a):
+            return
+        new_a, of_a = _repeats(a)
+        new_c, of_c = _repeats(a, c)
+        copies = np.repeat(of_c, of_c)
+        alike = np.repeat(np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_a)), of_a) > most_alike
+        whole = ~alike & (~new_c if keep_first else copies > 1)
+        if whole.any():
+            k, s, n = _stretches(key[whole], start[whole], count[whole])
+            yield passed(k, 0, s, n, np.zeros(len(k), np.uint64))
+        if alike.any():
+            yield passed(key[alike], 2, start[alike], count[alike], a[alike])
+        # to others: of each kind one run, negative if it is known to repeat; 0 marks an anchor that goes by strings
+        send = np.where(alike, new_a, new_c)
+        told = np.where(alike, 0, np.where(whole, -count, count)).astype(np.int32)
+        columns = {"anchors": a[send], "contexts": c[send], "keys": key[send], "starts": start[send], "counts": told[send]}
+        yield from _by_bucket((a[send] >> np.uint64(16)).astype(np.int64) % buckets, buckets, columns)
 
     def group(pdf):
         import pandas as pd
 
-        a, c = _joined(pdf["anchors"], np.uint64), _joined(pdf["contexts"], np.uint64)
-        key, start, count = _joined(pdf["keys"], np.int64), _joined(pdf["starts"], np.int32), _joined(pdf["counts"], np.int16)
+        a, key, start, count = (_joined(pdf[n], kind) for n, kind in (("anchors", np.uint64), ("keys", np.int64), ("starts", np.int32), ("counts", np.int32)))
+        if pdf["bucket"].iloc[0] >= buckets:
+            return pd.DataFrame({"key": key, "kind": _joined(pdf["contexts"], np.int32), "start": start, "count": count, "anchor": a.view(np.int64)})
+        c = _joined(pdf["contexts"], np.uint64)
+        strings = np.isin(a, a[count == 0])
+        real = count != 0
+        strings, a, c, key, start, count = (x[real] for x in (strings, a, c, key, start, count))
         order = np.lexsort((start, key, c, a))
-        a, c, key, start, count = (x[order] for x in (a, c, key, start, count))
-        new_a = np.concatenate([[True], a[1:] != a[:-1]])
-        new_c = new_a | np.concatenate([[True], c[1:] != c[:-1]])
-        of_c = np.cumsum(new_c) - 1
-        copies = np.bincount(of_c)[of_c]
-        of_a = np.cumsum(new_a) - 1
-        kinds = np.bincount(of_a, new_c)[of_a]
-        whole = copies > 1 if not keep_first else ~new_c
-        ask = new_c & (kinds > 1)
+        strings, a, c, key, start, count = (x[order] for x in (strings, a, c, key, start, count))
+        new_a, of_a = _repeats(a)
+        new_c, of_c = _repeats(a, c)
+        kinds = np.repeat(np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_a)), of_a) if len(a) else of_a
+        known = count < 0
+        many = np.repeat(of_c, of_c) > 1
+        if len(a):
+            many |= np.repeat(np.logical_or.reduceat(known, np.flatnonzero(new_c)), of_c)
+        whole = ~new_c if keep_first else many & ~known
+        strings |= kinds > most_contexts
+        ask = new_c & ((kinds > 1) | strings)
+        count = np.abs(count)
         out = []
-        for rows_, kind in ((whole, 0), (ask & (kinds <= most_contexts), 1), (ask & (kinds > most_contexts), 2)):
-            out.append(pd.DataFrame({"key": key[rows_], "kind": np.int32(kind), "start": start[rows_], "count": count[rows_].astype(np.int32), "anchor": a[rows_].view(np.int64)}))
+        for rows_, kind in ((whole, 0), (ask & ~strings, 1), (ask & strings, 2)):
+            out.append(pd.DataFrame({"key": key[rows_], "kind": np.int32(kind), "start": start[rows_], "count": count[rows_], "anchor": a[rows_].view(np.int64)}))
         return pd.concat(out)
 
-    packed = _arrow(rows.select("text", "same", "key"), anchors, "bucket int, anchors binary, contexts binary, keys binary, starts binary, counts binary")
+    packed = _arrow(own, anchors, "bucket int, anchors binary, contexts binary, keys binary, starts binary, counts binary")
     places = "key long, kind int, start int, count int, anchor long"
     found = written(packed.groupBy("bucket").applyInPandas(group, places), "runs")
 
     asked = found.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("kind", "start", "count", "anchor")).alias("asked"))
     asked = written(asked, "asked")
-    texts = rows.select("key", "text")
-    names = asked.select("key")
+    texts = own
     if asked.count() <= MOST_KEYS:
-        texts = texts.join(F.broadcast(names), "key", "left_semi")
+        texts = texts.join(F.broadcast(asked.select("key")), "key", "left_semi")
     texts = texts.join(asked, "key")
 
     def cut(batch, texts_):
+        string: list[tuple] = []
         for key, text_, asks in zip(batch.column("key").to_pylist(), texts_, batch.column("asked").to_pylist(), strict=True):
             sums = prefix_hash(np.frombuffer(text_, np.uint8)) if any(x["kind"] == 2 for x in asks) else None
             by: dict[int, list] = {}
@@ -249,54 +301,69 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     by.setdefault((x["anchor"] >> 16) % buckets, []).append(x)
                 else:
                     at = np.arange(x["start"], x["start"] + x["count"])
-                    h = range_hash(sums, at, at + size)
-                    for b in np.unique(h % np.uint64(buckets)):
-                        own = h % np.uint64(buckets) == b
-                        yield {"bucket": buckets + int(b), "key": key, "starts": at[own].astype(np.int32).tobytes(), "numbers": h[own].tobytes(), "counts": b"", "bytes": b""}
+                    string.append((range_hash(sums, at, at + size), np.full(len(at), key), at.astype(np.int32), np.full(len(at), x["anchor"])))
             for b, own in by.items():
                 pieces = [text_[x["start"] : x["start"] + x["count"] - 1 + size] for x in own]
                 yield {"bucket": b, "key": key, "starts": np.array([x["start"] for x in own], np.int32).tobytes(), "numbers": np.array([x["anchor"] for x in own], np.int64).tobytes(), "counts": np.array([x["count"] for x in own], np.int32).tobytes(), "bytes": b"".join(pieces)}
+        if not string:
+            return
+        h, key, at, anchor = (np.concatenate(x) for x in zip(*string, strict=True))
+        order = np.lexsort((at, key, anchor, h))
+        h, key, at, anchor = h[order], key[order], at[order], anchor[order]
+        new, of = _repeats(h, anchor)
+        gone = ~new if keep_first else np.repeat(of, of) > 1
+        if gone.any():
+            k, s, n = _stretches(key[gone], at[gone], np.ones(int(gone.sum()), np.int64))
+            yield {"bucket": 2 * buckets + int(k[0] % buckets), "key": 0, "starts": s.astype(np.int32).tobytes(), "numbers": k.tobytes(), "counts": n.astype(np.int32).tobytes(), "bytes": b""}
+        h, key, at, anchor, gone = h[new], key[new], at[new], anchor[new], gone[new]
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        for row in _by_bucket(bucket, buckets, {"starts": at, "numbers": h, "counts": gone.astype(np.int32), "bytes": np.stack([key, anchor], 1)}):
+            yield row | {"bucket": buckets + row["bucket"], "key": 0}
 
     def compare(pdf):
         import pandas as pd
 
+        def result(key, start, count):
+            key, start, count = _stretches(key, start, count)
+            return pd.DataFrame({"key": key, "start": start.astype(np.int32), "count": count.astype(np.int32)})
+
+        kind = int(pdf["bucket"].iloc[0]) // buckets
         sizes = [len(x) // 4 for x in pdf["starts"]]
-        key, start = np.repeat(pdf["key"].to_numpy(np.int64), sizes), _joined(pdf["starts"], np.int32)
-        number = _joined(pdf["numbers"], np.int64)
-        if pdf["bucket"].iloc[0] >= buckets:  # strings by hash
-            order = np.lexsort((start, key, number))
-            key, start, number = key[order], start[order], number[order]
-            new = np.concatenate([[True], number[1:] != number[:-1]])
-            of = np.cumsum(new) - 1
-            good = ~new if keep_first else np.bincount(of)[of] > 1
-            return pd.DataFrame({"key": key[good], "kind": np.int32(0), "start": start[good], "count": np.int32(1), "anchor": np.int64(0)})
-        count = _joined(pdf["counts"], np.int32)
-        contexts = []
-        for counts, blob in zip(pdf["counts"], pdf["bytes"], strict=True):
-            edge = np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int32).astype(np.int64) - 1 + size)])
-            contexts += [blob[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        start, number, count = (_joined(pdf[n], t) for n, t in (("starts", np.int32), ("numbers", np.int64), ("counts", np.int32)))
+        if kind == 2:  # known to repeat
+            return result(number, start, count)
+        if kind == 1:  # strings by their hash and their anchor's
+            key, anchor = _joined(pdf["bytes"], np.int64).reshape(-1, 2).T
+            order = np.lexsort((start, key, anchor, number))
+            key, anchor, start, number, known = key[order], anchor[order], start[order], number[order], count[order] > 0
+            new, of = _repeats(number, anchor)
+            many = (np.repeat(of, of) > 1) | np.repeat(np.logical_or.reduceat(known, np.flatnonzero(new)), of)
+            good = ~new if keep_first else many
+            return result(key[good], start[good], np.ones(int(good.sum()), np.int64))
+        key = np.repeat(pdf["key"].to_numpy(np.int64), sizes)
+        length = count.astype(np.int64) - 1 + size
+        blob = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
+        base = np.concatenate([[0], np.cumsum(length)])
         order = np.lexsort((start, key, number))
-        out, batch, held = [], [], 0
         edges = np.append(np.flatnonzero(np.diff(number[order])) + 1, len(order))
-        at = 0
+        out, first, held, at = [], 0, 0, 0
         for edge in edges:
-            batch += order[at:edge].tolist()
-            held += int((count[order[at:edge]] - 1 + size).sum())
+            held += int(length[order[at:edge]].sum())
             at = edge
-            if held < 1 << 20 and edge < len(order):
+            if held < BATCH and edge < len(order):
                 continue
-            base = np.concatenate([[0], np.cumsum([len(contexts[i]) for i in batch])])
-            place = repeated_places([contexts[i] for i in batch], size, keep_first)
-            own = np.searchsorted(base, place, side="right") - 1
-            which = np.array(batch)[own]
-            out.append(pd.DataFrame({"key": key[which], "kind": np.int32(0), "start": (start[which] + place - base[own]).astype(np.int32), "count": np.int32(1), "anchor": np.int64(0)}))
-            batch, held = [], 0
+            batch = order[first:edge]
+            place = repeated_places([blob[base[i] : base[i + 1]].tobytes() for i in batch], size, keep_first)
+            begin = np.concatenate([[0], np.cumsum(length[batch])])
+            own = np.searchsorted(begin, place, side="right") - 1
+            out.append(result(key[batch[own]], start[batch[own]] + place - begin[own], np.ones(len(place), np.int64)))
+            first, held = edge, 0
         return pd.concat(out)
 
     contexts = _arrow(texts, cut, "bucket int, key long, starts binary, numbers binary, counts binary, bytes binary")
-    compared = contexts.groupBy("bucket").applyInPandas(compare, places)
+    compared = contexts.groupBy("bucket").applyInPandas(compare, "key long, start int, count int")
 
-    both = found.where("kind = 0").select("key", "start", "count").unionByName(compared.select("key", "start", "count"))
+    both = found.where("kind = 0").select("key", "start", "count").unionByName(compared)
     spans = written(both.groupBy("key").agg(F.collect_list(F.struct("start", "count")).alias("spans")), "spans")
 
     out = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
@@ -304,20 +371,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def trim(batch, texts_):
         have = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * len(texts_)
-        for id_, same, key, text_, own in zip(batch.column("_id").to_pylist(), batch.column("same").to_pylist(), batch.column("key").to_pylist(), texts_, have, strict=True):
+        for id_, text_, own in zip(batch.column("_id").to_pylist(), texts_, have, strict=True):
             n = len(text_)
             edge = np.zeros(n + 1, np.int32)
             for x in own or ():
                 edge[x["start"]] += 1
                 edge[x["start"] + x["count"] - 1 + size] -= 1
             gone = np.cumsum(edge[:n]) > 0
-            if same in large and n >= size and not (keep_first and large[same] == key):
-                gone[:] = True
             kept = np.frombuffer(text_, np.uint8)[~gone].tobytes()
             heads = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
             yield {"_id": id_, "n_bytes": n, "n_removed": n - len(kept), "n_spans": heads, "kept_sha256": hashlib.sha256(kept).hexdigest()} | ({"kept": kept} if with_text else {})
 
-    columns = ["_id", "text", "same", "key"]
+    columns = ["_id", "text", "key"]
     if spans.count() <= MOST_KEYS:
         names = F.broadcast(spans.select("key"))
         with_spans = rows.select(columns).join(names, "key", "left_semi").join(spans, "key")

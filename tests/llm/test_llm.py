@@ -118,8 +118,8 @@ def test_suffix_order_and_factors():
     assert got.tolist() == [max([lcp(i, j) for j in range(i)], default=0) for i in range(len(text))]
 
 
-@pytest.mark.parametrize("most", [2000, 1])
-def test_suffix_dedup_brute_force(spark, docs, none, most):
+@pytest.mark.parametrize("most, alike", [(2000, 32), (1, 32), (2000, 1)])
+def test_suffix_dedup_brute_force(spark, docs, none, most, alike):
     rng = np.random.RandomState(1)
     letters = list("abcdefgh ")
     piece = ["".join(rng.choice(letters, n)) for n in (250, 320, 199, 900)]
@@ -127,7 +127,7 @@ def test_suffix_dedup_brute_force(spark, docs, none, most):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     raw = [(t or "").encode() for t in texts]
     seen = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df, most_contexts=most).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df, most_contexts=most, most_alike=alike).collect()}
     for k, t in enumerate(raw):
         gone = np.zeros(len(t), bool)
         for i in range(len(t) - 199):
