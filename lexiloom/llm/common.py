@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset and Spark runs in one JVM."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -144,11 +147,6 @@ def words_of(texts: list[bytes], lower: bool = True):
     return data, starts, ends, doc, range_hash(prefix_hash(data), starts, ends)
 
 
-def as_bytes(series) -> list[bytes]:
-    """UTF-8 of each text; null is empty."""
-    return [b"" if not isinstance(t, str) else t.encode("utf-8", "surrogatepass") for t in series]
-
-
 # -- connected components ---------------------------------------------------------------------
 
 
@@ -185,7 +183,8 @@ def map_texts(df: DataFrame, fn, new: str, text_col: str = "text", limit: int =
     """``df`` without ``text_col`` and with the columns of the schema string ``new``, made by ``fn``.
 
     ``fn`` takes a list of UTF-8 byte strings (null is empty) of about ``limit`` bytes in all, or one longer text, and
-    returns a dict of sequences of the same length. The other columns pass through as they are, nulls included.
+    returns a dict of sequences, or Arrow arrays, of the same length. The other columns pass through as they are, nulls
+    included.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
@@ -202,7 +201,7 @@ def map_texts(df: DataFrame, fn, new: str, text_col: str = "text", limit: int =
             for first, last in chunks_of(texts, limit):
                 got = fn(texts[first:last])
                 arrays = [batch.column(f.name).slice(first, last - first) for f in kept]
-                arrays += [pa.array(got[f.name], type=k) for f, k in zip(added.fields, kinds, strict=True)]
+                arrays += [got[f.name].cast(k) if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], type=k) for f, k in zip(added.fields, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.mapInArrow(run, schema)

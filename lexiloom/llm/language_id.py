@@ -75,7 +75,7 @@ def fit(sample: DataFrame, label: str = "lang", text_col: str = "text", dim: int
         return None
     rng = np.random.RandomState(seed)
     order = rng.permutation(len(rows))
-    xs = [(np.frombuffer(rows[i]["buckets"], np.int32), np.frombuffer(rows[i]["counts"], np.float32).astype(float)) for i in order]
+    xs = [(np.frombuffer(rows[i]["buckets"], np.int32), np.frombuffer(rows[i]["counts"], np.float32)) for i in order]
     ys = [labels.index(rows[i][label]) for i in order]
     embed = rng.uniform(-0.1, 0.1, (BUCKETS, dim))
     layer, offset = rng.uniform(-0.1, 0.1, (dim, len(labels))), np.zeros(len(labels))
@@ -142,4 +142,4 @@ def learn(docs: DataFrame, per_label: int = 500, id_col: str = "doc_id") -> Lang
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), learn(docs))
-    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")

@@ -185,6 +185,14 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def _lists(arrays: list[np.ndarray]):
+    """An Arrow list array of integer arrays, without a Python object a number."""
+    import pyarrow as pa
+
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate(arrays).astype(np.int32))
+
+
 def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` without its text and with ids, begins and ends, array<int> each (byte offsets, end exclusive), and aligned.
 
@@ -201,7 +209,7 @@ def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> D
             begins, ends, aligned = m.spans(text, ids)
             for name, value in (("ids", ids), ("begins", begins), ("ends", ends), ("aligned", aligned)):
                 out[name].append(value)
-        return out
+        return out | {name: _lists(out[name]) for name in ("begins", "ends")}
 
     return map_texts(docs, run, "ids array<int>, begins array<int>, ends array<int>, aligned boolean", text_col, 1 << 20)
 
@@ -214,7 +222,9 @@ def decode_documents(encoded: DataFrame, model: bytes, ids_col: str = "ids") ->
 
         m = _model(model)
         for batch in (b.slice(first, 256) for b in batches for first in range(0, b.num_rows, 256)):
-            texts = m.library.decode([x or [] for x in batch.column(ids_col).to_pylist()], num_threads=1)
+            ids = batch.column(ids_col)
+            flat, cut = ids.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()]).tolist()
+            texts = m.library.decode([flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], num_threads=1)
             columns = {f: batch.column(f) for f in batch.schema.names if f != "text"} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

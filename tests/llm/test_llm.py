@@ -68,11 +68,26 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
-def test_directory_doubles_only_overfull_buckets():
-    loads = np.zeros(16, int)
-    loads[[1, 5, 9, 13]] = 3
-    depth, slots = exact_dedup.split_directory(loads, 6)
-    assert depth == 3 and slots[1] != slots[5] and slots[0] == slots[2]
+@pytest.mark.parametrize("bits", [0, 6])
+def test_directory_doubles_only_overfull_buckets(spark, bits):
+    rng = np.random.RandomState(3)
+    values = sorted({int(v) << bits for v in rng.randint(0, 2**12, 400)} | {-1, -2, 5, 2**62})
+    hashes = spark.createDataFrame([(v,) for v in values], "_hash long")
+    directory, depth = exact_dedup.make_directory(hashes, 6)
+    slots = {r[0]: r.bucket for r in directory.collect()}
+    held, names = defaultdict(int), defaultdict(set)
+    for v in values:
+        held[slots[v & ((1 << depth) - 1)]] += 1
+    for slot, bucket in slots.items():
+        names[bucket].add(slot)
+        own = bucket.bit_length() - 1  # its depth
+        assert slot & ((1 << own) - 1) == bucket - (1 << own)
+    assert max(held.values()) <= 6
+    for bucket in held:
+        own = bucket.bit_length() - 1
+        if own:
+            low = (bucket - (1 << own)) & ((1 << own - 1) - 1)
+            assert sum(v & ((1 << own - 1) - 1) == low for v in values) > 6 and len(names[bucket]) == 1 << depth - own
 
 
 def shingles(text):
@@ -323,3 +338,26 @@ def test_pipeline_stages(spark, sf):
             assert ids.where("doc_id <> component_id").count() == 0
         before = after
     assert before.where("not round_trip").count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, none):
+    import corpus_pipeline
+
+    rows = [(13, "kept text", "en", "a", 9), (13, "twin", "en", "a", 4), (20, "twin", "fr", "b", 4), (7, "same", "en", "a", 4), (7, "same", "en", "a", 4), (7, "same", "de", "a", 4), (None, "same", "en", "a", 4), (None, "alone", None, None, None),
+            (5, None, "en", "a", None), (5, "", "en", "a", 0), (None, BASE, "en", "a", 1), (30, BASE.upper(), "en", "a", 1), (31, BASE + " and later", "en", "a", 1), (40, "z " * 5000, "en", "b", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("clash")).withColumn("_key", F.lit("clash")).withColumn("component_id", F.lit("clash"))
+    got = [(r.doc_id, r.text or "") for r in corpus_pipeline.exact(spark, df, "").collect()]
+    want = {}
+    for i, t, *_ in rows:
+        want[t or ""] = max(want.get(t or "", -1), -1 if i is None else i)
+    assert sorted((-1 if i is None else i, t) for i, t in got) == sorted((i, t) for t, i in want.items())
+    near = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, df, "").collect()]
+    assert sum(t is not None and t.lower().startswith("the quick") for _, t in near) == 1 and (30, BASE.upper()) in near
+    assert sorted(t for _, t in near if t in ("same", "twin", "kept text", "alone")) == ["alone", "kept text", "same", "twin"] and (13, "twin") in near
+    assert [i for i, t in near if not t] == [5, 5]
+    mixed = corpus_pipeline.mix(spark, df, "")
+    assert mixed.columns == corpus_pipeline.COLUMNS and mixed.where("text = ''").count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
+    assert corpus_pipeline.pieces(spark, df, "").count() == len(rows)
+    assert corpus_pipeline.language(spark, docs, "").columns == corpus_pipeline.COLUMNS
