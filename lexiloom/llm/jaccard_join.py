@@ -48,7 +48,7 @@ K = 3
 #: Nodes whose texts are looked up by a broadcast; more are looked up by a shuffle.
 MOST_IDS = 250_000
 #: Tokens that a task sorts at once.
-TOKENS = 1 << 22
+TOKENS = 1 << 20
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -341,7 +341,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.withColumn("row", F.monotonically_increasing_id())
     marks = written(map_texts(keyed, _marks, "n_shingles long, print_a long, print_b long, prefix binary", limit=1 << 20), "shingle-prefixes")
     full = marks.where("n_shingles > 0 and doc_id is not null")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() // 5000)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() // 2500)
 
     nodes = full.groupBy(*prints).agg(F.min("row").alias("node"), F.any_value("prefix").alias("prefix"))
     found = written(single_tokens(nodes, buckets, rare), "single-tokens")
