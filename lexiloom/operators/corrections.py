@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import base_form
+from lexiloom.operators.propagation import overlap_resolve
 
 
 def correction_validity(corrections: DataFrame, docs: DataFrame) -> DataFrame:
@@ -143,16 +144,40 @@ def split_decisions(occurrences: DataFrame) -> DataFrame:
     return both.where("accepted > 0 and rejected > 0")
 
 
+def _live(corrections: DataFrame) -> DataFrame:
+    """The accepted corrections that change something, one a document and original: the first."""
+    good = corrections.where("status = 'accepted' and trim(corrected) <> '' and original <> corrected and not contains(corrected, '\n')")
+    return good.groupBy("doc_id", "original").agg(F.min("seq").alias("seq"), F.min_by("corrected", "seq").alias("corrected"), F.lit("accepted").alias("status"))
+
+
+def live_spans(docs: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Where live corrections stand: doc_id, original, corrected, pos, end, shadowed (by a longer one, then an earlier one)."""
+    live = _live(corrections)
+    places = occurrence_index(live, docs).where("pos is not null").select("doc_id", "original", "pos", "end")
+    return places.join(overlap_resolve(places), ["doc_id", "pos", "end"]).join(live.select("doc_id", "original", "corrected"), ["doc_id", "original"])
+
+
 def apply_to_corpus(docs: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Texts with all accepted corrections applied, substrings too, the longest original first.
+    """Texts with all accepted corrections applied where they stand in the text as it was, substrings too.
 
-    A document's few corrections are gathered in one row and folded over its text.
+    Of overlapping places the longest, then the first, is taken. A text is cut at its places and put together again,
+    so nothing that one correction writes is changed by another. Texts without a correction stay; null stays null.
     """
-    good = corrections.where("status = 'accepted' and trim(corrected) <> '' and original <> corrected and not contains(corrected, '\n')")
-    one = good.groupBy("doc_id", "original").agg(F.min_by("corrected", "seq").alias("corrected"))
-    each = one.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.length("original")).alias("n"), "original", "corrected"))).alias("edits"))
-    text = F.aggregate(F.coalesce("edits", F.array().cast("array<struct<n:int,original:string,corrected:string>>")), F.col("text"), lambda t, e: F.replace(t, e["original"], e["corrected"]))
-    return docs.select("doc_id", "text").join(each, "doc_id", "left").select("doc_id", text.alias("text"), F.coalesce(F.size("edits"), F.lit(0)).alias("n_edits"))
+    spans = live_spans(docs, corrections).where("not shadowed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "end", "corrected"))).alias("spans"))
+    before = "cast(coalesce(get(spans, i - 1).end, 0) as int)"
+    pieces = f"array_join(transform(spans, (x, i) -> concat(substring(text, {before} + 1, cast(x.pos as int) - {before}), x.corrected)), '')"
+    text = F.expr(f"concat({pieces}, substring(text, cast(get(spans, size(spans) - 1).end as int) + 1))")
+    return docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", F.coalesce(text, "text").alias("text"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_edits"))
+
+
+def apply_detail(docs: DataFrame, corrections: DataFrame) -> DataFrame:
+    """By document and original: how often it was replaced, how often a longer one was there, and the outcome."""
+    each = live_spans(docs, corrections).groupBy("doc_id", "original").agg(F.count_if(~F.col("shadowed")).alias("replaced"), F.count_if("shadowed").alias("shadowed"))
+    live = _live(corrections).select("doc_id", "original", F.lit(True).alias("live"))
+    asked = corrections.groupBy("doc_id", "original").agg(F.bool_or(F.col("status") == "accepted").alias("accepted"))
+    both = asked.join(live, ["doc_id", "original"], "left").join(each, ["doc_id", "original"], "left")
+    outcome = F.when(~F.col("accepted"), "not_accepted").when(F.col("live").isNull(), "void").when(F.col("replaced").isNull(), "not_found").when(F.col("replaced") == 0, "consumed").when(F.col("shadowed") > 0, "partial").otherwise("applied")
+    return both.select("doc_id", "original", F.coalesce("replaced", F.lit(0)).alias("replaced"), F.coalesce("shadowed", F.lit(0)).alias("shadowed"), outcome.alias("outcome"))
 
 
 def dictionary_revalidate(corrections: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -182,12 +207,35 @@ def demote_by_reason(corrections: DataFrame) -> DataFrame:
 # -- guards: one ordered chain ----------------------------------------------------------------
 
 
+# Korean digits and units, surnames of person names.
+DIGITS, SMALL_UNITS, LARGE_UNITS = ("", "일", "이", "삼", "사", "오", "육", "칠", "팔", "구"), ("", "십", "백", "천"), ("", "만", "억", "조")
+SURNAMES = ("김", "이", "박", "최", "정", "강", "조", "윤", "장", "임")
+
+
 def _strip(col: str, pattern: str) -> Column:
     return F.regexp_replace(col, pattern, "")
 
 
+def _spaces(col: str) -> Column:
+    """After how many letters, spaces left out, each space stands."""
+    return F.expr(f"transform(sequence(1, size(split({col}, ' '))), i -> length(array_join(slice(split({col}, ' '), 1, i), '')))")
+
+
+def number_reading(digits: str) -> Column:
+    """The Korean reading of a run of up to 16 digits: a digit and its unit at each place, and a large unit every four places."""
+    array = lambda values: "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+    digit, place = f"cast(substring({digits}, i, 1) as int)", f"(length({digits}) - i)"
+    four = f"cast(cast({digits} as bigint) / pow(10, 4 * ({place} div 4)) as bigint) % 10000"
+    small = f"if({digit} = 0, '', concat(if({digit} = 1 and {place} % 4 > 0, '', {array(DIGITS)}[{digit}]), {array(SMALL_UNITS)}[{place} % 4]))"
+    large = f"if({place} % 4 = 0 and {four} > 0, {array(LARGE_UNITS)}[{place} div 4], '')"
+    return F.expr(f"regexp_replace(array_join(transform(sequence(1, length({digits})), i -> concat({small}, {large})), ''), '^일만', '만')")
+
+
 def guards() -> dict[str, Column]:
-    """The guards in order; each is true where the correction is to be dropped."""
+    """The guards in order; each is true where the correction is to be dropped. They hold for words of any script.
+
+    ``compound_join`` asks for joined words of 4 to 14 letters, without a noun test, which needs an analyser.
+    """
     o, c = F.col("original"), F.col("corrected")
     typo = F.col("source") == "ai_typo"
     count = lambda col, ch: F.length(col) - F.length(F.replace(col, F.lit(ch), F.lit("")))
@@ -195,21 +243,38 @@ def guards() -> dict[str, Column]:
     differ = o != c
     same_without = lambda pattern: differ & (_strip("original", pattern) == _strip("corrected", pattern))
     letters = lambda col: F.array_sort(F.split(_strip(col, r"\s"), ""))
+    middot = lambda marks: o.rlike(f"[{marks}]") & differ & (F.regexp_replace(_strip("original", r"\s"), f"[{marks}]", "·") == _strip("corrected", r"\s"))
+    clause = lambda col: F.regexp_replace(col, "([0-9]),([0-9])", "$1$2")
+    commas = lambda col: F.length(clause(col)) - F.length(F.replace(clause(col), F.lit(","), F.lit("")))
+    of, cf = _spaces("original"), _spaces("corrected")
+    only_spaces = differ & (F.replace(o, F.lit(" "), F.lit("")) == F.replace(c, F.lit(" "), F.lit("")))
+    joined = F.expr("forall(array_except(split(corrected, ' '), split(original, ' ')), x -> x rlike '^\\\\p{L}{4,14}$')")
+    kernel = lambda col: _strip(col, r"[\s,.()·;:]")
+    run = r"^([^0-9]*)([0-9]{1,16})([^0-9]*)$"
+    part = lambda n: F.regexp_extract(o, run, n)
+    reading = F.when(o.rlike(run), F.concat(part(1), number_reading(f"regexp_extract(original, '{run}', 2)"), part(3)))
+    changed = F.expr("filter(zip_with(split(original, ' '), split(corrected, ' '), (a, b) -> named_struct('a', a, 'b', b)), x -> x.a <> x.b)")
+    shared = "size(filter(sequence(1, greatest(1, least(length(x.a), length(x.b)))), i -> left(x.a, i) = left(x.b, i)))"
+    edits = F.expr(f"transform(filter(zip_with(split(original, ' '), split(corrected, ' '), (a, b) -> named_struct('a', a, 'b', b)), x -> x.a <> x.b), x -> concat(substring(x.a, {shared} + 1), '>', substring(x.b, {shared} + 1), '>', if({shared} >= 2, 'y', 'n')))")
     return {
         "nonkr_trim": typo & ~o.rlike(r"[가-힣]") & F.startswith(o, c) & (F.length(c) < F.length(o)) & (F.length(c) > 0),
         "bracket_change": typo & (unbalanced("original") > 0) & (unbalanced("original") != unbalanced("corrected")),
-        "english_gloss": ~o.rlike("[A-Za-z]") & differ & (_strip("corrected", r"\([A-Za-z ]+\)") == o),
+        "english_gloss": ~o.rlike("[A-Za-z]") & differ & (_strip("corrected", r"\s*[(（][^()（）]*[A-Za-z][^()（）]*[)）]") == o),
         "bulk_delete": typo & (F.length(o) - F.length(c) >= 10),
         "number_change": o.rlike("[0-9]") & same_without("[0-9]"),
         "latin_to_hangul": o.rlike(r"^[A-Za-z ]+$") & c.rlike(r"^[가-힣 ]+$"),
         "hyphen_space": same_without("[- ]") & ((count("original", "-") > 0) | (count("corrected", "-") > 0)),
-        "dash_to_middot": differ & (F.translate(o, "–—-", "···") == c),
-        "colon_to_middot": differ & (F.translate(o, ":", "·") == c),
-        "compound_split": typo & ~o.contains(" ") & c.contains(" ") & (F.replace(c, F.lit(" "), F.lit("")) == o),
-        "compound_join": o.contains(" ") & ~c.contains(" ") & (F.replace(o, F.lit(" "), F.lit("")) == c),
-        "comma_edit": same_without(","),
+        "dash_to_middot": middot("–—-"),
+        "citation_reformat": o.rlike(r"^\(?[^()0-9]+[0-9]{4}[a-z]?\)?$") & differ & (kernel("original") == kernel("corrected")),
+        "colon_to_middot": middot(":："),
+        "compound_split": typo & only_spaces & (F.size(cf) > F.size(of)) & (F.size(F.array_except(of, cf)) == 0),
+        "compound_join": only_spaces & (F.size(cf) < F.size(of)) & (F.size(F.array_except(cf, of)) == 0) & joined,
+        "comma_edit": same_without(",") & (commas("original") != commas("corrected")),
+        "numeral_to_hangul": F.coalesce(reading == c, F.lit(False)),
         "latin_case": differ & (F.lower(o) == F.lower(c)),
+        "grammar_rewrite": (F.size(F.split(o, " ")) == F.size(F.split(c, " "))) & (F.size(changed) >= 2) & F.forall(edits, lambda e: e.endswith("y")) & (F.size(F.array_distinct(edits)) >= 2),
         "syllable_reorder": typo & differ & (F.length(o) == F.length(c)) & (letters("original") == letters("corrected")),
+        "name_join": o.rlike(f"^({'|'.join(SURNAMES)})( [가-힣]){{1,3}}$") & (F.replace(o, F.lit(" "), F.lit("")) == c),
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import base_form
@@ -28,12 +28,15 @@ def covered_suppress(flags: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def overlap_resolve(occurrences: DataFrame) -> DataFrame:
-    """Greedy choice among overlapping occurrences, the longest first; losers are shadowed.
+    """Greedy choice among overlapping occurrences, the longest first, then the first; losers are shadowed.
 
-    A document's occurrences are folded in one row, in order of length, then place.
+    A sweep in order of place cuts a document's occurrences into clusters that overlap; only a cluster's few are folded.
     """
     o = occurrences.where("pos is not null").select("doc_id", "pos", "end").distinct()
-    rows = o.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((F.col("pos") - F.col("end")).alias("n"), "pos", "end"))).alias("spans"))
+    w = Window.partitionBy("doc_id").orderBy("pos", "end")
+    furthest = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    o = o.withColumn("first", (F.coalesce(furthest, F.lit(-1)) <= F.col("pos")).cast("int")).withColumn("cluster", F.sum("first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = o.groupBy("doc_id", "cluster").agg(F.sort_array(F.collect_list(F.struct((F.col("pos") - F.col("end")).alias("n"), "pos", "end"))).alias("spans"))
     none = F.array().cast("array<struct<n:bigint,pos:bigint,end:bigint>>")
     kept = F.aggregate("spans", none, lambda a, x: F.when(F.exists(a, lambda y: (y["pos"] < x["end"]) & (x["pos"] < y["end"])), a).otherwise(F.concat(a, F.array(x))))
     each = rows.withColumn("kept", kept).select("doc_id", "kept", F.explode("spans").alias("s"))

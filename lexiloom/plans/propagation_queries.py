@@ -8,7 +8,7 @@ from lexiloom.operators import consistency, corrections
 from lexiloom.operators import lexicon as lex
 from lexiloom.operators import propagation as op
 from lexiloom.plans.consistency_queries import CANDIDATES, MASKED, VARIANTS, VERDICT, _docs, _tokens, _variants
-from lexiloom.plans.correction_queries import ERRATA, _c, _occ
+from lexiloom.plans.correction_queries import ERRATA, OCC, RESOLVED, _c, _occ
 from lexiloom.plans.lexicon_queries import EXACT_ALL, FALLBACK, NAMES_ALL, PAIRS, SCREEN, WORDS, _exceptions, _pairs
 from lexiloom.sources import exports
 from lexiloom.sources.tables import duck, lexicon, lines
@@ -91,7 +91,7 @@ ALL = {
         lambda s, d: op.covered_suppress(_flags(s, d), _c(s, d)),
         duck("tokens lexicon corrections", "SELECT f.doc_id, f.word, count(c.doc_id) > 0 AS held FROM f LEFT JOIN (SELECT DISTINCT doc_id, lower(original) AS o FROM corrections) c ON c.doc_id = f.doc_id AND (contains(o, word) OR contains(word, o)) GROUP BY ALL", **SCREENED, f=FLAGS),
     ),
-    "overlap_resolve": (lambda s, d: op.overlap_resolve(_occ(s, d)), None),
+    "overlap_resolve": (lambda s, d: op.overlap_resolve(_occ(s, d)), duck(C, RESOLVED, places=OCC)),
     "apply_reclassify": (
         lambda s, d: op.apply_reclassify(corrections.errata_rows(_c(s, d)), corrections.subset_relation(_c(s, d))),
         duck(C, """SELECT e.doc_id, e.seq, e.original, CASE WHEN outcome <> 'applied' AND EXISTS (SELECT 1 FROM sub s JOIN e a ON a.doc_id = s.doc_id AND a.original = s.longer AND a.outcome = 'applied' WHERE s.doc_id = e.doc_id AND s.original = e.original) THEN 'consumed' ELSE outcome END AS outcome FROM e""",

@@ -70,9 +70,16 @@ GUARD_CASES = [
     ("reading room", "reading", "ai_typo"), ("left (open", "left (open)", "ai_typo"), ("한글", "한글(hangul)", "ai_typo"), ("a sentence that goes", "none", "ai_typo"), ("page 12", "page 13", "ai_polish"),
     ("seoul", "서울", "ai_polish"), ("well-known", "well known", "ai_polish"), ("2001–2002", "2001·2002", "ai_polish"), ("ratio 3:4", "ratio 3·4", "ai_polish"), ("notebook", "note book", "ai_typo"),
     ("note book", "notebook", "ai_polish"), ("red, green", "red green", "ai_polish"), ("nato", "NATO", "ai_polish"), ("form", "from", "ai_typo"), ("recieve", "receive it", "ai_typo"), ("colour", "color", "ai_polish"),
+    ("(Kim, 1999)", "(Kim 1999)", "ai_polish"), ("12개", "십이개", "ai_polish"), ("30500원", "삼만오백원", "ai_polish"), ("walked and talked", "walking and talks", "ai_typo"), ("김 철 수", "김철수", "ai_typo"), ("1,000", "1000", "ai_polish"), ("a b", "ab", "ai_polish"),
 ]
 
 
+def guarded(docs: DataFrame) -> DataFrame:
+    """``corrections``, and ``GUARD_CASES`` for each document with ``seq`` below 0: every guard has something to drop."""
+    cases = docs.sparkSession.createDataFrame([(-1 - n, *case) for n, case in enumerate(GUARD_CASES)], "seq long, original string, corrected string, source string")
+    return corrections(docs).select("doc_id", "seq", "original", "corrected", "source").unionByName(docs.select("doc_id").crossJoin(F.broadcast(cases)))
+
+
 def variant_corrections(docs: DataFrame, proposals: DataFrame) -> DataFrame:
     """A correction for every place of every document that has a minority form of ``proposals``, and ``GUARD_CASES`` for each document.
 
@@ -131,7 +138,10 @@ DUCK = {
   CASE event_type WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'edit_accept' ELSE 'accept' END AS action, ts, k % 4 = 0 AS spacing
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)""",
 }
-NEEDS = {"corrections": ("tokens",)}
+_TEXT = lambda v: "'" + v.replace("'", "''") + "'"
+_CASES = ", ".join(f"({-1 - n}, {_TEXT(o)}, {_TEXT(c)}, '{source}')" for n, (o, c, source) in enumerate(GUARD_CASES))
+DUCK["guarded"] = f"SELECT doc_id, seq, original, corrected, source FROM corrections UNION ALL SELECT doc_id, v.seq, v.original, v.corrected, v.source FROM documents, (VALUES {_CASES}) v(seq, original, corrected, source)"
+NEEDS = {"corrections": ("tokens",), "guarded": ("tokens", "corrections")}
 
 
 def duck(names: str, body: str, /, **more: str) -> str:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.operators import consistency, corrections, events, lexicon, rules
+from lexiloom.operators import consistency, corrections, events, lexicon, propagation, rules
 from lexiloom.plans import registry
 from lexiloom.sources import tables
 from lexiloom.sources.tables import GUARD_CASES, tokens, variant_corrections
@@ -104,7 +104,40 @@ def test_apply_longest_first(spark):
     d = spark.createDataFrame([(1, "data base and data"), (2, "none")], "doc_id long, text string")
     c = spark.createDataFrame([(1, "data", "datum", 1, "accepted"), (1, "data base", "database", 2, "accepted"), (2, "none", "x", 1, "rejected")], "doc_id long, original string, corrected string, seq long, status string")
     got = {r.doc_id: r.text for r in corrections.apply_to_corpus(d, c).collect()}
-    assert got == {1: "datumbase and datum", 2: "none"}
+    assert got == {1: "database and datum", 2: "none"}
+
+
+def test_apply_writes_nothing_over_its_own_output(spark):
+    d = spark.createDataFrame([(1, "ab bc ab"), (2, None), (3, "xyz xy"), (4, "")], "doc_id long, text string")
+    c = spark.createDataFrame([(1, "ab", "bc", 1, "accepted"), (1, "bc", "ab", 2, "accepted"), (3, "xyz", "xy", 1, "accepted"), (3, "xy", "q", 2, "accepted"), (3, "none", "x", 3, "accepted"), (3, "z", "w", 4, "pending"), (3, "yz", "u", 5, "accepted"), (2, "a", "b", 1, "accepted")], "doc_id long, original string, corrected string, seq long, status string")
+    assert {r.doc_id: (r.text, r.n_edits) for r in corrections.apply_to_corpus(d, c).collect()} == {1: ("bc ab bc", 3), 2: (None, 0), 3: ("xy q", 2), 4: ("", 0)}
+    got = {(r.doc_id, r.original): (r.replaced, r.shadowed, r.outcome) for r in corrections.apply_detail(d, c).collect()}
+    assert got[3, "xy"] == (1, 1, "partial") and got[3, "yz"] == (0, 1, "consumed") and got[3, "none"] == (0, 0, "not_found") and got[3, "z"] == (0, 0, "not_accepted") and got[1, "ab"] == (2, 0, "applied")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlap_resolve_is_greedy_by_length(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    spans = {(doc, a, a + rng.randint(1, 9)) for doc in range(4) for a in [rng.randint(0, 60) for _ in range(30)]}
+    got = {(r.doc_id, r.pos, r["end"]): r.shadowed for r in propagation.overlap_resolve(spark.createDataFrame(sorted(spans), "doc_id long, pos long, end long")).collect()}
+    kept = set()
+    for doc, a, b in sorted(spans, key=lambda s: (s[0], s[1] - s[2], s[1])):
+        if not any(doc == x and a < z and y < b for x, y, z in kept):
+            kept.add((doc, a, b))
+    assert got == {s: s not in kept for s in spans}
+
+
+@pytest.mark.parametrize("number, reading", [("0", ""), ("1", "일"), ("10", "십"), ("11", "십일"), ("105", "백오"), ("10000", "만"), ("30500", "삼만오백"), ("100000000", "일억"), ("123456789", "일억이천삼백사십오만육천칠백팔십구"), ("1000000000000", "일조")])
+def test_number_reading(spark, number, reading):
+    assert spark.createDataFrame([(number,)], "d string").select(corrections.number_reading("d")).first()[0] == reading
+
+
+def test_guards_leave_other_edits_alone(spark):
+    pairs = [("1,000", "1000", "ai_polish"), ("a b", "ab", "ai_polish"), ("12개", "십삼개", "ai_polish"), ("walked home", "walking home", "ai_polish"), ("물 관 길", "물관길", "ai_polish"), ("x-y", "x·z", "ai_polish"), ("(Kim, 1999)", "(Lee, 1999)", "ai_polish"), ("한글", "한글(12)", "ai_polish"), ("note book s", "no tebooks", "ai_polish")]
+    c = spark.createDataFrame([(1, n, *p) for n, p in enumerate(pairs)], "doc_id long, seq long, original string, corrected string, source string")
+    assert {r.seq: r.guard for r in corrections.guard_chain(c).collect()} == dict.fromkeys(range(len(pairs)))
 
 
 @pytest.mark.parametrize("accepts, rejects, status", [(3, 0, "pending"), (3, 1, "context_dependent"), (2, 0, None), (0, 3, "exception")])
