@@ -33,7 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage is cut, and no executor holds the only copy."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexiloom_path = path
     return out
@@ -179,6 +179,10 @@ def components(edges: DataFrame) -> DataFrame:
 # -- per-text work in Arrow batches -----------------------------------------------------------
 
 
+#: Rows of a batch that are Python objects at a time.
+ROWS = 512
+
+
 def map_texts(df: DataFrame, fn, new: str, text_col: str = "text", limit: int = 1 << 22) -> DataFrame:
     """``df`` without ``text_col`` and with the columns of the schema string ``new``, made by ``fn``.
 
@@ -196,7 +200,7 @@ def map_texts(df: DataFrame, fn, new: str, text_col: str = "text", limit: int =
 
     def run(batches):
         kinds = [to_arrow_type(f.dataType) for f in added.fields]
-        for batch in batches:
+        for batch in (b.slice(first, ROWS) for b in batches for first in range(0, b.num_rows, ROWS)):
             texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
             for first, last in chunks_of(texts, limit):
                 got = fn(texts[first:last])

@@ -147,7 +147,7 @@ def single_tokens(nodes: DataFrame, buckets: int, rare: int) -> DataFrame:
 
         schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
         node, size, prefix, held = [], [], [], 0
-        for batch in batches:
+        for batch in (b.slice(first, 512) for b in batches for first in range(0, b.num_rows, 512)):
             for i, n, p in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("prefix").to_pylist(), strict=True):
                 node.append(i)
                 size.append(n)
@@ -339,7 +339,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = ["n_shingles", "print_a", "print_b"]
     keyed = docs.withColumn("row", F.monotonically_increasing_id())
-    marks = written(map_texts(keyed, _marks, "n_shingles long, print_a long, print_b long, prefix binary", limit=1 << 20), "shingle-prefixes")
+    marks = written(map_texts(keyed, _marks, "n_shingles long, print_a long, print_b long, prefix binary", limit=1 << 19), "shingle-prefixes")
     full = marks.where("n_shingles > 0 and doc_id is not null")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() // 2500)
 
@@ -352,7 +352,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = marks.select(F.col("row").alias("node"), "doc_id", *[F.col(c).alias(f"is_{c}") for c in prints]).join(named, "node")
     asked = written(asked, "asked")
     texts = docs.join(F.broadcast(asked) if asked.count() <= MOST_IDS else asked, "doc_id")
-    sets = map_texts(texts, _whole, "n_shingles long, print_a long, print_b long, tokens binary", limit=1 << 20)
+    sets = map_texts(texts, _whole, "n_shingles long, print_a long, print_b long, tokens binary", limit=1 << 19)
     sets = written(sets.where(" and ".join(f"{c} = is_{c}" for c in prints)).select("node", F.col("n_shingles").alias("n"), "tokens", F.col("often").isNotNull().alias("hot")), "shingle-sets")
 
     again = written(single_tokens(sets.where("hot").select("node", F.col("n").alias("n_shingles"), F.col("tokens").alias("prefix")), buckets, rare), "single-tokens")

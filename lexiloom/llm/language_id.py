@@ -124,7 +124,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
         return {"_best": [model.labels[k] for k in best], "_score": score}
 
     kept = docs.withColumn("_text", F.col(text_col))
-    out = map_texts(kept, run, "_best string, _score double", "_text", 1 << 20)
+    out = map_texts(kept, run, "_best string, _score double", "_text", 1 << 19)
     letters = F.col("_letters")
     return out.withColumns({
         "lang_pred": F.when(letters, F.col("_best")).otherwise("und"),
