@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from lexiloom.operators import events as op
 from lexiloom.operators import measures as me
 from lexiloom.plans.consistency_queries import _docs, _tokens
-from lexiloom.plans.correction_queries import GUARD, _c
+from lexiloom.plans.correction_queries import GUARD as GUARD_OF_CASES
+from lexiloom.plans.correction_queries import _c
 from lexiloom.plans.lexicon_queries import PAIRS, _pairs
+from lexiloom.sources.shared import shared_folder
 from lexiloom.sources.tables import duck, lines, read, votes
 
+GUARD = GUARD_OF_CASES.replace("FROM guarded WHERE", "FROM corrections WHERE")
+
 
 def _votes(s, d):
     return votes(read(s, d, "events"))
@@ -32,9 +36,8 @@ def _snapshots(s, d):
 
 
 def _folder(spark) -> str:
-    """A folder that driver and executors share, or, where none is named, a new temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}" if base else tempfile.mkdtemp(prefix="spark-")
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _ingest_stream(s, d):
