@@ -179,6 +179,19 @@ def components(edges: DataFrame) -> DataFrame:
 # -- per-text work in Arrow batches -----------------------------------------------------------
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: Python workers stay, idle, beside the stages that follow."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 #: Rows of a batch that are Python objects at a time.
 ROWS = 512
 
@@ -207,6 +220,7 @@ def map_texts(df: DataFrame, fn, new: str, text_col: str = "text", limit: int =
                 arrays = [batch.column(f.name).slice(first, last - first) for f in kept]
                 arrays += [got[f.name].cast(k) if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], type=k) for f, k in zip(added.fields, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

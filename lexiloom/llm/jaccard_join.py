@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import BASE, chunks_of, components, forget, map_texts, mix, table, words_of, written
+from lexiloom.llm.common import BASE, components, forget, give_back, map_texts, mix, table, words_of, written
 
 WORDS = 5
 #: Similarity of a link, and by how much a prefix is extended, in hundredths.
@@ -158,6 +158,7 @@ def single_tokens(nodes: DataFrame, buckets: int, rare: int) -> DataFrame:
                     node, size, prefix, held = [], [], [], 0
         if node:
             yield pa.RecordBatch.from_pylist(list(rows(np.array(node, np.int64), np.array(size, np.int32), prefix)), schema=schema)
+        give_back()
 
     def meet(pdf):
         import pandas as pd
@@ -180,6 +181,7 @@ def single_tokens(nodes: DataFrame, buckets: int, rare: int) -> DataFrame:
             near = 100 * np.minimum(size[i], size[j]).astype(np.int64) >= LEAST * np.maximum(size[i], size[j]).astype(np.int64)
             pairs.append(np.stack([node[i], node[j], size[i], size[j]], 1)[near])
         pairs = pd.DataFrame(np.concatenate(pairs), columns=["a", "b", "n_a", "n_b"]).groupby(["a", "b", "n_a", "n_b"], as_index=False).size().rename(columns={"size": "votes"})
+        give_back()
         return pd.concat([counts, pairs.astype({"b": "Int64"})[["a", "b", "votes", "n_a", "n_b"]]])
 
     packed = nodes.select("node", F.col("n_shingles").alias("n"), "prefix").mapInArrow(emit, "bucket int, tokens binary, nodes binary, sizes binary")
@@ -214,6 +216,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(100 * common >= LEAST * (len(p) + len(q) - common))
                 distance.append(1 - common / (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
+        give_back()
 
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("set_a")), "a")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, distance double, linked boolean")
