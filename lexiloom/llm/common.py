@@ -192,10 +192,6 @@ def give_back() -> None:
         pass
 
 
-#: Rows of a batch that are Python objects at a time.
-ROWS = 512
-
-
 def map_texts(df: DataFrame, fn, new: str, text_col: str = "text", limit: int = 1 << 22) -> DataFrame:
     """``df`` without ``text_col`` and with the columns of the schema string ``new``, made by ``fn``.
 
@@ -213,7 +209,8 @@ def map_texts(df: DataFrame, fn, new: str, text_col: str = "text", limit: int =
 
     def run(batches):
         kinds = [to_arrow_type(f.dataType) for f in added.fields]
-        for batch in (b.slice(first, ROWS) for b in batches for first in range(0, b.num_rows, ROWS)):
+        rows = max(512, limit >> 11)  # of a batch, Python objects at a time
+        for batch in (b.slice(first, rows) for b in batches for first in range(0, b.num_rows, rows)):
             texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
             for first, last in chunks_of(texts, limit):
                 got = fn(texts[first:last])
