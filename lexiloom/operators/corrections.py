@@ -180,6 +180,43 @@ def apply_detail(docs: DataFrame, corrections: DataFrame) -> DataFrame:
     return both.select("doc_id", "original", F.coalesce("replaced", F.lit(0)).alias("replaced"), F.coalesce("shadowed", F.lit(0)).alias("shadowed"), outcome.alias("outcome"))
 
 
+def _outer_values(docs: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places of live corrections with what each writes after its inner ones, and the inner places with their outermost.
+
+    The inner corrections are applied in order of place, each to its first occurrence in the text written so far; one
+    that does not occur there changes nothing.
+    """
+    live = _live(corrections)
+    places = occurrence_index(live, docs).where("pos is not null").select("doc_id", "original", "pos", "end").join(live.select("doc_id", "original", "corrected"), ["doc_id", "original"])
+    inner = interval_containment(places).join(places, ["doc_id", "pos", "end"])
+    inside = inner.groupBy("doc_id", F.col("o_pos").alias("pos"), F.col("o_end").alias("end")).agg(F.sort_array(F.collect_list(F.struct("pos", "end", "original", "corrected"))).alias("inside"))
+    fold = "aggregate(inside, corrected, (t, x) -> if(locate(x.original, t) > 0, concat(left(t, locate(x.original, t) - 1), x.corrected, substring(t, locate(x.original, t) + length(x.original))), t))"
+    return places.join(inside, ["doc_id", "pos", "end"], "left").withColumn("value", F.coalesce(F.expr(fold), "corrected")), inner
+
+
+def _composed(outer: DataFrame) -> DataFrame:
+    n = F.sum(F.coalesce(F.size("inside"), F.lit(0))).alias("absorbed")
+    values = outer.groupBy("doc_id", "original", "corrected").agg(F.min("value").alias("composed"), F.max("value").alias("other"), n)
+    return values.where("composed = other and composed <> corrected").drop("other")
+
+
+def overlap_compose(docs: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Live corrections that others lie in: what they write with those applied, and how many places they absorb.
+
+    Used only if all places of a correction come to the same text, and one that differs from its own. The widest
+    correction around a place, then the first, absorbs it. Null texts and originals have no place.
+    """
+    return _composed(_outer_values(docs, corrections)[0])
+
+
+def overlap_absorbed(docs: DataFrame, corrections: DataFrame) -> DataFrame:
+    """The inner places that composed corrections absorb: doc_id, original, pos, absorbed_by."""
+    outer, inner = _outer_values(docs, corrections)
+    used = outer.select("doc_id", F.col("original").alias("absorbed_by"), F.col("pos").alias("o_pos"), F.col("end").alias("o_end"))
+    whole = _composed(outer).select("doc_id", F.col("original").alias("absorbed_by"))
+    return inner.join(used, ["doc_id", "o_pos", "o_end"]).join(whole, ["doc_id", "absorbed_by"], "left_semi").select("doc_id", "original", "pos", "absorbed_by")
+
+
 def dictionary_revalidate(corrections: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Confidence low where a correction brings in a word that is not in the lexicon."""
     words = lambda col: F.regexp_extract_all(F.lower(col), F.lit(r"\p{L}+"), F.lit(0))

@@ -85,3 +85,19 @@ def shared_surface(tokens: DataFrame, sentences: int = 2) -> DataFrame:
     best = near.groupBy("grp").agg(F.min("d").alias("d"))
     hit = near.join(best, ["grp", "d"]).groupBy("grp", "d").agg(F.count(F.lit(1)).alias("n"), F.min("surface").alias("s"))
     return hit.select("grp", F.when(F.col("n") == 1, F.col("s")).alias("surface"), "d")
+
+
+def page_realign(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Expected places (term, page, y, x) of terms of which fewer were found, each with the one found on its page.
+
+    On a page the first expected ones are met, in order of place; the others are unfound. A term is realigned only if
+    that explains its whole gap: it was found at all, and on no page more often than expected. Terms with a null page
+    are not realigned. Places meet on (term, page) and their number there, so no term is gathered in one task.
+    """
+    sides = expected.select("term", "page", F.lit(1).alias("e"), F.lit(0).alias("f")).unionByName(found.select("term", "page", F.lit(0).alias("e"), F.lit(1).alias("f")))
+    pages = sides.groupBy("term", "page").agg(F.sum("e").alias("e"), F.sum("f").alias("f"))
+    good = pages.groupBy("term").agg(F.sum("e").alias("e"), F.sum("f").alias("f"), F.bool_and(F.col("page").isNotNull() & (F.col("f") <= F.col("e"))).alias("fits")).where("fits and f > 0 and e > f").select("term")
+    number = F.row_number().over(Window.partitionBy("term", "page").orderBy("y", "x"))
+    met = found.select("term", "page", F.col("y").alias("found_y"), F.col("x").alias("found_x"), number.alias("n"), F.lit(True).alias("met"))
+    e = expected.select("term", "page", "y", "x", number.alias("n")).join(good, "term", "left_semi")
+    return e.join(met, ["term", "page", "n"], "left").select("term", "page", "y", "x", "found_y", "found_x", F.col("met").isNull().alias("unfound"))
