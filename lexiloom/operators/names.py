@@ -61,11 +61,12 @@ def drop_word_swap(corrections: DataFrame, lexicon: DataFrame, far: int = 3) ->
     """Corrections without those by a model that put one registered word for quite another at some place.
 
     Words are compared place by place after trimming; base forms that share no two-letter piece, differ in ``far``
-    letters or more, and are both in the lexicon are a swap. A word with letters added or removed at an end is none.
+    letters or more, both of words in the lexicon as they stand or as base forms, are a swap. A word with letters added or removed at an end is none.
     """
     grams = lambda col: F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - 1, F.lit(1))), lambda i: F.substring(col, i, F.lit(2)))
     w = changed_words(corrections.where(_model())).select("doc_id", "seq", F.lower("o").alias("o"), F.lower("c").alias("c")).where("o <> '' and c <> '' and not contains(o, c) and not contains(c, o)")
     w = w.withColumns({"ob": base_form(F.col("o")), "cb": base_form(F.col("c"))}).where(~F.arrays_overlap(grams(F.col("ob")), grams(F.col("cb"))) & (F.levenshtein("ob", "cb") >= far))
     known = lexicon.select("word").distinct()
-    bad = w.join(known.withColumnRenamed("word", "ob"), "ob", "left_semi").join(known.withColumnRenamed("word", "cb"), "cb", "left_semi").select("doc_id", "seq").distinct()
+    w = w.select("doc_id", "seq", F.explode(F.array_distinct(F.array("o", "ob"))).alias("o"), F.array_distinct(F.array("c", "cb")).alias("c")).join(known.withColumnRenamed("word", "o"), "o", "left_semi")
+    bad = w.select("doc_id", "seq", F.explode("c").alias("c")).join(known.withColumnRenamed("word", "c"), "c", "left_semi").select("doc_id", "seq").distinct()
     return corrections.join(bad, ["doc_id", "seq"], "left_anti").select("doc_id", "seq", "original", "corrected")

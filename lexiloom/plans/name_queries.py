@@ -51,7 +51,7 @@ ALL = {
     ),
     "drop_word_swap": (
         lambda s, d: op.drop_word_swap(_neighbours(s, d, 2), lexicon(s, d)),
-        duck("tokens lexicon", f"""SELECT doc_id, seq, original, corrected FROM x WHERE NOT coalesce(source = 'ai_polish' AND o <> c AND NOT contains(lower(o), lower(c)) AND NOT contains(lower(c), lower(o)) AND ob IN (SELECT word FROM lexicon) AND cb IN (SELECT word FROM lexicon)
+        duck("tokens lexicon", f"""SELECT doc_id, seq, original, corrected FROM x WHERE NOT coalesce(source = 'ai_polish' AND o <> c AND NOT contains(lower(o), lower(c)) AND NOT contains(lower(c), lower(o)) AND (ob IN (SELECT word FROM lexicon) OR lower(o) IN (SELECT word FROM lexicon)) AND (cb IN (SELECT word FROM lexicon) OR lower(c) IN (SELECT word FROM lexicon))
             AND NOT list_has_any({GRAMS.format('ob')}, {GRAMS.format('cb')}) AND {FAR('ob', 'cb')} >= 3, false)""", runs=RUNS, two=TWO,
              x=f"SELECT *, {OB} AS ob, {CB} AS cb FROM (SELECT *, string_split(original, ' ')[2] AS o, string_split(corrected, ' ')[2] AS c FROM two)"),
     ),
