@@ -19,7 +19,8 @@ def _variants(s, d):
 
 
 def _proposals(s, d):
-    return op.compound_majority(_variants(s, d), lexicon(s, d))
+    pairs = op.spacing_variants(_tokens(s, d), parts=2)  # forms of more parts have no say in the majority
+    return op.compound_majority(pairs, lexicon(s, d))
 
 
 def _cards(s, d):
