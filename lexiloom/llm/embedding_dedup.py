@@ -4,11 +4,13 @@
 2. A label's nodes are dealt by a hash of their id to shards of about ``shard_rows``; a task builds the hierarchy of
    one shard in numpy and writes it as one row of bounded size. Points enter a layer in batches: each is searched in
    the graph so far and compared with its batch, and keeps neighbours that are nearer to it than to one another.
-3. Every pair of shards of a label is one task: the vectors of each shard are queries against the graph of the other.
+3. Every pair of shards of a label is searched: the vectors of each shard are queries against the graph of the other.
+   A task takes all pairs between two blocks of shards, so a graph is sent once for each block, not for each shard.
    Beams start at ``beam`` and are widened until an audit, a brute-force search for some queries, finds no link
-   missing, and for each query until its beam holds something below the threshold.
+   missing, and for each query until its beam holds something below the threshold. See ``audit_links`` for its figures.
 4. Cosines are computed again in double precision. A task returns its weighted link counts and a spanning forest of
-   its links, not the pairs; components are then computed over all tasks' forests.
+   its links, not the pairs; components are then computed over all tasks' forests. What is linked stands in one
+   boolean matrix of two shards, whose size does not depend on how dense they are.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import pickle
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import components, mix, table, written
@@ -130,28 +132,35 @@ class Layer:
         return x[cut], cut, np.append(cut[1:], len(x)) if len(x) else cut
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    x = vectors.astype(np.float64)
+    return (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+
+
 class Hierarchy:
     """Layers over the vectors of one shard; ``vectors`` are as given, ``weight`` counts equal ones."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, weight: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors, self.weight = ids[order], vectors[order], weight[order]
-        unit = self.vectors.astype(np.float64)
-        self.unit = (unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.float32)
+        self.unit = _unit(self.vectors)
         draw = mix(self.ids.astype(np.uint64) + np.uint64(77)).astype(np.float64) / 2**64
         level = np.floor(-np.log(np.maximum(draw, 1e-18)) / np.log(NEIGHBOURS)).astype(int)
         level[0] = level.max()  # one entry point at the top
         self.layers: list[Layer] = []  # top first
         for depth in range(level.max(), -1, -1):
             layer = Layer(self.unit, BASE_NEIGHBOURS if depth == 0 else NEIGHBOURS)
-            self._fill(layer, np.flatnonzero(level >= depth))
+            self._fill(layer, np.flatnonzero(level > depth), np.flatnonzero(level == depth))
             self.layers.append(layer)
 
-    def _fill(self, layer: Layer, members: np.ndarray) -> None:
-        at, size = 1, 1
+    def _fill(self, layer: Layer, above: np.ndarray, rest: np.ndarray) -> None:
+        """Points of the layers above come first, from the first of them; the others start where those layers lead."""
+        members, at, size = np.concatenate([above, rest]), 1, 1
         while at < len(members):
-            new = members[at : at + min(size, BATCH)]
-            ids, sims = layer.search(self.unit[new], self._entry(self.unit[new]), BUILD_BEAM) if at > 1 else (np.full((len(new), 1), members[0], np.int32), (self.unit[new] @ self.unit[members[0]])[:, None])
+            room = len(above) - at if at < len(above) else size
+            new = members[at : at + min(size, room, BATCH)]
+            entry = np.full(len(new), members[0], np.int32) if at < len(above) else self._entry(self.unit[new])
+            ids, sims = layer.search(self.unit[new], entry, BUILD_BEAM) if at > 1 else (np.full((len(new), 1), members[0], np.int32), (self.unit[new] @ self.unit[members[0]])[:, None])
             own = self.unit[new] @ self.unit[new].T
             own[np.triu_indices(len(new))] = -2.0  # earlier points of the batch only
             layer.link(new, np.concatenate([ids, np.broadcast_to(new, own.shape)], 1), np.concatenate([np.where(ids < len(self.unit), sims, -2.0), own], 1))
@@ -164,94 +173,120 @@ class Hierarchy:
             entry = layer.search(queries, entry, 2)[0][:, 0]
         return entry
 
-    def near(self, unit: np.ndarray, slack: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) with a similarity of at least ``slack``; a full beam is widened until something is below."""
+    def near(self, unit: np.ndarray, slack: float, beam: int, hit: np.ndarray) -> None:
+        """Mark in ``hit`` (query, point) similarities of at least ``slack``; a full beam is widened until something is below."""
         bottom, n = self.layers[-1], len(self.ids)
 
-        def found(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-            a, b = [], []
+        def search(rows: np.ndarray, width: int) -> None:
             block = max(16, min(BATCH, (1 << 20) // max(1, min(width, n))))
             for k in range(0, len(rows), block):
                 some = rows[k : k + block]
                 ids, sims = bottom.search(unit[some], self._entry(unit[some]), width)
                 full = (sims[:, -1] >= slack) & (width < n)
                 r, c = np.nonzero((sims >= slack) & ~full[:, None])
-                a.append(some[r])
-                b.append(ids[r, c])
+                hit[some[r], ids[r, c]] = True
                 if full.any():
-                    x, y = found(some[full], 8 * width)
-                    a.append(x)
-                    b.append(y)
-            return np.concatenate(a or [np.zeros(0, int)]), np.concatenate(b or [np.zeros(0, int)])
+                    search(some[full], 8 * width)
 
-        return found(np.arange(len(unit)), beam)
+        search(np.arange(len(unit)), beam)
 
+    def __getstate__(self) -> dict:
+        return {"ids": self.ids, "vectors": self.vectors, "weight": self.weight, "links": [(x.most, x.links, x.used) for x in self.layers]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.ids, self.vectors, self.weight = state["ids"], state["vectors"], state["weight"]
+        self.unit = _unit(self.vectors)
+        self.layers = []
+        for most, links, used in state["links"]:
+            layer = Layer(self.unit, most)
+            layer.links, layer.used = links, used
+            self.layers.append(layer)
 
-def linked_pairs(g: Hierarchy, h: Hierarchy, least: float, beam: int, audit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(point of g, point of h) with a cosine of at least ``least`` in double precision.
+
+def linked(g: Hierarchy, h: Hierarchy, least: float, beam: int, audit: int) -> tuple[np.ndarray, int, int]:
+    """Which points of g and h have a cosine of at least ``least`` in double precision, as a boolean matrix.
 
     Each side's points are queries against the other's graph, and a pair counts if either search finds it. The audit
-    compares ``audit`` points of h with all of g; while a pair of theirs is missing, beams are doubled.
+    compares ``audit`` points of h with all of g; while a pair of theirs is missing, beams are doubled. The other two
+    results are the pairs audited and those of them that the first beam missed.
     """
     slack = np.float32(least - 1e-4)
     probe = np.arange(0, len(h.ids), max(1, len(h.ids) // audit))
     y, x = np.nonzero(h.unit[probe] @ g.unit.T >= slack)
-    truth = x * len(h.ids) + probe[y]
+    y, missed = probe[y], None
+    hit = np.zeros((len(g.ids), len(h.ids)), bool)
     while True:
-        y, x = g.near(h.unit, slack, beam)
-        keys = x.astype(np.int64) * len(h.ids) + y
+        g.near(h.unit, slack, beam, hit.T)
         if g is h:
-            keys = np.concatenate([keys, y.astype(np.int64) * len(h.ids) + x])
+            hit |= hit.T
         else:
-            x, y = h.near(g.unit, slack, beam)
-            keys = np.concatenate([keys, x.astype(np.int64) * len(h.ids) + y])
-        keys = np.unique(keys)
-        if beam >= max(len(g.ids), len(h.ids)) or np.isin(truth, keys).all():
+            h.near(g.unit, slack, beam, hit)
+        lost = int((~hit[x, y]).sum())
+        missed = lost if missed is None else missed
+        if not lost:
+            break
+        if beam >= max(len(g.ids), len(h.ids)):  # a graph in several parts: no beam finds all
+            for k in range(0, len(hit), BATCH):
+                hit[k : k + BATCH] |= g.unit[k : k + BATCH] @ h.unit.T >= slack
             break
         beam *= 2
-    a, b = keys // len(h.ids), keys % len(h.ids)
     left, right = g.vectors.astype(np.float64), h.vectors.astype(np.float64)
     left_norm, right_norm = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
-    good = np.zeros(len(a), bool)
-    for k in range(0, len(a), 1 << 16):
-        p, q = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-        good[k : k + (1 << 16)] = np.einsum("kd,kd->k", left[p], right[q]) / (left_norm[p] * right_norm[q]) >= least
-    return a[good], b[good]
+    rows = max(1, (1 << 16) // len(h.ids))
+    for k in range(0, len(hit), rows):
+        p, q = np.nonzero(hit[k : k + rows])
+        p += k
+        hit[p, q] = np.einsum("kd,kd->k", left[p], right[q]) / (left_norm[p] * right_norm[q]) >= least
+    if g is h:
+        np.fill_diagonal(hit, False)
+    return hit, len(x), missed
+
+
+def _forest(hit: np.ndarray, shift: int, points: int) -> np.ndarray:
+    """The smallest point reached from each of ``points``, over links of row r and column ``shift`` + c."""
+    root, rows = np.arange(points), max(1, (1 << 20) // hit.shape[1])
+    while True:
+        new = root.copy()
+        for k in range(0, len(hit), rows):
+            a, b = np.nonzero(hit[k : k + rows])
+            a, b = a + k, b + shift
+            low = np.minimum(new[a], new[b])
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def _pair_task(least: float, beam: int, audit: int):
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            for lo, hi, left, right in zip(frame["lo"], frame["hi"], frame["left"], frame["right"], strict=True):
-                g, h = pickle.loads(left), pickle.loads(right) if lo != hi else None
-                n = len(g.ids)
-                a, b = linked_pairs(g, h or g, least, beam, audit)
-                ids, weight = g.ids, g.weight
-                if h is not None:
-                    b = b + n
-                    ids, weight = np.concatenate([g.ids, h.ids]), np.concatenate([g.weight, h.weight])
-                a, b = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-                key = np.unique((a * len(ids) + b)[a != b])
-                a, b = key // len(ids), key % len(ids)
-                count = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-                root = np.arange(len(ids))
-                while True:
-                    low = np.minimum(root[a], root[b])
-                    new = root.copy()
-                    np.minimum.at(new, a, low)
-                    np.minimum.at(new, b, low)
-                    new = new[new]
-                    if (new == root).all():
-                        break
-                    root = new
-                child, linked = np.flatnonzero(root != np.arange(len(ids))), np.flatnonzero(count)
-                yield pd.DataFrame({
-                    "a": np.concatenate([ids[child], ids[linked]]),
-                    "b": pd.array([*ids[root[child]], *[None] * len(linked)], "Int64"),
-                    "n": np.concatenate([np.zeros(len(child)), count[linked]]).astype(np.int64),
-                })
+    """For the graphs of two blocks of shards: forests ('edge': a, b), link counts ('count': a, n) and audits ('audited', 'missed': n)."""
+    import pandas as pd
+
+    def one(g: Hierarchy, h: Hierarchy) -> pd.DataFrame:
+        hit, audited, missed = linked(g, h, least, beam, audit)
+        ids, count, shift = g.ids, hit @ h.weight, 0
+        if h is not g:
+            ids, count, shift = np.concatenate([g.ids, h.ids]), np.concatenate([count, g.weight @ hit]), len(g.ids)
+        root = _forest(hit, shift, len(ids))
+        child, some = np.flatnonzero(root != np.arange(len(ids))), np.flatnonzero(count)
+        return pd.DataFrame({
+            "kind": ["edge"] * len(child) + ["count"] * len(some) + ["audited", "missed"],
+            "a": pd.array([*ids[child], *ids[some], None, None], "Int64"),
+            "b": pd.array([*ids[root[child]], *[None] * (len(some) + 2)], "Int64"),
+            "n": np.concatenate([np.zeros(len(child)), count[some], [audited, missed]]).astype(np.int64),
+        })
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        blobs = dict(zip(pdf["shard"], pdf["graph"], strict=True))
+        of = lambda block: sorted(pdf["shard"][pdf["block"] == block])
+        right = {k: pickle.loads(blobs[k]) for k in of(hi)}
+        out = []
+        for k in of(lo):
+            g = right[k] if lo == hi else pickle.loads(blobs[k])
+            out += [one(g, h) for m, h in right.items() if lo < hi or k <= m]
+        return pd.concat(out)
 
     return run
 
@@ -263,34 +298,49 @@ def _build(pdf):
     return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "shards": pdf["shards"].iloc[:1], "graph": [pickle.dumps(graph, 5)]})
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = 4096, beam: int = 48, audit: int = 256) -> DataFrame:
+def _good() -> Column:
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
+
+
+def _links(rows: DataFrame, least: float, shard_rows: int, beam: int, audit: int, together: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct vectors of ``rows``, and what the tasks of ``_pair_task`` found."""
+    nodes = written(rows.where(_good()).groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight")).withColumn("dim", F.size("embedding")), "nodes")
+    sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
+    dealt = nodes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    label = dict(nodes.dtypes)["label"]
+    graphs = written(dealt.groupBy("label", "dim", "shard").applyInPandas(_build, f"label {label}, dim int, shard int, shards int, graph binary"), "graphs")
+
+    size = F.greatest(F.lit(1), F.least(F.lit(together), F.expr("shards div 32"))).cast("int")
+    placed = graphs.withColumn("block", F.floor(F.col("shard") / size).cast("int")).withColumn("last", F.floor((F.col("shards") - 1) / size).cast("int"))
+    ends = F.transform(F.sequence(F.lit(0), "last"), lambda k: F.struct(F.least(k, "block").alias("lo"), F.greatest(k, "block").alias("hi")))
+    pairs = placed.select("label", "dim", "shard", "block", "graph", F.explode(ends).alias("e")).select("label", "dim", "e.lo", "e.hi", "block", "shard", "graph")
+    found = pairs.groupBy("label", "dim", "lo", "hi").applyInPandas(_pair_task(least, beam, audit), "kind string, a long, b long, n long")
+    return nodes, written(found, "forests")
+
+
+def audit_links(vectors: DataFrame, least: float = 0.93, shard_rows: int = 4096, beam: int = 48, audit: int = 256, together: int = 8) -> DataFrame:
+    """One row: links ``audited`` by brute force over all pairs of shards, and those ``missed`` before beams were widened."""
+    _, found = _links(vectors.select("vec_id", "embedding", "label"), least, shard_rows, beam, audit, together)
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(kind)
+    return found.agg(total("audited"), total("missed"))
+
+
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = 4096, beam: int = 48, audit: int = 256, together: int = 8) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Only vectors of the same label (null is none) and length are compared. A null or zero vector, one with a null or
     non-finite component, and one with a null id link with nothing. Rows that repeat an id count as vectors of their
     own but are one node of a component. An empty table gives an empty result; other columns are ignored.
+    A label of many shards has them in blocks of up to ``together``; a task holds the graphs of two blocks.
     """
     rows = vectors.select("vec_id", "embedding", "label")
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = finite & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    valid = rows.where(F.coalesce(good, F.lit(False)))
-    nodes = written(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight")).withColumn("dim", F.size("embedding")), "nodes")
-
-    sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
-    dealt = nodes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
-    label = dict(nodes.dtypes)["label"]
-    graphs = dealt.groupBy("label", "dim", "shard").applyInPandas(_build, f"label {label}, dim int, shard int, shards int, graph binary")
-    graphs = written(graphs, "graphs")
-    left = graphs.select("label", "dim", F.col("shard").alias("lo"), F.explode(F.sequence("shard", F.col("shards") - 1)).alias("hi"), F.col("graph").alias("left"))
-    right = graphs.select("label", "dim", F.col("shard").alias("hi"), F.explode(F.sequence(F.lit(0), "shard")).alias("lo"), F.col("graph").alias("right"))
-    pairs = left.join(right, ["label", "dim", "lo", "hi"]).select("lo", "hi", "left", "right")
-    found = written(pairs.mapInPandas(_pair_task(least, beam, audit), "a long, b long, n long"), "forests")
-
-    groups = components(found.where("b is not null").select("a", "b"))
-    counts = found.where("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
+    nodes, found = _links(rows, least, shard_rows, beam, audit, together)
+    groups = components(found.where("kind = 'edge'").select("a", "b"))
+    counts = found.where("kind = 'count'").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
     by_node = nodes.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), "vec_id", "weight").join(counts, "vec_id", "left").join(groups.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     by_node = by_node.select("_label", "_embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("_component"))
-    joined = rows.withColumn("_good", F.coalesce(good, F.lit(False))).join(by_node, F.col("_good") & (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding")), "left")
+    joined = rows.withColumn("_good", _good()).join(by_node, F.col("_good") & (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding")), "left")
     component = F.coalesce("_component", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 

@@ -179,6 +179,22 @@ def test_embeddings_brute_force(spark):
         assert all(got[i].n_links == 0 for i in (700, 701, 702, 703, 704, 705, None))
 
 
+def test_embeddings_blocks_and_audit(spark):
+    rng = np.random.RandomState(5)
+    centre = rng.randn(8)
+    rows = [(k, [float(x) for x in centre + (0.02 if k % 4 else 2.0) * rng.randn(8)], 1) for k in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("n_links", F.lit("clash")).withColumn("kept", F.lit("clash"))
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    link = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    want = brute_components(range(600), list(zip(*np.nonzero(link), strict=True)))
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(df, shard_rows=9, beam=4, together=2).collect()}
+    assert [(got[k].n_links, got[k].component_id) for k in range(600)] == [(link[k].sum(), want[k]) for k in range(600)]
+    seen = embedding_dedup.audit_links(df, shard_rows=100, beam=4).first()
+    assert seen.audited > 0 and 0 <= seen.missed <= seen.audited
+    assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0 and embedding_dedup.audit_links(df.limit(0)).first().audited == 0
+
+
 def test_secret_scan(docs, none):
     got = {r.doc_id: r for r in secret_scan.secret_scan(docs).collect()}
     found = [(x.kind, x.value) for x in got[12].found]
