@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import INVISIBLE, KO_PARTICLES, has_final_consonant, normalise_text
 
-# Forms after a final consonant and after a vowel; dependent nouns; auxiliary verbs; wrong stems.
+# Forms after a final consonant and after a vowel; dependent nouns; wrong stems with the right ones;
+# places of a particle after a bracket; labels that a particle does not agree with; characters inside an anchor.
 PARTICLE_FORMS = (("은", "는"), ("이", "가"), ("을", "를"), ("과", "와"), ("아", "야"))
 DEPENDENT_NOUNS = ("것", "수", "바", "줄", "만큼", "대로", "뿐", "데")
-WRONG_STEMS = (("그럴듯한", "그럴듯한 "), ("할수", "할 수"), ("을것", "을 것"))
+WRONG_STEMS = (
+    ("아니였", "아니었"), ("파라메터", "파라미터"), ("됬", "됐"), ("뵈요", "봬요"), ("왠만", "웬만"), ("왠걸", "웬걸"), ("어떻해", "어떡해"),
+    ("곰곰히", "곰곰이"), ("낱낱히", "낱낱이"), ("샅샅히", "샅샅이"), ("틈틈히", "틈틈이"), ("뿔뿔히", "뿔뿔이"), ("넉넉치", "넉넉지"), ("섭섭치", "섭섭지"),
+    ("생각컨대", "생각건대"), ("치뤄", "치러"), ("치뤘", "치렀"), ("잠궜", "잠갔"), ("담궈", "담가"), ("담궜", "담갔"), ("바꼈", "바뀌었"), ("무릎쓰", "무릅쓰"),
+)
+PAREN_PARTICLE = r"([가-힣]+) ?\(([^()]{0,60})\)(으로|로|은|는|이|가|을|를|과|와)($|[^가-힣])"
+PAREN_LABEL = r"^\s*[0-9][0-9\s.,·\-]*$"
+ANCHOR = r"[\p{L}\p{N}._/-]"
 
 
 def corpus_load(docs: DataFrame, least: int = 10, large: int = 15_000) -> DataFrame:
@@ -114,19 +122,81 @@ def spelling_stems(docs: DataFrame) -> DataFrame:
 
 
 def _agrees(noun: Column, particle: Column) -> Column:
-    """The form of ``particle`` that agrees with the last syllable of ``noun``."""
-    closed, out = has_final_consonant(F.right(noun, F.lit(1))), particle
+    """The form of ``particle`` that agrees with the last syllable of ``noun``; after a final rieul as after a vowel for -ro."""
+    last = F.right(noun, F.lit(1))
+    closed, rieul = has_final_consonant(last), (F.ascii(last) - 44032) % 28 == 8
+    out = F.when(particle.isin("으로", "로"), F.when(closed & ~rieul, "으로").otherwise("로")).otherwise(particle)
     for after_consonant, after_vowel in PARTICLE_FORMS:
         out = F.when(particle.isin(after_consonant, after_vowel), F.when(closed, after_consonant).otherwise(after_vowel)).otherwise(out)
     return out
 
 
 def paren_particle(docs: DataFrame) -> DataFrame:
-    """A particle after ``noun(...)`` agrees with the noun's final consonant."""
-    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[가-힣]+\([^)]*\)[은는이가을를과와]"), F.lit(0))).alias("original"))
-    noun, particle = F.regexp_extract("original", r"^[가-힣]+", 0), F.right("original", F.lit(1))
-    fixed = F.concat(F.expr("substring(original, 1, length(original) - 1)"), _agrees(noun, particle))
-    return found.select("doc_id", F.lit("paren_particle").alias("rule"), "original", fixed.alias("corrected")).where("original <> corrected")
+    """A particle after ``noun(...)`` agrees with the noun's final consonant; the bracket follows the noun directly.
+
+    Brackets that hold a number or label only are left alone: the particle agrees with how that is read. A null text
+    has no findings; a finding is given once a document.
+    """
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(PAREN_PARTICLE), F.lit(0))).alias("m"))
+    part = lambda n: F.regexp_extract("m", PAREN_PARTICLE, n)
+    parts = found.select("doc_id", F.expr("substring(m, 1, length(m) - 1)").alias("inside"), part(1).alias("noun"), part(2).alias("inner"), part(3).alias("particle"), part(4).alias("after"), "m")
+    right = _agrees(F.col("noun"), F.col("particle"))
+    original = F.when(F.col("after") == "", F.col("m")).otherwise(F.col("inside"))
+    wrong = parts.where(~F.col("inner").rlike(PAREN_LABEL)).where(right != F.col("particle"))
+    return wrong.select("doc_id", F.lit("paren_particle").alias("rule"), original.alias("original"), F.concat("noun", F.lit("("), "inner", F.lit(")"), right).alias("corrected")).distinct()
+
+
+def fix_paren_agreement(corrections: DataFrame, docs: DataFrame) -> DataFrame:
+    """Corrections (doc_id, original, corrected, ...) whose only change is the particle after a closing bracket, made to agree.
+
+    The particle agrees with the Hangul syllable before the bracket; where the original starts inside the bracket, the
+    document's text before it is read too. A correction that becomes its original goes. Left as they are: particles
+    followed by Hangul, brackets of numbers and labels or without Hangul before them, nested ones of a kind, and
+    corrections with a null.
+    """
+    o, c = F.col("original"), F.col("corrected")
+    same = F.expr("aggregate(sequence(0, least(length(original), length(corrected))), 0, (n, i) -> if(n = i - 1 and substring(original, i, 1) = substring(corrected, i, 1), i, n))")
+    particle = r"^(으로|로|은|는|이|가|을|를|과|와)($|[^가-힣].*)"
+    text = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
+    x = corrections.withColumn("_n", same)
+    x = x.withColumn("_before", F.expr("substring(original, 1, _n)")).withColumn("_old", F.expr("substring(original, _n + 1)")).withColumn("_new", F.expr("substring(corrected, _n + 1)"))
+    get = lambda col, n: F.regexp_extract(col, "(?s)" + particle, n)
+    swap = F.col("_before").rlike(r"[)）\]〕】]\z") & (get("_old", 1) != "") & (get("_new", 1) != "") & (get("_old", 2) == get("_new", 2))
+    x = x.withColumn("_swap", F.coalesce(swap, F.lit(False)))
+    x = x.join(text.withColumnRenamed("text", "_text"), "doc_id", "left")
+    at = F.expr("instr(_text, original)")
+    before = F.when(F.col("_before").rlike(r"[(（\[〔【]"), F.col("_before")).otherwise(F.concat(F.when(at > 0, F.expr("substring(_text, greatest(1, instr(_text, original) - 100), least(100, instr(_text, original) - 1))")).otherwise(""), F.col("_before")))
+    bracket = r"([가-힣]) ?(?:\(([^()]*)\)|（([^（）]*)）|\[([^\[\]]*)\]|〔([^〔〕]*)〕|【([^【】]*)】)\z"
+    x = x.withColumn("_host", F.when(F.col("_swap"), F.regexp_extract(before, bracket, 1))).withColumn("_inner", F.concat(*[F.regexp_extract(before, bracket, k) for k in range(2, 7)]))
+    known = F.coalesce((F.col("_host") != "") & ~F.col("_inner").rlike(PAREN_LABEL), F.lit(False))
+    fixed = F.when(known, F.concat("_before", _agrees(F.col("_host"), get("_new", 1)), get("_new", 2))).otherwise(c)
+    out = x.withColumn("corrected", fixed).where(~(known & (F.col("corrected") == o)))
+    return out.select(corrections.columns)
+
+
+def anchor_narrow(docs: DataFrame, fix, least: int = 1) -> DataFrame:
+    """Findings of ``fix`` (a function from a token column to its text with spaces put in), each on its smallest anchor.
+
+    An anchor is what stands around the new spaces, as far as letters, digits and ``._/-`` reach. It is taken if every
+    place of that text in the document, overlapping ones too, is one that ``fix`` changes; else the whole token is
+    the original. Tokens whose fix changes more than spaces are left out. Of findings on one original in a document
+    the first stays. Texts are read in their rows, for each distinct anchor once. A null text has no findings.
+    """
+    shape = rf"^(\S*?)((?:[\p{{L}}\p{{N}}]{ANCHOR}*)?\S(?: \S+)* \S(?:{ANCHOR}*[\p{{L}}\p{{N}}])?)(\S*)$"
+
+    def finding(t: Column, i: Column) -> Column:
+        fixed = fix(t)
+        spaced = F.coalesce((fixed != t) & (F.replace(fixed, F.lit(" "), F.lit("")) == t) & (F.length(t) >= least), F.lit(False))
+        anchor = F.when(spaced & fixed.rlike(shape), F.regexp_extract(fixed, shape, 2)).otherwise(fixed)
+        return F.struct(i.alias("idx"), t.alias("token"), fixed.alias("token_fixed"), F.replace(anchor, F.lit(" "), F.lit("")).alias("anchor"), anchor.alias("anchor_fixed"), spaced.alias("spaced"))
+
+    found = docs.select("doc_id", "text", F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), finding), lambda x: x["spaced"]).alias("found"))
+    places = F.map_from_entries(F.transform(F.array_distinct(F.transform("found", lambda x: x["anchor"])), lambda a: F.struct(a.alias("a"), F.regexp_count("text", F.concat(F.lit("(?=\\Q"), a, F.lit("\\E)"))).alias("n"))))
+    each = found.where(F.size("found") > 0).select("doc_id", places.alias("places"), F.explode("found").alias("f")).select("doc_id", "f.*", F.element_at("places", F.col("f.anchor")).alias("n"))
+    safe = each.groupBy("doc_id", "anchor").agg(F.count(F.lit(1)).alias("fixable"))
+    on = (F.col("anchor") == F.col("token")) | (F.col("n") == F.col("fixable"))
+    chosen = each.join(safe, ["doc_id", "anchor"]).select("doc_id", "idx", F.when(on, F.col("anchor")).otherwise(F.col("token")).alias("original"), F.when(on, F.col("anchor_fixed")).otherwise(F.col("token_fixed")).alias("corrected"))
+    return chosen.groupBy("doc_id", "original").agg(F.min_by("corrected", "idx").alias("corrected"))
 
 
 def particle_agreement(morphemes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from lexiloom.operators import rules as op
 from lexiloom.plans.consistency_queries import _docs
 from lexiloom.sources import tables
 from lexiloom.sources.korean import DUCK_KO, corpus_ko, morphemes
-from lexiloom.sources.tables import duck, lexicon, lines
+from lexiloom.sources.tables import duck, lexicon, lines, read
 
 tables.DUCK.update(DUCK_KO)
 
@@ -42,13 +42,32 @@ CLOSED = "(ascii(right({}, 1)) - 44032) % 28 <> 0"
 
 def _agree(noun: str, particle: str) -> str:
     cases = " ".join(f"WHEN {particle} IN ('{a}', '{b}') THEN CASE WHEN {CLOSED.format(noun)} THEN '{a}' ELSE '{b}' END" for a, b in op.PARTICLE_FORMS)
-    return f"CASE {cases} ELSE {particle} END"
+    ro = f"WHEN {particle} IN ('으로', '로') THEN CASE WHEN (ascii(right({noun}, 1)) - 44032) % 28 IN (0, 8) THEN '로' ELSE '으로' END"
+    return f"CASE {cases} {ro} ELSE {particle} END"
+
+
+def _swapped(s, d):
+    """For each particle after a bracket in the Korean corpus, corrections to the forms that it could have."""
+    found = _ko(s, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(op.PAREN_PARTICLE), F.lit(0))).alias("m"))
+    part = lambda n: F.regexp_extract("m", op.PAREN_PARTICLE, n)
+    each = found.select("doc_id", F.concat(part(1), F.lit("("), part(2), F.lit(")")).alias("head"), part(3).alias("old"), F.explode(F.array(*map(F.lit, ("은", "는", "으로", "로")))).alias("new"))
+    return each.where("old <> new").select("doc_id", F.concat("head", "old").alias("original"), F.concat("head", "new").alias("corrected")).distinct()
+
+
+def _pages(s, d):
+    return read(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+
+
+def _before_tags(token):
+    """A space before each tag that follows a letter, digit or full stop."""
+    return F.regexp_replace(token, r"([\p{L}\p{N}.])<", "$1 <")
 
 
 PUNCT = r"SELECT doc_id, 'punct_spacing' AS rule, unnest(range(len(x))) AS n, unnest(x) AS original, regexp_replace(unnest(x), '([가-힣])([.?!])([가-힣])', '\1\2 \3') AS corrected FROM (SELECT doc_id, regexp_extract_all(text, '([가-힣])([.?!])([가-힣])') AS x FROM corpus_ko)"
 UNIT = r"SELECT doc_id, 'unit_spacing' AS rule, unnest(range(len(x))) AS n, unnest(x) AS original, regexp_replace(unnest(x), '([0-9]+[만억천])([명원개])', '\1 \2') AS corrected FROM (SELECT doc_id, regexp_extract_all(text, '([0-9]+[만억천])([명원개])') AS x FROM corpus_ko)"
 _STEM = " ".join(f"WHEN contains(original, '{a}') THEN trim(replace(original, '{a}', '{b}'))" for a, b in op.WRONG_STEMS)
 STEMS = rf"SELECT doc_id, 'spelling_stems' AS rule, original, corrected FROM (SELECT doc_id, original, CASE {_STEM} END AS corrected FROM (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS original FROM corpus_ko)) WHERE corrected IS NOT NULL AND corrected <> original"
+PAREN = f"SELECT doc_id, m, regexp_extract(m, '{op.PAREN_PARTICLE}', 1) AS n, regexp_extract(m, '{op.PAREN_PARTICLE}', 2) AS i, regexp_extract(m, '{op.PAREN_PARTICLE}', 3) AS p, regexp_extract(m, '{op.PAREN_PARTICLE}', 4) AS a FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{op.PAREN_PARTICLE}')) AS m FROM corpus_ko)"
 LAG = "SELECT *, lag(form) OVER w AS f0, lag(tag) OVER w AS t0 FROM morphemes WINDOW w AS (PARTITION BY doc_id, word ORDER BY idx)"
 URL = r"(contains(word, '://') OR regexp_matches(word, '^www\.|@|[/\\]|\.(com|org|net|html?)\b'))"
 HEAD = r"CASE WHEN regexp_matches(text, '^\p{Lu}\S*\s*$') THEN text END"
@@ -95,8 +114,21 @@ ALL = {
     ),
     "paren_particle": (
         lambda s, d: op.paren_particle(_ko(s, d)),
-        duck("corpus_ko", rf"""SELECT doc_id, 'paren_particle' AS rule, original, corrected FROM (SELECT doc_id, original, original[1:length(original) - 1] || {_agree("regexp_extract(original, '^[가-힣]+')", "right(original, 1)")} AS corrected
-            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[가-힣]+\([^)]*\)[은는이가을를과와]')) AS original FROM corpus_ko)) WHERE original <> corrected"""),
+        duck("corpus_ko", rf"""SELECT DISTINCT doc_id, 'paren_particle' AS rule, substr(m, 1, length(m) - length(a)) AS original, n || '(' || i || ')' || {_agree('n', 'p')} AS corrected
+            FROM parts WHERE NOT regexp_matches(i, '{op.PAREN_LABEL}') AND p <> {_agree('n', 'p')}""", parts=PAREN),
+    ),
+    "fix_paren_agreement": (
+        lambda s, d: op.fix_paren_agreement(_swapped(s, d), _ko(s, d)),
+        duck("corpus_ko", rf"""SELECT doc_id, h || o AS original, h || f AS corrected FROM (SELECT doc_id, h, o, CASE WHEN regexp_matches(i, '{op.PAREN_LABEL}') THEN c ELSE {_agree('n', 'c')} END AS f
+            FROM (SELECT DISTINCT doc_id, n, i, n || '(' || i || ')' AS h, p AS o, unnest(['은', '는', '으로', '로']) AS c FROM parts) WHERE o <> c) WHERE f <> o""", parts=PAREN),
+    ),
+    "anchor_narrow": (
+        lambda s, d: op.anchor_narrow(_pages(s, d), _before_tags),
+        duck("", r"""SELECT doc_id, original, arg_min(corrected, idx) AS corrected FROM (SELECT doc_id, idx, CASE WHEN a = t OR n = k THEN a ELSE t END AS original, CASE WHEN a = t OR n = k THEN af ELSE f END AS corrected
+            FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a) AS k FROM narrowed) JOIN places USING (doc_id, a)) GROUP BY doc_id, original""",
+             found=r"SELECT * FROM (SELECT doc_id, text, idx, t, regexp_replace(t, '([\p{L}\p{N}.])<', '\1 <', 'g') AS f FROM (SELECT page_id AS doc_id, html AS text, unnest(range(len(x))) AS idx, unnest(x) AS t FROM (SELECT *, regexp_extract_all(html, '[^ \t\n\v\f\r]+') AS x FROM pages))) WHERE f <> t",
+             narrowed=rf"SELECT *, replace(af, ' ', '') AS a FROM (SELECT *, regexp_extract(f, '(?:[\p{{L}}\p{{N}}]{op.ANCHOR}*)?\S(?: \S+)* \S(?:{op.ANCHOR}*[\p{{L}}\p{{N}}])?') AS af FROM found)",
+             places="SELECT doc_id, a, len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(a)) = a)) AS n FROM (SELECT DISTINCT doc_id, a, text FROM narrowed)"),
     ),
     "particle_agreement": (
         lambda s, d: op.particle_agreement(_m(s, d)),

@@ -21,6 +21,8 @@ SENTENCES = (
     "https://example.org/a 를 보라",
     "사과(apple)는 맛있다 바나나(banana)은 달다",
     "그럴듯한 말은 그만해야 한다",
+    "이것은 아니였고 왠만하면 곰곰히 생각했다",
+    "방식 (way)로 바꾸고 식 (4)와 길(road)으로 간다",
 )
 MORPHEMES = (
     "0 나 NP;0 는 JX;1 학교 NNG;1 에 JKB;2 가 VV;2 았다 EF;3 그 NP;3 는 JX;4 집 NNG;4 에 JKB;5 있 VV;5 다 EF",
@@ -33,6 +35,8 @@ MORPHEMES = (
     "1 를 JKO;2 보 VV;2 라 EF",
     "0 사과 NNG;0 는 JX;1 맛있 VA;1 다 EF;2 바나나 NNG;2 은 JX;3 달 VA;3 다 EF",
     "0 그럴듯하 VA;0 ㄴ ETM;1 말 NNG;1 은 JX;2 그만하 VV;2 어야 EC;3 하 VX;3 ㄴ다 EF",
+    "0 이것 NP;0 은 JX;1 아니 VCN;1 였 EP;1 고 EC;2 왠만하 VA;2 면 EC;3 곰곰히 MAG;4 생각하 VV;4 였다 EF",
+    "0 방식 NNG;1 로 JKB;2 바꾸 VV;2 고 EC;3 식 NNG;4 와 JC;5 길 NNG;5 으로 JKB;6 가 VV;6 ㄴ다 EF",
 )
 
 

@@ -192,3 +192,30 @@ def test_every_query_has_a_plan(spark, sf):
     for name, query in registry.QUERIES.items():
         if "stream" not in name:
             assert query(spark, sf).columns, name
+
+
+def test_particles_after_brackets(spark):
+    d = spark.createDataFrame([(1, "바나나(banana)은 달다"), (2, "길(road)으로 가고 식 (4)와 방식 (way)로"), (3, "사과(apple)는 책(book)을"), (4, None), (5, "")], "doc_id long, text string")
+    got = rows(rules.paren_particle(d).select("doc_id", "original", "corrected"))
+    assert got == [(1, "바나나(banana)은", "바나나(banana)는"), (2, "길(road)으로", "길(road)로"), (2, "방식 (way)로", "방식(way)으로")]
+    c = spark.createDataFrame(
+        [(1, "바나나(banana)은", "바나나(banana)을"), (1, "nana)은", "nana)는"), (2, "길(road)으로", "길(road)로"), (2, "식 (4)와", "식 (4)과"), (2, "방식 (way)로", "방식 (way)로서"), (3, "책(book)을", "책(book)를"), (3, None, "x"), (3, "책(book)을", "책(paper)을")],
+        "doc_id long, original string, corrected string",
+    )
+    got = [tuple(r) for r in rules.fix_paren_agreement(c, d).collect()]
+    want = [(1, "바나나(banana)은", "바나나(banana)를"), (1, "nana)은", "nana)는"), (2, "길(road)으로", "길(road)로"), (2, "식 (4)와", "식 (4)과"), (2, "방식 (way)로", "방식 (way)로서"), (3, None, "x"), (3, "책(book)을", "책(paper)을")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert rules.fix_paren_agreement(c.limit(0), d).count() == 0
+
+
+def test_stems(spark):
+    d = spark.createDataFrame([(1, "아니였으며, 됬다 괜찮다"), (2, None)], "doc_id long, text string")
+    assert rows(rules.spelling_stems(d).select("original", "corrected")) == [("됬다", "됐다"), ("아니였으며,", "아니었으며,")]
+
+
+def test_anchors(spark):
+    d = spark.createDataFrame([(1, '"(5km),x 5km.'), (2, "“3cm” 3cm!"), (3, "3cm 13cm"), (4, None), (5, "a.b(c)d")], "doc_id long, text string")
+    got = rows(rules.anchor_narrow(d, lambda t: F.regexp_replace(t, "([0-9])([a-z]m)", "$1 $2")))
+    assert got == [(1, "5km", "5 km"), (2, "3cm", "3 cm"), (3, "13cm", "13 cm"), (3, "3cm", "3 cm")]
+    some = rows(rules.anchor_narrow(d, lambda t: F.when(t.startswith('"'), F.regexp_replace(t, "([0-9])([a-z]m)", "$1 $2")).otherwise(t)))
+    assert some == [(1, '"(5km),x', '"(5 km),x')]
