@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lexiloom.functions.text import INVISIBLE, KO_PARTICLES, has_final_consonant, normalise_text
 
 # Forms after a final consonant and after a vowel; dependent nouns; wrong stems with the right ones;
-# places of a particle after a bracket; labels that a particle does not agree with; characters inside an anchor.
+# places of a particle after a bracket; labels that a particle does not agree with; characters inside an anchor;
+# closing brackets; dependent nouns of any length that stand apart after them; words of headings and their category.
 PARTICLE_FORMS = (("은", "는"), ("이", "가"), ("을", "를"), ("과", "와"), ("아", "야"))
 DEPENDENT_NOUNS = ("것", "수", "바", "줄", "만큼", "대로", "뿐", "데")
 WRONG_STEMS = (
@@ -19,6 +20,9 @@ WRONG_STEMS = (
 PAREN_PARTICLE = r"([가-힣]+) ?\(([^()]{0,60})\)(으로|로|은|는|이|가|을|를|과|와)($|[^가-힣])"
 PAREN_LABEL = r"^\s*[0-9][0-9\s.,·\-]*$"
 ANCHOR = r"[\p{L}\p{N}._/-]"
+CLOSING = (")", "]", "}", "』", "」", "】", "》", "〉", "）", "］", "｝")
+NOUNS_APART = ("시", "때", "중", "외", "수", "것", "데", "바", "줄", "만큼", "대로", "뿐", "들", "등", "등등", "따위", "년", "월", "일", "말", "초", "경", "무렵")
+RULE_CATEGORIES = (("띄어쓰기", "띄어쓰기"), ("외래어", "외래어"), ("표준", "표준어"), ("발음", "표준어"))
 
 
 def corpus_load(docs: DataFrame, least: int = 10, large: int = 15_000) -> DataFrame:
@@ -243,6 +247,85 @@ def auxiliary_spacing(morphemes: DataFrame) -> DataFrame:
     return m.where("tag = 'VX' and before = '어야'").select("doc_id", "word", "form", F.lit("high").alias("confidence"))
 
 
+def symbol_noun_spacing(morphemes: DataFrame) -> DataFrame:
+    """Words with a noun written together with the closing bracket before it: original, and corrected with spaces.
+
+    Nouns of two letters or more count, and the dependent nouns that stand apart. A bracket of one letter is a label and
+    stays; one without an opening bracket in its word counts. Quotation marks are not treated.
+    """
+    words = morphemes.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list(F.struct("idx", "form", "tag"))).alias("m")).where(F.exists("m", lambda x: x["form"].isin(*CLOSING)))
+    start = F.struct(F.lit("").alias("text"), F.lit("").alias("spaced"), F.lit(None).cast("string").alias("inside"), F.lit(False).alias("closed"))
+
+    def step(a: Column, x: Column) -> Column:
+        noun = (x["tag"].isin("NNG", "NNP", "NR", "NP") & (F.length(x["form"]) >= 2)) | ((x["tag"] == "NNB") & x["form"].isin(*NOUNS_APART))
+        opens, closes = x["tag"] == "SSO", x["form"].isin(*CLOSING)
+        return F.struct(
+            F.concat(a["text"], x["form"]).alias("text"),
+            F.concat(a["spaced"], F.when(a["closed"] & noun, " ").otherwise(""), x["form"]).alias("spaced"),
+            F.when(opens, "").when(closes, F.lit(None).cast("string")).otherwise(F.concat(a["inside"], x["form"])).alias("inside"),
+            (closes & F.coalesce(F.length(F.trim(a["inside"])) > 1, F.lit(True))).alias("closed"),
+        )
+
+    done = words.select("doc_id", "word", F.aggregate("m", start, step).alias("a"))
+    return done.select("doc_id", "word", F.col("a.text").alias("original"), F.col("a.spaced").alias("corrected")).where("original <> corrected")
+
+
+def passive_join(docs: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Wrongly split passives: two words with one space between them, and both joined.
+
+    ``analyses`` has the tagged parts of joined forms: joined, start, end, form, tag (places of letters, end exclusive).
+    They join if a verb crosses the border, or a connecting ending stands before it and the auxiliary of the passive
+    after it, and no noun follows the border. Forms that were not analysed are left alone; a null text has no findings.
+    """
+    words = F.explode(F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))).alias("w")
+    each = docs.select("doc_id", words).where("size(w) > 1").select("doc_id", F.explode(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, size(w))").alias("b"))).alias("p"))
+    each = each.where("p.b is not null and p.a rlike '[아어여]$' and p.b rlike '^[지졌져질진]'").distinct()
+    found = each.select("doc_id", F.concat("p.a", "p.b").alias("joined"), F.length("p.a").alias("border"), F.concat_ws(" ", "p.a", "p.b").alias("original"))
+    m = found.join(analyses, "joined")
+    border, start, end = F.col("border"), F.col("start"), F.col("end")
+    crosses = F.col("tag").startswith("V") & (start < border) & (end > border)
+    ending = F.col("tag").startswith("E") & F.col("form").isin("아", "어", "여") & (start < border) & (end <= border)
+    passive = (F.col("tag") == "VX") & (F.col("form") == "지") & (start <= border) & (end > border)
+    noun = F.col("tag").isin("NNG", "NNP", "NNB", "NP", "NR", "SL", "SH", "SN") & (start >= border)
+    tested = m.groupBy("doc_id", "original", "joined").agg(F.bool_or(crosses).alias("c"), F.bool_or(ending).alias("e"), F.bool_or(passive).alias("v"), F.bool_or(noun).alias("n"))
+    return tested.where("(c or (e and v)) and not n").select("doc_id", "original", F.col("joined").alias("corrected"))
+
+
+def rule_cards_build(articles: DataFrame, examples: DataFrame, more: str = "더 알아보기", most: int = 600) -> DataFrame:
+    """Rule cards of articles (doc_id, prefix, article_no, chapter, section, text) and their examples (doc_id, kind, word).
+
+    The first line is the rule; the rest up to ``more`` is the commentary, of which ``gloss`` keeps ``most`` letters
+    and a mark; what follows is ``see_also``. Cards of the same prefix and article get -1, -2, ... by doc_id. A null
+    text, chapter or section counts as empty; an article without examples has empty lists.
+    """
+    text = F.coalesce("text", F.lit(""))
+    main = F.substring_index(text, more, 1)
+    tidy = lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")
+    rest = tidy(F.regexp_replace(main, r"^[^\n]*(\n|\z)", ""))
+    heading = F.concat_ws(" ", "chapter", "section")
+    category = F.lit("맞춤법")
+    for word, name in reversed(RULE_CATEGORIES):
+        category = F.when(heading.contains(word), name).otherwise(category)
+    seq = F.row_number().over(Window.partitionBy("prefix", "article_no").orderBy("doc_id")) - 1
+    words = lambda kind: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("word")))).alias(kind)
+    by = examples.groupBy("doc_id").agg(words("right"), words("wrong"))
+    none = F.array().cast("array<string>")
+    ids = articles.select("doc_id", "prefix", "article_no", seq.alias("seq"))  # numbers need no texts
+    cards = articles.drop("prefix", "article_no").join(ids, "doc_id").join(by, "doc_id", "left")
+    number = F.concat("prefix", F.lit("-"), F.lpad(F.col("article_no").cast("string"), 4, "0"), F.when(F.col("seq") > 0, F.concat(F.lit("-"), F.col("seq").cast("string"))).otherwise(""))
+    return cards.select(
+        "doc_id", number.alias("rule_id"), "article_no", tidy(F.substring_index(main, "\n", 1)).alias("rule_text"), F.when(F.length(rest) <= most, rest).otherwise(F.concat(F.substring(rest, 1, most), F.lit("…"))).alias("gloss"),
+        F.when(text.contains(more), tidy(F.expr(f"substring(coalesce(text, ''), locate('{more}', coalesce(text, '')) + {len(more)})"))).otherwise("").alias("see_also"),
+        category.alias("category"), F.coalesce("right", none).alias("correct"), F.coalesce("wrong", none).alias("incorrect"),
+    )
+
+
+def suspicious_cards(cards: DataFrame) -> DataFrame:
+    """Cards whose rule is shorter than 5 or longer than 200 letters, or that have no example."""
+    n = F.length("rule_text")
+    return cards.where((n < 5) | (n > 200) | ((F.size("correct") == 0) & (F.size("incorrect") == 0)))
+
+
 def nominal_boundary(morphemes: DataFrame) -> DataFrame:
     """By word: whether it is made of nouns and particles only."""
     return morphemes.groupBy("doc_id", "word").agg(F.bool_and(F.col("tag").startswith("N") | F.col("tag").startswith("J")).alias("nominal"))

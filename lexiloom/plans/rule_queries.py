@@ -8,7 +8,8 @@ from lexiloom.functions.text import KO_PARTICLES
 from lexiloom.operators import rules as op
 from lexiloom.plans.consistency_queries import _docs
 from lexiloom.sources import tables
-from lexiloom.sources.korean import DUCK_KO, corpus_ko, morphemes
+from lexiloom.operators.propagation import rule_examples
+from lexiloom.sources.korean import DUCK_KO, JOINED, corpus_ko, joined_analyses, morphemes
 from lexiloom.sources.tables import duck, lexicon, lines, read
 
 tables.DUCK.update(DUCK_KO)
@@ -58,6 +59,17 @@ def _pages(s, d):
     return read(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
 
 
+def _rule_cards(s, d):
+    """Each document as an article, with a heading by its language; what follows "more" is further reading."""
+    docs = read(s, d, "documents")
+    articles = docs.select("doc_id", F.upper("lang").alias("prefix"), (F.col("doc_id") % 50).alias("article_no"), F.when(F.col("lang") == "fr", "표준 발음").otherwise("총칙").alias("chapter"), F.when(F.col("lang") == "de", "띄어쓰기").alias("section"), "text")
+    return op.rule_cards_build(articles, rule_examples(lines(_docs(s, d)).withColumn("text", F.regexp_replace("text", "[.,] ", ": "))), "more")
+
+
+def _digest(cards):
+    return cards.withColumn("gloss", F.md5("gloss")).withColumn("see_also", F.md5("see_also")).withColumn("correct", F.array_join("correct", ",")).withColumn("incorrect", F.array_join("incorrect", ","))
+
+
 def _before_tags(token):
     """A space before each tag that follows a letter, digit or full stop."""
     return F.regexp_replace(token, r"([\p{L}\p{N}.])<", "$1 <")
@@ -72,6 +84,19 @@ LAG = "SELECT *, lag(form) OVER w AS f0, lag(tag) OVER w AS t0 FROM morphemes WI
 URL = r"(contains(word, '://') OR regexp_matches(word, '^www\.|@|[/\\]|\.(com|org|net|html?)\b'))"
 HEAD = r"CASE WHEN regexp_matches(text, '^\p{Lu}\S*\s*$') THEN text END"
 
+CLOSING, APART = (", ".join(f"'{x}'" for x in values) for values in (op.CLOSING, op.NOUNS_APART))
+_TIDY = r"regexp_replace({}, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')"
+RULE_CARDS = {
+    "p": r"SELECT doc_id, regexp_extract(t, '(\p{L}+): (\p{L}+)', 1) AS w, regexp_extract(t, '(\p{L}+): (\p{L}+)', 2) AS r FROM (SELECT doc_id, regexp_replace(text, '[.,] ', ': ', 'g') AS t FROM lines) WHERE regexp_matches(t, '(\p{L}+): (\p{L}+)')",
+    "rights": "SELECT doc_id, string_agg(DISTINCT r, ',' ORDER BY r) AS correct FROM p GROUP BY doc_id",
+    "wrongs": "SELECT doc_id, string_agg(DISTINCT w, ',' ORDER BY w) AS incorrect FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.doc_id AND q.r = p.w) GROUP BY doc_id",
+    "cut": "SELECT *, doc_id % 50 AS article_no, row_number() OVER (PARTITION BY upper(lang), doc_id % 50 ORDER BY doc_id) - 1 AS seq, instr(text, 'more') AS place, string_split(text, 'more')[1] AS main FROM documents",
+    "cards": f"""SELECT doc_id, upper(lang) || '-' || lpad(article_no::VARCHAR, 4, '0') || CASE WHEN seq > 0 THEN '-' || seq ELSE '' END AS rule_id, article_no, {_TIDY.format("string_split(main, chr(10))[1]")} AS rule_text,
+        md5(CASE WHEN length(rest) <= 600 THEN rest ELSE rest[:600] || '…' END) AS gloss, md5(CASE WHEN place > 0 THEN {_TIDY.format("text[place + 4:]")} ELSE '' END) AS see_also,
+        CASE lang WHEN 'de' THEN '띄어쓰기' WHEN 'fr' THEN '표준어' ELSE '맞춤법' END AS category, coalesce(correct, '') AS correct, coalesce(incorrect, '') AS incorrect
+        FROM (SELECT *, {_TIDY.format("array_to_string(string_split(main, chr(10))[2:], chr(10))")} AS rest FROM cut) LEFT JOIN rights USING (doc_id) LEFT JOIN wrongs USING (doc_id)""",
+}
+
 ALL = {
     "corpus_load": (
         lambda s, d: op.corpus_load(_docs(s, d)).select("doc_id", "n_chars_ns", "is_large", F.md5("text").alias("digest")),
@@ -155,6 +180,26 @@ ALL = {
         lambda s, d: op.auxiliary_spacing(_m(s, d)),
         duck("morphemes", "SELECT doc_id, word, form, 'high' AS confidence FROM (SELECT *, lag(form) OVER (PARTITION BY doc_id ORDER BY idx) AS b FROM morphemes) WHERE tag = 'VX' AND b = '어야'"),
     ),
+    "symbol_noun_spacing": (
+        lambda s, d: op.symbol_noun_spacing(_m(s, d)),
+        duck("morphemes", rf"""SELECT doc_id, word, string_agg(form, '' ORDER BY idx) AS original, string_agg(CASE WHEN cut THEN ' ' ELSE '' END || form, '' ORDER BY idx) AS corrected FROM (
+            SELECT *, f0 IN ({CLOSING}) AND coalesce(c - length(form) - length(f0) - opened > 1, true) AND ((tag IN ('NNG', 'NNP', 'NR', 'NP') AND length(form) >= 2) OR (tag = 'NNB' AND form IN ({APART}))) AS cut FROM (
+                SELECT *, max(CASE WHEN tag = 'SSO' THEN c END) OVER (PARTITION BY doc_id, word ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened
+                FROM (SELECT *, lag(form) OVER w AS f0, sum(length(form)) OVER w AS c FROM morphemes WINDOW w AS (PARTITION BY doc_id, word ORDER BY idx)))) GROUP BY doc_id, word HAVING bool_or(cut)"""),
+    ),
+    "passive_join": (
+        lambda s, d: op.passive_join(_ko(s, d), joined_analyses(s)),
+        duck("corpus_ko", """SELECT doc_id, a || ' ' || b AS original, a || b AS corrected FROM pairs JOIN parts ON joined = a || b WHERE regexp_matches(a, '[아어여]$') AND regexp_matches(b, '^[지졌져질진]') GROUP BY doc_id, a, b
+            HAVING NOT bool_or(tag IN ('NNG', 'NNP', 'NNB', 'NP', 'NR', 'SL', 'SH', 'SN') AND st >= length(a)) AND (bool_or(tag LIKE 'V%' AND st < length(a) AND en > length(a))
+                OR (bool_or(tag LIKE 'E%' AND form IN ('아', '어', '여') AND st < length(a) AND en <= length(a)) AND bool_or(tag = 'VX' AND form = '지' AND st <= length(a) AND en > length(a))))""",
+             pairs="SELECT DISTINCT doc_id, a, b FROM (SELECT doc_id, unnest(w) AS a, unnest(w[2:]) AS b FROM (SELECT doc_id, string_split(l, ' ') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM corpus_ko))) WHERE b IS NOT NULL",
+             parts=f"SELECT * FROM (VALUES {', '.join(map(str, JOINED))}) v(joined, st, en, form, tag)"),
+    ),
+    "rule_cards_build": (lambda s, d: _digest(_rule_cards(s, d)), duck("lines", "SELECT * FROM cards", **RULE_CARDS)),
+    "suspicious_cards": (
+        lambda s, d: op.suspicious_cards(_rule_cards(s, d)).select("doc_id", "rule_id"),
+        duck("lines", "SELECT doc_id, rule_id FROM cards WHERE length(rule_text) < 5 OR length(rule_text) > 200 OR (correct = '' AND incorrect = '')", **RULE_CARDS),
+    ),
     "nominal_boundary": (
         lambda s, d: op.nominal_boundary(_m(s, d)),
         duck("morphemes", "SELECT doc_id, word, bool_and(tag LIKE 'N%' OR tag LIKE 'J%') AS nominal FROM morphemes GROUP BY doc_id, word"),

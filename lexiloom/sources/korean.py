@@ -6,7 +6,7 @@ sentences below, by its id. It grows with the documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Sentences (texts) and their morphemes as word position, form and tag.
@@ -23,6 +23,8 @@ SENTENCES = (
     "그럴듯한 말은 그만해야 한다",
     "이것은 아니였고 왠만하면 곰곰히 생각했다",
     "방식 (way)로 바꾸고 식 (4)와 길(road)으로 간다",
+    "(센터)운영은 (주)경성 [붙임]에서 (회의)때 한다",
+    "뜻이 이루어 졌다 고려하여 질적 방이 작아 진다",
 )
 MORPHEMES = (
     "0 나 NP;0 는 JX;1 학교 NNG;1 에 JKB;2 가 VV;2 았다 EF;3 그 NP;3 는 JX;4 집 NNG;4 에 JKB;5 있 VV;5 다 EF",
@@ -37,7 +39,15 @@ MORPHEMES = (
     "0 그럴듯하 VA;0 ㄴ ETM;1 말 NNG;1 은 JX;2 그만하 VV;2 어야 EC;3 하 VX;3 ㄴ다 EF",
     "0 이것 NP;0 은 JX;1 아니 VCN;1 였 EP;1 고 EC;2 왠만하 VA;2 면 EC;3 곰곰히 MAG;4 생각하 VV;4 였다 EF",
     "0 방식 NNG;1 로 JKB;2 바꾸 VV;2 고 EC;3 식 NNG;4 와 JC;5 길 NNG;5 으로 JKB;6 가 VV;6 ㄴ다 EF",
+    "0 ( SSO;0 센터 NNG;0 ) SSC;0 운영 NNG;0 은 JX;1 ( SSO;1 주 NNG;1 ) SSC;1 경성 NNP;2 [ SSO;2 붙임 NNG;2 ] SSC;2 에서 JKB;3 ( SSO;3 회의 NNG;3 ) SSC;3 때 NNB;4 하 VV;4 ㄴ다 EF",
+    "0 뜻 NNG;0 이 JKS;1 이루 VV;1 어 EC;2 지 VX;2 었다 EF;3 고려하 VV;3 여 EC;4 질적 NNG;5 방 NNG;5 이 JKS;6 작 VA;6 아 EC;7 지 VX;7 ㄴ다 EF",
 )
+#: Parts of joined forms: joined, start, end, form, tag.
+JOINED = (
+    ("이루어졌다", 0, 4, "이루어지", "VV"), ("이루어졌다", 3, 4, "었", "EP"), ("이루어졌다", 4, 5, "다", "EF"),
+    ("고려하여질적", 0, 3, "고려하", "VV"), ("고려하여질적", 3, 4, "여", "EC"), ("고려하여질적", 4, 5, "지", "VX"), ("고려하여질적", 4, 5, "ㄹ", "ETM"), ("고려하여질적", 5, 6, "적", "NNB"),
+    ("작아진다", 0, 1, "작", "VA"), ("작아진다", 1, 2, "아", "EC"), ("작아진다", 2, 3, "지", "VX"), ("작아진다", 2, 4, "ㄴ다", "EF"),
+)
 
 
 def corpus_ko(docs: DataFrame) -> DataFrame:
@@ -55,6 +65,11 @@ def morphemes(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", F.col("p")[0].cast("int").alias("word"), "idx", F.col("p")[1].alias("form"), F.col("p")[2].alias("tag"))
 
 
+def joined_analyses(spark: SparkSession) -> DataFrame:
+    """joined, start, end, form, tag."""
+    return spark.createDataFrame(JOINED, "joined string, start int, end int, form string, tag string")
+
+
 def _array(values: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 

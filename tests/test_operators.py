@@ -219,3 +219,22 @@ def test_anchors(spark):
     assert got == [(1, "5km", "5 km"), (2, "3cm", "3 cm"), (3, "13cm", "13 cm"), (3, "3cm", "3 cm")]
     some = rows(rules.anchor_narrow(d, lambda t: F.when(t.startswith('"'), F.regexp_replace(t, "([0-9])([a-z]m)", "$1 $2")).otherwise(t)))
     assert some == [(1, '"(5km),x', '"(5 km),x')]
+
+
+def test_symbols_passives_and_cards(spark):
+    from lexiloom.sources.korean import corpus_ko, joined_analyses, morphemes
+
+    ids = spark.createDataFrame([(12,), (13,)], "doc_id long")
+    assert rows(rules.symbol_noun_spacing(morphemes(ids)).select("original", "corrected")) == [("(센터)운영은", "(센터) 운영은"), ("(회의)때", "(회의) 때")]
+    assert rows(rules.passive_join(corpus_ko(ids), joined_analyses(spark))) == [(13, "이루어 졌다", "이루어졌다"), (13, "작아 진다", "작아진다")]
+    articles = spark.createDataFrame(
+        [(1, "HM", 3, "띄어쓰기", None, "규칙 하나이다\n 해설 " + "가" * 700), (2, "HM", 3, None, None, "둘\n해설\n더 알아보기 끝"), (3, "SW", 3, "발음", "", None)],
+        "doc_id long, prefix string, article_no int, chapter string, section string, text string",
+    )
+    examples = spark.createDataFrame([(1, "right", "b"), (1, "right", "a"), (1, "wrong", "c")], "doc_id long, kind string, word string")
+    cards = rules.rule_cards_build(articles, examples)
+    got = {r.doc_id: r for r in cards.collect()}
+    assert [got[k].rule_id for k in (1, 2, 3)] == ["HM-0003", "HM-0003-1", "SW-0003"] and [got[k].category for k in (1, 2, 3)] == ["띄어쓰기", "맞춤법", "표준어"]
+    assert got[1].correct == ["a", "b"] and got[1].incorrect == ["c"] and len(got[1].gloss) == 601 and got[1].gloss.startswith("해설 가")
+    assert (got[2].rule_text, got[2].gloss, got[2].see_also) == ("둘", "해설", "끝") and (got[3].rule_text, got[3].gloss, got[3].correct) == ("", "", [])
+    assert rows(rules.suspicious_cards(cards).select("doc_id")) == [(2,), (3,)]
