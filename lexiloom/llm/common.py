@@ -68,7 +68,9 @@ def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
         total += n
     offsets = df.sparkSession.createDataFrame(before, "_part int, _before long")
     within = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1
-    return ordered.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + within).cast("long")).drop("_part", "_at", "_before")
+    out = ordered.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + within).cast("long")).drop("_part", "_at", "_before")
+    out._lexiloom_path = ordered._lexiloom_path  # for ``forget``
+    return out
 
 
 # -- hashing in numpy -------------------------------------------------------------------------

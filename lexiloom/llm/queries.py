@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, quality, secret_scan, sentence_pieces, source_mix, suffix_dedup, toxicity
+from lexiloom.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, merkle, packing, quality, secret_scan, sentence_pieces, source_mix, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_language_id": language_id.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op13_best_fit_packing": packing.op13_best_fit_packing,
 }
 
 ORACLE_SQL = {
@@ -23,4 +25,5 @@ ORACLE_SQL = {
     "op5_secret_scan": secret_scan.ORACLE_SQL,
     "op6_source_mix": source_mix.ORACLE_SQL,
     "op8_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
