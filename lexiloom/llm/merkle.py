@@ -121,7 +121,7 @@ def merkle_manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     kept = [F.col(id_col).alias("id"), *[c.alias(f"more_{k}") for k, c in (more or {}).items()]]
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
     leaves = written(docs.select(key.alias("key"), F.struct(*kept).alias("more"), leaf([F.col(c) for c in fields]).alias("digest")), "leaves")
-    numbered = ranked(leaves.withColumn("_id", F.col("more.id")), "key", F.col("_id").asc_nulls_first(), "digest", name="number").drop("_id")
+    numbered = ranked(leaves.withColumn("_id", F.col("more.id")), "key", F.col("_id").asc_nulls_first(), "digest", name="number")
     forget(leaves)
     sources = ranked(numbered.groupBy("key").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n")), "key", name="tree")
     nodes = written(numbered.join(sources, "key").select("tree", (F.col("number") - F.col("first")).alias("at"), "n", "digest", "more"), "leaf-nodes")

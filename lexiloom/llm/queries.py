@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, merkle, packing, quality, secret_scan, sentence_pieces, source_mix, suffix_dedup, toxicity
+from lexiloom.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, lexical_search, merkle, packing, quality, secret_scan, sentence_pieces, source_mix, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_best_fit_packing": packing.op13_best_fit_packing,
 }
 
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op6_source_mix": source_mix.ORACLE_SQL,
     "op8_jaccard_join": jaccard_join.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
 }
