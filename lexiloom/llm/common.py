@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -135,6 +136,10 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+#: Longer words are hashed by BLAKE2: sums of powers modulo 2**64 collide, whatever the base, on strings of 1,024 bytes.
+LONG_WORD = 128
+
+
 def words_of(texts: list[bytes], lower: bool = True):
     """Word hashes of several texts at once: (data, starts, ends, document index, hash) of all words."""
     joined = b"\n".join(texts) + b"\n"
@@ -146,7 +151,10 @@ def words_of(texts: list[bytes], lower: bool = True):
     starts, ends = edge[::2], edge[1::2]
     bounds = np.cumsum([len(t) + 1 for t in texts])
     doc = np.searchsorted(bounds, starts, side="right")
-    return data, starts, ends, doc, range_hash(prefix_hash(data), starts, ends)
+    hashes = range_hash(prefix_hash(data), starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        hashes[k] = int.from_bytes(hashlib.blake2b(joined[starts[k] : ends[k]], digest_size=8, key=b"word").digest(), "little")
+    return data, starts, ends, doc, hashes
 
 
 # -- connected components ---------------------------------------------------------------------

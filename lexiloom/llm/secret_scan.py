@@ -6,7 +6,7 @@ searched once per kind; positions are worked out only for texts with a match.
 * Fixed patterns (the base): ``assign``, ``access`` and ``hex``, leftmost and without overlap per kind.
 * Entropy: candidates are the maximal runs of a character class (``hexrun``: hexadecimal digits, ``token``: the
   base-64 alphabets) of at least ``WINDOW`` characters. A window slides over the candidate; its character counts are
-  kept in a map to which the entering character is added and from which the leaving one is taken, and the sum of
+  kept in a map, to which the entering character is added and from which the leaving one is taken, and the sum of
   c*log2(c) is updated from the two changed counts only. A candidate is reported if the largest entropy of its windows
   reaches the threshold of its class, it has digits and letters, no allow-list pattern matches it whole, and no base
   span contains it.
@@ -30,11 +30,20 @@ ASSIGN = (
 #: Kind, pattern, group that is measured, its least length. The order is the order of kinds in the output.
 BASE = [("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
 RUNS = [("hexrun", "[0-9A-Fa-f]{20,}"), ("token", "[A-Za-z0-9+/=_-]{20,}")]
-#: Strings that look random but are not secrets: UUIDs, runs of words, version paths, the alphabet.
-ALLOWED = "[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|([A-Z]?[a-z]+[/_-])+[A-Z]?[a-z]*[0-9]{0,4}|(0123456789|[Aa][Bb][Cc][Dd][Ee][Ff]).*"
+#: Strings that look random but are not secrets: UUIDs, runs of words, version paths, whole alphabets and digits in order.
+ALLOWED = "[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|([A-Z]?[a-z]+[/_-])+[A-Z]?[a-z]*[0-9]{0,4}|(0123456789|(?i:abcdefghijklmnopqrstuvwxyz)|(?i:abcdef))+"
 KINDS = [k for k, *_ in BASE] + [k for k, _ in RUNS]
 
 
+#: Matches that are appended to one array before the next is begun.
+BLOCK = 128
+
+
+def bound(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` as a lambda variable, so that it is worked out once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
     """array<struct<start,rank,end,kind,value>> of the matches, in code points.
 
@@ -53,9 +62,17 @@ def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0)
         good = x["match"].isNotNull() & (F.length(x["value"]) >= least)
         return F.struct(end.alias("at"), F.when(good, F.concat(state["spans"], found)).otherwise(state["spans"]).alias("spans"))
 
+    def block(state: Column, xs: Column) -> Column:
+        return bound(
+            F.aggregate(xs, F.struct(state["at"].alias("at"), empty.alias("spans")), step),
+            lambda s: F.struct(s["at"].alias("at"), F.concat(state["spans"], F.array(s["spans"])).alias("spans")),
+        )
+
     zipped = F.arrays_zip(gaps.alias("gap"), matches.alias("match"), values.alias("value"))
     named = F.transform(zipped, lambda x: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), x["value"].alias("value")))
-    folded = F.aggregate(named, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
+    # In blocks: appending to one array for each match would cost the square of their number.
+    blocks = bound(named, lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda k: F.slice(xs, k * BLOCK + 1, F.lit(BLOCK))))
+    folded = F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,rank:int,end:int,kind:string,value:string>>>").alias("spans")), block, lambda s: s["spans"]))
     return F.when(text.rlike(pattern), folded).otherwise(empty)
 
 
@@ -64,23 +81,35 @@ def _weight(count: Column) -> Column:
 
 
 def most_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of the windows of ``value`` (0 if it is shorter than a window)."""
-    chars = F.split(value, "")
-    zero = F.struct(F.create_map().cast("map<string,int>").alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    """The largest Shannon entropy, in bits, of the windows of ``value`` (0 if it is shorter than a window).
+
+    A step takes the character that enters and the one that leaves, from two arrays made once, and a map of the at most
+    ``window`` characters within, so the work is linear in the length of ``value``.
+    """
+    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(-1), window), codes), 1, F.length(value))
+    moves = F.zip_with(codes, leaving, lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
+    zero = F.struct(F.create_map().cast("map<int,int>").alias("n"), F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    count = lambda state, char: F.coalesce(F.element_at(state["n"], char), F.lit(0))
 
     def change(state: Column, char: Column, by: int) -> Column:
-        old = F.coalesce(F.element_at(state["n"], char), F.lit(0))
+        old = count(state, char)
         rest = F.map_filter(state["n"], lambda k, _: k != char)
-        return F.struct(F.map_concat(rest, F.create_map(char, old + by)).alias("n"), (state["sum"] + _weight(old + by) - _weight(old)).alias("sum"), state["best"].alias("best"))
+        held = F.when(old + by > 0, F.map_concat(rest, F.create_map(char, old + by))).otherwise(rest)
+        return F.struct(held.alias("n"), state["at"].alias("at"), (state["sum"] + _weight(old + by) - _weight(old)).alias("sum"), state["best"].alias("best"))
+
+    def finish(state: Column) -> Column:
+        bits = F.lit(float(window))
+        at = state["at"] + 1
+        entropy = F.log2(bits) - state["sum"] / bits
+        return F.struct(state["n"].alias("n"), at.alias("at"), state["sum"].alias("sum"), F.when(at >= window, F.greatest(state["best"], entropy)).otherwise(state["best"]).alias("best"))
 
-    def step(state: Column, i: Column) -> Column:
-        entered = change(state, F.element_at(chars, i), 1)
-        moved = F.when(i > window, change(entered, F.element_at(chars, F.greatest(i - window, F.lit(1))), -1)).otherwise(entered)
-        bits = F.lit(float(window)).cast("double")
-        entropy = F.log2(bits) - moved["sum"] / bits
-        return F.struct(moved["n"].alias("n"), moved["sum"].alias("sum"), F.when(i >= window, F.greatest(moved["best"], entropy)).otherwise(moved["best"]).alias("best"))
+    def step(state: Column, move: Column) -> Column:
+        entered = bound(state, lambda s: change(s, move["enters"], 1))
+        left = bound(entered, lambda s: F.when(move["leaves"] >= 0, change(s, move["leaves"], -1)).otherwise(s))
+        return bound(left, finish)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda s: s["best"])
+    return F.aggregate(moves, zero, step, lambda s: s["best"])
 
 
 def secret_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
