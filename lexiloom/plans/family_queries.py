@@ -23,6 +23,13 @@ def _plan(s, d, then=lambda cards, families, decided, plan: plan, allow_break=Fa
     return then(cards, families, decided, op.family_plan(cards, families, decided, choices, allow_break))
 
 
+def _align(s, d):
+    """Families with the same number of words either way are weak: their proposal rests on counts of places alone."""
+    cards = written(_cards(s, d), "family-cards")
+    families = written(consistency.family_analysis(cards), "families").withColumn("strong", F.col("to_spaced") != F.col("to_joined"))
+    return op.family_align(op.family_members(cards), families)
+
+
 def _earlier(cards):
     return cards.where("length(original) % 5 = 0").select("original", "corrected", F.lit("rejected").alias("status"))
 
@@ -66,7 +73,27 @@ INSIDE = {
     "composed": "SELECT doc_id, original, corrected, min(value) AS composed, coalesce(sum(inside), 0)::BIGINT AS absorbed FROM outer_of GROUP BY doc_id, original, corrected HAVING count(DISTINCT value) = 1 AND min(value) <> corrected",
 }
 
+def _align_sql() -> str:
+    """Eight half-rounds, each with all costs counted anew from the members."""
+    cost = lambda form, k: f"""(SELECT count(*) FROM pairs p JOIN s{k} g ON g.axis = p.axis2 AND g.part = p.part2 WHERE p.axis = s.axis AND p.part = s.part AND g.proposal <> '{form}')
+        + (SELECT count(*) FROM would w WHERE w.axis = s.axis AND w.part = s.part AND w.form <> '{form}')"""
+    steps = {
+        "weak": "SELECT axis, part, to_spaced <> to_joined AS strong, proposal FROM families WHERE split",
+        "m": "SELECT e.axis, e.part, e.original, CASE WHEN contains(c.corrected, ' ') THEN 'spaced' ELSE 'joined' END AS form, f.split FROM each e JOIN cards c USING (original) JOIN families f ON f.axis = e.axis AND f.part = e.part",
+        "pairs": "SELECT a.axis, a.part, b.axis AS axis2, b.part AS part2 FROM m a JOIN m b ON a.original = b.original AND a.axis <> b.axis WHERE a.split AND b.split",
+        "would": "SELECT DISTINCT a.axis, a.part, b.axis AS axis2, b.part AS part2, b.form FROM m a JOIN m b ON a.original = b.original WHERE a.split AND NOT b.split",
+        "s0": "SELECT axis, part, strong, proposal AS was, proposal, 0 AS flips FROM weak",
+    }
+    for k in range(8):
+        axis = ("lead", "tail")[k % 2]
+        flip = f"NOT strong AND axis = '{axis}' AND CASE WHEN proposal = 'joined' THEN to_spaced < to_joined ELSE to_joined < to_spaced END"
+        steps[f"s{k + 1}"] = f"""SELECT axis, part, strong, was, CASE WHEN {flip} THEN CASE proposal WHEN 'joined' THEN 'spaced' ELSE 'joined' END ELSE proposal END AS proposal, flips + CASE WHEN {flip} THEN 1 ELSE 0 END AS flips
+            FROM (SELECT *, {cost("joined", k)} AS to_joined, {cost("spaced", k)} AS to_spaced FROM s{k} s)"""
+    return duck("tokens lexicon", "SELECT axis, part, was, proposal, flips FROM s8", variants=VARIANTS, proposals=PROPOSALS, cards=CARDS, each=EACH, families=FAMILIES, **steps)
+
+
 ALL = {
+    "family_align": (_align, _align_sql()),
     "family_plan": (_plan, _twin("SELECT * FROM plan")),
     "family_plan_breaks": (
         lambda s, d: _plan(s, d, allow_break=True),

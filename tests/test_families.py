@@ -102,3 +102,46 @@ def test_page_realign(spark):
     got = rows(measures.page_realign(expected, found).select("term", "page", "y", F.coalesce("found_y", F.lit(-1.0)), "unfound"))
     assert got == [("t", 1, 1.0, 5.0, False), ("t", 1, 2.0, -1.0, True), ("t", 2, 1.0, 5.0, False)]
     assert rows(measures.page_realign(expected.limit(0), found)) == []
+
+
+def align_by_hand(members, fams, rounds=4):
+    """One family at a time in key order, each cost counted anew from the words."""
+    proposal = {k: f["proposal"] for k, f in fams.items() if f["split"]}
+    words = {k: {w for a, p, w, _ in members if (a, p) == k} for k in fams}
+    form = {w: d for _, _, w, d in members}
+
+    def cost(key, want):
+        near = sum(proposal[k] != want for w in words[key] for k in proposal if k != key and w in words[k])
+        return near + sum(any(w in words[key] and form[w] != want for w in words[k]) for k, f in fams.items() if not f["split"] and form[min(words[k])] != want)
+
+    flips = dict.fromkeys(proposal, 0)
+    for _ in range(rounds):
+        before = dict(flips)
+        for key in sorted(proposal):
+            other = "spaced" if proposal[key] == "joined" else "joined"
+            if not fams[key]["strong"] and cost(key, other) < cost(key, proposal[key]):
+                proposal[key], flips[key] = other, flips[key] + 1
+        if flips == before:
+            break
+    return {k: (fams[k]["proposal"], proposal[k], flips[k]) for k in proposal}
+
+
+def test_family_align_equals_one_family_at_a_time(spark):
+    rng, members, fams, want = random.Random(11), [], {}, {}
+    for graph in range(200):
+        own = set()
+        for n in range(rng.randint(2, 30)):
+            word, form = f"{graph}w{n}", rng.choice(["joined", "spaced"])
+            own |= {("tail", f"{graph}t{rng.randint(0, 5)}", word, form), ("lead", f"{graph}l{rng.randint(0, 5)}", word, form)}
+        keys = {}
+        for axis, part, _, form in own:
+            keys.setdefault((axis, part), []).append(form)
+        mine = {k: {"split": len(set(v)) > 1, "strong": rng.random() < 0.2, "proposal": rng.choice(["joined", "spaced"])} for k, v in keys.items()}
+        members += own
+        fams |= mine
+        want |= align_by_hand(own, mine)
+    m = spark.createDataFrame(members + [("tail", None, "x", "joined"), ("tail", "0t0", None, "joined")], "axis string, part string, original string, direction string").withColumn("words", F.lit("clash"))
+    f = spark.createDataFrame([(*k, x["split"], x["strong"], x["proposal"]) for k, x in fams.items()], "axis string, part string, split boolean, strong boolean, proposal string")
+    got = {(r.axis, r.part): (r.was, r.proposal, r.flips) for r in families.family_align(m, f).collect()}
+    assert got == want and sum(n for *_, n in got.values()) > 200 and max(n for *_, n in got.values()) > 1
+    assert families.family_align(m.limit(0), f.limit(0)).count() == 0
