@@ -39,6 +39,11 @@ def base_form(word: Column, endings: tuple[str, ...] = LATIN_ENDINGS, least: int
     return F.regexp_replace(word, f"^(.{{{least},}}?)({'|'.join(endings)})\\z", "$1")
 
 
+def literal(text: Column) -> Column:
+    """A pattern that matches ``text`` as it stands, whatever it holds."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def has_final_consonant(char: Column) -> Column:
     """Whether a Hangul syllable ends in a consonant: syllables of one vowel are 28 code points apart."""
     return (F.ascii(char) - 44032) % 28 != 0

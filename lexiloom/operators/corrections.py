@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import base_form
+from lexiloom.operators.matching import find_in_texts
 from lexiloom.operators.propagation import overlap_resolve
 
 
@@ -100,16 +101,13 @@ def corrections_export(corrections: DataFrame) -> DataFrame:
 def occurrence_index(corrections: DataFrame, docs: DataFrame) -> DataFrame:
     """All non-overlapping occurrences of each original: pos (from 0), end, occ (from 0), total; one null row if none.
 
-    Positions are running sums of the pieces between occurrences, worked out within a row.
+    All originals of a document are found in one pass over its text. Originals may hold any characters; null and empty
+    ones occur nowhere.
     """
-    c = corrections.groupBy("doc_id", "original").agg(F.min("seq").alias("seq"), F.first("corrected").alias("corrected"), F.min("status").alias("status"))
-    pieces = F.split("text", F.concat(F.lit("\\Q"), "original", F.lit("\\E")), F.lit(-1))
-    lead = F.transform(F.slice(F.col("pieces"), 1, F.greatest(F.size("pieces") - 1, F.lit(0))), lambda p: F.length(p))
-    found = c.join(docs.select("doc_id", "text"), "doc_id").withColumn("pieces", pieces).withColumn("lead", lead).drop("text", "pieces")
-    w = Window.partitionBy("doc_id", "original").orderBy("occ")
-    each = found.select("doc_id", "seq", "original", "status", F.size("lead").alias("total"), F.posexplode_outer("lead").alias("occ", "gap"))
-    pos = F.sum("gap").over(w) + F.length("original") * F.col("occ")
-    return each.withColumn("pos", pos.cast("long")).select("doc_id", "seq", "original", "status", "occ", "pos", (F.col("pos") + F.length("original")).alias("end"), "total")
+    c = corrections.groupBy("doc_id", "original").agg(F.min("seq").alias("seq"), F.min("status").alias("status"))
+    found = find_in_texts(docs, c).select("doc_id", "seq", "original", "status", F.size("starts").cast("int").alias("total"), F.posexplode_outer("starts").alias("occ", "start"))
+    pos = F.col("start").cast("long")
+    return found.select("doc_id", "seq", "original", "status", "occ", pos.alias("pos"), (pos + F.length("original")).alias("end"), "total")
 
 
 def interval_containment(occurrences: DataFrame, block: int = 64) -> DataFrame:
@@ -150,29 +148,35 @@ def _live(corrections: DataFrame) -> DataFrame:
     return good.groupBy("doc_id", "original").agg(F.min("seq").alias("seq"), F.min_by("corrected", "seq").alias("corrected"), F.lit("accepted").alias("status"))
 
 
-def live_spans(docs: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Where live corrections stand: doc_id, original, corrected, pos, end, shadowed (by a longer one, then an earlier one)."""
+def live_spans(docs: DataFrame, corrections: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Where live corrections stand: doc_id, original, corrected, pos, end, shadowed (by a longer one, then an earlier one).
+
+    Occurrences in ``rejected`` (doc_id, original, occ) are left out first, so they shadow nothing.
+    """
     live = _live(corrections)
-    places = occurrence_index(live, docs).where("pos is not null").select("doc_id", "original", "pos", "end")
+    places = occurrence_index(live, docs).where("pos is not null")
+    if rejected is not None:
+        places = places.join(rejected.select("doc_id", "original", "occ").distinct(), ["doc_id", "original", "occ"], "left_anti")
+    places = places.select("doc_id", "original", "pos", "end")
     return places.join(overlap_resolve(places), ["doc_id", "pos", "end"]).join(live.select("doc_id", "original", "corrected"), ["doc_id", "original"])
 
 
-def apply_to_corpus(docs: DataFrame, corrections: DataFrame) -> DataFrame:
+def apply_to_corpus(docs: DataFrame, corrections: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
     """Texts with all accepted corrections applied where they stand in the text as it was, substrings too.
 
-    Of overlapping places the longest, then the first, is taken. A text is cut at its places and put together again,
+    Single occurrences in ``rejected`` (doc_id, original, occ) stay as they are. Of overlapping places the longest, then the first, is taken. A text is cut at its places and put together again,
     so nothing that one correction writes is changed by another. Texts without a correction stay; null stays null.
     """
-    spans = live_spans(docs, corrections).where("not shadowed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "end", "corrected"))).alias("spans"))
+    spans = live_spans(docs, corrections, rejected).where("not shadowed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "end", "corrected"))).alias("spans"))
     before = "cast(coalesce(get(spans, i - 1).end, 0) as int)"
     pieces = f"array_join(transform(spans, (x, i) -> concat(substring(text, {before} + 1, cast(x.pos as int) - {before}), x.corrected)), '')"
     text = F.expr(f"concat({pieces}, substring(text, cast(get(spans, size(spans) - 1).end as int) + 1))")
     return docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", F.coalesce(text, "text").alias("text"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_edits"))
 
 
-def apply_detail(docs: DataFrame, corrections: DataFrame) -> DataFrame:
+def apply_detail(docs: DataFrame, corrections: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
     """By document and original: how often it was replaced, how often a longer one was there, and the outcome."""
-    each = live_spans(docs, corrections).groupBy("doc_id", "original").agg(F.count_if(~F.col("shadowed")).alias("replaced"), F.count_if("shadowed").alias("shadowed"))
+    each = live_spans(docs, corrections, rejected).groupBy("doc_id", "original").agg(F.count_if(~F.col("shadowed")).alias("replaced"), F.count_if("shadowed").alias("shadowed"))
     live = _live(corrections).select("doc_id", "original", F.lit(True).alias("live"))
     asked = corrections.groupBy("doc_id", "original").agg(F.bool_or(F.col("status") == "accepted").alias("accepted"))
     both = asked.join(live, ["doc_id", "original"], "left").join(each, ["doc_id", "original"], "left")

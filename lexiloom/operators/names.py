@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import base_form
 
-# Endings of the names of Korean bodies and of their heads.
-BODIES = ("위원회", "부장관", "부총리", "위원장", "연구원", "진흥원", "정보원", "이사장", "본부장", "장관", "차관", "청장", "처장", "원장", "공사", "공단", "재단", "협회", "학회", "본부", "부", "처", "청", "원", "실", "단")
-GLOSSED = r"(\p{L}{2,})[ \t]?[(（][^)）]*[A-Za-z][^)）]*[)）]"
+#: A word, and a bracket that opens right after it or after one space.
+BRACKETED = r"\p{L}{2,}\s?\p{Ps}[^\p{Pe}]+\p{Pe}"
 
 
 def _model() -> Column:
@@ -25,26 +27,28 @@ def drop_glossed_name(corrections: DataFrame, docs: DataFrame, far: int = 4) ->
     word = F.lower("original")
     asked = corrections.where(_model() & ~F.col("original").contains(" ") & ~F.col("corrected").contains(" ") & (F.levenshtein("original", "corrected") >= far))
     asked = asked.select("doc_id", "seq", F.explode(F.array_distinct(F.array(word, base_form(word)))).alias("word"))
-    fixed = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(GLOSSED), F.lit(1)))).alias("word"))
+    brackets = F.filter(F.regexp_extract_all("text", F.lit(BRACKETED), F.lit(0)), lambda x: F.regexp_extract(x, r"\p{Ps}.*", 0).rlike("[A-Za-z]"))
+    fixed = docs.select("doc_id", F.explode(F.array_distinct(F.transform(brackets, lambda x: F.lower(F.regexp_extract(x, r"^\p{L}+", 0))))).alias("word"))
     bad = asked.join(fixed, ["doc_id", "word"], "left_semi").select("doc_id", "seq").distinct()
     return corrections.join(bad, ["doc_id", "seq"], "left_anti").select("doc_id", "seq", "original", "corrected")
 
 
-def demote_org_name(corrections: DataFrame, endings=BODIES, name_claim: str = "명칭|부처명|기관명|부서명|정식 이름", right_claim: str = "정확|공식|정식|올바|옳|맞습니다", far: int = 3, least: int = 4) -> DataFrame:
+def demote_org_name(corrections: DataFrame, endings: Sequence[str], claims: Sequence[str], far: int = 3, least: int = 4) -> DataFrame:
     """All corrections; low confidence where a model puts one name of a body for another.
 
-    Both are one word of ``least`` letters or more (base forms), or one with the same rest after a space or bracket;
-    they differ in ``far`` letters or more and end alike in one of ``endings``, or the reason claims the right name.
+    Both sides are one word, or one with the same rest from a space or opening bracket on; their base forms have
+    ``least`` letters or more and differ in ``far`` or more. Then either both end in the same of ``endings`` (what
+    bodies of a kind are called: ministries, courts, banks), or the reason meets all patterns of ``claims``, by which
+    models say that a name is the right one. Both lists belong to a language and its texts and are left to the caller.
     """
-    shape = r"^(\p{L}{2,})((?:[\s(\[（［【「『〈《].*)?)$"
-    part = lambda col, n: F.regexp_extract(F.trim(col), shape, n)
-    name, other = base_form(part("original", 1)), base_form(part("corrected", 1))
-    alike = F.lit(False)
-    for ending in endings:
-        alike = alike | (F.endswith(name, F.lit(ending)) & F.endswith(other, F.lit(ending)))
-    claim = F.coalesce(F.col("reason").rlike(name_claim) & F.col("reason").rlike(right_claim), F.lit(False))
-    other_name = _model() & (part("original", 2) == part("corrected", 2)) & (F.length(name) >= least) & (F.length(other) >= least) & (F.levenshtein(name, other) >= far)
-    return corrections.select("doc_id", "seq", "original", "corrected", F.when(other_name & (alike | claim), "low").otherwise(F.col("confidence")).alias("confidence"))
+    word = lambda col: F.regexp_extract(F.trim(col), r"^\p{L}{2,}(?=[\s\p{Ps}]|$)", 0)
+    rest = lambda col: F.substring(F.trim(col), F.length(word(col)) + 1, F.length(col))
+    name, other = base_form(word("original")), base_form(word("corrected"))
+    kind = F.array(*[F.endswith(name, F.lit(e)) & F.endswith(other, F.lit(e)) for e in endings]) if endings else F.array(F.lit(False))
+    claimed = reduce(lambda a, b: a & b, [F.col("reason").rlike(c) for c in claims], F.lit(bool(claims)))
+    renamed = (rest("original") == rest("corrected")) & (F.length(name) >= least) & (F.length(other) >= least) & (F.levenshtein(name, other) >= far)
+    low = _model() & renamed & (F.exists(kind, lambda x: x) | F.coalesce(claimed, F.lit(False)))
+    return corrections.select("doc_id", "seq", "original", "corrected", F.when(low, "low").otherwise(F.col("confidence")).alias("confidence"))
 
 
 def changed_words(corrections: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import INVISIBLE, KO_PARTICLES, has_final_consonant, normalise_text
+from lexiloom.functions.text import INVISIBLE, KO_PARTICLES, has_final_consonant, literal, normalise_text
 
 # Forms after a final consonant and after a vowel; dependent nouns; wrong stems with the right ones;
 # places of a particle after a bracket; labels that a particle does not agree with; characters inside an anchor;
@@ -195,7 +195,7 @@ def anchor_narrow(docs: DataFrame, fix, least: int = 1) -> DataFrame:
         return F.struct(i.alias("idx"), t.alias("token"), fixed.alias("token_fixed"), F.replace(anchor, F.lit(" "), F.lit("")).alias("anchor"), anchor.alias("anchor_fixed"), spaced.alias("spaced"))
 
     found = docs.select("doc_id", "text", F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), finding), lambda x: x["spaced"]).alias("found"))
-    places = F.map_from_entries(F.transform(F.array_distinct(F.transform("found", lambda x: x["anchor"])), lambda a: F.struct(a.alias("a"), F.regexp_count("text", F.concat(F.lit("(?=\\Q"), a, F.lit("\\E)"))).alias("n"))))
+    places = F.map_from_entries(F.transform(F.array_distinct(F.transform("found", lambda x: x["anchor"])), lambda a: F.struct(a.alias("a"), F.regexp_count("text", F.concat(F.lit("(?="), literal(a), F.lit(")"))).alias("n"))))
     each = found.where(F.size("found") > 0).select("doc_id", places.alias("places"), F.explode("found").alias("f")).select("doc_id", "f.*", F.element_at("places", F.col("f.anchor")).alias("n"))
     safe = each.groupBy("doc_id", "anchor").agg(F.count(F.lit(1)).alias("fixable"))
     on = (F.col("anchor") == F.col("token")) | (F.col("n") == F.col("fixable"))

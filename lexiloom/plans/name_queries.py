@@ -42,10 +42,10 @@ ALL = {
     "drop_glossed_name": (
         lambda s, d: op.drop_glossed_name(_neighbours(s, d, 1), _glossed(s, d)),
         duck("", f"""SELECT doc_id, seq, original, corrected FROM one n WHERE NOT (source = 'ai_typo' AND {FAR('original', 'corrected')} >= 4 AND ((doc_id, lower(original)) IN (SELECT (doc_id, word) FROM fixed) OR (doc_id, {BASE.format('lower(original)')}) IN (SELECT (doc_id, word) FROM fixed)))""",
-             runs=RUNS, one=ONE, fixed=rf"SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '(\p{{L}}{{5,}}), ', '\1 (gloss) ', 'g')), '{op.GLOSSED}', 1)) AS word FROM documents"),
+             runs=RUNS, one=ONE, fixed=rf"SELECT DISTINCT doc_id, lower(regexp_extract(m, '^\p{{L}}+')) AS word FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(\p{{L}}{{5,}}), ', '\1 (gloss) ', 'g'), '{op.BRACKETED}')) AS m FROM documents) WHERE regexp_matches(regexp_extract(m, '\p{{Ps}}(?s:.*)'), '[A-Za-z]')"),
     ),
     "demote_org_name": (
-        lambda s, d: op.demote_org_name(_neighbours(s, d, 1), ENDINGS, "name", "correct|official"),
+        lambda s, d: op.demote_org_name(_neighbours(s, d, 1), ENDINGS, ("name", "correct|official")),
         duck("", f"""SELECT doc_id, seq, original, corrected, CASE WHEN source = 'ai_typo' AND length(original) >= 2 AND length(corrected) >= 2 AND length(ob) >= 4 AND length(cb) >= 4 AND {FAR('ob', 'cb')} >= 3 AND ({_SHARED} OR contains(reason, 'name')) THEN 'low' ELSE confidence END AS confidence
             FROM (SELECT *, {BASE.format('original')} AS ob, {BASE.format('corrected')} AS cb FROM one)""", runs=RUNS, one=ONE),
     ),

@@ -149,5 +149,5 @@ def duck(names: str, body: str, /, **more: str) -> str:
     wanted: list[str] = []
     for name in names.split():
         wanted += [n for n in (*NEEDS.get(name, ()), name) if n not in wanted]
-    parts = [f"{n} AS ({DUCK[n]})" for n in wanted] + [f"{n} AS ({sql})" for n, sql in more.items()]
+    parts = [f"{n} AS MATERIALIZED ({DUCK[n]})" for n in wanted] + [f"{n} AS MATERIALIZED ({sql})" for n, sql in more.items()]
     return f"WITH {', '.join(parts)} {body}" if parts else body

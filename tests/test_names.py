@@ -24,10 +24,11 @@ def test_drop_glossed_name(spark):
 
 
 def test_demote_org_name(spark):
-    cases = [("성평등가족부", "여성가족부", "ai_typo", "", "high"), ("여상가족부", "여성가족부", "ai_typo", "", "high"), ("성평등가족부(청소년)", "여성가족부(청소년)", "ai_typo", "", "high"), ("성평등가족부(2020)", "여성가족부(2021)", "ai_typo", "", "high"),
-             ("성평등가족부", "여성가족부", "dict", "", "high"), ("한국무역센터", "서울박람회장", "ai_polish", "정식 명칭입니다", "high"), ("한국무역센터", "서울박람회장", "ai_polish", "맞춤법", "high"), (None, "x", None, None, "high")]
-    got = {r.seq: r.confidence for r in names.demote_org_name(table(spark, *cases)).collect()}
+    cases = [("해양개발청", "국토항만청", "ai_typo", "", "high"), ("국토항만칭", "국토항만청", "ai_typo", "", "high"), ("해양개발청(연안 담당)", "국토항만청(연안 담당)", "ai_typo", "", "high"), ("해양개발청(1990)", "국토항만청(1991)", "ai_typo", "", "high"),
+             ("해양개발청", "국토항만청", "dict", "", "high"), ("푸른물류회관", "동부전시장", "ai_polish", "이 이름이 바른 것", "high"), ("푸른물류회관", "동부전시장", "ai_polish", "맞춤법", "high"), (None, "x", None, None, "high")]
+    got = {r.seq: r.confidence for r in names.demote_org_name(table(spark, *cases), ("은행", "청"), ("이름", "바른|옳은")).collect()}
     assert got == {0: "low", 1: "high", 2: "low", 3: "high", 4: "high", 5: "low", 6: "high", 7: "high"}
+    assert names.demote_org_name(table(spark, *cases), (), ()).where("confidence = 'low'").count() == 0
 
 
 def test_changed_words_are_those_between_equal_ends(spark):
