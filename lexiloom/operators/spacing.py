@@ -73,7 +73,7 @@ def adnominal_spacing(words: DataFrame, headwords: DataFrame, surnames: tuple[st
     stems = F.size(tokens) - F.aggregate(tokens, F.lit(0), lambda n, t: F.when(t["tag"].rlike("^[JS]"), n + 1).otherwise(F.lit(0)))
     base = F.when(stems == F.size(tokens), word).when(stems == 0, "").otherwise(F.substring(word, F.lit(1), F.element_at(tokens, F.least(stems + 1, F.size(tokens)))["start"]))
     judged = judged.withColumn("base", base).withColumn("cuts", _cuts(word, tokens, F.col("base"), surnames, longest)).where(F.size("cuts") > 0)
-    verbs = F.transform(F.filter("others", lambda o: (o["gap"] <= near) & F.element_at(o["tokens"], 1)["tag"].isin(*VERB_TAGS) & F.forall(F.slice(o["tokens"], 2, F.greatest(F.size(o["tokens"]), F.lit(1))), lambda t: t["tag"].startswith("E"))), lambda o: F.concat(F.element_at(o["tokens"], 1)["form"], F.lit("다")))
+    verbs = F.transform(F.filter("others", lambda o: (o["gap"] <= near) & F.try_element_at(o["tokens"], F.lit(1))["tag"].isin(*VERB_TAGS) & F.forall(F.slice(o["tokens"], 2, F.greatest(F.size(o["tokens"]), F.lit(1))), lambda t: t["tag"].startswith("E"))), lambda o: F.concat(F.try_element_at(o["tokens"], F.lit(1))["form"], F.lit("다")))
     judged = judged.withColumn("verbs", verbs)
 
     ask = lambda kind, text, at: F.struct(F.lit(kind).alias("kind"), text.alias("text"), at.alias("at"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lexiloom.operators import readings as rd
 from lexiloom.operators import spacing as op
 from lexiloom.plans.consistency_queries import _docs
-from lexiloom.sources.mapped import headwords, others_of, tokens_of, words
+from lexiloom.sources.mapped import FOLLOWS, STRANGE, headwords, others_of, readings, tokens_of, words
 from lexiloom.sources.tables import duck
 
 
@@ -34,7 +37,46 @@ SPACING = {
     "letters": "SELECT p.doc_id, p.eojeol, unnest(range(1, length(p.eojeol) + 1)) AS k, p.cut FROM (SELECT doc_id, eojeol, list(DISTINCT place) AS cut FROM places WHERE place > 0 AND place < length(eojeol) GROUP BY ALL) p",
 }
 
+def _keys(s, d):
+    """Headwords as keys of a table of replacements, but for those of four syllables, which stand for correct words."""
+    return headwords(s, d).where("length(word) between 3 and 6 and length(word) <> 4").select(F.col("word").alias("key"))
+
+
+LISTED = "한세수"
+_FOLLOW = "CASE WHEN {0} IS NULL THEN 0 ELSE CASE {0} || '>' || {1} " + " ".join(f"WHEN '{a}>{b}' THEN {c}" for (a, b), c in FOLLOWS.items()) + f" ELSE {STRANGE} END END"
+
+
+def _homograph_sql() -> str:
+    """Best paths by one join a word of the lattice: (place, last reading, reading at the place) with the least cost."""
+    steps = {
+        "keys": "SELECT DISTINCT word AS key FROM headwords WHERE length(word) BETWEEN 3 AND 6 AND length(word) <> 4",
+        "place": "SELECT * FROM (SELECT doc_id, idx, eojeol AS key, row_number() OVER (PARTITION BY doc_id, eojeol ORDER BY idx) AS occ FROM mapped WHERE eojeol IN (SELECT key FROM keys)) WHERE occ <= 4",
+        "p0": "SELECT doc_id, key, occ, idx, 0 AS cost, NULL::INT AS center, NULL::VARCHAR AS tag FROM place",
+    }
+    for k, off in enumerate((-2, -1, 0, 1, 2)):
+        center = "r.n" if off == 0 else "p.center"
+        steps[f"p{k + 1}"] = f"""SELECT doc_id, key, occ, idx, min(cost) AS cost, center, tag FROM (
+            SELECT p.doc_id, p.key, p.occ, p.idx, p.cost + coalesce(r.cost + {_FOLLOW.format("p.tag", "r.tags[1]")}, 0) AS cost, {center} AS center, CASE WHEN m.eojeol IS NULL THEN p.tag ELSE r.tags[-1] END AS tag
+            FROM p{k} p LEFT JOIN mapped m ON m.doc_id = p.doc_id AND m.idx = p.idx + {off} LEFT JOIN read r ON r.eojeol = m.eojeol) GROUP BY ALL"""
+    text = lambda parts: f"array_to_string({parts}, '')"
+    steps |= {
+        "best": "SELECT doc_id, key, occ, arg_min(center, cost * 100 + coalesce(center, 99)) AS n FROM p5 GROUP BY ALL",
+        "shown": "SELECT b.*, forms, tags, len(list_filter(tags, lambda t: starts_with(t, 'J'))) AS js FROM best b JOIN read r ON r.eojeol = b.key AND r.n = b.n",
+        "verbs": f"SELECT doc_id, key, arg_min(forms[1] || '다', occ) AS lemma FROM shown WHERE tags[1] IN ({_any(rd.VERB_TAGS)}) AND tags[-1] IN ({_any(rd.ENDING_TAGS)}) GROUP BY ALL",
+        "nouns": f"""SELECT doc_id, key, arg_min({text("forms[1:len(forms) - js]")}, occ) AS base FROM shown WHERE js > 0 AND js < len(tags) AND len(list_filter(tags[len(tags) - js + 1:], lambda t: starts_with(t, 'J'))) = js
+            AND len(list_filter(tags[1:len(tags) - js], lambda t: t IN ({_any(rd.NOMINAL_TAGS)}))) = len(tags) - js AND {text("forms")} = key GROUP BY ALL""",
+    }
+    particle = " OR ".join(f"(ends_with(p.key, '{x}') AND length(p.key) - {len(x)} >= 2 AND substr(p.key, 1, length(p.key) - {len(x)}) IN (SELECT word FROM headwords))" for x in rd.CLEAR_PARTICLES)
+    body = f"""SELECT p.doc_id, p.key, CASE WHEN p.key = '{LISTED}' THEN 'listed' WHEN {particle} THEN 'particle' WHEN lemma IS NOT NULL AND lemma NOT IN (SELECT key FROM keys) THEN 'verb' WHEN base IN (SELECT word FROM headwords) THEN 'noun' END AS hold
+        FROM (SELECT DISTINCT doc_id, key FROM place) p LEFT JOIN verbs v ON v.doc_id = p.doc_id AND v.key = p.key LEFT JOIN nouns n ON n.doc_id = p.doc_id AND n.key = p.key"""
+    return duck("mapped parts bench headwords read", body, **steps)
+
+
 ALL = {
+    "homograph_in_context": (
+        lambda s, d: rd.homograph_in_context(words(_docs(s, d)), _keys(s, d), readings(_docs(s, d)), headwords(s, d), FOLLOWS, STRANGE, (LISTED,)),
+        _homograph_sql(),
+    ),
     "adnominal_spacing": (
         lambda s, d: op.adnominal_spacing(_analysed(s, d), headwords(s, d)),
         duck("mapped parts bench headwords", "SELECT doc_id, eojeol AS original, string_agg(CASE WHEN list_contains(cut, k - 1) THEN ' ' ELSE '' END || substr(eojeol, k, 1), '' ORDER BY k) AS corrected FROM letters GROUP BY doc_id, eojeol", **SPACING),

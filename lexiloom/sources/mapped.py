@@ -74,6 +74,28 @@ def others_of(word: Column) -> Column:
     return F.when(_in(last, "dgs"), verb).when(last == "n", mixed).otherwise(F.array().cast(kind))
 
 
+def readings(docs: DataFrame) -> DataFrame:
+    """eojeol, readings (array of struct(n, cost, morphemes)) of each distinct word of the documents.
+
+    1 its parts as cut by its letters; 2 the whole as a noun; 3 a verb and an ending if it ends in d, g or s; 4 a noun
+    and a particle if it ends in s, r or n. Words that begin with z have none.
+    """
+    word = F.col("word")
+    size, last = F.length(word), F.substring(word, -1, 1)
+    part = lambda form, tag: F.struct(form.alias("form"), F.lit(tag).alias("tag"))
+    head, tail = F.substring(F.col("eojeol"), F.lit(1), size - 1), F.substring(F.col("eojeol"), size, F.lit(1))
+    one = F.struct(F.lit(1).alias("n"), (3 + size % 2).alias("cost"), F.transform(tokens_of(word), lambda t: F.struct(t["form"].alias("form"), t["tag"].alias("tag"))).alias("morphemes"))
+    two = F.struct(F.lit(2).alias("n"), (2 + size % 3).alias("cost"), F.array(part(F.col("eojeol"), "NNG")).alias("morphemes"))
+    three = F.when(_in(last, "dgs"), F.struct(F.lit(3).alias("n"), F.lit(3).alias("cost"), F.array(part(head, "VV"), part(tail, "EC")).alias("morphemes")))
+    four = F.when(_in(last, "srn"), F.struct(F.lit(4).alias("n"), F.lit(3).alias("cost"), F.array(part(head, "NNG"), part(tail, "JX")).alias("morphemes")))
+    return words(docs).select("word", "eojeol").distinct().where(~F.col("word").startswith("z")).select("eojeol", F.array_compact(F.array(one, two, three, four)).alias("readings"))
+
+
+#: Costs of a tag after another, in the readings of mapped words; others are ``STRANGE``.
+FOLLOWS = {("NNG", "NNG"): 1, ("NNG", "VV"): 2, ("NNG", "MM"): 1, ("JX", "VV"): 0, ("JX", "NNG"): 1, ("EC", "VV"): 0, ("EC", "NNG"): 2, ("EF", "MM"): 0, ("EF", "NNG"): 1, ("VV", "NNG"): 3, ("NNB", "VV"): 1, ("MAG", "VV"): 0}
+STRANGE = 2
+
+
 def headwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word, noun: the mapped words of the benchmark passages, nouns if of even length; of length 3, 6, ... also as verbs."""
     plain = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).where(r"w rlike '^[a-z]{2,12}$'").distinct()
@@ -104,4 +126,8 @@ DUCK_MAPPED = {
     "bench": f"SELECT DISTINCT w, translate(w, '{LOWER}', '{SYLLABLES}') AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM benchmark) WHERE regexp_full_match(w, '[a-z]{{2,12}}')",
     "headwords": "SELECT word, length(w) % 2 = 0 AS noun FROM bench UNION ALL SELECT word || '다', false FROM bench WHERE length(w) % 3 = 0",
 }
+DUCK_MAPPED["read"] = """SELECT word, eojeol, 1 AS n, 3 + length(word) % 2 AS cost, list(form ORDER BY i) AS forms, list(tag ORDER BY i) AS tags FROM parts WHERE NOT starts_with(word, 'z') GROUP BY word, eojeol
+    UNION ALL SELECT DISTINCT word, eojeol, 2, 2 + length(word) % 3, [eojeol], ['NNG'] FROM mapped WHERE NOT starts_with(word, 'z')
+    UNION ALL SELECT DISTINCT word, eojeol, 3, 3, [substr(eojeol, 1, length(word) - 1), substr(eojeol, length(word), 1)], ['VV', 'EC'] FROM mapped WHERE NOT starts_with(word, 'z') AND contains('dgs', word[-1])
+    UNION ALL SELECT DISTINCT word, eojeol, 4, 3, [substr(eojeol, 1, length(word) - 1), substr(eojeol, length(word), 1)], ['NNG', 'JX'] FROM mapped WHERE NOT starts_with(word, 'z') AND contains('srn', word[-1])"""
 DUCK.update(DUCK_MAPPED)
