@@ -47,3 +47,24 @@ def literal(text: Column) -> Column:
 def has_final_consonant(char: Column) -> Column:
     """Whether a Hangul syllable ends in a consonant: syllables of one vowel are 28 code points apart."""
     return (F.ascii(char) - 44032) % 28 != 0
+
+
+def letters_of(text: Column) -> Column:
+    """``text`` with each Hangul syllable as its two or three letters; other characters stay.
+
+    Syllables stand in order of first letter, vowel and last letter: 21 vowels, 28 endings of which the first is none.
+    """
+    first, vowel, last = (F.array(*[F.lit(chr(base + i)) for i in range(n)]) for base, n in ((0x1100, 19), (0x1161, 21), (0x11A7, 28)))
+
+    def letters(char: Column) -> Column:
+        at = F.ascii(char) - 44032
+        end = at % 28
+        spelt = F.concat(F.get(first, F.floor(at / 588).cast("int")), F.get(vowel, F.floor(at % 588 / 28).cast("int")), F.when(end > 0, F.get(last, end)).otherwise(""))
+        return F.when(at.between(0, 11171), spelt).otherwise(char)
+
+    return F.when(text.rlike("[가-힣]"), F.array_join(F.transform(F.split(text, ""), letters), "")).otherwise(text)
+
+
+def letter_distance(a: Column, b: Column) -> Column:
+    """Edits between two texts, counted in letters: a changed ending of a syllable is one."""
+    return F.levenshtein(letters_of(a), letters_of(b))

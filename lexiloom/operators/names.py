@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import base_form
+from lexiloom.functions.text import base_form, letter_distance
 
 #: A word, and a bracket that opens right after it or after one space.
 BRACKETED = r"\p{L}{2,}\s?\p{Ps}[^\p{Pe}]+\p{Pe}"
@@ -25,7 +25,7 @@ def drop_glossed_name(corrections: DataFrame, docs: DataFrame, far: int = 4) ->
     stands in the correction or as its base form, in any case. A null text has no gloss.
     """
     word = F.lower("original")
-    asked = corrections.where(_model() & ~F.col("original").contains(" ") & ~F.col("corrected").contains(" ") & (F.levenshtein("original", "corrected") >= far))
+    asked = corrections.where(_model() & ~F.col("original").contains(" ") & ~F.col("corrected").contains(" ") & (letter_distance(F.col("original"), F.col("corrected")) >= far))
     asked = asked.select("doc_id", "seq", F.explode(F.array_distinct(F.array(word, base_form(word)))).alias("word"))
     brackets = F.filter(F.regexp_extract_all("text", F.lit(BRACKETED), F.lit(0)), lambda x: F.regexp_extract(x, r"\p{Ps}.*", 0).rlike("[A-Za-z]"))
     fixed = docs.select("doc_id", F.explode(F.array_distinct(F.transform(brackets, lambda x: F.lower(F.regexp_extract(x, r"^\p{L}+", 0))))).alias("word"))
@@ -46,7 +46,7 @@ def demote_org_name(corrections: DataFrame, endings: Sequence[str], claims: Sequ
     name, other = base_form(word("original")), base_form(word("corrected"))
     kind = F.array(*[F.endswith(name, F.lit(e)) & F.endswith(other, F.lit(e)) for e in endings]) if endings else F.array(F.lit(False))
     claimed = reduce(lambda a, b: a & b, [F.col("reason").rlike(c) for c in claims], F.lit(bool(claims)))
-    renamed = (rest("original") == rest("corrected")) & (F.length(name) >= least) & (F.length(other) >= least) & (F.levenshtein(name, other) >= far)
+    renamed = (rest("original") == rest("corrected")) & (F.length(name) >= least) & (F.length(other) >= least) & (letter_distance(name, other) >= far)
     low = _model() & renamed & (F.exists(kind, lambda x: x) | F.coalesce(claimed, F.lit(False)))
     return corrections.select("doc_id", "seq", "original", "corrected", F.when(low, "low").otherwise(F.col("confidence")).alias("confidence"))
 
@@ -69,7 +69,7 @@ def drop_word_swap(corrections: DataFrame, lexicon: DataFrame, far: int = 3) ->
     """
     grams = lambda col: F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - 1, F.lit(1))), lambda i: F.substring(col, i, F.lit(2)))
     w = changed_words(corrections.where(_model())).select("doc_id", "seq", F.lower("o").alias("o"), F.lower("c").alias("c")).where("o <> '' and c <> '' and not contains(o, c) and not contains(c, o)")
-    w = w.withColumns({"ob": base_form(F.col("o")), "cb": base_form(F.col("c"))}).where(~F.arrays_overlap(grams(F.col("ob")), grams(F.col("cb"))) & (F.levenshtein("ob", "cb") >= far))
+    w = w.withColumns({"ob": base_form(F.col("o")), "cb": base_form(F.col("c"))}).where(~F.arrays_overlap(grams(F.col("ob")), grams(F.col("cb"))) & (letter_distance(F.col("ob"), F.col("cb")) >= far))
     known = lexicon.select("word").distinct()
     w = w.select("doc_id", "seq", F.explode(F.array_distinct(F.array("o", "ob"))).alias("o"), F.array_distinct(F.array("c", "cb")).alias("c")).join(known.withColumnRenamed("word", "o"), "o", "left_semi")
     bad = w.select("doc_id", "seq", F.explode("c").alias("c")).join(known.withColumnRenamed("word", "c"), "c", "left_semi").select("doc_id", "seq").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import INVISIBLE, KO_PARTICLES, has_final_consonant, literal, normalise_text
+from lexiloom.functions.text import INVISIBLE, KO_PARTICLES, has_final_consonant, letter_distance, literal, normalise_text
 
 # Forms after a final consonant and after a vowel; dependent nouns; wrong stems with the right ones;
 # places of a particle after a bracket; labels that a particle does not agree with; characters inside an anchor;
@@ -356,9 +356,45 @@ def finding_collect(findings: DataFrame) -> DataFrame:
     return findings.groupBy("doc_id", "original").agg(F.min_by(F.struct("rule", "corrected"), F.struct("stage", "corrected")).alias("f")).select("doc_id", "original", "f.*")
 
 
-def term_similarity(terms: DataFrame, least: int = 5, most: int = 2) -> DataFrame:
-    """Pairs of terms within ``most`` edits that share a masked key: equi-join on keys, then the distance."""
-    t = terms.select("word").distinct().where(F.length("word") >= least)
-    keys = t.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word")))))).alias("key"))
-    both = keys.join(keys.select(F.col("word").alias("other"), "key"), "key").where("word < other").select("word", "other").distinct()
-    return both.withColumn("distance", F.levenshtein("word", "other")).where(F.col("distance") <= most)
+def _without_two(word: Column) -> Column:
+    """``word`` and what is left of it without one or two of its characters, once each."""
+    n = F.length(word)
+    at = F.sequence(F.lit(1), n)
+    less = lambda text, i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
+    one = F.array_distinct(F.transform(at, lambda i: less(word, i)))
+    two = F.transform(one, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: less(w, i)))
+    return F.array_distinct(F.concat(F.array(word), one, F.flatten(two)))
+
+
+def _parts(word: Column, length: Column) -> Column:
+    """Where a word of ``length`` is cut in three: array of struct(part, at, size), the later parts the longer ones."""
+    size = F.floor(length / 3).cast("int")
+    second = F.when(length % 3 == 2, size + 1).otherwise(size)
+    part = lambda n, at, width: F.struct(F.lit(n).alias("part"), at.cast("int").alias("at"), width.cast("int").alias("size"))
+    return F.array(part(0, F.lit(1), size), part(1, size + 1, second), part(2, size + second + 1, length - size - second))
+
+
+def term_similarity(terms: DataFrame, least: int = 5, short: int = 12) -> DataFrame:
+    """All pairs of terms (``least`` characters or more) within two edits: word, other, distance, letters.
+
+    ``letters`` is their distance in decomposed letters. Two words within two edits share what is left of them without
+    at most two characters each: words up to ``short`` characters, and those up to two longer, meet on that. Of two
+    longer ones, the shorter is cut in three, and one part stands in the other as it is, moved by at most two
+    places: they meet on length, part and its text. Both are equi-joins on keys in proportion to the terms; distances are
+    counted once a pair. Null terms are left out, repeated ones are one.
+    """
+    t = terms.select("word").distinct().withColumn("n", F.length("word")).where(F.col("n") >= least)
+    left = t.where(F.col("n") <= short + 2).select("word", "n", F.explode(_without_two(F.col("word"))).alias("key"))
+    other = left.select(F.col("word").alias("other"), F.col("n").alias("m"), "key")
+    near = left.join(other, "key").where((F.col("word") < F.col("other")) & (F.least("n", "m") <= short)).select("word", "other")
+
+    long = t.where(F.col("n") > short)
+    cut = lambda p: F.substring(F.col("word"), p["at"], p["size"])
+    index = long.select("word", F.explode(F.transform(_parts(F.col("word"), F.col("n")), lambda p: F.struct(F.col("n").alias("length"), p["part"].alias("part"), cut(p).alias("text")))).alias("k")).select("word", "k.*")
+    lengths = F.filter(F.array(F.col("n"), F.col("n") - 1, F.col("n") - 2), lambda m: m > short)
+    moved = lambda m, p: F.transform(F.filter(F.array(*[p["at"] + d for d in range(-2, 3)]), lambda a: (a >= 1) & (a + p["size"] - 1 <= F.col("n"))), lambda a: F.struct(m.alias("length"), p["part"].alias("part"), F.substring(F.col("word"), a, p["size"]).alias("text")))
+    asks = F.array_distinct(F.flatten(F.transform(lengths, lambda m: F.flatten(F.transform(_parts(F.col("word"), m), lambda p: moved(m, p))))))
+    probe = long.select(F.col("word").alias("other"), F.explode(asks).alias("k")).select("other", "k.*")
+    far = index.join(probe, ["length", "part", "text"]).where("word <> other").select(F.least("word", "other").alias("word"), F.greatest("word", "other").alias("other"))
+    both = near.unionByName(far).distinct().withColumn("distance", F.levenshtein("word", "other", 2)).where("distance >= 0")
+    return both.withColumn("letters", letter_distance(F.col("word"), F.col("other")))

@@ -216,7 +216,7 @@ ALL = {
     "term_similarity_all": (lambda s, d: op.term_similarity(_all_terms(s, d)), None),
     "term_similarity": (
         lambda s, d: op.term_similarity(_terms(s, d)),
-        duck("lexicon", """SELECT DISTINCT a.word, b.word AS other, levenshtein(a.word, b.word) AS distance FROM k a JOIN k b ON a.key = b.key AND a.word < b.word WHERE levenshtein(a.word, b.word) <= 2""",
-             k="SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: word[1:i - 1] || word[i + 1:])) AS key FROM lexicon WHERE length(word) >= 5 AND regexp_full_match(word, '[a-z]+')"),
+        duck("lexicon", """SELECT *, distance AS letters FROM (SELECT a.word, b.word AS other, levenshtein(a.word, b.word) AS distance FROM t a JOIN t b ON a.word < b.word AND abs(length(a.word) - length(b.word)) <= 2) WHERE distance <= 2""",
+             t="SELECT DISTINCT word FROM lexicon WHERE length(word) >= 5 AND regexp_full_match(word, '[a-z]+')"),
     ),
 }
