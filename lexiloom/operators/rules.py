@@ -43,33 +43,63 @@ def rule_lines_noise(lines: DataFrame) -> DataFrame:
     return lines.where(~F.col("text").rlike(r"^\s*(-\s*)?[0-9]+(\s*-)?\s*$|\.{4,}|^\s*$"))
 
 
-def chunk_documents(docs: DataFrame, most: int) -> DataFrame:
-    """Greedy packing of sentences into chunks of up to ``most`` characters; a longer sentence is a chunk of its own.
+def _chunks(text: Column, pieces: Column, total: Column, most: int, ends, splits, quotes) -> Column:
+    """``text`` as an array of chunks of up to ``most`` characters, cut between ``pieces``.
 
-    A fold over the sentences of a row; a chunk is the text between two cuts, so chunks joined give the text back.
+    ``ends`` (of a piece) says that a sentence may end with it, ``splits`` that a sentence of over ``most`` may be cut
+    after it, ``quotes`` how many quotation marks it holds, of ``total``; between the two of a pair nothing is cut. One fold over the
+    pieces carries places, not texts: where the text, the chunk and the sentence are, the last place where the chunk may
+    end, and the cuts that the sentence needs if it turns out too long. Only a chunk appends to an array.
     """
-    sentences = F.regexp_extract_all("text", F.lit(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"), F.lit(0))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (F.length(a["now"]) > 0) & (F.length(a["now"]) + F.length(x) > most)
-        return F.struct(F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"), F.when(full, x).otherwise(F.concat(a["now"], x)).alias("now"))
+    cuts = F.array().cast("array<int>")
+    fields = ("at", "marks", "chunk", "last", "done", "sentence", "part", "part_last", "part_done")
+    state = lambda *values: F.struct(*[v.alias(n) for n, v in zip(fields, values, strict=True)])
+    zero = F.lit(0)
+    push = lambda array, place, when: F.when(when, F.concat(array, F.array(place))).otherwise(array)
+    size = F.length(text)
+
+    def step(s: Column, p: Column) -> Column:
+        at, marks = s["at"] + F.length(p), s["marks"] + quotes(p)
+        inside = (marks % 2 == 1) & (marks < total)
+        closes = (at == size) | (ends(p) & ~inside)
+        split = splits(p) & ~inside
+        over = (closes | split) & (at - s["part"] > most) & (s["part_last"] > s["part"])  # cut the sentence at its last place
+        part, part_done = F.when(over, s["part_last"]).otherwise(s["part"]), push(s["part_done"], s["part_last"], over)
+        whole = at - s["sentence"] <= most
+        full = F.when(whole, at - s["chunk"] > most).otherwise(True) & (s["last"] > s["chunk"])  # the chunk ends before the sentence
+        chunk, done = F.when(full, s["last"]).otherwise(s["chunk"]), push(s["done"], s["last"], full)
+        open_ = state(at, marks, s["chunk"], s["last"], s["done"], s["sentence"], part, F.when(split, at).otherwise(s["part_last"]), part_done)
+        closed = state(at, marks, F.when(whole, chunk).otherwise(F.greatest(chunk, part)), at, F.when(whole, done).otherwise(F.concat(done, part_done)), at, at, at, cuts)
+        return F.when(closes, closed).otherwise(open_)
+
+    places = F.aggregate(pieces, state(*[zero] * 4, cuts, *[zero] * 3, cuts), step, lambda s: s["done"])
+    between = F.zip_with(F.concat(F.array(zero), places), F.concat(places, F.array(size)), lambda a, b: F.substring(text, a + 1, b - a))
+    return F.when(size > 0, between).otherwise(F.array().cast("array<string>"))
+
+
+def _chunked(docs: DataFrame, pattern: str, most: int, ends, splits, quotes) -> DataFrame:
+    # Bound as an array element, pieces and their marks are worked out once, not in every step.
+    found = F.struct("text", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("pieces"), quotes(F.col("text")).alias("total"))
+    bound = F.transform(F.array(found), lambda x: _chunks(x["text"], x["pieces"], x["total"], most, ends, splits, quotes))
+    return docs.select("doc_id", F.posexplode(F.flatten(bound)).alias("chunk_id", "text"))
 
-    chunks = F.aggregate(sentences, start, step, lambda a: F.when(F.length(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
-    return docs.select("doc_id", F.posexplode(chunks).alias("chunk_id", "text"))
 
+def chunk_documents(docs: DataFrame, most: int) -> DataFrame:
+    """Greedy packing of sentences into chunks of up to ``most`` characters: doc_id, chunk_id, text.
 
-def chunk_paragraphs(docs: DataFrame, most: int) -> DataFrame:
-    """The same packing over whole lines: no chunk ends inside a paragraph unless that is longer than ``most``."""
-    lines = F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    A sentence ends with marks and white space, or with a line. A longer one is a chunk of its own, or several, cut
+    after commas. Nothing is cut between quotation marks of a pair (straight, curved or wide, paired in order); one
+    left over pairs with nothing. What has no such place stays whole. Chunks joined give the text back; null and empty texts have none.
+    """
+    marks = '["\u201c\u201d\uff02]'
+    pattern = r"[^.!?,\n]*(?:[.!?]+[^\S\n]*\n*|\n+|,)|[^.!?,\n]+"
+    return _chunked(docs, pattern, most, lambda p: p.rlike(r"\s\z"), lambda p: F.endswith(p, F.lit(",")), lambda p: F.regexp_count(p, F.lit(marks)))
 
-    def step(a: Column, x: Column) -> Column:
-        full = (F.length(a["now"]) > 0) & (F.length(a["now"]) + F.length(x) > most)
-        return F.struct(F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"), F.when(full, x).otherwise(F.concat(a["now"], x)).alias("now"))
 
-    chunks = F.aggregate(lines, start, step, lambda a: F.when(F.length(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
-    return docs.select("doc_id", F.posexplode(chunks).alias("chunk_id", "text"))
+def chunk_paragraphs(docs: DataFrame, most: int) -> DataFrame:
+    """The same packing over whole lines: no chunk ends inside a paragraph, one longer than ``most`` is a chunk of its own."""
+    yes, no = (lambda p: F.lit(True)), (lambda p: F.lit(False))
+    return _chunked(docs, r"[^\n]*\n|[^\n]+", most, yes, no, lambda p: F.lit(0))
 
 
 def rule_fill_forward(lines: DataFrame) -> DataFrame:
