@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.text import KO_PARTICLES, base_form
+from lexiloom.operators.corrections import apply_to_corpus
+
 # Surnames of two-to-four-syllable person names.
 SURNAMES = ("김", "이", "박", "최", "정", "강", "조", "윤", "장", "임")
 
@@ -86,13 +89,44 @@ def demote_grammar(corrections: DataFrame) -> DataFrame:
     return corrections.select("doc_id", "seq", hit.alias("hit"), F.when(hit, "low").otherwise(F.col("confidence")).alias("confidence"))
 
 
+def _fixes(corrections: DataFrame) -> DataFrame:
+    """Spacing and punctuation corrections with ``fixes``, those spelling fixes of their document that stand in the original."""
+    fix = corrections.where("category = 'spelling' and confidence = 'high' and trim(corrected) <> '' and original <> '' and original <> corrected and not contains(corrected, '\n')").groupBy("doc_id", "original").agg(F.min("seq").alias("seq"), F.min_by("corrected", "seq").alias("corrected"))
+    by = fix.groupBy("doc_id").agg(F.collect_list(F.struct("original", "corrected", "seq")).alias("fixes"))
+    base = corrections.where("category in ('spacing', 'punctuation')").select("doc_id", "seq", "original", "corrected").join(by, "doc_id")
+    return base.withColumn("fixes", F.filter("fixes", lambda f: F.coalesce(F.contains(F.col("original"), f["original"]), F.lit(False))))
+
+
 def compose_spelling(corrections: DataFrame) -> DataFrame:
-    """Spacing and punctuation corrections with the document's high-confidence spelling fixes folded in, in order."""
-    fix = corrections.where("category = 'spelling' and confidence = 'high' and trim(corrected) <> '' and original <> corrected and not contains(corrected, '\n')").groupBy("doc_id", "original").agg(F.min_by("corrected", "seq").alias("corrected"))
-    by = fix.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("original", "corrected"))).alias("fixes"))
-    base = corrections.where("category in ('spacing', 'punctuation')").join(by, "doc_id")
-    folded = F.aggregate("fixes", F.col("corrected"), lambda t, f: F.when(F.contains(F.col("original"), f["original"]), F.replace(t, f["original"], f["corrected"])).otherwise(t))
-    return base.select("doc_id", "seq", "original", folded.alias("corrected"))
+    """Spacing and punctuation corrections with the document's high-confidence spelling fixes: doc_id, seq, original, corrected.
+
+    A fix counts if it stands in the original. In the corrected form each word is looked up once, as it stands or as
+    its base form or without a particle, which it keeps; so no fix changes a part of another word, or what another wrote. Of
+    fixes of one word the first is taken. Documents without fixes have no rows; null and empty words fix nothing.
+    """
+    base = _fixes(corrections)
+    runs, gaps = F.regexp_extract_all("corrected", F.lit(r"\p{L}+"), F.lit(0)), F.split("corrected", r"\p{L}+", -1)
+    known = F.map_from_entries(F.transform("fixes", lambda f: F.struct(f["original"], f["corrected"])))
+
+    def word(run: Column) -> Column:
+        stems = [run, base_form(run), base_form(run, KO_PARTICLES, 1)]
+        return F.coalesce(*[F.concat(F.try_element_at(known, s), F.substring(run, F.length(s) + 1, F.length(run))) for s in stems], run)
+
+    text = F.array_join(F.zip_with(gaps, F.transform(runs, word), lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+    return base.select("doc_id", "seq", "original", F.when(F.size("fixes") > 0, text).otherwise(F.col("corrected")).alias("corrected"))
+
+
+def compose_inside(corrections: DataFrame) -> DataFrame:
+    """The same with fixes put in inside longer words too, as compounds need.
+
+    A fix that stands in the original is put in wherever it stands in the corrected form as that was, the longest first where fixes overlap, so nothing that one fix writes is changed by another. Of fixes of one word the
+    first is taken. Documents without fixes have no rows; null and empty words fix nothing.
+    """
+    base = _fixes(corrections).withColumn("_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce(F.col("seq").cast("string"), F.lit("")), "original", "corrected"))
+    texts = base.where(F.size("fixes") > 0).select(F.col("_id").alias("doc_id"), F.col("corrected").alias("text"), "fixes").dropDuplicates(["doc_id"])
+    inner = texts.select("doc_id", F.explode("fixes").alias("f")).select("doc_id", "f.*", F.lit("accepted").alias("status"))
+    done = apply_to_corpus(texts.select("doc_id", "text"), inner).select(F.col("doc_id").alias("_id"), "text")
+    return base.join(done, "_id", "left").select("doc_id", "seq", "original", F.coalesce("text", "corrected").alias("corrected"))
 
 
 def junction_conflicts(cards: DataFrame) -> DataFrame:

@@ -27,6 +27,11 @@ def _occ(s, d):
     return op.occurrence_index(_c(s, d), _docs(s, d))
 
 
+def _rejected(s, d):
+    """A third of all occurrences, by number and document."""
+    return _occ(s, d).where("(doc_id + occ) % 3 = 0").select("doc_id", "original", "occ")
+
+
 BASE = r"regexp_replace({}, '^(.{{2,}}?)(ing|ion|ed|es|ly|er|s)$', '\1')"
 OCC = """SELECT doc_id, seq, original, status, occ, pos, pos + length(original) AS "end", total FROM (
   SELECT *, (sum(gap) OVER (PARTITION BY doc_id, original ORDER BY occ) + length(original) * occ)::BIGINT AS pos FROM (
@@ -153,6 +158,12 @@ ALL = {
         duck(C, """SELECT d.doc_id, CASE WHEN x IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(x) + 1), lambda i: text[CASE WHEN i = 1 THEN 1 ELSE x[i - 1].e + 1 END : x[i].p] || x[i].c), '') || text[x[-1].e + 1:] END AS text, coalesce(len(x), 0)::INT AS n_edits
             FROM documents d LEFT JOIN (SELECT doc_id, list(struct_pack(p := pos, e := "end", c := corrected) ORDER BY pos) AS x FROM spans WHERE NOT shadowed GROUP BY doc_id) s ON s.doc_id = d.doc_id""", **APPLY),
     ),
+    "apply_rejected": (
+        lambda s, d: op.apply_to_corpus(_docs(s, d), _c(s, d), _rejected(s, d)),
+        duck(C, """SELECT d.doc_id, CASE WHEN x IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(x) + 1), lambda i: text[CASE WHEN i = 1 THEN 1 ELSE x[i - 1].e + 1 END : x[i].p] || x[i].c), '') || text[x[-1].e + 1:] END AS text, coalesce(len(x), 0)::INT AS n_edits
+            FROM documents d LEFT JOIN (SELECT doc_id, list(struct_pack(p := pos, e := "end", c := corrected) ORDER BY pos) AS x FROM spans WHERE NOT shadowed GROUP BY doc_id) s ON s.doc_id = d.doc_id""",
+             **{**APPLY, "places": f"SELECT * FROM ({PLACES}) WHERE pos IS NOT NULL AND (doc_id + occ) % 3 <> 0"}),
+    ),
     "apply_detail": (
         lambda s, d: op.apply_detail(_docs(s, d), _c(s, d)),
         duck(C, """SELECT a.doc_id, a.original, coalesce(n, 0)::BIGINT AS replaced, coalesce(m, 0)::BIGINT AS shadowed, CASE WHEN NOT ok THEN 'not_accepted' WHEN l.doc_id IS NULL THEN 'void' WHEN n IS NULL THEN 'not_found' WHEN n = 0 THEN 'consumed' WHEN m > 0 THEN 'partial' ELSE 'applied' END AS outcome

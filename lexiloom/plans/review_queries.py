@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators import corrections
 from lexiloom.operators import review as op
 from lexiloom.plans.consistency_queries import PROPOSALS, VARIANTS, _docs, _proposals, _tokens
-from lexiloom.plans.correction_queries import OCC, _c, _occ
+from lexiloom.plans.correction_queries import APPLY, BASE, OCC, _c, _occ
 from lexiloom.plans.rule_queries import _ko, _m
 from lexiloom.sources.tables import duck, lexicon
 
@@ -32,6 +32,13 @@ CONTAIN = """SELECT i.doc_id, i.pos, i."end", arg_max(o.pos, (o."end" - o.pos) *
   ON i.doc_id = o.doc_id AND o.pos <= i.pos AND i."end" <= o."end" AND o."end" - o.pos > i."end" - i.pos GROUP BY ALL"""
 GRAMS = "list_transform(range(1, greatest(length({0}) - 1, 1) + 1), lambda i: {0}[i:i + 1])"
 
+COMPOSE = dict(
+    fix="SELECT doc_id, original, min(seq) AS seq, arg_min(corrected, seq) AS corrected FROM corrections WHERE category = 'spelling' AND confidence = 'high' AND trim(corrected) <> '' AND original <> corrected AND NOT contains(corrected, chr(10)) GROUP BY ALL",
+    base="SELECT *, doc_id || ':' || seq AS id FROM corrections WHERE category IN ('spacing', 'punctuation') AND doc_id IN (SELECT doc_id FROM fix)",
+    own="SELECT b.id AS doc_id, f.original, f.corrected, f.seq, 'accepted' AS status FROM base b JOIN fix f ON f.doc_id = b.doc_id AND contains(b.original, f.original)",
+    texts="SELECT id AS doc_id, corrected AS text FROM base", **{k: v.replace("FROM corrections", "FROM own").replace("JOIN documents", "JOIN texts") for k, v in APPLY.items()},
+)
+
 ALL = {
     "occurrence_survivors": (
         lambda s, d: op.occurrence_survivors(_occ(s, d), corrections.interval_containment(_occ(s, d))),
@@ -79,7 +86,20 @@ ALL = {
         lambda s, d: op.demote_grammar(_c(s, d)),
         duck(C, rf"SELECT doc_id, seq, x AS hit, CASE WHEN x THEN 'low' ELSE confidence END AS confidence FROM (SELECT *, len({W.format('corrected')}) <> len({W.format('original')}) AND regexp_replace(original, '\s', '', 'g') <> regexp_replace(corrected, '\s', '', 'g') AS x FROM corrections)"),
     ),
-    "compose_spelling": (lambda s, d: op.compose_spelling(_c(s, d)), None),
+    "compose_spelling": (
+        lambda s, d: op.compose_spelling(_c(s, d)),
+        duck(C, rf"""SELECT doc_id, seq, original, CASE WHEN len(f) = 0 THEN corrected ELSE array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i > len(w) THEN '' ELSE
+                coalesce(element_at(m, w[i])[1], element_at(m, {BASE.format("w[i]")})[1] || substr(w[i], length({BASE.format("w[i]")}) + 1), w[i]) END), '') END AS corrected
+            FROM (SELECT *, map(list_transform(f, lambda x: x.o), list_transform(f, lambda x: x.c)) AS m, regexp_extract_all(corrected, '\p{{L}}+') AS w, string_split_regex(corrected, '\p{{L}}+') AS g
+                FROM (SELECT b.*, list_filter(a.f, lambda x: contains(b.original, x.o)) AS f FROM base b JOIN (SELECT doc_id, list(struct_pack(o := original, c := corrected)) AS f FROM fix GROUP BY doc_id) a USING (doc_id)))""",
+             **{k: COMPOSE[k] for k in ("fix", "base")}),
+    ),
+    "compose_inside": (
+        lambda s, d: op.compose_inside(_c(s, d)),
+        duck(C, """SELECT b.doc_id, b.seq, b.original, CASE WHEN x IS NULL THEN b.corrected ELSE array_to_string(list_transform(range(1, len(x) + 1), lambda i: b.corrected[CASE WHEN i = 1 THEN 1 ELSE x[i - 1].e + 1 END : x[i].p] || x[i].c), '') || b.corrected[x[-1].e + 1:] END AS corrected
+            FROM base b LEFT JOIN (SELECT doc_id, list(struct_pack(p := pos, e := "end", c := corrected) ORDER BY pos) AS x FROM spans WHERE NOT shadowed GROUP BY doc_id) s ON s.doc_id = b.id""",
+             **COMPOSE),
+    ),
     "junction_conflicts": (
         lambda s, d: op.junction_conflicts(_proposals(s, d)),
         duck("tokens lexicon", """SELECT DISTINCT a.form AS short, b.form AS longer FROM c a JOIN c b ON a.key <> b.key AND starts_with(b.key, a.key)
