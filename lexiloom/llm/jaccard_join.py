@@ -47,6 +47,9 @@ LEAST, EXTRA = 80, 10
 K = 3
 #: Nodes whose texts are looked up by a broadcast; more are looked up by a shuffle.
 MOST_IDS = 250_000
+#: A node has a count for each bucket with frequent tokens of its own. With this many their number is near its limit,
+#: those tokens, at small sizes too, and then grows with the nodes alone.
+LEAST_BUCKETS = 96
 #: Tokens that a task sorts at once.
 TOKENS = 1 << 20
 
@@ -344,7 +347,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.withColumn("row", F.monotonically_increasing_id())
     marks = written(map_texts(keyed, _marks, "n_shingles long, print_a long, print_b long, prefix binary", limit=1 << 19), "shingle-prefixes")
     full = marks.where("n_shingles > 0 and doc_id is not null")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() // 2500)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS, marks.count() // 2500)
 
     nodes = full.groupBy(*prints).agg(F.min("row").alias("node"), F.any_value("prefix").alias("prefix"))
     found = written(single_tokens(nodes, buckets, rare), "single-tokens")
