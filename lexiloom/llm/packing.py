@@ -15,7 +15,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -49,10 +51,12 @@ class WordIds(dict):
     def __init__(self, tokenizer, merge, most: int = 300_000):
         super().__init__()
         self.tokenizer, self.merge, self.most = tokenizer, merge, most
+        self.marks = {m: self.ids(m.decode()) for m in (b",", b".")}
 
     def ids(self, text: str) -> bytes:
         plain = "<|" not in text and (text.isascii() or max(text) < "ɐ")
-        return np.array(self.merge(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.merge(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
         text = " " + word.decode("utf-8", "replace")
@@ -60,6 +64,8 @@ class WordIds(dict):
             raise _Ragged
         if len(self) >= self.most:
             self.clear()
+        if word[-1:] in self.marks and word[-2:-1].isalnum():  # a mark after a letter or digit is a pre-token of its own
+            return self[word[:-1]] + self.marks[word[-1:]]
         found = self[word] = self.ids(text)
         return found
 
@@ -81,7 +87,9 @@ class WordIds(dict):
         return b"".join(self.ids(part) for part in re.split(r"(?<=\S)(?= )", raw.decode("utf-8", "replace")))
 
 
+@functools.lru_cache(maxsize=1)
 def word_ids(tokenizer_path: str, ranks_path: str) -> WordIds:
+    """One for each Python worker, kept for the tasks that follow."""
     import base64
 
     import public_tokenizers
@@ -97,14 +105,11 @@ def word_ids(tokenizer_path: str, ranks_path: str) -> WordIds:
 def pieces_of(docs: DataFrame, tokenizer_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32."""
     end = np.array([separator], "<u4").tobytes()
-    held = []
 
     def cut(texts: list[bytes]) -> dict:
-        if not held:
-            held.append(word_ids(tokenizer_path, ranks_path))
-        out = []
+        words, out = word_ids(tokenizer_path, ranks_path), []
         for text in texts:
-            ids = held[0].encode(text) + end
+            ids = words.encode(text) + end
             n = len(ids) // 4
             edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
             out.append([{"start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[4 * a : 4 * b])} for a, b in zip(edges[:-1], edges[1:], strict=True)])
@@ -148,13 +153,13 @@ class Solution:
     bound: float  # no packing, whole or fractional, takes fewer sequences
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 80, steps: int = 30, rate: float = 0.2, noise: float = 0.4, near: float = 0.97, seed: int = 1) -> Solution:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 80, steps: int = 30, rate: float = 0.2, pull: float = 1.0, noise: float = 0.4, near: float = 0.97, seed: int = 1) -> Solution:
     """Amounts of configurations that cover ``counts``, by multiplicative weights with knapsack pricing.
 
     In each of ``rounds`` rounds the dynamic program prices configurations, for each length the best that holds it,
     under prices perturbed by up to ``noise`` / 2; those worth ``near`` of the best join the pool. Then ``steps`` times,
-    prices are multiplied by a power of the inverse coverage and amounts by the mean inverse coverage of what
-    they hold. The bound is the largest value of the counts under any prices for which no configuration is worth over 1.
+    prices are multiplied by a power of the inverse coverage, and amounts by the mean inverse coverage of what
+    they hold and a power of what that is worth, next to the best. The bound is the largest value of the counts under any prices for which no configuration is worth over 1.
     """
     rng, m, n = np.random.RandomState(seed), len(lengths), counts.astype(float)
     prices, known, pool = lengths / capacity, set(), []
@@ -182,8 +187,9 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
         for _ in range(steps):
             cover = np.maximum(np.bincount(col, times * amounts[row], m) / n, 1e-9)
             prices = prices * np.clip(cover, 0.1, 10.0) ** -rate
-            prices /= prices.max()
-            amounts = amounts * np.bincount(row, weight / cover[col], len(pool)) / held
+            worth = np.bincount(row, times * prices[col], len(pool))
+            prices /= worth.max()
+            amounts = amounts * (worth / worth.max()) ** pull * np.bincount(row, weight / cover[col], len(pool)) / held
     return Solution(np.array(pool), amounts, bound)
 
 
