@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.sources.shared import written
+from lexiloom.sources.tables import neighbours
+
 
 def tokenise_runs(tokens: DataFrame, least: int = 2) -> DataFrame:
     """Runs of at least ``least`` letters that touch no digit: surface and frequency."""
@@ -19,44 +22,59 @@ def term_frequency(tokens: DataFrame, often: int = 3) -> DataFrame:
     return counts.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_terms"), F.count_if(F.col("n") >= often).alias("n_intended"))
 
 
-def spacing_variants(tokens: DataFrame, low: int = 4, high: int = 14, parts: int = 4) -> DataFrame:
+def spacing_variants(docs: DataFrame, low: int = 4, high: int = 14, parts: int = 4, by_document: bool = False) -> DataFrame:
     """Written forms of each key: single runs, and 2 to ``parts`` runs with one space between, by frequency.
 
-    The key is the form without spaces, lower-cased. Neighbours come from one window over a document.
+    The key is the form without spaces, lower-cased. Forms are made within the rows of ``docs`` (doc_id, text), so only
+    their counts, added up before, are shuffled. They are counted over all documents, or in each.
     """
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    base = tokens.withColumn("surface", F.lower("surface"))
-    forms, joined, column = [F.struct(F.col("surface").alias("form"), F.lit(True).alias("ok"))], F.col("surface"), base
-    good = F.lit(True)
+    t = neighbours(docs, parts - 1)
+    forms, good, joined = [F.col("s0")], F.lit(True), F.col("s0")
     for k in range(1, parts):
-        column = column.withColumn(f"_s{k}", F.lead("surface", k).over(w)).withColumn(f"_g{k}", F.lead("gap", k).over(w))
-        good = good & (F.col(f"_g{k}") == " ")
-        joined = F.concat_ws(" ", joined, F.col(f"_s{k}"))
-        forms.append(F.struct(joined.alias("form"), F.coalesce(good, F.lit(False)).alias("ok")))
-    each = column.select(F.explode(F.array(*forms)).alias("f")).where("f.ok").select("f.form", F.replace("f.form", F.lit(" "), F.lit("")).alias("key"))
-    return each.where(F.length("key").between(low, high)).groupBy("key", "form").agg(F.count(F.lit(1)).alias("n"))
+        good = good & (F.coalesce(F.col(f"g{k}"), F.lit("")) == " ") & F.col(f"s{k}").isNotNull()
+        joined = F.concat_ws(" ", joined, F.col(f"s{k}"))
+        forms.append(F.when(good, joined))
+    per = ["doc_id"] if by_document else []
+    each = t.select(*per, F.explode(F.array(*forms)).alias("form")).where("form is not null").withColumn("key", F.replace("form", F.lit(" "), F.lit("")))
+    return each.where(F.length("key").between(low, high)).groupBy(*per, "key", "form").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _per(variants: DataFrame) -> list[str]:
+    return ["doc_id"] if "doc_id" in variants.columns else []
 
 
 def variant_verdict(variants: DataFrame, margin: int = 2) -> DataFrame:
     """For keys with several forms: winner, top and second counts, and ``clear`` or ``weak``. Ties: the smaller form.
 
-    Only an aggregation by key: the two best forms are the head of a sorted list of a key's few forms.
+    Only an aggregation by key (and document, if ``variants`` are by document): the two best forms are the head of a
+    sorted list of a key's few forms.
     """
     best = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "form")))
-    by_key = variants.groupBy("key").agg(best.alias("f"), F.count(F.lit(1)).alias("forms"), F.sum("n").alias("total")).where("forms > 1")
+    by_key = variants.groupBy(*_per(variants), "key").agg(best.alias("f"), F.count(F.lit(1)).alias("forms"), F.sum("n").alias("total")).where("forms > 1")
     top, second = -F.col("f")[0]["m"], -F.col("f")[1]["m"]
-    return by_key.select("key", F.col("f")[0]["form"].alias("winner"), top.alias("top"), second.alias("second"), F.when(top - second >= margin, "clear").otherwise("weak").alias("verdict"))
+    return by_key.select(*_per(variants), "key", F.col("f")[0]["form"].alias("winner"), top.alias("top"), second.alias("second"), F.when(top - second >= margin, "clear").otherwise("weak").alias("verdict"))
 
 
 def compound_majority(variants: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Joined forms against their best two-part form: minority and majority; a tie goes to the registered form, or none."""
-    joined = variants.where("form = key").select("key", F.col("n").alias("n_joined"))
-    spaced = variants.where("size(split(form, ' ')) = 2").groupBy("key").agg(F.max_by("form", F.struct("n", F.col("form"))).alias("spaced"), F.max("n").alias("n_spaced"))
-    both = joined.join(spaced, "key").join(lexicon.select(F.col("word").alias("key"), F.lit(True).alias("known")).distinct(), "key", "left")
-    to_joined = (F.col("n_joined") > F.col("n_spaced")) | ((F.col("n_joined") == F.col("n_spaced")) & F.col("known").isNotNull())
-    decided = both.where((F.col("n_joined") != F.col("n_spaced")) | F.col("known").isNotNull())
+    """Joined forms against their best two-part form: minority and majority, over all documents or in each.
+
+    A tie goes the way of most words with the same last part that are not tied, then to the joined form if it is
+    registered, else to the spaced one. Of two-part forms of a key with equal counts the greater is taken.
+    """
+    per = _per(variants)
+    two = F.when(F.size(F.split("form", " ")) == 2, F.struct("n", "form"))
+    both = variants.groupBy(*per, "key").agg(F.max(F.when(F.col("form") == F.col("key"), F.col("n"))).alias("n_joined"), F.max(two).alias("best")).where("n_joined is not null and best is not null")
+    both = both.select(*per, "key", "n_joined", F.col("best.form").alias("spaced"), F.col("best.n").alias("n_spaced"), F.substring_index("best.form", " ", -1).alias("head"))
+    both = written(both, "compounds")
+    clear, tied = both.where("n_joined <> n_spaced"), both.where("n_joined = n_spaced")
+    votes = clear.groupBy(*per, "head").agg(F.sum(F.signum(F.col("n_joined") - F.col("n_spaced"))).alias("lead"))
+    known = lexicon.select(F.col("word").alias("key"), F.lit(True).alias("known")).distinct()
+    lead = F.coalesce("lead", F.lit(0))
+    way = tied.join(votes, [*per, "head"], "left").join(known, "key", "left").withColumn("joins", F.when(lead != 0, lead > 0).otherwise(F.col("known").isNotNull()))
+    columns = [*per, "key", "n_joined", "spaced", "n_spaced", "joins"]
+    decided = clear.withColumn("joins", F.col("n_joined") > F.col("n_spaced")).select(columns).unionByName(way.select(columns))
     return decided.select(
-        F.when(to_joined, F.col("spaced")).otherwise(F.col("key")).alias("minority"), F.when(to_joined, F.col("key")).otherwise(F.col("spaced")).alias("majority"),
+        *per, F.when(F.col("joins"), F.col("spaced")).otherwise(F.col("key")).alias("minority"), F.when(F.col("joins"), F.col("key")).otherwise(F.col("spaced")).alias("majority"),
         F.least("n_joined", "n_spaced").alias("n_min"), F.greatest("n_joined", "n_spaced").alias("n_maj"),
     )
 
@@ -105,7 +123,11 @@ def realword_candidates(tokens: DataFrame, common: int = 5, least: int = 4) -> D
 
     Words meet on keys with one letter masked: an equi-join, and no pair of unrelated words is formed.
     """
-    counts = tokens.groupBy(F.lower("surface").alias("word")).agg(F.count(F.lit(1)).alias("n")).where(F.length("word") >= least).where((F.col("n") == 1) | (F.col("n") >= common))
+    return _one_letter_apart(tokens.groupBy(F.lower("surface").alias("word")).agg(F.count(F.lit(1)).alias("n")), common, least)
+
+
+def _one_letter_apart(counts: DataFrame, common: int, least: int) -> DataFrame:
+    counts = counts.where(F.length("word") >= least).where((F.col("n") == 1) | (F.col("n") >= common))
     masks = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.lit("*"), F.substring("word", i + 1, F.length("word"))))
     keyed = counts.select("word", "n", F.explode(masks).alias("mask"))
     rare, often = keyed.where("n = 1").select(F.col("word").alias("rare"), "mask"), keyed.where(F.col("n") >= common).select(F.col("word").alias("common"), F.col("n").alias("n_common"), "mask")
@@ -118,23 +140,26 @@ def topk_per_word(candidates: DataFrame, k: int = 2, cap: int = 60) -> DataFrame
     return candidates.withColumn("rank", rank).where(F.col("rank") <= k).orderBy(F.desc("n_common"), "rare", "common").limit(cap)
 
 
-def realword_scored(tokens: DataFrame, least_gap: float = 12.0, alpha: float = 0.01, common: int = 5, least: int = 4) -> DataFrame:
+def realword_scored(docs: DataFrame, least_gap: float = 12.0, alpha: float = 0.01, common: int = 5, least: int = 4) -> DataFrame:
     """Candidates whose common word fits the rare word's place better by ``least_gap``: rare, common, n_common, gap.
 
     The fit of a word between two neighbours is a smoothed bigram log-likelihood over the corpus, the rare word's own
-    place left out: its counts are then 0. A neighbour that is missing counts as fitting both alike. Neighbour counts
-    are an aggregation; candidates meet them in equi-joins.
+    place left out: its counts are then 0. A neighbour that is missing counts as fitting both alike. Neighbours come from
+    the rows of ``docs``; only places of rare words and pairs with a candidate's common word go on.
     """
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    t = tokens.select("doc_id", "idx", F.lower("surface").alias("word"))
-    near = t.withColumn("left", F.lag("word").over(w)).withColumn("right", F.lead("word").over(w))
-    pairs = near.where("left is not null").groupBy("left", "word").agg(F.count(F.lit(1)).alias("n"))
-    found = realword_candidates(tokens, common, least)
-    places = near.join(found.select(F.col("rare").alias("word")).distinct(), "word", "left_semi").select(F.col("word").alias("rare"), "left", "right")
+    near = neighbours(docs, 1, 1).select(F.col("s0").alias("word"), F.col("b1").alias("left"), F.col("s1").alias("right"))
+    counts = written(near.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    found = written(_one_letter_apart(counts, common, least), "candidates")
+    rare, often = found.select(F.col("rare").alias("word")).distinct(), found.select(F.col("common").alias("word")).distinct()
+    places = near.join(rare, "word", "left_semi").select(F.col("word").alias("rare"), "left", "right")
+    # Only pairs with a common word of some candidate are counted.
+    beside = near.join(often, "word", "left_semi")
+    pairs = beside.where("left is not null").groupBy("left", "word").agg(F.count(F.lit(1)).alias("n"))
+    pairs_on = beside.where("right is not null").groupBy("word", "right").agg(F.count(F.lit(1)).alias("n"))
     before = pairs.select("left", F.col("word").alias("common"), F.col("n").alias("n_left"))
-    after = pairs.select(F.col("left").alias("common"), F.col("word").alias("right"), F.col("n").alias("n_right"))
+    after = pairs_on.select(F.col("word").alias("common"), "right", F.col("n").alias("n_right"))
     both = found.join(places, "rare").join(before, ["left", "common"], "left").join(after, ["common", "right"], "left")
-    both = both.crossJoin(F.broadcast(t.agg(F.countDistinct("word").alias("n_words"))))
+    both = both.crossJoin(F.broadcast(counts.agg(F.count(F.lit(1)).alias("n_words"))))
     seen = lambda name: F.coalesce(name, F.lit(0)) + F.lit(alpha)
     rest = alpha * F.col("n_words")
     left = F.when(F.col("left").isNotNull(), F.log(seen("n_left") / alpha)).otherwise(0.0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexiloom.operators import consistency as op
+from lexiloom.sources.shared import written
 from lexiloom.sources.tables import duck, lexicon, read, tokens
 
 
@@ -15,11 +16,11 @@ def _tokens(s, d):
 
 
 def _variants(s, d):
-    return op.spacing_variants(_tokens(s, d))
+    return op.spacing_variants(_docs(s, d))
 
 
 def _proposals(s, d):
-    pairs = op.spacing_variants(_tokens(s, d), parts=2)  # forms of more parts have no say in the majority
+    pairs = op.spacing_variants(_docs(s, d), parts=2)  # forms of more parts have no say in the majority
     return op.compound_majority(pairs, lexicon(s, d))
 
 
@@ -27,6 +28,11 @@ def _cards(s, d):
     return op.compound_cards(_proposals(s, d))
 
 
+def _contested(s, d):
+    cards = written(_cards(s, d), "cards")
+    return op.contested_words(cards, op.family_analysis(cards))
+
+
 VARIANTS = """SELECT key, form, count(*) AS n FROM (
   SELECT form, replace(form, ' ', '') AS key FROM (
     SELECT unnest([s0, CASE WHEN g1 = ' ' THEN s0 || ' ' || s1 END, CASE WHEN g1 = ' ' AND g2 = ' ' THEN s0 || ' ' || s1 || ' ' || s2 END,
@@ -36,11 +42,19 @@ VARIANTS = """SELECT key, form, count(*) AS n FROM (
   WHERE form IS NOT NULL) WHERE length(key) BETWEEN 4 AND 14 GROUP BY key, form"""
 VERDICT = """SELECT key, f[1].form AS winner, -f[1].m AS top, -f[2].m AS second, CASE WHEN f[2].m - f[1].m >= 2 THEN 'clear' ELSE 'weak' END AS verdict
 FROM (SELECT key, list(struct_pack(m := -n, form := form) ORDER BY n DESC, form) AS f FROM variants GROUP BY key HAVING count(*) > 1)"""
-PROPOSALS = """SELECT CASE WHEN j THEN spaced ELSE key END AS minority, CASE WHEN j THEN key ELSE spaced END AS majority, least(n_joined, n_spaced) AS n_min, greatest(n_joined, n_spaced) AS n_maj
-FROM (SELECT *, n_joined > n_spaced OR (n_joined = n_spaced AND known) AS j FROM (
-  SELECT v.key, v.n AS n_joined, s.spaced, s.n_spaced, v.key IN (SELECT word FROM lexicon) AS known FROM variants v
-  JOIN (SELECT key, arg_max(form, struct_pack(n := n, f := form)) AS spaced, max(n) AS n_spaced FROM variants WHERE len(string_split(form, ' ')) = 2 GROUP BY key) s ON s.key = v.key
-  WHERE v.form = v.key) WHERE n_joined <> n_spaced OR known)"""
+PROPOSALS = """WITH both_ AS (
+    SELECT key, n_joined, best.f AS spaced, best.n AS n_spaced, string_split(best.f, ' ')[-1] AS head FROM (
+      SELECT key, max(n) FILTER (form = key) AS n_joined, max(struct_pack(n := n, f := form)) FILTER (len(string_split(form, ' ')) = 2) AS best FROM variants GROUP BY key) WHERE n_joined IS NOT NULL AND best IS NOT NULL),
+  votes AS (SELECT head, sum(CASE WHEN n_joined > n_spaced THEN 1 ELSE -1 END) AS lead FROM both_ WHERE n_joined <> n_spaced GROUP BY head)
+SELECT CASE WHEN j THEN spaced ELSE key END AS minority, CASE WHEN j THEN key ELSE spaced END AS majority, least(n_joined, n_spaced) AS n_min, greatest(n_joined, n_spaced) AS n_maj
+FROM (SELECT b.*, CASE WHEN n_joined <> n_spaced THEN n_joined > n_spaced WHEN coalesce(lead, 0) <> 0 THEN lead > 0 ELSE key IN (SELECT word FROM lexicon) END AS j FROM both_ b LEFT JOIN votes v ON v.head = b.head)"""
+#: The same in each document.
+VARIANTS_BY = VARIANTS.replace("SELECT key, form, count", "SELECT doc_id, key, form, count").replace("SELECT form, replace", "SELECT doc_id, form, replace").replace("SELECT unnest([s0", "SELECT doc_id, unnest([s0").replace("(SELECT lower(surface) AS s0", "(SELECT doc_id, lower(surface) AS s0").replace("GROUP BY key, form", "GROUP BY doc_id, key, form")
+VERDICT_BY = VERDICT.replace("SELECT key, f[1]", "SELECT doc_id, key, f[1]").replace("(SELECT key, list", "(SELECT doc_id, key, list").replace("GROUP BY key", "GROUP BY doc_id, key")
+PROPOSALS_BY = (
+    PROPOSALS.replace("SELECT key, n_joined", "SELECT doc_id, key, n_joined").replace("SELECT key, max(n)", "SELECT doc_id, key, max(n)").replace("GROUP BY key)", "GROUP BY doc_id, key)").replace("SELECT head, sum", "SELECT doc_id, head, sum")
+    .replace("GROUP BY head)", "GROUP BY doc_id, head)").replace("SELECT CASE WHEN j THEN spaced", "SELECT doc_id, CASE WHEN j THEN spaced").replace("ON v.head = b.head)", "ON v.head = b.head AND v.doc_id = b.doc_id)")
+)
 CARDS = """SELECT minority AS original, majority AS corrected, CASE WHEN n_min = n_maj OR (n_maj - n_min <= 1 AND n_min >= 2) THEN 'low' ELSE 'high' END AS confidence,
   string_split(spaced, ' ')[-1] AS head, string_split(spaced, ' ')[1] AS lead, CASE WHEN jw THEN n_maj ELSE n_min END AS n_joined, CASE WHEN jw THEN n_min ELSE n_maj END AS n_spaced
   FROM (SELECT *, CASE WHEN contains(minority, ' ') THEN minority ELSE majority END AS spaced, NOT contains(majority, ' ') AS jw FROM proposals)"""
@@ -54,8 +68,8 @@ MASKED = """SELECT word, n, unnest(list_transform(range(1, length(word) + 1), la
   FROM (SELECT lower(surface) AS word, count(*) AS n FROM tokens GROUP BY 1) WHERE length(word) >= 4 AND (n = 1 OR n >= 5)"""
 
 ALL = {
-    "realword_scored": (lambda s, d: op.realword_scored(_tokens(s, d)), None),
-    "topk_by_gap": (lambda s, d: op.topk_by_gap(op.realword_scored(_tokens(s, d))), None),
+    "realword_scored": (lambda s, d: op.realword_scored(_docs(s, d)), None),
+    "topk_by_gap": (lambda s, d: op.topk_by_gap(op.realword_scored(_docs(s, d))), None),
     "tokenise_runs": (
         lambda s, d: op.tokenise_runs(_tokens(s, d)),
         duck("tokens", r"""SELECT surface, count(*) AS n FROM (SELECT *, coalesce(lead(gap) OVER (PARTITION BY doc_id ORDER BY idx), '') AS after FROM tokens)
@@ -67,11 +81,14 @@ ALL = {
     ),
     "spacing_variants": (_variants, duck("tokens", "SELECT * FROM variants", variants=VARIANTS)),
     "variant_verdict": (lambda s, d: op.variant_verdict(_variants(s, d)), duck("tokens", VERDICT, variants=VARIANTS)),
-    "compound_majority": (_proposals, duck("tokens lexicon", PROPOSALS, variants=VARIANTS)),
+    "spacing_variants_by_document": (lambda s, d: op.spacing_variants(_docs(s, d), by_document=True), duck("tokens", "SELECT * FROM variants", variants=VARIANTS_BY)),
+    "variant_verdict_by_document": (lambda s, d: op.variant_verdict(op.spacing_variants(_docs(s, d), by_document=True)), duck("tokens", VERDICT_BY, variants=VARIANTS_BY)),
+    "compound_majority_by_document": (lambda s, d: op.compound_majority(op.spacing_variants(_docs(s, d), parts=2, by_document=True), lexicon(s, d)), duck("tokens lexicon", "SELECT * FROM proposals", variants=VARIANTS_BY, proposals=PROPOSALS_BY)),
+    "compound_majority": (_proposals, duck("tokens lexicon", "SELECT * FROM proposals", variants=VARIANTS, proposals=PROPOSALS)),
     "compound_cards": (_cards, duck("tokens lexicon", CARDS, variants=VARIANTS, proposals=PROPOSALS)),
     "family_analysis": (lambda s, d: op.family_analysis(_cards(s, d)), duck("tokens lexicon", FAMILIES, variants=VARIANTS, proposals=PROPOSALS, cards=CARDS, each=EACH)),
     "contested_words": (
-        lambda s, d: op.contested_words(_cards(s, d), op.family_analysis(_cards(s, d))),
+        _contested,
         duck("tokens lexicon", """SELECT original, array_to_string(list_sort(list_distinct(list(proposal))), ',') AS asked FROM each JOIN families USING (axis, part)
             GROUP BY original HAVING count(DISTINCT proposal) > 1""", variants=VARIANTS, proposals=PROPOSALS, cards=CARDS, each=EACH, families=FAMILIES),
     ),

@@ -15,7 +15,7 @@ def _c(s, d):
 
 
 def _whole(s, d):
-    pairs = spacing_variants(_tokens(s, d), parts=2)  # forms of more parts have no say in the majority
+    pairs = spacing_variants(_docs(s, d), parts=2)  # forms of more parts have no say in the majority
     return variant_corrections(_docs(s, d), compound_majority(pairs, lexicon(s, d)))
 
 

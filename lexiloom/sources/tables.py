@@ -20,6 +20,21 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.arrays_zip(runs.alias("surface"), gaps.alias("gap"))).alias("idx", "t")).select("doc_id", "idx", "t.gap", "t.surface").where("surface is not null")
 
 
+def neighbours(docs: DataFrame, after: int = 3, before: int = 0) -> DataFrame:
+    """Lower-cased letter runs with those around them: doc_id, idx (from 0), s0, s1 ..., the gaps g1 ... before them, and b1 ... back.
+
+    The arrays of a row are shifted against each other, so no token is shuffled.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    gaps = F.split("text", r"\p{L}+", -1)
+    many = F.greatest(F.size(words), F.lit(1))
+    ahead = lambda array, k: F.slice(array, k + 1, many)
+    none = F.lit(None).cast("string")
+    shifted = [words.alias("s0"), *[ahead(words, k).alias(f"s{k}") for k in range(1, after + 1)], *[ahead(gaps, k).alias(f"g{k}") for k in range(1, after + 1)], *[F.concat(F.array_repeat(none, k), words).alias(f"b{k}") for k in range(1, before + 1)]]
+    each = docs.select("doc_id", F.posexplode(F.arrays_zip(*shifted)).alias("idx", "t"))
+    return each.select("doc_id", "idx", "t.*").where("s0 is not null")
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), text."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))

@@ -1,5 +1,7 @@
 """Small literal cases of the operators, in both directions, and their behaviour on empty tables."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,14 +31,27 @@ def test_runs_that_touch_a_digit_go(spark):
 
 
 def test_variant_verdict(docs):
-    got = {r["key"]: (r["winner"], r["top"], r["second"], r["verdict"]) for r in consistency.variant_verdict(consistency.spacing_variants(tokens(docs))).collect()}
+    got = {r["key"]: (r["winner"], r["top"], r["second"], r["verdict"]) for r in consistency.variant_verdict(consistency.spacing_variants(docs)).collect()}
     assert got["database"] == ("data base", 3, 1, "clear")
     assert got["notebook"] == ("notebook", 2, 1, "weak")
 
 
+def test_verdicts_and_majorities_by_document(spark):
+    d = spark.createDataFrame([(1, "data base. data base. data base. database. note book. notebook"), (2, "database. database"), (3, "Database. database"), (4, "data base. database. code base. codebase. codebase. text base. textbase"), (5, None), (6, "")], "doc_id long, text string")
+    forms = consistency.spacing_variants(d, by_document=True)
+    got = {(r.doc_id, r["key"]): (r.winner, r.top, r.second, r.verdict) for r in consistency.variant_verdict(forms).collect()}
+    assert got[1, "database"] == ("data base", 3, 1, "clear") and (2, "database") not in got and got[4, "codebase"] == ("codebase", 2, 1, "weak")
+    known = spark.createDataFrame([("notebook",), (None,)], "word string")
+    pairs = {(r.doc_id, r.minority): (r.majority, r.n_min, r.n_maj) for r in consistency.compound_majority(forms, known).collect()}
+    assert pairs[1, "database"] == ("data base", 1, 3) and pairs[1, "note book"] == ("notebook", 1, 1)  # registered
+    assert pairs[4, "data base"] == ("database", 1, 1) and pairs[4, "text base"] == ("textbase", 1, 1)  # as most words in base
+    pooled = {r.minority: r.majority for r in consistency.compound_majority(consistency.spacing_variants(d), known.limit(0)).collect()}
+    assert pooled["data base"] == "database" and pooled["notebook"] == "note book" and pooled["text base"] == "textbase"
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert rows(consistency.variant_verdict(consistency.spacing_variants(tokens(none)))) == []
+    assert rows(consistency.variant_verdict(consistency.spacing_variants(none))) == []
     assert rows(consistency.realword_candidates(tokens(none))) == []
     assert rows(rules.chunk_documents(none, 10)) == []
 
@@ -51,15 +66,15 @@ def test_realword_scored_keeps_and_ranks_by_gap(spark):
 
     d = spark.createDataFrame([(1, "in their house " * 5), (2, "in theip house"), (3, "go theer now"), (4, "theep " * 50)], "doc_id long, text string")
     assert {(r.rare, r.common) for r in consistency.realword_candidates(tokens(d)).collect()} == {("theip", "their"), ("theip", "theep"), ("theer", "their"), ("theer", "theep")}
-    scored = consistency.realword_scored(tokens(d), least_gap=5.0)
+    scored = consistency.realword_scored(d, least_gap=5.0)
     n_words, a = 8, 0.01
     gap = math.log((5 + a) / a) + math.log((5 + a) / (5 + a * n_words)) - math.log(1 / n_words)
     assert rows(scored) == [("theip", "their", 5, round(gap, 4))]
-    assert rows(consistency.realword_scored(tokens(d), least_gap=12.0)) == []
-    every = consistency.realword_scored(tokens(d), least_gap=-1e9)
+    assert rows(consistency.realword_scored(d, least_gap=12.0)) == []
+    every = consistency.realword_scored(d, least_gap=-1e9)
     assert every.count() == 4 and [r.common for r in consistency.topk_by_gap(every, cap=1).collect()] == ["their"]
     assert [r.common for r in consistency.topk_per_word(consistency.realword_candidates(tokens(d)), cap=1).collect()] == ["theep"]
-    assert consistency.realword_scored(tokens(d.limit(0))).count() == 0
+    assert consistency.realword_scored(d.limit(0)).count() == 0
 
 
 def test_chunks_join_to_the_text(spark):
@@ -79,7 +94,7 @@ def test_guard_chain_both_ways(spark):
 
 
 def test_whole_corrections_take_every_place_and_fire_every_guard(spark, docs):
-    proposals = consistency.compound_majority(consistency.spacing_variants(tokens(docs)), spark.createDataFrame([], "word string"))
+    proposals = consistency.compound_majority(consistency.spacing_variants(docs), spark.createDataFrame([], "word string"))
     c = variant_corrections(docs, proposals)
     assert rows(c.where("seq >= 0").select("doc_id", "seq", "original", "corrected")) == [(1, 12, "database", "data base"), (2, 1, "note book", "notebook")]
     assert c.where("seq < 0").groupBy("doc_id").count().where(f"count = {len(GUARD_CASES)}").count() == 4
@@ -171,14 +186,11 @@ def test_all_terms_are_compared_by_letters(spark, sf):
         return row[-1]
 
     words = [r.word for r in tables.lexicon(spark, sf).where("length(word) >= 5").select("word").collect()]
-    by_key = {}
-    for word in words:
-        for i in range(len(word)):
-            by_key.setdefault(word[:i] + word[i + 1 :], set()).add(word)
-    pairs = {(a, b) for group in by_key.values() for a in group for b in group if a < b}
-    want = sorted((a, b, distance(a, b)) for a, b in pairs if distance(a, b) <= 2)
+    counted = [(w, Counter(w)) for w in sorted(set(words))]
+    close = ((a, b) for k, (a, p) in enumerate(counted) for b, q in counted[k + 1 :] if abs(len(a) - len(b)) <= 2 and (p - q).total() <= 2 and (q - p).total() <= 2)
+    want = sorted((a, b, d, d) for a, b in close if (d := distance(a, b)) <= 2)
     got = rows(registry.QUERIES["term_similarity_all"](spark, sf))
-    assert got == want and any(not (a + b).isascii() for a, b, _ in got)
+    assert got == want and any(not (a + b).isascii() for a, b, *_ in got)
 
 
 def test_normalise_text(spark):
