@@ -127,15 +127,3 @@ def compose_inside(corrections: DataFrame) -> DataFrame:
     inner = texts.select("doc_id", F.explode("fixes").alias("f")).select("doc_id", "f.*", F.lit("accepted").alias("status"))
     done = apply_to_corpus(texts.select("doc_id", "text"), inner).select(F.col("doc_id").alias("_id"), "text")
     return base.join(done, "_id", "left").select("doc_id", "seq", "original", F.coalesce("text", "corrected").alias("corrected"))
-
-
-def junction_conflicts(cards: DataFrame) -> DataFrame:
-    """Pairs of spacing proposals whose keys begin alike, one inside the other, with different spaces in the shared part.
-
-    The shorter key meets the prefixes of longer ones in an equi-join; both forms are cut to the shared letters.
-    """
-    c = cards.select(F.replace("majority", F.lit(" "), F.lit("")).alias("key"), F.col("majority").alias("form")).distinct()
-    longer = c.select(F.col("key").alias("long_key"), F.col("form").alias("long_form"), F.explode(F.expr("transform(sequence(4, length(key)), n -> substring(key, 1, n))")).alias("key")).where("key <> long_key")
-    spaces = lambda col: F.filter(F.transform(F.split(col, " "), lambda p, i: F.aggregate(F.slice(F.split(col, " "), 1, i + 1), F.lit(0), lambda a, q: a + F.length(q))), lambda n: n < F.length("key"))
-    met = longer.join(c, "key").withColumn("short_spaces", spaces("form")).withColumn("long_spaces", spaces("long_form"))
-    return met.where("short_spaces <> long_spaces").select(F.col("form").alias("short"), F.col("long_form").alias("longer"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import junctions as op
 from lexiloom.operators import quotes
-from lexiloom.operators.review import junction_conflicts
-from lexiloom.plans.consistency_queries import PROPOSALS, VARIANTS, _docs, _proposals
+from lexiloom.operators.junctions import junction_conflicts
+from lexiloom.operators.consistency import variant_verdict
+from lexiloom.plans.consistency_queries import PROPOSALS, VARIANTS, VERDICT, _docs, _proposals, _variants
 from lexiloom.sources.shared import written
 from lexiloom.sources.tables import duck, lines, read
 
@@ -49,18 +50,21 @@ def _roles(s, d):
     return quotes.quote_roles(_lines(s, d))
 
 
-AT = "list_transform(range(1, len(string_split({0}, ' ')) + 1), lambda i: length(array_to_string(string_split({0}, ' ')[1:i], '')))"
-CONFLICTS = f"""SELECT DISTINCT short, longer FROM (SELECT a.form AS short, b.form AS longer, list_filter({AT.format("a.form")}, lambda x: x < length(a.key)) AS p, list_filter({AT.format("b.form")}, lambda x: x < length(a.key)) AS q
-  FROM keyed a JOIN (SELECT key, form, unnest(list_transform(range(4, length(key) + 1), lambda n: key[1:n])) AS part FROM keyed) b ON b.part = a.key AND b.key <> a.key) WHERE p <> q"""
+SP = "list_transform(range(1, len(string_split({0}, ' '))), lambda i: length(array_to_string(string_split({0}, ' ')[1:i], '')))"
+IN = f"list_transform(list_filter({SP}, lambda x: x > place AND x < place + {{1}}), lambda x: x - place)"
+CONFLICTS = f"""SELECT short, longer, place FROM (SELECT a.key, a.form AS short, b.form AS longer, min(b.place)::INT AS place
+    FROM keyed a JOIN (SELECT key, form, o AS place, substr(key, o + 1, k) AS part FROM keyed, unnest(range(0, length(key) - 3)) u(o), unnest(range(4, length(key) - o + 1)) v(k)) b ON b.part = a.key AND b.key <> a.key GROUP BY ALL)
+  WHERE {SP.format("short")} <> {IN.format("longer", "length(key)")}"""
 KEYED = "SELECT DISTINCT replace(majority, ' ', '') AS key, majority AS form FROM proposals"
 SUPPORT = "SELECT majority AS form, max(n_maj) AS n FROM proposals GROUP BY 1"
-CUTS = f"list_sort(list_concat(list_filter({AT.format('{1}')}, lambda x: x < least(length(replace({{0}}, ' ', '')), length(replace({{1}}, ' ', '')))), list_filter({AT.format('{0}')}, lambda x: x >= least(length(replace({{0}}, ' ', '')), length(replace({{1}}, ' ', ''))))))"
-CUTS = CUTS.replace("{{0}}", "{0}").replace("{{1}}", "{1}")
-BUILT = "array_to_string(list_transform(range(1, len(cuts) + 1), lambda i: replace({0}, ' ', '')[CASE WHEN i = 1 THEN 1 ELSE cuts[i - 1] + 1 END : cuts[i]]), ' ')"
-WEAK = """SELECT DISTINCT CASE WHEN s.n < l.n THEN short ELSE longer END AS weak, CASE WHEN s.n < l.n THEN longer ELSE short END AS strong FROM conflicts c JOIN support s ON s.form = c.short JOIN support l ON l.form = c.longer"""
+_LETTERS = "replace({0}, ' ', '')"
+CUTS = f"""CASE WHEN length({_LETTERS.format("{0}")}) > length({_LETTERS.format("{1}")}) THEN list_sort(list_concat(list_filter({SP.format("{0}")}, lambda x: x <= place OR x >= place + length({_LETTERS.format("{1}")})), list_transform({SP.format("{1}")}, lambda x: x + place)))
+    ELSE list_transform(list_filter({SP.format("{1}")}, lambda x: x > place AND x < place + length({_LETTERS.format("{0}")})), lambda x: x - place) END"""
+BUILT = "array_to_string(list_transform(range(1, len(cuts) + 2), lambda i: replace({0}, ' ', '')[CASE WHEN i = 1 THEN 1 ELSE cuts[i - 1] + 1 END : CASE WHEN i = len(cuts) + 1 THEN length({0}) ELSE cuts[i] END]), ' ')"
+WEAK = """SELECT DISTINCT CASE WHEN s.n < l.n THEN short ELSE longer END AS weak, CASE WHEN s.n < l.n THEN longer ELSE short END AS strong, place FROM conflicts c JOIN support s ON s.form = c.short JOIN support l ON l.form = c.longer"""
 GROUPS = """SELECT form, junction, count(*) OVER (PARTITION BY junction) AS members FROM (SELECT form, min(c) AS junction FROM reach GROUP BY form)"""
 REACH = "SELECT form, form AS c FROM ends UNION SELECT r.form, e.b FROM reach r JOIN edges e ON r.c = e.a"
-EDGES = "SELECT short AS a, longer AS b FROM conflicts UNION SELECT longer, short FROM conflicts"
+EDGES = "SELECT short AS a, longer AS b, place FROM conflicts UNION SELECT longer, short, place FROM conflicts"
 BASE = {"variants": VARIANTS, "proposals": PROPOSALS, "keyed": KEYED, "conflicts": CONFLICTS}
 DECIDED = "SELECT junction, arg_min(form, struct_pack(n := -n, f := form)) AS decided FROM groups JOIN support USING (form) GROUP BY junction"
 
@@ -69,13 +73,26 @@ def _recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _classes(s, d):
+    proposals = written(_proposals(s, d), "proposals")
+    cards = proposals.select(F.col("minority").alias("original"), F.col("majority").alias("corrected"))
+    return op.junction_classes(junction_conflicts(proposals), cards, variant_verdict(_variants(s, d)))
+
+
+CLASSES = """SELECT c.*, a.minority AS short_original, b.minority AS longer_original, CASE WHEN va.verdict = 'clear' AND vb.verdict = 'clear' THEN CASE WHEN
+        CASE WHEN contains(a.minority, ' ') THEN contains(longer, a.minority) ELSE contains(' ' || longer || ' ', ' ' || a.minority || ' ') END OR CASE WHEN contains(b.minority, ' ') THEN contains(short, b.minority) ELSE contains(' ' || short || ' ', ' ' || b.minority || ' ') END THEN 'mutual' ELSE 'preserved' END
+        WHEN va.verdict = 'clear' AND vb.verdict IS NULL THEN 'harmonise_long' WHEN vb.verdict = 'clear' AND va.verdict IS NULL THEN 'harmonise_short' ELSE 'group' END AS outcome
+    FROM conflicts c JOIN proposals a ON a.majority = c.short JOIN proposals b ON b.majority = c.longer LEFT JOIN verdict va ON va.key = replace(short, ' ', '') LEFT JOIN verdict vb ON vb.key = replace(longer, ' ', '')"""
+
 ALL = {
+    "junction_conflicts": (lambda s, d: junction_conflicts(_proposals(s, d)), duck("tokens lexicon", "SELECT * FROM conflicts", **BASE)),
+    "junction_classes": (_classes, duck("tokens lexicon", CLASSES, **BASE, verdict=VERDICT)),
     "junction_harmonise": (_harmonise, duck("tokens lexicon", f"SELECT weak, strong, {BUILT.format('weak')} AS corrected FROM (SELECT *, {CUTS.format('weak', 'strong')} AS cuts FROM weak) WHERE {BUILT.format('weak')} <> weak", **BASE, support=SUPPORT, weak=WEAK)),
     "junction_groups": (_groups, _recursive(duck("tokens lexicon", GROUPS, **BASE, edges=EDGES, ends="SELECT DISTINCT a AS form FROM edges", reach=REACH))),
     "junction_propagate": (
         _propagate,
         _recursive(duck("tokens lexicon", f"""SELECT original, form, decided, corrected, CASE WHEN corrected = original THEN 'rejected' WHEN length(replace(form, ' ', '')) <= length(replace(decided, ' ', '')) THEN 'accepted' ELSE 'changed' END AS action
-            FROM (SELECT original, form, decided, {BUILT.format('form')} AS corrected FROM (SELECT DISTINCT p.minority AS original, g.form, d.decided, {CUTS.format('g.form', 'd.decided')} AS cuts FROM groups g JOIN decided d USING (junction)
+            FROM (SELECT original, form, decided, {BUILT.format('form')} AS corrected FROM (SELECT DISTINCT p.minority AS original, g.form, d.decided, e.place, {CUTS.format('g.form', 'd.decided')} AS cuts FROM groups g JOIN decided d USING (junction)
               JOIN edges e ON e.a = g.form AND e.b = d.decided JOIN proposals p ON p.majority = g.form WHERE g.form <> d.decided))""",
             **BASE, support=SUPPORT, edges=EDGES, ends="SELECT DISTINCT a AS form FROM edges", reach=REACH, groups=GROUPS, decided=DECIDED)),
     ),

@@ -100,10 +100,4 @@ ALL = {
             FROM base b LEFT JOIN (SELECT doc_id, list(struct_pack(p := pos, e := "end", c := corrected) ORDER BY pos) AS x FROM spans WHERE NOT shadowed GROUP BY doc_id) s ON s.doc_id = b.id""",
              **COMPOSE),
     ),
-    "junction_conflicts": (
-        lambda s, d: op.junction_conflicts(_proposals(s, d)),
-        duck("tokens lexicon", """SELECT DISTINCT a.form AS short, b.form AS longer FROM c a JOIN c b ON a.key <> b.key AND starts_with(b.key, a.key)
-            WHERE list_filter(a.sp, lambda x: x < length(a.key)) <> list_filter(b.sp, lambda x: x < length(a.key))""", variants=VARIANTS, proposals=PROPOSALS,
-             c="SELECT key, form, list_transform(range(1, len(string_split(form, ' ')) + 1), lambda i: length(array_to_string(string_split(form, ' ')[1:i], ''))) AS sp FROM (SELECT DISTINCT replace(majority, ' ', '') AS key, majority AS form FROM proposals)"),
-    ),
 }
