@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.sources.shared import written
+from lexiloom.sources.shared import sized, written
 from lexiloom.sources.tables import neighbours
 
 
@@ -39,6 +39,23 @@ def spacing_variants(docs: DataFrame, low: int = 4, high: int = 14, parts: int =
     return each.where(F.length("key").between(low, high)).groupBy(*per, "key", "form").agg(F.count(F.lit(1)).alias("n"))
 
 
+def compound_forms(docs: DataFrame, low: int = 4, high: int = 14, by_document: bool = False) -> DataFrame:
+    """Of ``spacing_variants`` of one and two parts, those of keys that are written both ways: all that a majority reads.
+
+    Nearly all neighbours stand together once and are never joined. So hashes of keys are looked at first, a few
+    bytes a run, and only forms whose hash occurs both ways are counted, by their letters.
+    """
+    t = neighbours(docs, 1)
+    pair = F.when((F.col("g1") == " ") & F.col("s1").isNotNull(), F.concat("s0", "s1"))
+    fits = lambda key: F.when(F.length(key).between(low, high), F.xxhash64(key))
+    ways = F.array(F.struct(fits(F.col("s0")).alias("h"), F.lit(1).alias("way")), F.struct(fits(pair).alias("h"), F.lit(2).alias("way")))
+    both = t.select(F.explode(F.filter(ways, lambda w: w["h"].isNotNull())).alias("w")).groupBy("w.h").agg(F.bit_or("w.way").alias("ways")).where("ways = 3").select("h")
+    per = ["doc_id"] if by_document else []
+    forms = F.array(F.struct(fits(F.col("s0")).alias("h"), F.col("s0").alias("key"), F.col("s0").alias("form")), F.struct(fits(pair).alias("h"), pair.alias("key"), F.concat_ws(" ", "s0", "s1").alias("form")))
+    each = t.select(*per, F.explode(F.filter(forms, lambda f: f["h"].isNotNull())).alias("f")).select(*per, "f.*")
+    return each.join(sized(both, "written-both-ways"), "h", "left_semi").groupBy(*per, "key", "form").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _per(variants: DataFrame) -> list[str]:
     return ["doc_id"] if "doc_id" in variants.columns else []
 
@@ -150,7 +167,7 @@ def realword_scored(docs: DataFrame, least_gap: float = 12.0, alpha: float = 0.0
     near = neighbours(docs, 1, 1).select(F.col("s0").alias("word"), F.col("b1").alias("left"), F.col("s1").alias("right"))
     counts = written(near.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
     found = written(_one_letter_apart(counts, common, least), "candidates")
-    rare, often = found.select(F.col("rare").alias("word")).distinct(), found.select(F.col("common").alias("word")).distinct()
+    rare, often = (sized(found.select(F.col(c).alias("word")).distinct(), f"{c}-words") for c in ("rare", "common"))
     places = near.join(rare, "word", "left_semi").select(F.col("word").alias("rare"), "left", "right")
     # Only pairs with a common word of some candidate are counted.
     beside = near.join(often, "word", "left_semi")

@@ -20,8 +20,7 @@ def _variants(s, d):
 
 
 def _proposals(s, d):
-    pairs = op.spacing_variants(_docs(s, d), parts=2)  # forms of more parts have no say in the majority
-    return op.compound_majority(pairs, lexicon(s, d))
+    return op.compound_majority(op.compound_forms(_docs(s, d)), lexicon(s, d))
 
 
 def _cards(s, d):
@@ -83,7 +82,7 @@ ALL = {
     "variant_verdict": (lambda s, d: op.variant_verdict(_variants(s, d)), duck("tokens", VERDICT, variants=VARIANTS)),
     "spacing_variants_by_document": (lambda s, d: op.spacing_variants(_docs(s, d), by_document=True), duck("tokens", "SELECT * FROM variants", variants=VARIANTS_BY)),
     "variant_verdict_by_document": (lambda s, d: op.variant_verdict(op.spacing_variants(_docs(s, d), by_document=True)), duck("tokens", VERDICT_BY, variants=VARIANTS_BY)),
-    "compound_majority_by_document": (lambda s, d: op.compound_majority(op.spacing_variants(_docs(s, d), parts=2, by_document=True), lexicon(s, d)), duck("tokens lexicon", "SELECT * FROM proposals", variants=VARIANTS_BY, proposals=PROPOSALS_BY)),
+    "compound_majority_by_document": (lambda s, d: op.compound_majority(op.compound_forms(_docs(s, d), by_document=True), lexicon(s, d)), duck("tokens lexicon", "SELECT * FROM proposals", variants=VARIANTS_BY, proposals=PROPOSALS_BY)),
     "compound_majority": (_proposals, duck("tokens lexicon", "SELECT * FROM proposals", variants=VARIANTS, proposals=PROPOSALS)),
     "compound_cards": (_cards, duck("tokens lexicon", CARDS, variants=VARIANTS, proposals=PROPOSALS)),
     "family_analysis": (lambda s, d: op.family_analysis(_cards(s, d)), duck("tokens lexicon", FAMILIES, variants=VARIANTS, proposals=PROPOSALS, cards=CARDS, each=EACH)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom.operators import corrections as op
-from lexiloom.operators.consistency import compound_majority, spacing_variants
+from lexiloom.operators.consistency import compound_forms, compound_majority
 from lexiloom.plans.consistency_queries import _docs, _tokens
 from lexiloom.sources.tables import corrections, duck, guarded, lexicon, variant_corrections
 
@@ -15,8 +15,7 @@ def _c(s, d):
 
 
 def _whole(s, d):
-    pairs = spacing_variants(_docs(s, d), parts=2)  # forms of more parts have no say in the majority
-    return variant_corrections(_docs(s, d), compound_majority(pairs, lexicon(s, d)))
+    return variant_corrections(_docs(s, d), compound_majority(compound_forms(_docs(s, d)), lexicon(s, d)))
 
 
 def _guarded(s, d):

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,3 +26,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, name: str, most: int = 16 << 20) -> DataFrame:
+    """``df`` written, and marked for a broadcast if its rows take no more than ``most`` bytes; else joins shuffle."""
+    out = written(df, name)
+    width = F.lit(16 * len(out.columns))
+    for field in out.schema.fields:
+        if field.dataType.simpleString() == "string":
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+    size = out.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.broadcast(out) if size <= most else out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.sources.shared import sized
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -108,7 +109,7 @@ def variant_corrections(docs: DataFrame, proposals: DataFrame) -> DataFrame:
     pair = docs.select("doc_id", F.posexplode(each).alias("idx", "t")).select("doc_id", "idx", "t.*").where("surface is not null")
     one, two = F.struct(F.lit(0).alias("k"), F.col("surface").alias("o")), F.struct(F.lit(1).alias("k"), F.when(F.col("between") == " ", F.concat_ws(" ", "surface", "next")).alias("o"))
     forms = pair.select("doc_id", "idx", F.explode(F.array(one, two)).alias("f")).where("f.o is not null").select("doc_id", (2 * F.col("idx") + F.col("f.k")).cast("long").alias("seq"), F.col("f.o").alias("original"))
-    met = forms.withColumn("minority", F.lower("original")).join(proposals.select("minority", "majority"), "minority")
+    met = forms.withColumn("minority", F.lower("original")).join(sized(proposals.select("minority", "majority"), "minority-forms"), "minority")
     at = F.instr("majority", " ")
     spaced = F.concat(F.substring("original", F.lit(1), at - 1), F.lit(" "), F.substring("original", at, F.length("original")))
     as_written = F.when(F.length("minority") != F.length("original"), F.col("majority")).when(at > 0, spaced).otherwise(F.replace("original", F.lit(" "), F.lit("")))
