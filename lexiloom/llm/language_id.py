@@ -68,7 +68,7 @@ class LanguageModel:
 
 def fit(sample: DataFrame, label: str = "lang", text_col: str = "text", dim: int = 16, epochs: int = 6, rate: float = 2.0, reject: float = 0.001, seed: int = 7) -> LanguageModel | None:
     """Fit on ``sample`` (label, text); None if it has no rows. The n-gram counts are made by tasks."""
-    rows = map_texts(sample.select(label, text_col), _counts, "buckets binary, counts binary", text_col).collect()
+    rows = map_texts(sample.select(label, text_col), _counts, "buckets binary, counts binary", text_col, 1 << 19).collect()
     rows = sorted((r for r in rows if len(r["buckets"])), key=lambda r: (r[label], len(r["buckets"]), bytes(r["buckets"])))
     labels = sorted({r[label] for r in rows})
     if not labels:
