@@ -211,7 +211,7 @@ def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> D
                 out[name].append(value)
         return out | {name: _lists(out[name]) for name in ("begins", "ends")}
 
-    return map_texts(docs, run, "ids array<int>, begins array<int>, ends array<int>, aligned boolean", text_col, 1 << 20)
+    return map_texts(docs, run, "ids array<int>, begins array<int>, ends array<int>, aligned boolean", text_col, 1 << 18)
 
 
 def decode_documents(encoded: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
