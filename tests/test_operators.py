@@ -30,6 +30,11 @@ def test_runs_that_touch_a_digit_go(spark):
     assert rows(consistency.tokenise_runs(tokens(d)))[0][0] == "cd" and len(rows(consistency.tokenise_runs(tokens(d)))) == 2
 
 
+def test_a_digit_before_a_line_end_touches_no_run(spark):
+    d = spark.createDataFrame([(1, "ab 12\ncd 3 ef"), (2, "gh\n4\n\nij5\nkl")], "doc_id long, text string")
+    assert rows(consistency.tokenise_runs(tokens(d))) == [("ab", 1), ("cd", 1), ("ef", 1), ("gh", 1), ("kl", 1)]  # ij stands before a digit
+
+
 def test_variant_verdict(docs):
     got = {r["key"]: (r["winner"], r["top"], r["second"], r["verdict"]) for r in consistency.variant_verdict(consistency.spacing_variants(docs)).collect()}
     assert got["database"] == ("data base", 3, 1, "clear")
