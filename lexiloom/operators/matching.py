@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,32 @@ def starts_of(text: str, strings: list[str]) -> list[list[int]]:
     return found
 
 
+def counts_of(text: str, strings: list[str]) -> list[int]:
+    """For each of ``strings`` at how many places it starts in ``text``, overlapping ones too. Empty strings start nowhere."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    n = dict.fromkeys(strings, 0)
+    for s in n:
+        if s:
+            automaton.add_word(s, s)
+    if len(automaton):
+        automaton.make_automaton()
+        for _, s in automaton.iter(text):
+            n[s] += 1
+    return [n[s] for s in strings]
+
+
+def _counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, asked in batches:
+        yield pd.Series([counts_of(t or "", list(a)) for t, a in zip(texts, asked, strict=True)], dtype=object)
+
+
+def counts_in_text(text: Column, strings: Column) -> Column:
+    """``counts_of`` for the array ``strings`` of each row."""
+    return F.pandas_udf(_counts, "array<int>")(text, strings)
+
+
 def find_in_texts(docs: DataFrame, strings: DataFrame, string_col: str = "original") -> DataFrame:
     """``strings`` (doc_id, a string, other columns) with ``starts``: where each starts in the text of its document.
 

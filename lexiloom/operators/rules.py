@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import INVISIBLE, KO_PARTICLES, has_final_consonant, letter_distance, literal, normalise_text
+from lexiloom.functions.text import INVISIBLE, KO_PARTICLES, has_final_consonant, letter_distance, normalise_text
+from lexiloom.operators.matching import counts_in_text
 
 # Forms after a final consonant and after a vowel; dependent nouns; wrong stems with the right ones;
 # places of a particle after a bracket; labels that a particle does not agree with; characters inside an anchor;
@@ -214,19 +215,22 @@ def anchor_narrow(docs: DataFrame, fix, least: int = 1) -> DataFrame:
     An anchor is what stands around the new spaces, as far as letters, digits and ``._/-`` reach. It is taken if every
     place of that text in the document, overlapping ones too, is one that ``fix`` changes; else the whole token is
     the original. Tokens whose fix changes more than spaces are left out. Of findings on one original in a document
-    the first stays. Texts are read in their rows, for each distinct anchor once. A null text has no findings.
+    the first stays. Texts are read in their rows, for all anchors at once. A null text has no findings.
     """
     shape = rf"^(\S*?)((?:[\p{{L}}\p{{N}}]{ANCHOR}*)?\S(?: \S+)* \S(?:{ANCHOR}*[\p{{L}}\p{{N}}])?)(\S*)$"
 
-    def finding(t: Column, i: Column) -> Column:
-        fixed = fix(t)
-        spaced = F.coalesce((fixed != t) & (F.replace(fixed, F.lit(" "), F.lit("")) == t) & (F.length(t) >= least), F.lit(False))
-        anchor = F.when(spaced & fixed.rlike(shape), F.regexp_extract(fixed, shape, 2)).otherwise(fixed)
-        return F.struct(i.alias("idx"), t.alias("token"), fixed.alias("token_fixed"), F.replace(anchor, F.lit(" "), F.lit("")).alias("anchor"), anchor.alias("anchor_fixed"), spaced.alias("spaced"))
-
-    found = docs.select("doc_id", "text", F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), finding), lambda x: x["spaced"]).alias("found"))
-    places = F.map_from_entries(F.transform(F.array_distinct(F.transform("found", lambda x: x["anchor"])), lambda a: F.struct(a.alias("a"), F.regexp_count("text", F.concat(F.lit("(?="), literal(a), F.lit(")"))).alias("n"))))
-    each = found.where(F.size("found") > 0).select("doc_id", places.alias("places"), F.explode("found").alias("f")).select("doc_id", "f.*", F.element_at("places", F.col("f.anchor")).alias("n"))
+    def finding(x: Column) -> Column:
+        fixed = x["token_fixed"]
+        anchor = F.when(fixed.rlike(shape), F.regexp_extract(fixed, shape, 2)).otherwise(fixed)
+        return F.struct(x["idx"].alias("idx"), x["token"].alias("token"), fixed.alias("token_fixed"), F.replace(anchor, F.lit(" "), F.lit("")).alias("anchor"), anchor.alias("anchor_fixed"))
+
+    # Step by step, as a lambda computes anew whatever it names twice.
+    tokens = F.filter(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), lambda t: F.length(t) >= least)
+    fixes = F.transform(tokens, lambda t, i: F.struct(i.alias("idx"), t.alias("token"), fix(t).alias("token_fixed")))
+    spaced = F.filter(fixes, lambda x: (x["token_fixed"] != x["token"]) & (F.replace(x["token_fixed"], F.lit(" "), F.lit("")) == x["token"]))
+    found = docs.select("doc_id", "text", F.transform(spaced, finding).alias("found")).where(F.size("found") > 0)
+    counts = counts_in_text(F.col("text"), F.transform("found", lambda x: x["anchor"]))
+    each = found.select("doc_id", "found", counts.alias("n")).select("doc_id", F.explode(F.arrays_zip("found", "n")).alias("f")).select("doc_id", "f.found.*", "f.n")
     safe = each.groupBy("doc_id", "anchor").agg(F.count(F.lit(1)).alias("fixable"))
     on = (F.col("anchor") == F.col("token")) | (F.col("n") == F.col("fixable"))
     chosen = each.join(safe, ["doc_id", "anchor"]).select("doc_id", "idx", F.when(on, F.col("anchor")).otherwise(F.col("token")).alias("original"), F.when(on, F.col("anchor_fixed")).otherwise(F.col("token_fixed")).alias("corrected"))
