@@ -228,7 +228,7 @@ def anchor_narrow(docs: DataFrame, fix, least: int = 1) -> DataFrame:
     tokens = F.filter(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), lambda t: F.length(t) >= least)
     fixes = F.transform(tokens, lambda t, i: F.struct(i.alias("idx"), t.alias("token"), fix(t).alias("token_fixed")))
     spaced = F.filter(fixes, lambda x: (x["token_fixed"] != x["token"]) & (F.replace(x["token_fixed"], F.lit(" "), F.lit("")) == x["token"]))
-    found = docs.select("doc_id", "text", F.transform(spaced, finding).alias("found")).where(F.size("found") > 0)
+    found = docs.select("doc_id", "text", F.transform(spaced, finding).alias("found"))
     counts = counts_in_text(F.col("text"), F.transform("found", lambda x: x["anchor"]))
     each = found.select("doc_id", "found", counts.alias("n")).select("doc_id", F.explode(F.arrays_zip("found", "n")).alias("f")).select("doc_id", "f.found.*", "f.n")
     safe = each.groupBy("doc_id", "anchor").agg(F.count(F.lit(1)).alias("fixable"))

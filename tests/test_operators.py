@@ -54,6 +54,27 @@ def test_verdicts_and_majorities_by_document(spark):
     assert pooled["data base"] == "database" and pooled["notebook"] == "note book" and pooled["text base"] == "textbase"
 
 
+def test_variants_of_documents_are_counted_in_their_rows(spark):
+    texts = [(1, "Data base, data base; DATABASE 𐐀𐐁 x"), (2, "aa bb"), (2, "aabb. aa bb"), (None, "cc dd"), (None, "ccdd"), (3, None), (4, "1 2")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    forms = consistency.spacing_variants(d, by_document=True)
+    got = Counter({(r.doc_id, r.form): r.n for r in forms.collect() if r.doc_id != 1})
+    assert got == {(2, "aa bb"): 2, (2, "aabb"): 1, (None, "cc dd"): 1, (None, "ccdd"): 1}
+    assert {r.form: r.n for r in consistency.spacing_variants(d.where("doc_id = 1"), by_document=True, several=True).collect()} == {"data base": 2, "database": 1}
+    several = consistency.spacing_variants(d, by_document=True, several=True)
+    assert sorted(r.form for r in several.collect()) == ["aa bb", "aabb", "cc dd", "ccdd", "data base", "database"]
+    plan = consistency.spacing_variants(d.where("doc_id = 1"), by_document=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_first_sentences_are_found_in_their_rows(spark):
+    d = spark.createDataFrame([(1, "No. First words here. Words first again!\nfirst alone now"), (2, None), (3, ""), (4, "one two three."), (4, "no. one four five.")], "doc_id long, text string")
+    got = {(r.doc_id, r.word): r.sentence for r in consistency.first_context(d).collect()}
+    assert got[1, "First"] == " First words here" and got[1, "words"] == " First words here" and got[1, "first"] == " Words first again" and got[1, "alone"] == "first alone now"
+    assert got[4, "one"] in ("one two three", " one four five") and got[4, "five"] == " one four five" and (1, "No") not in got and len(got) == 13
+    assert "Exchange" not in consistency.first_context(d.where("doc_id = 1"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert rows(consistency.variant_verdict(consistency.spacing_variants(none))) == []
