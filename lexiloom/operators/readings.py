@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.sources.shared import sized, written
+
 # Tags of the analyser, and particles that are never part of a noun.
 VERB_TAGS = ("VV", "VA", "VX")
 ENDING_TAGS = ("ETM", "EF", "EC", "EP")
@@ -16,10 +18,14 @@ PLACE = ("doc_id", "key", "occ")
 
 
 def key_places(words: DataFrame, keys: DataFrame, most: int = 4) -> DataFrame:
-    """The first ``most`` places of each key in each document: doc_id, key, occ (from 1), idx. ``words``: doc_id, idx, eojeol."""
+    """The first ``most`` places of each key in each document: doc_id, key, occ (from 1), idx. ``words``: doc_id, idx, eojeol.
+
+    If ``words`` has ``near`` (array of struct(off, eojeol), the words around), places have it too.
+    """
     order = Window.partitionBy("doc_id", "key").orderBy("idx")
-    met = words.select("doc_id", "idx", F.col("eojeol").alias("key")).join(keys.select("key").distinct(), "key")
-    return met.withColumn("occ", F.row_number().over(order)).where(F.col("occ") <= most).select(*PLACE, "idx")
+    near = [c for c in words.columns if c == "near"]
+    met = words.select("doc_id", "idx", F.col("eojeol").alias("key"), *near).join(sized(keys.select("key").where("key is not null").distinct(), "keys"), "key")
+    return met.withColumn("occ", F.row_number().over(order)).where(F.col("occ") <= most).select(*PLACE, "idx", *near)
 
 
 def best_readings(places: DataFrame, words: DataFrame, readings: DataFrame, follows: dict[tuple[str, str], int], strange: int, around: int = 2) -> DataFrame:
@@ -31,11 +37,17 @@ def best_readings(places: DataFrame, words: DataFrame, readings: DataFrame, foll
     other, ``strange`` for pairs that it has not. The cheapest path wins, of equal ones that with the smaller ``n`` at the place.
     A word without readings ends the path on both sides: what stands next to it costs nothing more.
 
+    Places with ``near`` bring the words around along, so that ``words`` is not read again.
+
     A lattice is a few words in one row, folded from left to right: for each reading of the word so far the cost of the
     best path to it and what that takes at the place, so a step looks at no more than pairs of readings.
     """
-    near = places.select(*PLACE, F.explode(F.sequence(F.lit(-around), F.lit(around))).alias("off"), "idx").withColumn("idx", (F.col("idx") + F.col("off")).cast(words.schema["idx"].dataType))
-    met = near.join(words.select("doc_id", "idx", "eojeol"), ["doc_id", "idx"]).join(readings, "eojeol", "left")
+    if "near" in places.columns:
+        near = places.select(*PLACE, F.explode(F.filter("near", lambda x: x["off"].between(-around, around))).alias("w")).select(*PLACE, "w.off", "w.eojeol")
+    else:
+        near = places.select(*PLACE, F.explode(F.sequence(F.lit(-around), F.lit(around))).alias("off"), "idx").withColumn("idx", (F.col("idx") + F.col("off")).cast(words.schema["idx"].dataType))
+        near = near.join(words.select("doc_id", "idx", "eojeol"), ["doc_id", "idx"])
+    met = near.join(readings, "eojeol", "left")
     none = F.array().cast(f"array<{READING}>")
     lattice = met.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("off", F.coalesce("readings", none).cast(f"array<{READING}>").alias("readings")))).alias("lattice"))
     costs = F.create_map(*[x for (a, b), c in follows.items() for x in (F.lit(f"{a}>{b}"), F.lit(c))]) if follows else F.create_map().cast("map<string, int>")
@@ -53,7 +65,8 @@ def best_readings(places: DataFrame, words: DataFrame, readings: DataFrame, foll
     start = F.array(F.struct(F.lit(0).alias("cost"), F.lit(None).cast("int").alias("center"), F.lit(None).cast("string").alias("tag"))).cast(state)
     center = F.array_min(F.aggregate("lattice", start, step))["center"]
     own = F.get(F.filter("lattice", lambda x: x["off"] == 0), 0)["readings"]
-    chosen = lattice.withColumn("center", center).withColumn("reading", F.get(F.filter(own, lambda r: r["n"] == F.col("center")), 0))
+    # Not a filter by ``center``: Spark would put the whole path into its lambda, once a reading.
+    chosen = lattice.withColumn("reading", F.get(own, (F.array_position(own["n"], center) - 1).cast("int")))
     return chosen.select(*PLACE, "reading")
 
 
@@ -66,7 +79,7 @@ def homograph_in_context(words: DataFrame, keys: DataFrame, readings: DataFrame,
     of those shows is no key itself; ``noun``, one of them reads as nouns and then particles that add up to the word,
     and the nouns of the first are a headword. Else it is null. Null keys and words are left out.
     """
-    place = key_places(words, keys, most)
+    place = written(key_places(words, keys, most), "key-places")
     read = best_readings(place, words, readings, follows, strange, around).where("reading is not null")
     m = F.col("reading.morphemes")
     verb = F.try_element_at(m, F.lit(1))["tag"].isin(*VERB_TAGS) & F.try_element_at(m, F.lit(-1))["tag"].isin(*ENDING_TAGS)

@@ -57,11 +57,20 @@ def tokens_of(word: Column) -> Column:
     return F.transform(cuts, part).cast(TOKENS)
 
 
-def words(docs: DataFrame) -> DataFrame:
-    """doc_id, idx, word (letters), eojeol: the runs of a document that the map takes, numbered from 0 within them."""
+def words(docs: DataFrame, around: int = 0) -> DataFrame:
+    """doc_id, idx, word (letters), eojeol: the runs of a document that the map takes, numbered from 0 within them.
+
+    With ``around`` also ``near``: the eojeols from so many before to so many after, as array of struct(off, eojeol).
+    """
     runs = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), F.lower), lambda w: w.rlike(WORD))
-    each = docs.select("doc_id", F.posexplode(runs).alias("idx", "word"))
-    return each.withColumn("eojeol", F.translate("word", LOWER, SYLLABLES))
+    if not around:
+        each = docs.select("doc_id", F.posexplode(runs).alias("idx", "word"))
+        return each.withColumn("eojeol", F.translate("word", LOWER, SYLLABLES))
+    row = docs.select("doc_id", runs.alias("w"))
+    row = row.select("doc_id", "w", F.transform("w", lambda w: F.translate(w, LOWER, SYLLABLES)).alias("e"))
+    near = lambda i: F.filter(F.array(*[F.struct(F.lit(off).alias("off"), F.get("e", i + off).alias("eojeol")) for off in range(-around, around + 1)]), lambda x: x["eojeol"].isNotNull())
+    full = F.transform("w", lambda w, i: F.struct(w.alias("word"), F.get("e", i).alias("eojeol"), near(i).alias("near")))
+    return row.select("doc_id", F.posexplode(full).alias("idx", "t")).select("doc_id", "idx", "t.*")
 
 
 def others_of(word: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import readings
 from lexiloom.plans import registry
+from lexiloom.sources.mapped import readings as mapped_readings
+from lexiloom.sources.mapped import words
 
 KIND = f"eojeol string, readings array<{readings.READING}>"
 WORDS = "doc_id long, idx int, eojeol string"
@@ -75,3 +77,13 @@ def test_each_hold_both_ways(spark):
 def test_all_holds_occur_in_the_documents(spark, sf):
     found = {r.hold for r in registry.QUERIES["homograph_in_context"](spark, sf).select("hold").distinct().collect()}
     assert {None, "verb", "noun"} <= found
+
+
+def test_words_around_come_along_with_places(spark):
+    docs = spark.createDataFrame([(1, "the Data base 12 of x data then there data"), (2, "data"), (3, None)], "doc_id long, text string")
+    keys = words(docs).where("word = 'data'").select(F.col("eojeol").alias("key"))
+    plain, along = readings.key_places(words(docs), keys), readings.key_places(words(docs, 2), keys)
+    assert sorted(map(tuple, along.drop("near").collect())) == sorted(map(tuple, plain.collect()))
+    table = mapped_readings(docs)
+    lattice = lambda places, w: sorted((r.doc_id, r.occ, r.reading.n) for r in readings.best_readings(places, w, table, FOLLOWS, 2).collect())
+    assert lattice(along, None) == lattice(plain, words(docs)) and len(lattice(plain, words(docs))) == 4
