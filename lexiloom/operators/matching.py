@@ -52,7 +52,7 @@ def counts_of(text: str, strings: list[str]) -> list[int]:
 
 def _counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, asked in batches:
-        yield pd.Series([counts_of(t or "", list(a)) for t, a in zip(texts, asked, strict=True)], dtype=object)
+        yield pd.Series([counts_of(t or "", [] if a is None else list(a)) for t, a in zip(texts, asked, strict=True)], dtype=object)
 
 
 def counts_in_text(text: Column, strings: Column) -> Column:

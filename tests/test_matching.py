@@ -68,3 +68,7 @@ def test_anchors_of_any_characters(spark):
     docs = spark.createDataFrame([(1, "x\\E.y and \\Q.z"), (2, None)], "doc_id long, text string")
     got = sorted((r.original, r.corrected) for r in rules.anchor_narrow(docs, lambda t: F.replace(t, F.lit("."), F.lit(". "))).collect())
     assert got and all(c.replace(" ", "") == o for o, c in got)
+
+
+def test_counts_hold_overlapping_places_and_repeats():
+    assert matching.counts_of("aaa b", ["aa", "a", "", "aa", "x"]) == [2, 3, 0, 2, 0]
