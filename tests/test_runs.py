@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lexiloom.functions.runs import PLAIN, RANGES, Runs, _tables
-from lexiloom.operators import consistency
+from lexiloom.operators import consistency, corrections
+from lexiloom.sources import tables
 from lexiloom.sources.shared import bit_table
 from lexiloom.sources.tables import tokens
 
@@ -49,3 +50,26 @@ def test_a_bit_table_holds_all_its_strings(spark):
     assert list(holds(table, Spots(data).of(at[:-1], at[1:]))) == [False, False, True, False, True, False]
     assert list(holds(table, Spots(data).of(at[:-2], at[2:]))) == [True, False, False, False, False] and strings(data, at)[2].as_py() == "abcd"
     assert not bit_table(spark.createDataFrame([], "s string")).value.any()
+
+
+def test_only_likely_forms_meet_the_minority_forms(spark):
+    texts = [*TEXTS, "Data base x DATABASE, note\nbook Über ber", "İs tanbul istanbul x", "ΟΔ ΟΣ x", "𐐀𐐁𐐂𐐃𐐄 x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    forms = [("data base", "database"), ("istanbul", "is tanbul"), ("οδ ος", "οδος"), ("𐐨𐐩𐐪𐐫𐐬", "𐐨𐐩𐐪 𐐫𐐬"), ("note book", "notebook"), ("über ber", "überber"), ("codebase", "code base")]
+    minority = spark.createDataFrame(forms, "minority string, majority string")
+    same = lambda df: sorted(map(tuple, df.withColumn("minority", F.lower("original")).join(minority, "minority").select("doc_id", "seq", "original").collect()))
+    every, likely = tables._all_forms(docs), tables._likely_forms(docs, minority.select("minority"))
+    assert same(likely) == same(every) and len(same(every)) >= len(forms)
+    c = tables.variant_corrections(docs, minority)
+    assert sorted(map(tuple, c.where("seq >= 0").select("doc_id", "seq", "original").collect())) == same(every)
+    # Before, every form was sent to meet them.
+    plain, asked = docs.where(F.col("text").rlike(PLAIN)), minority.select("minority")
+    assert tables._likely_forms(plain, asked).count() < tables._all_forms(plain).count() / 2
+    assert tables._likely_forms(docs.limit(0), asked).count() == 0 and same(tables._likely_forms(plain, asked.limit(0))) == []
+
+
+def test_like_corrections_are_guarded_once_and_counted_all(spark):
+    each = [(k, 1, o, c, s) for k in range(3) for o, c, s in [*tables.GUARD_CASES, ("x", "y", "dict"), (None, None, "ai_typo")]]
+    c = spark.createDataFrame(each, "doc_id long, seq long, original string, corrected string, source string")
+    one_by_one = corrections.guard_chain(c).groupBy(F.coalesce("guard", F.lit("kept")).alias("guard")).count()
+    assert sorted(map(tuple, corrections.guard_counts(c).collect())) == sorted(map(tuple, one_by_one.collect()))
