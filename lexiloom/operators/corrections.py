@@ -319,18 +319,25 @@ def guards() -> dict[str, Column]:
     }
 
 
+MODEL = ("ai_typo", "ai_polish")
+
+
+def _first_guard() -> Column:
+    hit = F.when(F.lit(False), "")
+    for name, condition in guards().items():
+        hit = hit.when(condition, name)
+    return hit
+
+
 def guard_chain(corrections: DataFrame) -> DataFrame:
     """Model corrections (typo and polish) with the first guard that hits, or null."""
-    hit = None
-    for name, condition in guards().items():
-        hit = F.when(condition, name) if hit is None else hit.when(condition, name)
-    model = corrections.where(F.col("source").isin("ai_typo", "ai_polish"))
-    return model.select("doc_id", "seq", "original", "corrected", hit.alias("guard"))
+    return corrections.where(F.col("source").isin(*MODEL)).select("doc_id", "seq", "original", "corrected", _first_guard().alias("guard"))
 
 
 def guard_counts(corrections: DataFrame) -> DataFrame:
-    """Corrections dropped by each guard, and kept ones."""
-    return guard_chain(corrections).groupBy(F.coalesce("guard", F.lit("kept")).alias("guard")).agg(F.count(F.lit(1)).alias("n"))
+    """Corrections dropped by each guard, and kept ones. Like corrections are counted first, and guarded once."""
+    alike = corrections.where(F.col("source").isin(*MODEL)).groupBy("original", "corrected", "source").agg(F.count(F.lit(1)).alias("n"))
+    return alike.select(F.coalesce(_first_guard(), F.lit("kept")).alias("guard"), "n").groupBy("guard").agg(F.sum("n").alias("n"))
 
 
 def errata_rows(corrections: DataFrame) -> DataFrame:
