@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.text import base_form
 from lexiloom.operators.matching import find_in_texts
 from lexiloom.operators.propagation import overlap_resolve
+from lexiloom.sources.shared import written
 
 
 def correction_validity(corrections: DataFrame, docs: DataFrame) -> DataFrame:
@@ -188,11 +189,13 @@ def _outer_values(docs: DataFrame, corrections: DataFrame) -> tuple[DataFrame, D
     """Places of live corrections with what each writes after its inner ones, and the inner places with their outermost.
 
     The inner corrections are applied in order of place, each to its first occurrence in the text written so far; one
-    that does not occur there changes nothing.
+    that does not occur there changes nothing. Both are read several times, so the places and the inner ones are written:
+    the texts are searched once.
     """
     live = _live(corrections)
     places = occurrence_index(live, docs).where("pos is not null").select("doc_id", "original", "pos", "end").join(live.select("doc_id", "original", "corrected"), ["doc_id", "original"])
-    inner = interval_containment(places).join(places, ["doc_id", "pos", "end"])
+    places = written(places, "live-places")
+    inner = written(interval_containment(places).join(places, ["doc_id", "pos", "end"]), "inner-places")
     inside = inner.groupBy("doc_id", F.col("o_pos").alias("pos"), F.col("o_end").alias("end")).agg(F.sort_array(F.collect_list(F.struct("pos", "end", "original", "corrected"))).alias("inside"))
     fold = "aggregate(inside, corrected, (t, x) -> if(locate(x.original, t) > 0, concat(left(t, locate(x.original, t) - 1), x.corrected, substring(t, locate(x.original, t) + length(x.original))), t))"
     return places.join(inside, ["doc_id", "pos", "end"], "left").withColumn("value", F.coalesce(F.expr(fold), "corrected")), inner

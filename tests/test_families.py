@@ -87,6 +87,14 @@ def test_overlap_compose(spark):
     assert rows(corrections.overlap_compose(docs, c.limit(0))) == []
 
 
+def test_absorbed_places_are_searched_once(spark):
+    docs = spark.createDataFrame([(1, "a data base and data")], "doc_id long, text string")
+    c = spark.createDataFrame([(1, 1, "data base", "data bases", "accepted"), (1, 2, "data", "datum", "accepted")], "doc_id long, seq long, original string, corrected string, status string")
+    absorbed = corrections.overlap_absorbed(docs, c)
+    # Before, every use of the places searched the texts again.
+    assert "MapInArrow" not in absorbed._jdf.queryExecution().toString() and rows(absorbed) == [(1, "data", 2, "data base")]
+
+
 def test_compose_needs_one_value_for_all_places(spark):
     docs = spark.createDataFrame([(1, "one data base; data base data base")], "doc_id long, text string")
     each = [(1, 1, "data base", "data bases", "accepted"), (1, 2, "data", "datum", "accepted"), (1, 3, "base data base", "base data bases", "accepted")]
