@@ -7,13 +7,17 @@ their frequencies are those of the documents. Headwords are the words of the ben
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions.runs import Runs, strings, unlike
 from lexiloom.sources.tables import DUCK, LOWER, read
 
 #: The syllable of each letter from a to z.
 SYLLABLES = "한두세전수각만것때본지데명개천가원이은새번국억부모주"
+_TO_SYLLABLES, _TO_LETTERS = str.maketrans(LOWER, SYLLABLES), str.maketrans(SYLLABLES, LOWER)
 #: Letters whose syllable is read as an adnominal, a numeral, a dependent noun.
 ADNOMINAL, NUMERAL, DEPENDENT = "abcdfjrt", "gow", "ehklmnuv"
 #: How words of 3, 4, 5 and more letters are cut: first letters of the parts.
@@ -73,6 +77,60 @@ def words(docs: DataFrame, around: int = 0) -> DataFrame:
     return row.select("doc_id", F.posexplode(full).alias("idx", "t")).select("doc_id", "idx", "t.*")
 
 
+def cuttable(docs: DataFrame) -> DataFrame:
+    """doc_id, text for ``cut``: of texts that it does not take, only the words that the map takes."""
+    runs = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), F.lower), lambda w: w.rlike(WORD))
+    return docs.select("doc_id", F.when(unlike("text"), F.array_join(runs, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def cut(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """The eojeols of ``texts`` in order, as ``words`` has them, and by number whose they are."""
+    runs = Runs(texts)
+    letters = runs.lowered_letters()
+    odd = np.concatenate([[0], np.cumsum((letters < ord(LOWER[0])) | (letters > ord(LOWER[-1])))])[runs.at]
+    taken = (runs.n >= 3) & (runs.n <= 12) & (odd[1:] == odd[:-1])
+    syllables = np.frombuffer(SYLLABLES.encode(), np.uint8).reshape(len(SYLLABLES), -1)
+    data = syllables[letters[np.repeat(taken, runs.n)] - ord(LOWER[0])]
+    at = np.concatenate([[0], np.cumsum(runs.n[taken])]) * syllables.shape[1]
+    return runs.text[taken], strings(pa.py_buffer(data.tobytes()), at)
+
+
+def _parts(word: str) -> list[tuple[str, str, int]]:
+    """``tokens_of`` for one word: form, tag, start."""
+    cuts = CUTS[min(len(word), 6)]
+    eojeol, long, copula = word.translate(_TO_SYLLABLES), len(word) >= 6, len(word) == 5 and word[1] in "ri"
+    found = []
+    for number, (at, end) in enumerate(zip(cuts, (*cuts[1:], len(word)), strict=True)):
+        first = word[at]
+        single = "MM" if first in ADNOMINAL else "NR" if first in NUMERAL else "NNG"
+        inner = ("NNG" if first in "aeiou" else "NNP") if end - at == 2 else "NNB" if first in DEPENDENT else "NNP" if first in "qxz" else "NNG"
+        if copula:
+            tag = ("NNG", "VCP", "ETM")[number] if number < 3 else inner
+        elif number == len(cuts) - 1:
+            tag = "JX" if first in "srn" else "VV" if first in "tdh" else "NNG" if first in "aeo" else "MAG" if first in "lm" else "EF"
+        elif long and number == 0:
+            tag = "VV" if first in "aeiou" else "NNG"
+        elif long and number == 1:
+            tag = "ETM" if word[0] in "aeiou" else single
+        else:
+            tag = single if number == 0 else inner
+        found.append((eojeol[at:end], tag, at))
+    return found
+
+
+def read_word(eojeol: str) -> list[tuple[int, int, list[tuple[str, str]]]]:
+    """The readings of one eojeol, as ``readings`` has them: n, cost, morphemes (form, tag)."""
+    word, size = eojeol.translate(_TO_LETTERS), len(eojeol)
+    if word.startswith("z"):
+        return []
+    found = [(1, 3 + size % 2, [(form, tag) for form, tag, _ in _parts(word)]), (2, 2 + size % 3, [(eojeol, "NNG")])]
+    if word[-1] in "dgs":
+        found.append((3, 3, [(eojeol[:-1], "VV"), (eojeol[-1], "EC")]))
+    if word[-1] in "srn":
+        found.append((4, 3, [(eojeol[:-1], "NNG"), (eojeol[-1], "JX")]))
+    return found
+
+
 def others_of(word: Column) -> Column:
     """Further analyses: array of struct(gap, tokens), the gap being how much worse the analyser rates it."""
     eojeol, size, last = F.translate(word, LOWER, SYLLABLES), F.length(word), F.substring(word, -1, 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import readings
 from lexiloom.plans import registry
+from lexiloom.sources import mapped, tables
 from lexiloom.sources.mapped import readings as mapped_readings
 from lexiloom.sources.mapped import words
 
@@ -87,3 +88,49 @@ def test_words_around_come_along_with_places(spark):
     table = mapped_readings(docs)
     lattice = lambda places, w: sorted((r.doc_id, r.occ, r.reading.n) for r in readings.best_readings(places, w, table, FOLLOWS, 2).collect())
     assert lattice(along, None) == lattice(plain, words(docs)) and len(lattice(plain, words(docs))) == 4
+
+
+def test_words_and_readings_made_in_tasks_are_those_of_the_tables(spark, sf):
+    odd = [(1, "The \u212Aelvin data\u0130x 12 data, ab abcdefghijklm DATA"), (2, None), (3, ""), (4, "r\u00E9sum\u00E9 zebra quartz"), (5, "\U0001D41Ax data \u1C89 base")]
+    docs = tables.read(spark, sf, "documents").select("doc_id", "text").limit(60).unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    texts = [r.text or "" for r in mapped.cuttable(docs).sort("doc_id", "text").collect()]
+    whose, got = mapped.cut(texts)
+    want = [r.e for r in docs.sort("doc_id", "text").select(F.transform(F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), F.lower), lambda w: w.rlike(mapped.WORD)), lambda w: F.translate(w, mapped.LOWER, mapped.SYLLABLES)).alias("e")).collect()]
+    assert [[w for k, w in zip(whose, got.to_pylist(), strict=True) if k == i] for i in range(len(texts))] == [e or [] for e in want]
+    read = {r.eojeol: [(x.n, x.cost, [tuple(m) for m in x.morphemes]) for x in r.readings] for r in mapped_readings(docs).collect()}
+    assert len(read) > 500 and all(mapped.read_word(w) == read.get(w, []) for w in got.to_pylist())
+
+
+def test_holds_found_in_texts_equal_those_of_tables(spark):
+    texts = ["the data base of data then there data data data zebra", None, "", "data \u212Aeys zoo data", "many seven data keys verbs"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, "some other words of all and data with keys"), (None, "data keys"), (None, "keys verbs data")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = lambda *w: spark.createDataFrame([(x.translate(str.maketrans(mapped.LOWER, mapped.SYLLABLES)),) for x in w] + [(None,)], "key string")
+    keys, heads = of("data", "keys", "verbs", "zoo", "there", "missing", "zebra"), of("dat", "key", "verb", "all").select(F.col("key").alias("word"))
+    for most, strange in ((4, 2), (1, 0), (2, 5)):
+        want = readings.homograph_in_context(words(docs, 2), keys, mapped_readings(docs), heads, mapped.FOLLOWS, strange, (), 2, most).collect()
+        got = readings.homograph_in_texts(mapped.cuttable(docs), mapped.cut, keys, mapped.read_word, heads, mapped.FOLLOWS, strange, (), 2, most).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 10
+    empty = readings.homograph_in_texts(docs.limit(0), mapped.cut, keys.limit(0), mapped.read_word, heads.limit(0), {}, 2)
+    assert empty.count() == 0
+
+
+def test_lattices_equal_best_readings(spark):
+    rng = random.Random(7)
+    follows = {(a, b): rng.randint(0, 5) for a in "ABC" for b in "ABC" if rng.random() < 0.7}
+    table = {f"w{k}": [read(n + 1, rng.randint(0, 4), f"x/{rng.choice('ABCD')} y/{rng.choice('ABCD')}") for n in range(rng.randint(0, 3))] for k in range(12)}
+    for w in ("w1", "w2"):
+        table[w].reverse()
+    docs = [(d, i, f"w{rng.randint(0, 11)}") for d in range(80) for i in range(5)]
+    words = spark.createDataFrame(docs, WORDS)
+    places = words.where("idx = 2").select("doc_id", F.col("eojeol").alias("key"), F.lit(1).alias("occ"), "idx")
+    want = {r.doc_id: r.reading.n if r.reading else None for r in readings.best_readings(places, words, spark.createDataFrame([(w, r) for w, r in table.items() if r], KIND), follows, 3).collect()}
+    lattices = readings.Lattices(table.__getitem__, follows, 3)
+    shapes = lattices.shapes_for([w for *_, w in docs]).reshape(80, 5)
+    got = lattices.best(shapes, 2)
+    assert {d: table[docs[5 * d + 2][2]][r][0] if r >= 0 else None for d, r in enumerate(got.tolist())} == want
+
+
+def test_no_word_of_the_documents_is_shuffled(spark, sf):
+    plan = registry.QUERIES["homograph_in_context"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and "Exchange hashpartitioning" not in plan
