@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -39,6 +40,16 @@ def base_form(word: Column, endings: tuple[str, ...] = LATIN_ENDINGS, least: int
     return F.regexp_replace(word, f"^(.{{{least},}}?)({'|'.join(endings)})\\z", "$1")
 
 
+#: Line ends as Spark's patterns have them, which a dot leaves out.
+_BASE = re.compile(f"([^\n\r\x85\u2028\u2029]{{2,}}?)(?:{'|'.join(LATIN_ENDINGS)})")
+
+
+def base_of(word: str) -> str:
+    """``base_form`` of one word, with its defaults."""
+    found = _BASE.fullmatch(word)
+    return found[1] if found else word
+
+
 def literal(text: Column) -> Column:
     """A pattern that matches ``text`` as it stands, whatever it holds."""
     return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
@@ -68,3 +79,19 @@ def letters_of(text: Column) -> Column:
 def letter_distance(a: Column, b: Column) -> Column:
     """Edits between two texts, counted in letters: a changed ending of a syllable is one."""
     return F.levenshtein(letters_of(a), letters_of(b))
+
+
+def distance_of(a: str, b: str) -> int:
+    """``letter_distance`` of two texts."""
+
+    def spelt(text: str) -> str:
+        at = [ord(c) - 44032 for c in text]
+        return "".join(chr(0x1100 + k // 588) + chr(0x1161 + k % 588 // 28) + (chr(0x11A7 + k % 28) if k % 28 else "") if 0 <= k <= 11171 else c for k, c in zip(at, text, strict=True))
+
+    a, b = spelt(a), spelt(b)
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        above, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            above, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, above + (x != y))
+    return row[-1]
