@@ -131,6 +131,17 @@ def read_word(eojeol: str) -> list[tuple[int, int, list[tuple[str, str]]]]:
     return found
 
 
+def analyse_word(eojeol: str) -> tuple[list[tuple[str, str, int]], list[tuple[float, list[tuple[str, str, int]]]]]:
+    """``tokens_of`` and ``others_of`` of one eojeol."""
+    word, size = eojeol.translate(_TO_LETTERS), len(eojeol)
+    others = []
+    if word[-1] in "dgs":
+        others.append((size % 4 * 0.6, [(eojeol[:-1], "VV", 0), (eojeol[-1], "EF", size - 1)]))
+    elif word[-1] == "n":
+        others.append((0.3, [(eojeol[0], "VV", 0), (eojeol[1:], "NNG", 1)]))
+    return _parts(word), others
+
+
 def others_of(word: Column) -> Column:
     """Further analyses: array of struct(gap, tokens), the gap being how much worse the analyser rates it."""
     eojeol, size, last = F.translate(word, LOWER, SYLLABLES), F.length(word), F.substring(word, -1, 1)

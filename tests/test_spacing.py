@@ -1,6 +1,10 @@
 """Spaces after adnominals: each exception holds a border back, and a like word without its cause is cut."""
 
+import numpy as np
+import pyarrow as pa
+
 from lexiloom.operators import spacing
+from lexiloom.plans import registry
 from lexiloom.sources import mapped, tables
 
 KIND = "doc_id long, eojeol string, tokens array<struct<form: string, tag: string, start: int>>, others array<struct<gap: double, tokens: array<struct<form: string, tag: string, start: int>>>>"
@@ -60,3 +64,33 @@ def test_mapped_words_are_those_of_the_documents(spark, sf):
     for r in first:
         assert len(r.word) == len(r.eojeol) and "".join(t.form for t in r.tokens) == r.eojeol and [t.start for t in r.tokens] == list(mapped.CUTS[min(len(r.word), 6)])
     assert words.count() > docs.count() and len(set(mapped.SYLLABLES)) == 26
+
+
+def by_spaces(texts):
+    words = [t.split() for t in texts]
+    return np.repeat(np.arange(len(texts)), [len(w) for w in words]), pa.array([x for w in words for x in w], pa.large_string())
+
+
+def test_each_exception_in_texts(spark):
+    table = {w: (tagged(t), [(g, tagged(o)) for g, o in others]) for w, t, others, _ in CASES} | {"latin": (tagged("latin/SL/0"), [])}
+    heads = spark.createDataFrame([*HEADWORDS, ("전부", False), (None, True)], "word string, noun boolean")
+    rows = [(1, " ".join(w for w, *_ in CASES) + " 갈수있다"), (2, CASES[13][0]), (3, None), (4, "latin"), (None, "한부모가족지원 한부모가구")]
+    want = sorted([(1, w, want) for w, *_, want in CASES if want] + [(2, "한부모가구", "한 부모가구")])
+    for more in ([], [(2, "한부모가족지원")]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        # The second row of document 2 holds the word back in the first; without an id no word does.
+        expected = sorted([w for w in want if w[0] != 2 or not more] + [(-1, "한부모가구", "한 부모가구")])
+        for most in (1_000_000, 0):
+            got = spacing.adnominal_in_texts(docs, by_spaces, table.__getitem__, heads, most=most).collect()
+            assert sorted((-1 if r.doc_id is None else r.doc_id, r.original, r.corrected) for r in got) == expected
+    assert spacing.adnominal_in_texts(docs.limit(0), by_spaces, table.__getitem__, heads.limit(0)).count() == 0
+
+
+def test_words_judged_in_texts_equal_those_of_tables(spark, sf):
+    docs = tables.read(spark, sf, "documents").select("doc_id", "text").limit(150)
+    words, heads = mapped.words(docs), mapped.headwords(spark, sf)
+    analysed = words.select("doc_id", "eojeol", mapped.tokens_of(words["word"]).alias("tokens"), mapped.others_of(words["word"]).alias("others"))
+    want = sorted(map(tuple, spacing.adnominal_spacing(analysed, heads).collect()))
+    assert sorted(map(tuple, spacing.adnominal_in_texts(mapped.cuttable(docs), mapped.cut, mapped.analyse_word, heads).collect())) == want and len(want) > 1000
+    plan = registry.QUERIES["adnominal_spacing"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
