@@ -18,8 +18,17 @@ def quote_roles(lines: DataFrame) -> DataFrame:
     A mark closes the innermost open one if that is of the same kind, double or single. A line's marks are folded in
     one row, with the open marks as a stack. Null and empty lines have no marks.
     """
+    folded = _folded(lines)
+    flat = folded.select("doc_id", "line_no", "fold", F.explode("seen").alias("x"))
+    partner = F.expr("coalesce(get(filter(fold.pairs, p -> p.o = x.i), 0).c, get(filter(fold.pairs, p -> p.c = x.i), 0).o)")
+    role = F.expr("case when array_contains(fold.inside, x.i) then 'apostrophe' when array_contains(fold.alone, x.i) then 'close_orphan' when exists(fold.pairs, p -> p.o = x.i) then 'open' when exists(fold.pairs, p -> p.c = x.i) then 'close' else 'open_orphan' end")
+    return flat.select("doc_id", "line_no", "x.i", "x.pos", "x.mark", "x.before", "x.after", role.alias("role"), partner.alias("partner"))
+
+
+def _folded(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no, text, seen (the marks with their surroundings) and fold (open, pairs, alone, inside) of the lines with marks."""
     marks = f"[{OPENING}{CLOSING}\"']"
-    parts = lines.select("doc_id", "line_no", F.regexp_extract_all("text", F.lit(f"({marks})"), F.lit(1)).alias("marks"), F.split("text", marks, -1).alias("parts")).where("size(marks) > 0")
+    parts = lines.select("doc_id", "line_no", "text", F.regexp_extract_all("text", F.lit(f"({marks})"), F.lit(1)).alias("marks"), F.split("text", marks, -1).alias("parts")).where("size(marks) > 0")
     each = "named_struct('i', i, 'mark', m, 'before', right(parts[i], 1), 'after', left(parts[i + 1], 1), 'pos', length(array_join(slice(parts, 1, i + 1), '')) + i)"
     seen = parts.withColumn("seen", F.expr(f"transform(marks, (m, i) -> {each})"))
     start = F.expr("named_struct('open', cast(array() as array<struct<i:int,double:boolean>>), 'pairs', cast(array() as array<struct<o:int,c:int>>), 'alone', cast(array() as array<int>), 'inside', cast(array() as array<int>))")
@@ -38,11 +47,7 @@ def quote_roles(lines: DataFrame) -> DataFrame:
             F.when(inside, F.concat(s["inside"], F.array(x["i"]))).otherwise(s["inside"]).alias("inside"),
         )
 
-    folded = seen.withColumn("fold", F.aggregate("seen", start, step))
-    flat = folded.select("doc_id", "line_no", "fold", F.explode("seen").alias("x"))
-    partner = F.expr("coalesce(get(filter(fold.pairs, p -> p.o = x.i), 0).c, get(filter(fold.pairs, p -> p.c = x.i), 0).o)")
-    role = F.expr("case when array_contains(fold.inside, x.i) then 'apostrophe' when array_contains(fold.alone, x.i) then 'close_orphan' when exists(fold.pairs, p -> p.o = x.i) then 'open' when exists(fold.pairs, p -> p.c = x.i) then 'close' else 'open_orphan' end")
-    return flat.select("doc_id", "line_no", "x.i", "x.pos", "x.mark", "x.before", "x.after", role.alias("role"), partner.alias("partner"))
+    return seen.withColumn("fold", F.aggregate("seen", start, step)).select("doc_id", "line_no", "text", "seen", "fold")
 
 
 def _with_text(roles: DataFrame, lines: DataFrame) -> DataFrame:
@@ -83,3 +88,16 @@ def quote_spacing(roles: DataFrame, lines: DataFrame, most: int = 40) -> DataFra
     content = F.expr("substring(text, pos + 2, end - pos - 1)")
     good = o.withColumn("content", content).where(F.length("content").between(1, most) & F.col("content").rlike(r"\p{L}"))
     return good.withColumn("n", F.row_number().over(w)).select("doc_id", "line_no", "pos", F.concat("before", "mark").alias("original"), F.concat_ws(" ", "before", "mark").alias("corrected"))
+
+
+def quote_spacing_in(lines: DataFrame, most: int = 40) -> DataFrame:
+    """``quote_spacing`` of ``lines``, each judged in its row.
+
+    After a letter or digit only a shaped mark opens, so lines without one there hold no finding and are not folded.
+    """
+    shaped = F.contains("text", F.lit(OPENING[0])) | F.contains("text", F.lit(OPENING[1]))
+    may = lines.where(shaped).where(F.col("text").rlike(rf"[\p{{L}}\p{{N}}][{OPENING}]"))
+    pairs = _folded(may).select("doc_id", "line_no", "text", F.expr("explode(transform(fold.pairs, p -> struct(seen[p.o] as o, seen[p.c].pos as end)))").alias("p"))
+    pairs = pairs.select("doc_id", "line_no", "p.o.pos", "p.o.before", "p.o.mark", F.expr("substring(text, p.o.pos + 2, p.end - p.o.pos - 1)").alias("content"))
+    good = pairs.where(F.col("before").rlike(r"[\p{L}\p{N}]") & F.length("content").between(1, most) & F.col("content").rlike(r"\p{L}"))
+    return good.select("doc_id", "line_no", "pos", F.concat("before", "mark").alias("original"), F.concat_ws(" ", "before", "mark").alias("corrected"))

@@ -100,5 +100,5 @@ ALL = {
     "unpaired_quotes": (lambda s, d: quotes.unpaired_quotes(_roles(s, d), _lines(s, d)), None),
     "reversed_quotes": (lambda s, d: quotes.reversed_quotes(_roles(s, d), _lines(s, d)), None),
     "quote_punct_spacing": (lambda s, d: quotes.quote_punct_spacing(_roles(s, d)), None),
-    "quote_spacing": (lambda s, d: quotes.quote_spacing(_roles(s, d), _lines(s, d)), None),
+    "quote_spacing": (lambda s, d: quotes.quote_spacing_in(_lines(s, d)), None),
 }

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lexiloom.operators import junctions, quotes
+from lexiloom.plans import registry
 
 
 def roles_of(text):
@@ -68,3 +69,17 @@ def test_junctions(spark):
 @pytest.mark.parametrize("word, model, want", [("ab cdef", "abc d", "abc def"), ("abcd", "ab cd", "ab cd"), ("ab cd", "abcdef", "abcd"), ("abcd ef", "ab cd", "ab cd ef")])
 def test_respaced(spark, word, model, want):
     assert spark.createDataFrame([(word, model)], "w string, m string").select(junctions.respaced("w", "m")).first()[0] == want
+
+
+def test_spacing_judged_in_rows_equals_that_of_roles(spark, sf):
+    rng = random.Random(11)
+    pieces = ["word", "7", " ", "(", "“", "”", "‘", "’", '"', "'", ".", "말", "x" * 39, "é", "\U0001D41A"]
+    rows = [(n, 0, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))) for n in range(3000)] + [(-1, 0, None), (-2, 0, "")]
+    df = spark.createDataFrame(rows, "doc_id long, line_no int, text string")
+    want = sorted(map(tuple, quotes.quote_spacing(quotes.quote_roles(df), df).collect()))
+    assert sorted(map(tuple, quotes.quote_spacing_in(df).collect())) == want and len(want) > 50
+    # Each row by itself, also where ids repeat or are missing.
+    again = spark.createDataFrame([(1, 0, "a“b” c"), (1, 0, "none"), (1, 0, "word d“e”"), (None, 0, "f“g”")], "doc_id long, line_no int, text string")
+    assert sorted((r.doc_id or 0, r.pos) for r in quotes.quote_spacing_in(again).collect()) == [(0, 1), (1, 1), (1, 6)]
+    plan = registry.QUERIES["quote_spacing"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
