@@ -85,6 +85,8 @@ def distance_of(a: str, b: str) -> int:
     """``letter_distance`` of two texts."""
 
     def spelt(text: str) -> str:
+        if text.isascii():
+            return text
         at = [ord(c) - 44032 for c in text]
         return "".join(chr(0x1100 + k // 588) + chr(0x1161 + k % 588 // 28) + (chr(0x11A7 + k % 28) if k % 28 else "") if 0 <= k <= 11171 else c for k, c in zip(at, text, strict=True))
 

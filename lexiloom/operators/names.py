@@ -84,7 +84,11 @@ def swapped(o: str, c: str, far: int = 3) -> bool:
         return False
     grams = lambda w: {w[i : i + 2] for i in range(max(1, len(w) - 1))}
     ob, cb = base_of(o), base_of(c)
-    return grams(ob).isdisjoint(grams(cb)) and distance_of(ob, cb) >= far
+    if not grams(ob).isdisjoint(grams(cb)):
+        return False
+    # A letter that the other has not takes an edit each, if letters are characters.
+    a, b = set(ob), set(cb)
+    return ob.isascii() and cb.isascii() and (len(a - b) >= far or len(b - a) >= far) or distance_of(ob, cb) >= far
 
 
 def _swaps(words: Broadcast, far: int) -> Callable:
@@ -96,24 +100,22 @@ def _swaps(words: Broadcast, far: int) -> Callable:
         if w not in known:
             if len(known) > 1 << 18:
                 known.clear()
-            known[w] = w in words.value or base_of(w) in words.value
+            known[w] = bool(w) and (w in words.value or base_of(w) in words.value)
         return known[w]
 
-    def is_swap(o: str, c: str) -> bool:
-        if not (is_known(o) and is_known(c)):
-            return False
-        if (o, c) not in quite:
+    def is_swap(pair: tuple[str, str]) -> bool:
+        if pair not in quite:
             if len(quite) > 1 << 18:
                 quite.clear()
-            quite[o, c] = swapped(o, c, far)
-        return quite[o, c]
+            quite[pair] = swapped(*pair, far)
+        return quite[pair]
 
     def found(a: pa.Array, b: pa.Array, low_a: pa.Array, low_b: pa.Array) -> pa.Array:
         out = np.zeros(len(a), bool)
         row = np.flatnonzero(~np.asarray(pc.or_(a.is_null(), b.is_null())))
         parts = [pc.split_pattern(x.take(pa.array(row)).cast(pa.large_string()), " ") for x in (a, b)]
         flat = pa.concat_arrays([x.flatten() for x in parts]).dictionary_encode()
-        names, code = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        names, code = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
         size_a, size_b = (x.value_lengths().to_numpy() for x in parts)
         first_a = np.concatenate([[0], np.cumsum(size_a)])[:-1].astype(np.int64)
         first_b = np.concatenate([[0], np.cumsum(size_b)])[:-1] + size_a.sum()
@@ -126,16 +128,18 @@ def _swaps(words: Broadcast, far: int) -> Callable:
         low = {"a": low_a.take(pa.array(row)), "b": low_b.take(pa.array(row))}
         odd = ~np.asarray(pc.and_(low["a"].is_null(), low["b"].is_null()))[of]
         lower = [n.lower() for n in names]
-        is_one = np.fromiter((bool(n) and is_known(n) for n in lower), bool, len(lower))
+        flags = list(map(known.get, lower))
+        is_one = np.array(list(map(is_known, lower)) if None in flags else flags, bool)
         o, c = code[first_a[of] + place], code[first_b[of] + place]
         at = np.flatnonzero(~odd & is_one[o] & is_one[c])
         pairs, back = np.unique(o[at].astype(np.int64) * len(names) + c[at], return_inverse=True)
-        bad = np.fromiter((is_swap(lower[k // len(names)], lower[k % len(names)]) for k in pairs.tolist()), bool, len(pairs))
+        one, two = (np.array(lower, object)[k].tolist() for k in (pairs // max(1, len(names)), pairs % max(1, len(names))))
+        bad = np.fromiter(map(is_swap, zip(one, two, strict=True)), bool, len(pairs))
         out[row[of[at[bad[back]]]]] = True
         for k in np.flatnonzero(odd).tolist():
             i, j = int(of[k]), int(place[k])
             one, two = (low[x][i].as_py().split(" ")[j] if low[x][i].is_valid else lower[n[k]] for x, n in (("a", o), ("b", c)))
-            out[row[i]] |= is_swap(one, two)
+            out[row[i]] |= is_known(one) and is_known(two) and is_swap((one, two))
         return pa.array(out)
 
     return found
